@@ -10,6 +10,9 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: All but letters, digits and bytes of characters beyond ASCII.
+MARKS = np.ones(256, bool)
+MARKS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 _K1, _K2, _K3 = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
 
@@ -60,10 +63,11 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: i
     return h
 
 
-def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and lengths of the words (runs without white space), and each text's first word (n + 1 entries)."""
+def word_spans(buf: np.ndarray, offsets: np.ndarray, gap: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths of the words (runs without white space, or without bytes of `gap`), and each text's first word
+    (n + 1 entries)."""
     n = len(buf) - 8
-    white = WHITE[buf[:n]]
+    white = gap[buf[:n]]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     begin = ~white
@@ -159,3 +163,16 @@ class Memo:
             self.keys, self.starts, self.counts = merged[order], np.concatenate([self.starts, starts])[order], np.concatenate([self.counts, counts])[order]
         at = np.searchsorted(self.keys, keys)[back]
         return self.flat[gather(self.starts[at], self.counts[at])], self.counts[at]
+
+
+def pack(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Each text's values as the bytes of a uint32 array."""
+    return pa.array([x.tobytes() for x in np.split(flat.astype(np.uint32), np.cumsum(counts)[:-1])], pa.binary())
+
+
+def per_text(owner: np.ndarray, values: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values (below 2**32) of each text, flat by text, and their number by text."""
+    both = np.sort(owner.astype(U64) << U64(32) | values.astype(U64))
+    if len(both):
+        both = both[np.append(True, both[1:] != both[:-1])]
+    return (both & U64(0xFFFFFFFF)).astype(np.int64), np.bincount((both >> U64(32)).astype(np.int64), minlength=texts)
