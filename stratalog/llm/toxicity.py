@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import join_small
-from .labelled import document_counts, platt, sample, scored, sigmoid, training_rows
+from .labelled import document_counts, sample, scored, sigmoid, training_rows
 from .textvec import LOWER, MARKS, U64, byte_view, hash_spans, per_text, word_spans
 
 BITS = 20
@@ -55,18 +55,20 @@ class Machine:
             out += 0.5 * (np.bincount(owner, x, n) ** 2 - np.bincount(owner, x * x, n))
         return out
 
-    def fit(self, rows: list[np.ndarray], label: np.ndarray, rounds: int = 12, rate: float = 0.1, decay: float = 1e-4, batch: int = 128, seed: int = 7) -> None:
-        """AdaGrad on the log-loss with a quadratic penalty."""
+    def fit(self, rows: list[np.ndarray], label: np.ndarray, rounds: int = 20, rate: float = 0.1, decay: float = 2e-5, batch: int = 128, tilt: float = 8.0, seed: int = 7) -> None:
+        """AdaGrad on the log-loss with a quadratic penalty; the rarer class weighs more, up to `tilt` times."""
         rng, terms = np.random.default_rng(seed), len(self.w)
         seen_w, seen_v, seen_o = np.full(terms, 1e-6), np.full(self.v.shape, 1e-6), 1e-6
-        self.offset = float(np.log((label.sum() + 1) / ((1 - label).sum() + 1)))
+        odds = (label.sum() + 1) / ((1 - label).sum() + 1)
+        weight = np.where(label == 1, np.clip(1 / odds, 1, tilt), np.clip(odds, 1, tilt))
+        self.offset = -1.0
         for _ in range(rounds):
             order = rng.permutation(len(rows))
             for at in range(0, len(rows), batch):
                 some = order[at : at + batch]
                 counts = np.array([len(rows[i]) for i in some])
                 flat = np.concatenate([rows[i] for i in some])
-                slope = (sigmoid(self.margin(flat, counts)) - label[some]) / len(some)
+                slope = (sigmoid(self.margin(flat, counts)) - label[some]) * weight[some] / len(some)
                 seen_o += slope.sum() ** 2
                 self.offset -= rate * slope.sum() / np.sqrt(seen_o)
                 if not len(flat):
@@ -100,22 +102,23 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict:
     toxic, clean, n_toxic, n_clean = document_counts(rows, 1 << BITS)
     place = np.full(1 << BITS, -1, np.int32)
     if not n_toxic or not n_clean:
-        return {"place": place, "machine": Machine(1), "slope": 0.0, "offset": 40.0 if n_toxic else -40.0}
+        constant = Machine(1)
+        constant.offset = 40.0 if n_toxic else -40.0
+        return {"place": place, "machine": constant}
     terms = dependent(toxic, clean, n_toxic, n_clean)
     place[terms] = np.arange(len(terms))
     some, label = sample(rows, most)
     some = [p[p >= 0] for p in (place[r] for r in some)]
     machine = Machine(max(1, len(terms)))
     machine.fit(some, label)
-    slope, offset = platt(machine.margin(np.concatenate(some), np.array([len(r) for r in some])), label)
-    return {"place": place, "machine": machine, "slope": max(slope, 0.0), "offset": offset}
+    return {"place": place, "machine": machine}
 
 
 def judge(model: dict, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     place = model["place"][flat]
     known = place >= 0
     counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[known], minlength=len(counts))
-    return sigmoid(model["slope"] * model["machine"].margin(place[known], counts) + model["offset"])
+    return sigmoid(model["machine"].margin(place[known], counts))
 
 
 def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
