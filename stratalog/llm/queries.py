@@ -107,7 +107,7 @@ SQL = {
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
         sets AS (
             SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-                ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
         flat AS (SELECT doc_id, unnest(s) AS t FROM sets),
         pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS inter FROM flat a JOIN flat b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
         links AS (
