@@ -92,12 +92,14 @@ class LogStore:
     def __init__(self, spark: SparkSession, path: str, policy: CommitPolicy | None = None, read_only: bool = False):
         self.spark, self.path, self.policy = spark, path.rstrip("/"), policy or CommitPolicy()
         self.files, self.read_only = Files(spark, self.path), read_only
-        self.files.mkdirs()
+        if read_only and not self.files.exists("manifest"):
+            raise InvalidArgumentError(f"there is no log in {self.path}")
         if not read_only:
+            self.files.mkdirs()
             self.files.lock()
         try:
             self.state, self.entry = State(), 0
-            for n in ("manifest", "data"):
+            for n in () if read_only else ("manifest", "data"):
                 self.files.mkdirs(n)
             self._load()
             if not self.state.database_id:
@@ -402,6 +404,13 @@ class LogStore:
                     self.files.delete(f["path"])
         return sum(map(len, old)) - len(new)
 
+    def verify(self) -> dict[str, int]:
+        """Faults in the whole log: positions that are missing or repeated, batches with gaps, streams with gaps."""
+        log = self.log(durable_only=True)
+        positions = log.agg(F.count("*").alias("n"), F.count_distinct("position").alias("d"), F.min("position").alias("lo"), F.max("position").alias("hi")).first()
+        gaps = lambda keys, order, first: log.groupBy(*keys).agg(F.count("*").alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")).where((F.col("hi") - F.col("lo") + 1 != F.col("n")) | (F.col("lo") != first if first is not None else F.lit(False))).count()
+        return {"events": positions["n"], "positions": 0 if not positions["n"] else positions["hi"] - positions["lo"] + 1 - positions["d"] + positions["n"] - positions["d"], "batches": gaps(["batch_id"], "batch_index", 0), "streams": gaps(["branch_id", "stream_name"], "stream_revision", None if self.floor else 0)}
+
     def vacuum(self) -> list[str]:
         """Deletes data that no manifest entry names (left by writers that died)."""
         named = {f["path"] for f in self.state.files}
