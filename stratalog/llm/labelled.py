@@ -45,10 +45,9 @@ def packed(docs: DataFrame, features: Features) -> DataFrame:
     return map_text(docs, "text", "doc_id long, features binary", make)
 
 
-def document_counts(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """For each feature, in how many rows of label 1 and 0 it occurs; and the numbers of these rows.  All rows count.
-
-    Each task adds up its own rows; at most `size` sums come to the driver.
+def document_counts(rows: DataFrame, size: int, least: int = 1) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """For each feature in at least `least` rows, in how many rows of label 1 and 0 it occurs (0 for the others); and the
+    numbers of these rows.  All rows count.  Each task adds up its own rows; at most `size` sums come to the driver.
     """
 
     def add(batches):
@@ -63,15 +62,27 @@ def document_counts(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray,
         at = np.flatnonzero(total.any(0))
         yield pa.record_batch([pa.array(at), pa.array(total[1, at]), pa.array(total[0, at])], ["feature", "good", "bad"])
 
-    sums = rows.mapInArrow(add, "feature long, good long, bad long").groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toPandas()
+    sums = rows.mapInArrow(add, "feature long, good long, bad long").groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).where((F.col("good") + F.col("bad") >= least) | (F.col("feature") == size)).toPandas()
     out = np.zeros((2, size + 1))
     out[:, sums["feature"]] = sums[["good", "bad"]].to_numpy(float).T
     return out[0, :size], out[1, :size], int(out[0, size]), int(out[1, size])
 
 
-def sample(rows: DataFrame, most: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of at most `most` rows, those whose hashed ids are smallest."""
-    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(most).select("features", "label").toPandas()
+def sample(rows: DataFrame, most: int, place: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features and labels of at most `most` rows, those whose hashed ids are smallest; with `place`, features are looked
+    up there, and those below 0 left out, before anything comes to the driver."""
+    ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).distinct()
+    some = rows.join(F.broadcast(ids), "doc_id", "left_semi")
+    if place is not None:
+        shared = rows.sparkSession.sparkContext.broadcast(place)
+
+        def known(batches):
+            for batch in batches:
+                kept = (shared.value[np.frombuffer(x.as_py(), np.uint32)] for x in batch.column("features"))
+                yield pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array([k[k >= 0].astype(np.uint32).tobytes() for k in kept], pa.binary())], ["doc_id", "label", "features"])
+
+        some = some.mapInArrow(known, "doc_id long, label int, features binary")
+    got = some.orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(most).select("features", "label").toPandas()
     return [np.frombuffer(x, np.uint32).astype(np.int64) for x in got["features"]], got["label"].to_numpy(int)
 
 

@@ -97,11 +97,11 @@ def descend(rows: list[np.ndarray], label: np.ndarray, scale: np.ndarray, c: flo
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict:
     """weights, offset, slope of a model of labels.quality.  Without rows of both classes: the constant share of 1s."""
     rows = training_rows(docs, labels, "quality", features)
-    good, bad, n_good, n_bad = document_counts(rows, 1 << BITS)
+    good, bad, n_good, n_bad = document_counts(rows, 1 << BITS, 3)
     if not n_good or not n_bad:
         return {"weights": np.zeros(1 << BITS, np.float32), "slope": 0.0, "offset": 40.0 if n_good else -40.0 if n_bad else 0.0}
     ratio = np.log((good + 1) / (n_good + 2)) - np.log((bad + 1) / (n_bad + 2))
-    ratio[good + bad < 3] = 0
+    ratio[good + bad == 0] = 0  # too rare
     some, label = sample(rows, most)
     scale = ratio / np.sqrt(np.mean([len(r) for r in some]) + 1)
     w = descend(some, label, scale)

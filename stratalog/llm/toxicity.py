@@ -99,7 +99,7 @@ def dependent(good: np.ndarray, bad: np.ndarray, n_good: int, n_bad: int, least:
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict:
     """A model of labels.toxic.  Without rows of both classes: the constant share of 1s."""
     rows = training_rows(docs, labels, "toxic", features)
-    toxic, clean, n_toxic, n_clean = document_counts(rows, 1 << BITS)
+    toxic, clean, n_toxic, n_clean = document_counts(rows, 1 << BITS, 5)
     place = np.full(1 << BITS, -1, np.int32)
     if not n_toxic or not n_clean:
         constant = Machine(1)
@@ -107,8 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict:
         return {"place": place, "machine": constant}
     terms = dependent(toxic, clean, n_toxic, n_clean)
     place[terms] = np.arange(len(terms))
-    some, label = sample(rows, most)
-    some = [p[p >= 0] for p in (place[r] for r in some)]
+    some, label = sample(rows, most, place)
     machine = Machine(max(1, len(terms)))
     machine.fit(some, label)
     return {"place": place, "machine": machine}
