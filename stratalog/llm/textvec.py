@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 import numpy as np
 import pyarrow as pa
 
@@ -78,6 +81,15 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray, gap: np.ndarray = WHITE) ->
     return starts, np.flatnonzero(end) + 1 - starts, np.searchsorted(starts, offsets)
 
 
+def worker_memo(name: str, kind: type) -> Memo:
+    """A memo that all tasks of a Python worker share, one task at a time; functions travel by value, so it hangs on a
+    module of its own."""
+    home = sys.modules.setdefault("stratalog_worker", types.ModuleType("stratalog_worker"))
+    if not hasattr(home, name):
+        setattr(home, name, Memo(kind))
+    return getattr(home, name)
+
+
 def lead_spans(buf: np.ndarray, offsets: np.ndarray, space_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Like word_spans, but each span takes the white space before it along, so that the spans of a text join to the text."""
     n = len(buf) - 8
@@ -122,10 +134,16 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int = 5) -> tupl
     return h, counts
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (by sorting: faster on 64-bit hashes than numpy's own way)."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def distinct_by_text(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of each text, flat, and their number by text."""
     bounds = np.concatenate([[0], np.cumsum(counts)])
-    parts = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    parts = [distinct(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     return (np.concatenate(parts) if parts else hashes[:0]), np.array([len(p) for p in parts], np.int64)
 
 
@@ -136,7 +154,7 @@ class Memo:
     and starts anew beyond that, which changes no result.
     """
 
-    def __init__(self, kind: type, limit: int = 400_000):
+    def __init__(self, kind: type, limit: int = 1_000_000):
         self.kind, self.limit = kind, limit
         self.clear()
 
@@ -159,8 +177,8 @@ class Memo:
             flat, counts = make(first[new])
             starts = len(self.flat) + np.cumsum(counts) - counts
             self.flat = np.concatenate([self.flat, flat.astype(self.kind, copy=False)])
-            order = np.argsort(merged := np.concatenate([self.keys, keys[new]]), kind="stable")
-            self.keys, self.starts, self.counts = merged[order], np.concatenate([self.starts, starts])[order], np.concatenate([self.counts, counts])[order]
+            at = at[new]
+            self.keys, self.starts, self.counts = np.insert(self.keys, at, keys[new]), np.insert(self.starts, at, starts), np.insert(self.counts, at, counts)
         at = np.searchsorted(self.keys, keys)[back]
         return self.flat[gather(self.starts[at], self.counts[at])], self.counts[at]
 

@@ -12,16 +12,19 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .common import map_text, prepare
-from .textvec import WHITE, Memo, byte_view, hash_spans, lead_spans, lists, ragged
+from .textvec import MARKS, WHITE, byte_view, gather, hash_spans, lead_spans, lists, ragged, worker_memo
 
 #: UTF-8 of the white space beyond ASCII: texts that hold any are encoded in one piece.
 WIDE_SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+#: ASCII letters and digits.
+PLAIN = ~MARKS & (np.arange(256) < 0x80)
 #: New words that one call of the library encodes.
 JOINED = 4096
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -35,14 +38,22 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo = Memo(np.int32)
+        self.memo = worker_memo(f"bpe_{xxhash.xxh3_64_hexdigest(tokenizer_json)}", np.int32)
         # in a byte-level vocabulary each character stands for one byte
         self.sizes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids, and the number of ids of each text."""
+        """Flat ids, and the number of ids of each text.
+
+        Texts are cut where the pre-tokenizer always cuts: before white space, and between a letter and a mark.
+        """
         buf, offsets = byte_view(column)
-        starts, lengths, first = lead_spans(buf, offsets)
+        starts = lead_spans(buf, offsets)[0]
+        # a mark behind an ASCII letter or digit begins a piece of its own, too
+        mark = MARKS[buf[1:-8]] & ~WHITE[buf[1:-8]] & PLAIN[buf[:-9]] if len(buf) > 9 else np.zeros(0, bool)
+        starts = np.sort(np.concatenate([starts, np.flatnonzero(mark) + 1]))
+        starts = starts[np.append(True, starts[1:] != starts[:-1])[: len(starts)]]
+        lengths, first = np.diff(np.append(starts, len(buf) - 8)), np.searchsorted(starts, offsets)
         whole = buf[:-8].tobytes()
         if any(s in whole for s in WIDE_SPACES):
             texts = [whole[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -61,7 +72,7 @@ class Encoder:
             alone, joined = new[~fit], new[fit]
             texts = [whole[s : s + n].decode() for s, n in zip(starts[alone], lengths[alone], strict=True)]
             runs = [joined[at : at + JOINED] for at in range(0, len(joined), JOINED)]
-            data = [b"".join([whole[s : s + n] for s, n in zip(starts[r].tolist(), lengths[r].tolist(), strict=True)]).decode() for r in runs]
+            data = [buf[gather(starts[r], lengths[r])].tobytes().decode() for r in runs]
             counts, flat = np.zeros(len(new), np.int64), []
             for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
                 flat.append(np.array(e.ids, np.int32))
