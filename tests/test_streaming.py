@@ -28,3 +28,23 @@ def test_batch_filters(spark):
     assert got() == ["x", "y", "z"] and got(types=["wanted"]) == ["x", "z"] and got(branches=["main"]) == ["x", "y"] and got(streams=["a"], branches=["f"]) == ["z"]
     assert delivered(log, 0, 4, FeedFilter(types=["wanted"], branches=["main"])).count() == 2
     assert [r["batch_id"] for r in batches(log, 0, 3).collect() if r["last"] >= 3] == []
+
+
+def test_live_view_equals_the_fold(spark, tmp_path):
+    from stratalog.operators.views import IndexedView, ViewDefinition
+    from stratalog.streaming.live_view import latest_state, maintain
+
+    path, target, check = str(tmp_path / "log"), str(tmp_path / "view"), str(tmp_path / "check")
+    definition = ViewDefinition("id", where=("kind", "a"))
+    assert latest_state(spark, target) is None
+    with engine.open(path, spark=spark) as d:
+        for part in range(3):
+            for i in range(4):
+                d.append("s", {"id": f"k{i % 3}", "kind": "a" if (i + part) % 2 else "b", "n": part * 10 + i})
+                d.commit()
+            q = maintain(read_stream(spark, path, LOG, max_files=3), definition, target, check)
+            q.awaitTermination(120)
+            assert q.exception() is None
+            want = IndexedView(definition, d.store.log()).rows.select("key", "value", "position")
+            got = latest_state(spark, target).select("key", "value", "position")
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
