@@ -14,11 +14,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_text, prepare
-from .textvec import U64, Memo, byte_view, gather, hash_spans, lead_spans, lists, mix
+from .textvec import U64, byte_view, gather, hash_spans, lead_spans, lists, mix, worker_memo
 
 BASE = U64(0x9E3779B97F4A7C15)
 NONE, FREE = np.int64(-1), np.int64(1 << 40)
@@ -34,7 +35,14 @@ def tables(model: bytes) -> dict:
     plain = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
     if any("▁" in pieces[i].lstrip("▁") for i in plain):
         raise ValueError("pieces that join words can't be told apart at spaces")
-    score = {pieces[i]: sp.get_score(i) for i in plain}
+    # Runs of spaces have one score, below all others, in models of this kind: they are merged last, from the left.
+    runs = {len(pieces[i]): i for i in plain if not pieces[i].strip("▁")}
+    inner = [i for i in plain if pieces[i].strip("▁") or len(pieces[i]) == 1]
+    score = {pieces[i]: sp.get_score(i) for i in inner}
+    joined = [sp.get_score(i) for i in inner if len(pieces[i]) > 1]
+    if len(set(joined)) < len(joined) or (len(runs) > 1 and max(sp.get_score(i) for k, i in runs.items() if k > 1) > min(joined)):
+        raise ValueError("merges of equal rank can't be told apart")
+    plain = inner
     chars = [i for i in plain if len(pieces[i]) == 1]
     merges = sorted((i for i in plain if len(pieces[i]) > 1), key=lambda i: -score[pieces[i]])
     order = {pieces[i]: k for k, i in enumerate(chars + merges)}
@@ -60,7 +68,7 @@ def tables(model: bytes) -> dict:
     data = [b"" if sp.is_control(i) else bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
     return {
         "keys": key[by], "orders": np.array([order[p] for p in names])[by], "ids": np.array(chars + merges), "left": left, "right": right, "pairs": keys, "merged": np.array([pairs[k] for k in keys]),
-        "byte0": next(i for i in range(size) if sp.is_byte(i)), "longest": max(map(len, names)), "data": np.frombuffer(b"".join(data), np.uint8), "sizes": np.array([len(d) for d in data]),
+        "runs": runs, "byte0": next(i for i in range(size) if sp.is_byte(i)), "longest": max(map(len, names)), "data": np.frombuffer(b"".join(data), np.uint8), "sizes": np.array([len(d) for d in data]),
     }
 
 
@@ -78,7 +86,7 @@ def _key(codes: np.ndarray) -> np.ndarray:
 
 class Codec:
     def __init__(self, table: dict):
-        self.t, self.memo = table, Memo(np.int32)
+        self.t, self.memo = table, worker_memo(f"pieces_{xxhash.xxh3_64_hexdigest(table['keys'].tobytes())}", np.int32)
         self.n = len(table["left"])
         self.data_at = np.cumsum(table["sizes"]) - table["sizes"]
 
@@ -138,7 +146,30 @@ class Codec:
         by = np.argsort(word[::-1], kind="stable")
         return piece[::-1][by], counts
 
+    def spaces(self, n: int) -> list[int]:
+        """Pieces of n spaces that nothing else claims: neighbours merge from the left as long as a piece fits."""
+        stack: list[int] = []
+        for _ in range(n):
+            stack.append(1)
+            while len(stack) > 1 and stack[-1] + stack[-2] in self.t["runs"]:
+                stack[-2:] = [stack[-1] + stack[-2]]
+        return [self.t["runs"][k] for k in stack]
+
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, flat, and their number by word."""
+        extra = [max(0, len(w) - len(w.lstrip("▁")) - 1) for w in words]
+        flat, counts = self.cores([w[k:] for w, k in zip(words, extra, strict=True)])
+        if not any(extra):
+            return flat, counts
+        parts = np.split(flat, np.cumsum(counts)[:-1])
+        for i, k in enumerate(extra):
+            if k:
+                free = int(parts[i][0] == self.t["runs"][1])
+                parts[i] = np.concatenate([np.array(self.spaces(k + free), np.int32), parts[i][free:]])
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
+    def cores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of words with one space in front at most."""
         sizes = np.array([len(w) for w in words])
         flats, counts = [None] * len(words), np.zeros(len(words), np.int64)
         order = np.argsort(sizes, kind="stable")
