@@ -148,27 +148,33 @@ class Watch(Iterator[dict[str, Any]]):
 class View:
     """Queries of a registered view; results are the latest values, in key order."""
 
-    def __init__(self, db: Database, view_name: str):
-        self.db, self.name = db, view_name
+    def __init__(self, db: Database, view_name: str, stale: bool = False):
+        self.db, self.name, self.stale = db, view_name, stale
+
+    @property
+    def _now(self) -> IndexedView:
+        if self.stale and self.name in self.db.cache:
+            return self.db.cache[self.name][1]
+        return self.db.indexed(self.name)
 
     def _values(self, rows: DataFrame) -> builtins.list[Any]:
         return [json.loads(r["value"]) for r in rows.select("value").collect()]
 
     def get(self, key: str) -> Any:
-        found = self._values(self.db.indexed(self.name).get(key))
+        found = self._values(self._now.get(key))
         return found[0] if found else None
 
     def by(self, index: str, key: Any) -> builtins.list[Any]:
-        return self._values(self.db.indexed(self.name).by(index, key))
+        return self._values(self._now.by(index, key))
 
     def range(self, lo: str, hi: str) -> builtins.list[Any]:
-        return self._values(self.db.indexed(self.name).range(lo, hi))
+        return self._values(self._now.range(lo, hi))
 
     def prefix(self, prefix: str) -> builtins.list[Any]:
-        return self._values(self.db.indexed(self.name).prefix(prefix))
+        return self._values(self._now.prefix(prefix))
 
     def len(self) -> int:
-        return self.db.indexed(self.name).len().first()[0]
+        return self._now.len().first()[0]
 
 
 class Database:
@@ -279,8 +285,22 @@ class Database:
     def uncommitted_bytes(self) -> int:
         return self.store.held
 
+    def set_commit_policy(self, every_bytes: int | None = None, every_count: int | None = None, every_millis: int | None = None) -> None:
+        self.store.policy = CommitPolicy(every_bytes, every_count, every_millis)
+
+    def commit_policy(self) -> CommitPolicy:
+        return self.store.policy
+
     # --- reads
 
+    def records_from(self, position: int) -> DataFrame:
+        """All events from a position on, of all branches, in order."""
+        return self.frame(ReplayPlan(None, position))
+
+    def system_records(self) -> list[dict[str, Any]]:
+        """Branches, views, consumers, bootstraps and anchors, in the order in which they were recorded."""
+        return [dict(r) for r in self.store.state.system]
+
     def open_reader(self, namespace: str | None, start: int = 0, end: int | None = None, page_events: int = 256, page_bytes: int = 1 << 20, branch: str = "main") -> Reader:
         self._open()
         at = self.branch(branch).id
@@ -304,6 +324,15 @@ class Database:
     def branch_ancestry(self, branch: str) -> list[dict[str, Any]]:
         return [self._branch(b) for b in self.store.catalog.ancestry(self.branch(branch).id)]
 
+    def branch_named(self, branch: str) -> dict[str, Any]:
+        return self._branch(self.branch(branch))
+
+    def branch_children(self, branch: str) -> list[dict[str, Any]]:
+        return [self._branch(b) for b in self.store.catalog.children(self.branch(branch).id)]
+
+    def branch_common_ancestor(self, left: str, right: str) -> dict[str, Any]:
+        return self._branch(self.store.catalog.common_ancestor(self.branch(left).id, self.branch(right).id))
+
     @staticmethod
     def _branch(b: Branch) -> dict[str, Any]:
         return {"id": b.id, "name": b.name, "parent_id": b.parent, "fork_position": b.fork_position, "created_at_unix_nanos": b.created_at, "status": b.status, "metadata": dict(b.metadata)}
@@ -368,6 +397,11 @@ class Database:
         if name not in self._views():
             self.store.record({"type": "view.registered", "name": name, "key": None, "indexes": {}, "where": None, "partitions": 1})
 
+    def projection(self, fold: Callable[[DataFrame], DataFrame], namespace: str | None = None, branch: str | None = None, until: int | None = None) -> DataFrame:
+        """A fold of one's own over the log (of all branches, or of what one branch sees), stopped at a position."""
+        streams = StreamSet(names=[namespace]) if namespace is not None else ReplayPlan().streams
+        return fold(self.frame(ReplayPlan(branch and self.branch(branch).id, self.store.floor, until=until, streams=streams)))
+
     def deregister_view(self, name: str) -> bool:
         self._open()
         if name not in self._views():
@@ -377,11 +411,22 @@ class Database:
             self.cache.pop(name, None)
         return True
 
-    def view(self, name: str) -> View:
+    def view(self, name: str, consistency: str = "head", position: int | None = None) -> View:
+        """consistency: head (all that was appended), stale (the last state that was computed, if there is one), or wait
+        (an error if the head is below `position`: nothing blocks)."""
         self._open()
         if name not in self._views():
             raise NotFoundError(f"view {name}")
-        return View(self, name)
+        if consistency not in ("head", "stale", "wait") or (consistency == "wait") != (position is not None):
+            raise InvalidArgumentError("consistency is head, stale, or wait with a position")
+        if position is not None and position > self.store.head:
+            raise InvalidArgumentError(f"position {position} is beyond the head {self.store.head}")
+        return View(self, name, stale=consistency == "stale")
+
+    def view_at(self, name: str, position: int) -> IndexedView:
+        """A view as it was at a position."""
+        check_window(self.store.floor, position, self.store.head, self.store.floor)
+        return self.indexed(name, at=position)
 
     def _definition(self, name: str) -> ViewDefinition:
         spec = self._views().get(name)
@@ -409,7 +454,8 @@ class Database:
             view.definition, view.rows = ViewDefinition("", {}), self.runtimes[name](self.frame(ReplayPlan("main", self.store.floor, until=head)))
         else:
             definition = self._definition(name)
-            base = None if partitions else next((s for s in self._snapshots(name) if s["cursor"] <= head), None)
+            wanted = None if not partitions else partitions[0] if len(partitions) == 1 else -1
+            base = next((s for s in self._snapshots(name) if s["cursor"] <= head and s["partition"] == wanted), None)
             start = base["cursor"] if base else 0
             streams = PartitionClass(spec["partitions"], builtins.list(partitions)) if partitions else ReplayPlan().streams
             rest = self.frame(ReplayPlan("main", max(start, self.store.floor) if base else start, until=head, streams=streams))
@@ -444,17 +490,17 @@ class Database:
                     out.append(meta)
         return sorted(out, key=lambda m: (-m["cursor"], -m["created_at_unix_nanos"]))
 
-    def create_snapshot(self, projection: str) -> dict[str, Any]:
+    def create_snapshot(self, projection: str, partition: int | None = None) -> dict[str, Any]:
+        """The view's state at the durable head, of all streams or of one hash class; the newest two are kept."""
         with self.lock:
-            definition = self._definition(projection)
-            del definition
+            self._definition(projection)
             self.store.commit()
             cursor, made = self.store.durable_head, new_id()
-            rows = self.indexed(projection).rows.select("key", "value", "position")
+            rows = self.indexed(projection, None if partition is None else [partition]).rows.select("key", "value", "position")
             rows.write.parquet(f"{self.store.path}/snapshots/{made}/state")
-            meta = {"id": made, "projection": projection, "cursor": cursor, "created_at_unix_nanos": time.time_ns(), "state_bytes": self.store.files.bytes_of(f"snapshots/{made}/state"), "identity": self._identity(projection)}
+            meta = {"id": made, "projection": projection, "cursor": cursor, "created_at_unix_nanos": time.time_ns(), "state_bytes": self.store.files.bytes_of(f"snapshots/{made}/state"), "identity": self._identity(projection), "partition": partition}
             self.store.files.write_new(f"snapshots/{made}/meta.json", meta)
-            for old in self._snapshots(projection)[SNAPSHOTS_KEPT:]:
+            for old in [m for m in self._snapshots(projection) if m["partition"] == partition][SNAPSHOTS_KEPT:]:
                 self.delete_snapshot(old["id"])
             self.cache.pop(projection, None)
             return {k: v for k, v in meta.items() if k != "identity"}
@@ -470,7 +516,8 @@ class Database:
             raise NotFoundError(f"snapshot {snapshot_id}")
         state = self.spark.read.parquet(f"{self.store.path}/snapshots/{snapshot_id}/state")
         if self.store.floor == 0:
-            again = IndexedView(self._definition(found["projection"]), self.frame(ReplayPlan("main", until=found["cursor"]))).rows.select("key", "value", "position")
+            streams = ReplayPlan().streams if found["partition"] is None else PartitionClass(self._views()[found["projection"]]["partitions"], found["partition"])
+            again = IndexedView(self._definition(found["projection"]), self.frame(ReplayPlan("main", until=found["cursor"], streams=streams))).rows.select("key", "value", "position")
             if state.exceptAll(again).union(again.exceptAll(state)).limit(1).count():
                 raise ConflictError(f"snapshot {snapshot_id} differs from the log")
         return {k: v for k, v in found.items() if k != "identity"}
@@ -590,7 +637,7 @@ class Database:
             blockers += [] if anchor else [{"kind": "anchor_missing"}]
             covered = {r["branch"] for r in self._system("bootstrap.branch") if r["floor"] == floor}
             blockers += [{"kind": "branch", "branch": b.name, "fork_position": b.fork_position} for b in self.store.catalog.by_id.values() if b.fork_position is not None and b.fork_position < floor and b.id not in covered]
-            blockers += [{"kind": "projection", "projection": n} for n in self._views() if not any(s["cursor"] >= floor for s in self._snapshots(n))]
+            blockers += [{"kind": "projection", "projection": n} for n in self._views() if not any(s["cursor"] >= floor and s["partition"] is None for s in self._snapshots(n))]
             helped = {r["consumer_id"] for r in self._system("bootstrap.feed") if r["floor"] == floor}
             blockers += [{"kind": "consumer", "consumer_id": c["consumer_id"], "position": c["position"]} for c in self._consumers(floor) if c["behind_effective_floor"] and c["consumer_id"] not in helped]
             blockers += [{"kind": "open_handles", "readers": len(self.readers), "feeds": len(self.feeds)}] if self.readers or self.feeds else []

@@ -247,6 +247,36 @@ def test_snapshots(spark, tmp_path):
         assert len(d.list_snapshots("v")) == 1 and d.projection_status("v")["status"] == "ready"
 
 
+def test_views_in_time_and_by_class(db):
+    for i in range(12):
+        db.append(f"s{i % 4}", {"id": f"i{i % 4}", "n": i})
+    db.register_view("v", "id", partitions=3)
+    assert db.view_at("v", 4).len().first()[0] == 4 and db.view_at("v", 2).len().first()[0] == 2
+    with pytest.raises(E.OffsetBeyondHeadError):
+        db.view_at("v", 99)
+    v, stale = db.view("v"), db.view("v", "stale")
+    assert v.get("i0")["n"] == 8
+    db.append("s0", {"id": "i0", "n": 99})
+    assert stale.get("i0")["n"] == 8 and v.get("i0")["n"] == 99 and stale.get("i0")["n"] == 99
+    assert db.view("v", "wait", 13).len() == 4
+    for bad in (("wait", None), ("head", 1), ("wait", 14), ("soon", None)):
+        with pytest.raises(E.InvalidArgumentError):
+            db.view("v", *bad)
+    for k in range(3):
+        before = sorted(map(tuple, db.query_partitions("v", [k]).rows.select("key", "position").collect()))
+        made = db.create_snapshot("v", k)
+        assert made["partition"] == k and db.verify_snapshot(made["id"])["id"] == made["id"]
+        assert sorted(map(tuple, db.query_partitions("v", [k]).rows.select("key", "position").collect())) == before
+    assert v.len() == 4
+    db.set_commit_policy(every_count=1)
+    db.append("s", 1)
+    assert db.uncommitted_count() == 0 and db.commit_policy().every_count == 1
+    assert db.records_from(12).count() == 2 and {r["type"] for r in db.system_records()} == {"view.registered"}
+    assert db.projection(lambda log: log.groupBy("stream_name").count(), until=12).count() == 4
+    a = db.fork("s0", 4)
+    assert [c["name"] for c in db.branch_children("main")] == [a] and db.branch_common_ancestor(a, "main")["name"] == "main" == db.branch_named("main")["name"]
+
+
 def test_watch(db):
     db.append_batch("a", [{"body": 1}, {"body": 2}])
     db.append("b", 3)
