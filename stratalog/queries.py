@@ -308,6 +308,15 @@ def custom_fold(spark, d):
     return folds.ordered_fold(rows, ["stream_name"], "stream_name string, longest_run bigint", lambda: (None, 0, 0), step, lambda k, s: {"stream_name": k[0], "longest_run": s[2]})
 
 
+@query("""WITH x AS (SELECT l_partkey, max({'d': l_shipdate, 'o': l_orderkey, 'n': l_linenumber, 's': l_suppkey, 'q': l_quantity, 'p': l_extendedprice}) AS m, count(*) AS shipments FROM lineitem GROUP BY 1)
+    SELECT l_partkey, m.o AS orderkey, m.s AS suppkey, m.p AS price, shipments FROM x""")
+def part_state_fold(spark, d):
+    """The last shipment of each part: a last-writer-wins fold of the largest table, in one map-side combined shuffle."""
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice"]
+    out = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.max(F.struct(*order)).alias("m"), F.count("*").alias("shipments"))
+    return out.select("l_partkey", F.col("m.l_orderkey").alias("orderkey"), F.col("m.l_suppkey").alias("suppkey"), F.col("m.l_extendedprice").alias("price"), "shipments")
+
+
 @query("SELECT CAST(position // 1000 AS BIGINT) AS block, count(*) AS events, md5(string_agg(position, ',' ORDER BY position)) AS digest FROM log GROUP BY 1")
 def log_digest(spark, d):
     return folds.block_digest(events_log(spark, d)[0])
