@@ -50,16 +50,16 @@ def likeness(left: str, right: str) -> F.Column:
     return (F.col(left) == F.col(right)).cast("double")
 
 
-def exact_groups(docs: DataFrame, parts: int = 64) -> DataFrame:
+def exact_groups(docs: DataFrame, part: int = 10_000) -> DataFrame:
     """doc_id, fingerprint, group_id: the smallest doc_id whose canonical text has the same bytes.
 
-    Each bucket of equal digests is compared with its first document, whose text goes to `parts` salted parts of the
-    bucket, so that no bucket comes to one task.  Texts that differ in spite of equal digests (never seen) keep their
+    Each bucket of equal digests is compared with its first document, whose text goes to each of the bucket's salted
+    parts (one for `part` documents), so that no large bucket comes to one task.  Texts that differ in spite of equal digests (never seen) keep their
     own id as group_id.  Null ids form no group (group_id null); repeated ids are rows of their own.
     """
     prints = stored(fingerprints(docs).select("doc_id", "fingerprint"), "prints")
-    heads = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1 and head is not null").select("fingerprint", "head")
-    shared = stored(prints.where("doc_id is not null").join(heads, "fingerprint").select("doc_id", "fingerprint", "head").distinct(), "shared")
+    heads = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1 and head is not null").select("fingerprint", "head", F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    shared = stored(prints.where("doc_id is not null").join(heads, "fingerprint").select("doc_id", "head", "parts").distinct(), "shared")
 
     def make():
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -71,8 +71,8 @@ def exact_groups(docs: DataFrame, parts: int = 64) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     data = map_text(join_small(texts, shared.select("doc_id").distinct(), ["doc_id"], "left_semi"), "text", "doc_id long, data binary", make)
     data = join_small(data, shared, ["doc_id"], "inner")
-    first = data.where("doc_id = head").groupBy("head").agg(F.min("data").alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    rest = data.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+    first = data.where("doc_id = head").groupBy("head").agg(F.min("data").alias("first"), F.min("parts").alias("parts")).select("head", "first", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    rest = data.select("doc_id", "head", "data", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("salt"))
     same = rest.join(first, ["head", "salt"]).where("data = first").groupBy("doc_id").agg(F.min("head").alias("same"))
     return prints.join(same, "doc_id", "left").select("doc_id", "fingerprint", F.coalesce("same", "doc_id").alias("group_id"))
 
@@ -81,71 +81,71 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, and that of its text with the last third replaced by the next document's beginning.
 
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, next_fingerprint.  The next document is the one
-    with the next smaller id; the last one's is the first.  Rows of equal ids follow each other by the fingerprints of
-    their bytes; null ids count as smaller than all.  Texts move once, compressed, into ranges of ids that are cut by
-    a look at the ids alone; the first document of each range goes to the range before it as well.
+    with the next smaller id; the last one's is the first.  Rows of equal ids follow each other by the hashes of their
+    bytes; null ids count as smaller than all.  Where ids are unique, a document and its neighbour (an id less by one)
+    that come in the same batch meet there; all others' texts move once, compressed, into ranges of ids that are cut by
+    a look at the ids alone, and the first document of each range goes to the range before it as well.
     """
     spark = docs.sparkSession
     prepare(spark)
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"))
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("id"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(ids.select(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []))[: n - 1]
+    unique = not ids.groupBy("id").count().where("count > 1").limit(1).count()
     # largest id of each range: at most n rows
-    tops = ids.groupBy(F.expr(f"aggregate(array({', '.join(f'{c}L' for c in cuts)}), 0, (a, c) -> a + int(id > c))") if cuts else F.lit(0)).agg(F.max("id").alias("top"))
-    tops = sorted((r["top"] for r in tops.collect()), reverse=True)
+    place = f"aggregate(array({', '.join(f'{c}L' for c in cuts)}), 0, (a, c) -> a + int(id > c))" if cuts else "int(id is null)"
+    tops = sorted((r["top"] for r in ids.groupBy(F.expr(place)).agg(F.max("id").alias("top")).collect()), reverse=True)
 
-    def send(batches):
+    def send(batch):
         pack = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            for one, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                at = -(1 << 63) if one is None else one
-                own = len(tops) - 1 - bisect_left(tops[::-1], at)
-                data = (text or "").encode("utf-8", "surrogatepass")
-                row = (at, one is None, pack.compress(data), xxhash.xxh3_64_intdigest(data) >> 1)
-                yield (own, False, *row)
-                if at == tops[own]:
-                    yield ((own - 1) % len(tops), True, *row)
+        rows = [(LEAST if i is None else i, i is None, t or "") for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+        rows.sort(key=lambda r: -r[0])
+        digests = [digest(r[2]) for r in rows]
+        linked = [unique and a[0] - 1 == b[0] for a, b in zip(rows, rows[1:])] + [False]
+        for k, (at, absent, text) in enumerate(rows):
+            own = len(tops) - 1 - bisect_left(tops[::-1], at)
+            serves = not (k and linked[k - 1])
+            result = _edit((at, absent, text, digests[k]), (*rows[k + 1], digests[k + 1])) if linked[k] else (None,) * 6
+            data = text.encode("utf-8", "surrogatepass") if serves or not linked[k] else None
+            row = (at, absent, None if data is None else pack.compress(data), 0 if data is None else xxhash.xxh3_64_intdigest(data) >> 1)
+            yield (own, False, not linked[k], *row, *result)
+            if at == tops[own] and serves:
+                yield ((own - 1) % len(tops), True, False, *row, *(None,) * 6)
 
     def batched(batches):
-        rows = []
-        for row in send(batches):
-            rows.append(row)
-            if len(rows) == 256:
-                yield _rows(rows)
-                rows = []
-        if rows:
-            yield _rows(rows)
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*send(batch), strict=True), MOVED, strict=True)], NAMES)
 
     def pair(batches):
         unpack = zstandard.ZstdDecompressor()
-        before, out = None, []
+        before, ended = None, False
         for batch in batches:
-            for extra, at, absent, data in zip(*(batch.column(c).to_pylist() for c in ("extra", "at", "absent", "data")), strict=True):
+            out = []
+            for extra, own, at, absent, data, *result in zip(*(batch.column(c).to_pylist() for c in NAMES[1:6] + NAMES[7:]), strict=True):
+                if not own and not extra:
+                    out.append(tuple(result))
+                if data is None or ended:
+                    continue
                 text = unpack.decompress(data).decode("utf-8", "surrogatepass") if data else ""
-                now = (at, absent, text, digest(text))
-                if before is not None:
-                    out.append(_edit(before, now))
-                # of the copies from the next range only the first one is a neighbour
-                if extra:
-                    before = None
-                    break
-                before = now
-                if len(out) == 256:
-                    yield _results(out)
-                    out = []
-            else:
-                continue
-            break
-        if out:
-            yield _results(out)
-
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batched, "place int, extra boolean, at long, absent boolean, data binary, ord long")
+                now = (at, absent, text, digest(text), own)
+                if before is not None and before[4]:
+                    out.append(_edit(before[:4], now[:4]))
+                before, ended = now, extra  # of the copies from the next range only the first one is a neighbour
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), RESULT, strict=True)], NAMES[7:])
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batched, ", ".join(f"{n} {t}" for n, t in zip(NAMES, KINDS, strict=True)))
     rows = rows.repartitionById(max(1, len(tops)), F.col("place")).sortWithinPartitions("extra", F.desc("at"), "ord")
-    return rows.mapInArrow(pair, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string")
+    return rows.mapInArrow(pair, ", ".join(f"{n} {t}" for n, t in zip(NAMES[7:], KINDS[7:], strict=True)))
 
 
-def _rows(rows: list) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.int64(), pa.bool_(), pa.binary(), pa.int64()), strict=True)], ["place", "extra", "at", "absent", "data", "ord"])
+#: Stands for a null id: smaller than all.
+LEAST = -(1 << 63)
+NAMES = ["place", "extra", "own", "at", "absent", "data", "ord", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint"]
+KINDS = ["int", "boolean", "boolean", "long", "boolean", "binary", "long", "long", "long", *["string"] * 4]
+RESULT = [pa.int64(), pa.int64(), *[pa.string()] * 4]
+MOVED = [pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), *RESULT]
 
 
 def _edit(this: tuple, following: tuple) -> tuple:
@@ -153,7 +153,3 @@ def _edit(this: tuple, following: tuple) -> tuple:
     cut = len(text) // 3
     edited = text[: len(text) - cut] + following[2][:cut]
     return None if absent else at, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own, digest(edited), following[3]
-
-
-def _results(rows: list) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *[pa.string()] * 4), strict=True)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint"])

@@ -308,6 +308,7 @@ def test_fingerprints(spark):
     assert prints[0] == prints[1] and prints[2] == prints[3] == prints[4] and prints[5] == prints[6] and prints[7] == prints[8] and len(set(prints.values())) == 4
     groups = {r["doc_id"]: r["group_id"] for r in fingerprint.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert groups == {0: 0, 1: 0, 2: 2, 3: 2, 4: 2, 5: 5, 6: 5, 7: 7, 8: 7}
+    assert groups == {r["doc_id"]: r["group_id"] for r in fingerprint.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), part=1).collect()}
     assert fingerprint.exact_groups(empty_docs(spark)).count() == 0
     assert fingerprint.exact_groups(odd_docs(spark)).count() == len(ODD) + 2
     assert unicodedata.normalize("NFKC", "ﬁ") == "fi"
