@@ -37,11 +37,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: cuts the lineage, survives lost executors."""
+    """Writes df as Parquet in the shared folder and reads it again: cuts the lineage, survives lost executors.
+
+    Shuffle files of the job that wrote it are dropped when the driver's JVM collects its garbage; it is asked to do so
+    here, as disks would else hold the shuffles of all the jobs of a query side by side.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that stored() has made and that no later step reads."""
+    for t in tables:
+        forget(t.sparkSession, t._stored_path)
 
 
 def forget(spark: SparkSession, path: str | None = None) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", "m")).where("u <> v").distinct()
-        edges = stored(small, "edges")
+        edges, old = stored(small, "edges"), edges
+        discard(old)
         after = _digest(edges)
         if after == before:
             break

@@ -8,7 +8,7 @@ The distance 1 - Jaccard is a metric, and the join works in that metric space:
    a task.  Repeated on the distinct sets that remain.
 2. Pivots.  Of a document's shingles in hash order the first n - ceil(t n) + 1 must hold one that any partner has
    among its own first ones.  The smallest document (in a hashed order) at a shingle is the pivot of all others
-   there, so that both ends of every link are members of a common pivot's cell.
+   there, so that both ends of every link are members of a common pivot's cell.  Cells inside another one are dropped.
 3. Cells.  Inside a cell, distances to further pivots are computed; members go to the nearest pivot's Voronoi region
    and, as boundary documents, to each other region whose triangle-inequality window they are in; regions are joined
    recursively until each is one component.  A cell beyond LEAF members is cut into parts: all parts are compared
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, map_text, prepare, slices, stored
+from .common import discard, join_small, map_text, prepare, slices, stored
 from .components import components
 from .textvec import LOWER, U64, byte_view, distinct_by_text, hash_spans, lists, shingle_hashes, word_spans
 
@@ -223,10 +223,12 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, leaf: i
     named = stored(digests(docs, width), "digests")
     first = named.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first"))
     one = first.select(F.col("first").alias("doc_id"))
-    maybe = stored(census(docs, width, percent).join(one, "doc_id", "left_semi"), "maybe")
-    maybe = stored(census(join_small(docs, maybe, ["doc_id"], "left_semi"), width, percent), "maybe")
-    sets = stored(sets_of(join_small(docs, maybe, ["doc_id"], "left_semi"), width).where("size(tokens) > 0"), "sets")
+    once = stored(census(docs, width, percent).join(one, "doc_id", "left_semi"), "maybe")
+    twice = stored(census(join_small(docs, once, ["doc_id"], "left_semi"), width, percent), "maybe")
+    sets = stored(sets_of(join_small(docs, twice, ["doc_id"], "left_semi"), width).where("size(tokens) > 0"), "sets")
+    discard(once, twice)
     found = components(links(sets, percent, leaf))
+    discard(sets)
     rows = named.join(first, "digest", "left").withColumn("first", F.coalesce("first", "doc_id"))
     return rows.join(found, rows["first"] == found["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"))
 
@@ -237,7 +239,11 @@ def links(sets: DataFrame, percent: int = PERCENT, leaf: int = LEAF) -> DataFram
     claims = sets.select("doc_id", F.explode(short).alias("token"))
     owners = claims.groupBy("token").agg(F.min(F.struct(F.xxhash64("doc_id").alias("rank"), "doc_id")).alias("p"), F.count("*").alias("times")).where("times > 1")
     members = stored(claims.join(owners.select("token", F.col("p.doc_id").alias("cell")), "token").select("cell", "doc_id").distinct(), "members")
-    cells = members.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1").withColumn("parts", F.ceil(F.col("size") / leaf).cast("int"))
+    # A document's home is the first of its cells.  If all members of a cell have one home, other than the cell, they meet
+    # there, and the cell adds nothing.
+    home = members.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("cell").alias("rank"), "cell")).alias("h")).select("doc_id", F.col("h.cell").alias("home"))
+    cells = members.join(home, "doc_id").groupBy("cell").agg(F.count("*").alias("size"), F.min("home").alias("low"), F.max("home").alias("high"))
+    cells = cells.where("size > 1 and (low <> high or low = cell)").select("cell", F.ceil(F.col("size") / leaf).cast("int").alias("parts"))
     rows = members.join(cells, "cell").join(sets, "doc_id").select("cell", "parts", "doc_id", "tokens")
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import join_small
+from .common import discard, join_small
 from .labelled import document_counts, platt, sample, scored, sigmoid, training_rows
 from .textvec import LOWER, U64, byte_view, hash_spans, mix, per_text, word_spans
 
@@ -99,10 +99,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict:
     rows = training_rows(docs, labels, "quality", features)
     good, bad, n_good, n_bad = document_counts(rows, 1 << BITS, 3)
     if not n_good or not n_bad:
+        discard(rows)
         return {"weights": np.zeros(1 << BITS, np.float32), "slope": 0.0, "offset": 40.0 if n_good else -40.0 if n_bad else 0.0}
     ratio = np.log((good + 1) / (n_good + 2)) - np.log((bad + 1) / (n_bad + 2))
     ratio[good + bad == 0] = 0  # too rare
     some, label = sample(rows, most)
+    discard(rows)
     scale = ratio / np.sqrt(np.mean([len(r) for r in some]) + 1)
     w = descend(some, label, scale)
     weights = w[:-1] * scale

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import join_small
+from .common import discard, join_small
 from .labelled import document_counts, sample, scored, sigmoid, training_rows
 from .textvec import LOWER, MARKS, U64, byte_view, hash_spans, per_text, word_spans
 
@@ -102,12 +102,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict:
     toxic, clean, n_toxic, n_clean = document_counts(rows, 1 << BITS, 5)
     place = np.full(1 << BITS, -1, np.int32)
     if not n_toxic or not n_clean:
+        discard(rows)
         constant = Machine(1)
         constant.offset = 40.0 if n_toxic else -40.0
         return {"place": place, "machine": constant}
     terms = dependent(toxic, clean, n_toxic, n_clean)
     place[terms] = np.arange(len(terms))
     some, label = sample(rows, most, place)
+    discard(rows)
     machine = Machine(max(1, len(terms)))
     machine.fit(some, label)
     return {"place": place, "machine": machine}
