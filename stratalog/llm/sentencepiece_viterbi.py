@@ -22,9 +22,11 @@ from .common import map_text, prepare
 from .textvec import U64, byte_view, gather, hash_spans, lead_spans, lists, mix, worker_memo
 
 BASE = U64(0x9E3779B97F4A7C15)
+#: Bits of a key that the first look leaves out.
+HEAD = U64(44)
 NONE, FREE = np.int64(-1), np.int64(1 << 40)
 #: Characters of one group of words, about.
-GROUP = 1 << 18
+GROUP = 1 << 16
 
 
 def tables(model: bytes) -> dict:
@@ -88,6 +90,8 @@ class Codec:
     def __init__(self, table: dict):
         self.t, self.memo = table, worker_memo(f"pieces_{xxhash.xxh3_64_hexdigest(table['keys'].tobytes())}", np.int32)
         self.n = len(table["left"])
+        self.heads = np.zeros(1 << 64 - int(HEAD), bool)
+        self.heads[table["keys"] >> HEAD] = True
         self.data_at = np.cumsum(table["sizes"]) - table["sizes"]
 
     def stay(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,9 +126,11 @@ class Codec:
         power = np.ones(1, U64)
         for k in range(1, longest + 1):
             power = power * BASE
-            key = mix((h[:, k:] - h[:, :-k] * power) ^ U64(k)).T
-            at = np.minimum(np.searchsorted(self.t["keys"], key), len(self.t["keys"]) - 1)
-            found[k - 1, k - 1 :] = np.where(self.t["keys"][at] == key, self.t["orders"][at], NONE)
+            key = np.ascontiguousarray(mix((h[:, k:] - h[:, :-k] * power) ^ U64(k)).T).ravel()
+            maybe = np.flatnonzero(self.heads[key >> HEAD])  # most substrings are no piece: one look tells
+            some = key[maybe]
+            at = np.minimum(np.searchsorted(self.t["keys"], some), len(self.t["keys"]) - 1)
+            found[k - 1, k - 1 :].reshape(-1)[maybe] = np.where(self.t["keys"][at] == some, self.t["orders"][at], NONE)
         found[0] = np.where(found[0] < 0, codes.T.astype(np.int64) + self.n, found[0])
         best, back = np.full((size + 1, m), NONE), np.zeros((size + 1, m), np.int64)
         for i in range(1, size + 1):
@@ -171,19 +177,19 @@ class Codec:
     def cores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Of words with one space in front at most."""
         sizes = np.array([len(w) for w in words])
-        flats, counts = [None] * len(words), np.zeros(len(words), np.int64)
+        found, owners, counts = [], [], np.zeros(len(words), np.int64)
         order = np.argsort(sizes, kind="stable")
-        for size in np.unique(sizes):
-            same = order[np.searchsorted(sizes[order], size) : np.searchsorted(sizes[order], size, "right")]
-            step = max(1, GROUP // int(size))
-            for at in range(0, len(same), step):
-                some = same[at : at + step]
-                codes = np.frombuffer("".join(words[i] for i in some).encode("utf-32-le"), np.uint32).reshape(len(some), size).astype(U64)
+        bounds = np.append(np.flatnonzero(np.diff(sizes[order], prepend=-1)), len(order))
+        for first, last in zip(bounds[:-1], bounds[1:], strict=True):
+            size = int(sizes[order[first]])
+            for at in range(first, last, max(1, GROUP // size)):
+                some = order[at : min(last, at + max(1, GROUP // size))]
+                codes = np.frombuffer("".join([words[i] for i in some.tolist()]).encode("utf-32-le"), np.uint32).reshape(len(some), size).astype(U64)
                 flat, n = self.group(codes)
-                for i, ids in zip(some, np.split(flat, np.cumsum(n)[:-1]), strict=True):
-                    flats[i] = ids
                 counts[some] = n
-        flat = np.concatenate(flats)
+                found.append(flat)
+                owners.append(np.repeat(some, n))
+        flat = np.concatenate(found)[np.argsort(np.concatenate(owners), kind="stable")]
         ids = np.empty(len(flat), np.int32)
         known = flat < self.n
         ids[known] = self.t["ids"][flat[known]]

@@ -154,7 +154,7 @@ class Memo:
     and starts anew beyond that, which changes no result.
     """
 
-    def __init__(self, kind: type, limit: int = 1_000_000):
+    def __init__(self, kind: type, limit: int = 600_000):
         self.kind, self.limit = kind, limit
         self.clear()
 
