@@ -229,7 +229,7 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, leaf: i
     discard(once, twice)
     found = components(links(sets, percent, leaf))
     discard(sets)
-    rows = named.join(first, "digest", "left").withColumn("first", F.coalesce("first", "doc_id"))
+    rows = named.join(first, "digest", "left").withColumn("first", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")))
     return rows.join(found, rows["first"] == found["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"))
 
 

@@ -138,6 +138,8 @@ def test_jaccard_odd_rows(spark):
     assert [by[i]["n_shingles"] for i in range(7)] == [0, 0, 0, 1, 1, 1, 1] and by[7]["n_shingles"] == 1
     assert by[6]["component_id"] == 5 and by[5]["component_id"] == 5 and by[0]["component_id"] == 0 and by[1]["component_id"] == 1
     assert by[None]["component_id"] is None and by[None]["n_shingles"] == 1
+    twin = spark.createDataFrame([(4, "same words in both rows here"), (None, "same words in both rows here"), (9, "same words in both rows here")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in ngram_join.classes(twin).collect()) == [(0, 0), (4, 4), (9, 4)]
     assert ngram_join.classes(empty_docs(spark)).count() == 0
     kept = ngram_join.keep_one(odd_docs(spark))
     assert kept.columns == odd_docs(spark).columns and kept.count() == len(ODD) + 1
