@@ -82,13 +82,16 @@ def census(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
         bounds = (np.arange(buckets + 1, dtype=object) * (1 << 64) // buckets).tolist()
         cuts = np.searchsorted(flat, np.array(bounds[1:-1], U64))
         cuts = np.concatenate([[0], cuts, [len(flat)]])
-        kind = np.uint16 if len(ids) < 1 << 16 else np.uint32
         chunk = xxhash.xxh3_64_intdigest(ids.tobytes(), place) >> 1
         rows = []
         for b in range(buckets):
             s = slice(cuts[b], cuts[b + 1])
             one = alone[s]
-            rows.append((b, chunk, ids.tobytes(), counts.astype(np.int64).tobytes() if b == 0 else b"", flat[s][one].astype(np.uint32).tobytes(), who[s][one].astype(kind).tobytes(), flat[s][head[s] & ~one].astype(np.uint32).tobytes()))
+            # shingles in the order of their documents, so that a number for each document says whose they are
+            order = np.argsort(who[s][one], kind="stable")
+            each = np.bincount(who[s][one], minlength=len(ids))
+            each = each.astype(np.uint16 if each.max(initial=0) < 1 << 16 else np.uint32)
+            rows.append((b, chunk, ids.tobytes(), counts.astype(np.int64).tobytes() if b == 0 else b"", flat[s][one][order].astype(np.uint32).tobytes(), each.tobytes(), flat[s][head[s] & ~one].astype(np.uint32).tobytes()))
         for at in range(0, len(rows), 64):
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 64], strict=True), [pa.int32(), pa.int64()] + [pa.binary()] * 5, strict=True)], ["bucket", "chunk", "ids", "sizes", "alone", "who", "many"])
 
@@ -110,17 +113,17 @@ def census(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
 
     def rare(rows: pd.DataFrame) -> pd.DataFrame:
         """For each chunk, how many shingles of each of its documents occur nowhere else."""
-        kinds = [np.uint16 if len(x) // 8 < 1 << 16 else np.uint32 for x in rows["ids"]]
         alone = [np.frombuffer(x, np.uint32) for x in rows["alone"]]
         every = np.concatenate([*alone, *(np.frombuffer(x, np.uint32) for x in rows["many"])])
         keys, times = np.unique(every, return_counts=True)
         keys = keys[times == 1]
         out = []
-        for a, w, kind, i in zip(alone, rows["who"], kinds, rows["ids"], strict=True):
+        for a, w, i in zip(alone, rows["who"], rows["ids"], strict=True):
+            each = np.frombuffer(w, np.uint16 if len(w) == len(i) // 4 else np.uint32)
             at = np.searchsorted(keys, a)
             at[at == len(keys)] = 0
             hit = keys[at] == a if len(keys) else np.zeros(len(a), bool)
-            out.append(np.bincount(np.frombuffer(w, kind)[hit], minlength=len(i) // 8).astype(np.uint32).tobytes())
+            out.append(np.bincount(np.repeat(np.arange(len(each)), each)[hit], minlength=len(i) // 8).astype(np.uint32).tobytes())
         return pd.DataFrame({"chunk": rows["chunk"], "ids": [i if s else b"" for i, s in zip(rows["ids"], rows["sizes"], strict=True)], "sizes": rows["sizes"], "rare": out})
 
     def keep(rows: pd.DataFrame) -> pd.DataFrame:
@@ -221,16 +224,18 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, leaf: i
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     named = stored(digests(docs, width), "digests")
-    first = named.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first"))
-    one = first.select(F.col("first").alias("doc_id"))
+    # copies of a set: their first document stands for them; a table of its own, so that a join with it can be split
+    first = named.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    first = stored(first.where("n > 1").select("digest", "first"), "first")
+    copies = named.join(first, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).alias("first"))
+    one = copies.where("n_shingles > 0 and doc_id = first").select("doc_id").distinct()
     once = stored(census(docs, width, percent).join(one, "doc_id", "left_semi"), "maybe")
     twice = stored(census(join_small(docs, once, ["doc_id"], "left_semi"), width, percent), "maybe")
     sets = stored(sets_of(join_small(docs, twice, ["doc_id"], "left_semi"), width).where("size(tokens) > 0"), "sets")
     discard(once, twice)
     found = components(links(sets, percent, leaf))
     discard(sets)
-    rows = named.join(first, "digest", "left").withColumn("first", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")))
-    return rows.join(found, rows["first"] == found["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"))
+    return copies.join(found, copies["first"] == found["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"))
 
 
 def links(sets: DataFrame, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
