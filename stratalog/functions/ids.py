@@ -39,6 +39,11 @@ def import_id(source: str, offset: int) -> str:
     return hashlib.sha256(f"{source}\0{offset}".encode()).hexdigest()[:32]
 
 
+def import_id_of(source: str, offset: Column) -> Column:
+    """import_id as a column."""
+    return F.substring(F.sha2(F.concat(F.lit(f"{source}\0"), offset.cast("string")), 256), 1, 32)
+
+
 def parse_id(value: object) -> str:
     if not isinstance(value, str) or not re.fullmatch("[0-9a-fA-F]{32}", value):
         raise InvalidArgumentError("an id is 32 hexadecimal digits")

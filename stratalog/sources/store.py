@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import BatchIdConflictError, BranchArchivedError, CodecError, EventIdConflictError, IdempotencyConflictError, InvalidArgumentError, ManifestError, NotBatchBoundaryError, OffsetBeyondHeadError, PositionUnavailableError, RevisionConflictError, UnsupportedFormatError
-from ..functions.ids import fingerprint, new_id, parse_id, stream_id_of
+from ..functions.ids import fingerprint, new_id, parse_id, stream_id, stream_id_of
 from ..limits import BATCH_BYTES, BATCH_EVENTS, EVENT_TYPE_BYTES, IDEMPOTENCY_KEY_BYTES, METADATA_ENTRIES, METADATA_KEY_BYTES, METADATA_VALUE_BYTES, PAYLOAD_BYTES, RESERVED_PREFIX, STREAM_NAME_BYTES, name, within
 from ..operators.retention import Segment
 from ..plans.catalog import Branch, Catalog
@@ -318,21 +318,25 @@ class LogStore:
         """Bulk load: rows (stream_name, event_type, body JSON text, and an `ord` to order them by) become one commit.
 
         Positions and revisions are dealt out in parallel: ranges of `ord`, their counts, then offsets.  Returns the head.
+        Rows may bring a branch_id each (else all are on `branch`), and an event_id, which is their batch's id, too.
         """
         from ..operators.folds import prefix_count
         from pyspark.sql import Window
 
         self.commit()
         base = self.head
+        if "branch_id" not in rows.columns:
+            rows = rows.withColumn("branch_id", F.lit(branch))
+        own = "event_id" in rows.columns
         ranked = rows.repartitionByRange("ord").sortWithinPartitions("ord").withColumn("__id", F.monotonically_increasing_id())
         numbered = prefix_count(ranked.withColumn("position", F.col("__id")), F.lit(True)).withColumn("position", F.col("before") + base)
-        known = self.log(durable_only=True).where(F.col("branch_id") == branch).groupBy("stream_name").agg(F.max("stream_revision").alias("__rev"))
-        number = F.row_number().over(Window.partitionBy("stream_name").orderBy("position"))
-        numbered = numbered.join(known, "stream_name", "left").withColumn("stream_revision", F.coalesce("__rev", F.lit(-1)) + number)
+        known = self.log(durable_only=True).groupBy("branch_id", "stream_name").agg(F.max("stream_revision").alias("__rev"))
+        number = F.row_number().over(Window.partitionBy("branch_id", "stream_name").orderBy("position"))
+        numbered = numbered.join(known, ["branch_id", "stream_name"], "left").withColumn("stream_revision", F.coalesce("__rev", F.lit(-1)) + number)
         batch, now = new_id(), time.time_ns() // 1_000_000 * 1_000_000
         made = {
-            "ts_nanos": F.lit(now), "event_id": F.substring(F.sha2(F.concat_ws("/", F.lit(batch), "position"), 256), 1, 32), "database_id": F.lit(self.database_id), "branch_id": F.lit(branch), "stream_id": F.substring(F.sha2(F.concat_ws("\0", F.lit(self.database_id), F.lit(branch), "stream_name"), 256), 1, 32),
-            "batch_id": F.lit(batch), "batch_index": F.col("position") - base, "schema_version": F.lit(1), "codec": F.lit("json"), "metadata": F.create_map().cast("map<string,binary>"), "payload": F.col("body").cast("binary"), "idempotency_key": F.lit(None), "request": F.lit(None), "content": F.sha2(F.concat_ws("\0", "event_type", "body"), 256),
+            "ts_nanos": F.lit(now), "event_id": F.col("event_id") if own else F.substring(F.sha2(F.concat_ws("/", F.lit(batch), "position"), 256), 1, 32), "database_id": F.lit(self.database_id), "stream_id": stream_id(F.lit(self.database_id), F.col("branch_id"), F.col("stream_name")),
+            "batch_id": F.col("event_id") if own else F.lit(batch), "batch_index": F.lit(0) if own else F.col("position") - base, "schema_version": F.lit(1), "codec": F.lit("json"), "metadata": F.create_map().cast("map<string,binary>"), "payload": F.col("body").cast("binary"), "idempotency_key": F.lit(None), "request": F.lit(None), "content": F.sha2(F.concat_ws("\0", "event_type", "body"), 256),
         }
         full = numbered.withColumns(made).select(*(F.col(f.name).cast(f.dataType) for f in LOG))
         path = f"data/{base:020d}-{new_id()[:8]}"
