@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, map_text, prepare
+from .common import map_text, prepare
 
 #: Edits allowed for each character of an item.
 RATE = 0.07
@@ -122,8 +122,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
     spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("long"), "text")
     schema = "doc_id long, item_id long, distance int, start long, end long"
     out = spark.createDataFrame([], schema)
-    block: dict[str, list[int]] = {}
-    held = 0
 
     def search(items: dict[str, list[int]]) -> DataFrame:
         shared = spark.sparkContext.broadcast(sorted(items.items()))
@@ -140,16 +138,41 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
 
         return map_text(docs, "text", schema, make)
 
+    for block in blocks(benchmark):
+        out = out.union(search(block))
+    return out
+
+
+def blocks(benchmark: DataFrame) -> Iterator[dict[str, list[int]]]:
+    """The plain() texts of the items and their ids, BLOCK characters at a time."""
+    block: dict[str, list[int]] = {}
+    held = 0
     for row in benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
         if not (text := plain(row["text"])):
             continue
         if held and held + len(text) > BLOCK:
-            out, block, held = out.union(search(block)), {}, 0
+            yield block
+            block, held = {}, 0
         held += len(text) if text not in block else 0
         block.setdefault(text, []).append(row["item_id"])
-    return out.union(search(block)) if block else out
+    if block:
+        yield block
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """All columns of the documents that hold no passage of the benchmark."""
-    return join_small(docs, leaks(docs, benchmark, rate).select("doc_id").distinct(), ["doc_id"], "left_anti")
+    """All columns of the documents that hold no passage of the benchmark.  Each row goes or stays by its own text; its
+    id may be null or repeated.  Each block of items is one pass over the rows that the ones before left."""
+    prepare(docs.sparkSession)
+
+    def without(docs: DataFrame, items: dict[str, list[int]]) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(sorted(items.items()))
+
+        def make():
+            searcher = Searcher(shared.value, rate)
+            return lambda part: part.filter(pa.array([not searcher.search(plain(text)) for text in part.column("text").to_pylist()], pa.bool_()))
+
+        return map_text(docs, "text", docs.schema, make)
+
+    for block in blocks(benchmark):
+        docs = without(docs, block)
+    return docs

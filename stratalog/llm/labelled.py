@@ -116,3 +116,16 @@ def scored(docs: DataFrame, features: Features, judge: Callable[[np.ndarray, np.
     prepare(docs.sparkSession)
     out = map_text(docs.select(F.col("doc_id").cast("long"), "text"), "text", "doc_id long, score double, predicted int", make)
     return out.select("doc_id", (remainder("doc_id", hold) == 0).alias("held_out"), "score", "predicted")
+
+
+def kept(docs: DataFrame, features: Features, judge: Callable[[np.ndarray, np.ndarray], np.ndarray], keep: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """The rows of docs, with all their columns, whose own scores `keep` takes; ids are not looked at."""
+
+    def make():
+        def step(part: pa.RecordBatch) -> pa.RecordBatch:
+            return part.filter(pa.array(keep(judge(*features(part.column("text"))))))
+
+        return step
+
+    prepare(docs.sparkSession)
+    return map_text(docs, "text", docs.schema, make)

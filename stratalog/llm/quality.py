@@ -11,8 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import discard, join_small
-from .labelled import document_counts, platt, sample, scored, sigmoid, training_rows
+from .common import discard
+from .labelled import document_counts, kept, platt, sample, scored, sigmoid, training_rows
 from .textvec import LOWER, U64, byte_view, hash_spans, mix, per_text, word_spans
 
 BITS = 18
@@ -112,20 +112,20 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict:
     return {"weights": weights.astype(np.float32), "slope": slope, "offset": slope * w[-1] + offset}
 
 
+def judge(model: dict, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    margin = np.bincount(np.repeat(np.arange(len(counts)), counts), model["weights"][flat], len(counts))
+    return sigmoid(model["slope"] * margin + model["offset"])
+
+
 def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: better), predicted.  One row for each input row.  Null and empty texts
     have no n-grams and get the model's score of nothing; null ids get held_out null; no other column is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def judge(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        m = shared.value
-        margin = np.bincount(np.repeat(np.arange(len(counts)), counts), m["weights"][flat], len(counts))
-        return sigmoid(m["slope"] * margin + m["offset"])
-
-    return scored(docs, features, judge, threshold)
+    return scored(docs, features, lambda flat, counts: judge(shared.value, flat, counts), threshold)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of the documents that the classifier, trained on these documents' labels, doesn't reject."""
-    bad = score(docs, fit(docs, labels), threshold).where("predicted = 0").select("doc_id").distinct()
-    return join_small(docs, bad, ["doc_id"], "left_anti")
+    """All columns of the documents that the classifier, trained on these documents' labels, doesn't reject.  Each row
+    goes or stays by its own text; its id may be null or repeated."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    return kept(docs, features, lambda flat, counts: judge(shared.value, flat, counts), lambda score: score >= threshold)

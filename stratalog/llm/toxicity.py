@@ -11,8 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import discard, join_small
-from .labelled import document_counts, sample, scored, sigmoid, training_rows
+from .common import discard
+from .labelled import document_counts, kept, sample, scored, sigmoid, training_rows
 from .textvec import LOWER, MARKS, U64, byte_view, hash_spans, per_text, word_spans
 
 BITS = 20
@@ -130,6 +130,7 @@ def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFra
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of the documents that the machine, trained on these documents' labels, doesn't reject."""
-    toxic = score(docs, fit(docs, labels), threshold).where("predicted = 1").select("doc_id").distinct()
-    return join_small(docs, toxic, ["doc_id"], "left_anti")
+    """All columns of the documents that the machine, trained on these documents' labels, doesn't reject.  Each row goes
+    or stays by its own text; its id may be null or repeated."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    return kept(docs, features, lambda flat, counts: judge(shared.value, flat, counts), lambda score: score < threshold)

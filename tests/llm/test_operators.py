@@ -222,6 +222,18 @@ def test_stage_filters_keep_columns(spark):
     assert 280 < toxicity.keep_clean(docs, labels).count() < 320
 
 
+@pytest.mark.parametrize(("module", "column"), [(quality, "quality"), (toxicity, "toxic")])
+def test_stage_filters_judge_each_row(spark, module, column):
+    """Null and repeated ids: every row goes by its own verdict."""
+    docs, labels = labelled(spark, column)
+    worst = 0 if column == "quality" else 1
+    texts = {r["doc_id"]: (r["text"], r["predicted"] == worst) for r in module.score(docs, module.fit(docs, labels)).join(docs, "doc_id").collect()}
+    bad, good = next(t for t, b in texts.values() if b), next(t for t, b in texts.values() if not b)
+    more = spark.createDataFrame([(None, bad, ["b"]), (None, good, ["g"]), (9000, bad, ["b"]), (9000, good, ["g"])], "doc_id long, text string, tags array<string>")
+    kept = (module.keep_good if column == "quality" else module.keep_clean)(docs.withColumn("tags", F.array(F.lit("x"))).union(more), labels).collect()
+    assert sorted((r["doc_id"] or 0, r["tags"][0]) for r in kept if r["tags"] != ["x"]) == [(0, "g"), (9000, "g")]
+
+
 def test_factorization_machine_learns_a_pair():
     """Neither word alone is toxic, both together are: no linear model can tell."""
     rows = [np.array(x) for x in ([0, 2], [1, 2], [0, 1, 2], [2])] * 100
@@ -271,6 +283,15 @@ def test_leaks_against_brute_force(spark):
     assert decontaminate.leaks(odd_docs(spark), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_leaks_go_row_by_row(spark, monkeypatch):
+    items = [(1, "which river flows past the old mill at noon"), (2, "how many stones lie under the northern bridge")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(None, items[0][1], 1), (None, "clean", 2), (7, items[1][1] + " yes", 3), (7, "also clean", 4), (8, None, 5)], "doc_id long, text string, n int")
+    for size in (4_000_000, 10):
+        monkeypatch.setattr(decontaminate, "BLOCK", size)
+        assert sorted(r["n"] for r in decontaminate.keep_clean(docs, benchmark).collect()) == [2, 4, 5]
+
+
 # --- 5
 
 
