@@ -233,7 +233,12 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, leaf: i
     twice = stored(census(join_small(docs, once, ["doc_id"], "left_semi"), width, percent), "maybe")
     sets = stored(sets_of(join_small(docs, twice, ["doc_id"], "left_semi"), width).where("size(tokens) > 0"), "sets")
     discard(once, twice)
-    found = components(links(sets, percent, leaf))
+    # an id whose rows have unlike sets is one vertex: it joins the classes of all of them
+    ids = copies.where("first is not null").groupBy("doc_id").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low <> high").select("doc_id")
+    ids = stored(ids, "unlike")
+    same = join_small(copies.where("doc_id <> first"), ids, ["doc_id"], "left_semi").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    found = components(links(sets, percent, leaf).union(same))
+    discard(ids)
     discard(sets)
     return copies.join(found, copies["first"] == found["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"))
 

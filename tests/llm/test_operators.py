@@ -145,6 +145,13 @@ def test_jaccard_odd_rows(spark):
     assert kept.columns == odd_docs(spark).columns and kept.count() == len(ODD) + 1
 
 
+def test_jaccard_repeated_ids_join_their_sets(spark):
+    """Document 5 has the sets of both 2 and 3, neither of which it is the first of."""
+    a, b = "one text of seven words in all", "quite another one that has eight words here"
+    rows = spark.createDataFrame([(2, b), (3, a), (5, a), (5, b), (7, "alone among all these rows")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in ngram_join.classes(rows).collect()) == [(2, 2), (3, 2), (5, 2), (5, 2), (7, 7)]
+
+
 # --- 2
 
 
