@@ -186,7 +186,7 @@ class Database:
         self.plans: dict[str, dict[str, Any]] = {}
         self.runtimes: dict[str, Callable[[DataFrame], DataFrame]] = {}
         self.cache: dict[str, tuple[tuple, IndexedView]] = {}
-        self.folded = 0
+        self.folded, self.snapped_bytes, self.snapped_at = 0, 0, time.monotonic()
         self.failed: dict[str, str] = {}
 
     # --- plumbing
@@ -534,8 +534,8 @@ class Database:
 
     def _maybe_snapshot(self, receipt: Receipt) -> None:
         self.folded += receipt.last_position - receipt.first_position + 1
-        if self.snapshot_policy.every_count and self.folded >= self.snapshot_policy.every_count:
-            self.folded = 0
+        if self.snapshot_policy.due(self.store.appended - self.snapped_bytes, self.folded, (time.monotonic() - self.snapped_at) * 1000):
+            self.folded, self.snapped_bytes, self.snapped_at = 0, self.store.appended, time.monotonic()
             for n, spec in self._views().items():
                 if spec["key"] is not None:
                     try:

@@ -109,6 +109,8 @@ class LogStore:
             raise
         self.buffer: list[dict] = []
         self.held = 0
+        #: Payload bytes appended since the log was opened.
+        self.appended = 0
         self.since = time.monotonic()
         self.revisions: dict[tuple[str, str], int | None] = {}
 
@@ -248,6 +250,7 @@ class LogStore:
         for i, r in enumerate(rows):
             r |= {"position": first + i, "ts_nanos": now, "event_id": r["event_id"] or new_id(), "database_id": self.database_id, "branch_id": branch, "stream_id": stream_id, "stream_name": stream, "stream_revision": (-1 if previous is None else previous) + 1 + i, "batch_id": batch, "batch_index": i, "idempotency_key": idempotency_key, "request": request}
             self.held += len(r["payload"])
+            self.appended += len(r["payload"])
         self.buffer += rows
         self.revisions[branch, stream] = rows[-1]["stream_revision"]
         if durability != "buffered" or self.policy.due(self.held, len(self.buffer), (time.monotonic() - self.since) * 1000):

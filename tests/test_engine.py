@@ -247,6 +247,15 @@ def test_snapshots(spark, tmp_path):
         assert len(d.list_snapshots("v")) == 1 and d.projection_status("v")["status"] == "ready"
 
 
+@pytest.mark.parametrize("schedule", [{"snapshot_every_bytes": 20}, {"snapshot_every_millis": 1}])
+def test_snapshots_by_bytes_or_time(spark, tmp_path, schedule):
+    with engine.open(str(tmp_path / "log"), spark=spark, **schedule) as d:
+        d.register_view("v", "id", {})
+        d.append("s", {"id": "a"})
+        d.append("s", {"id": "b"})
+        assert d.list_snapshots("v") and d.projection_status("v")["status"] == "ready"
+
+
 def test_views_in_time_and_by_class(db):
     for i in range(12):
         db.append(f"s{i % 4}", {"id": f"i{i % 4}", "n": i})
