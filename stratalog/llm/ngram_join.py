@@ -3,22 +3,23 @@
 The distance 1 - Jaccard is a metric, and the join works in that metric space:
 
 1. Census.  A document can only have a partner if at least the required share of its shingles occurs elsewhere.
-   Shingles are counted over all documents (32 bits of hash inside hash buckets; a collision only keeps a document
-   for the exact steps), each map task adding up its own first, so a shingle that every document has is one entry
-   a task.  Repeated on the distinct sets that remain.
-2. Pivots.  Of a document's shingles in hash order the first n - ceil(t n) + 1 must hold one that any partner has
-   among its own first ones.  The smallest document (in a hashed order) at a shingle is the pivot of all others
-   there, so that both ends of every link are members of a common pivot's cell.  Cells inside another one are dropped.
-3. Cells.  Inside a cell, distances to further pivots are computed; members go to the nearest pivot's Voronoi region
-   and, as boundary documents, to each other region whose triangle-inequality window they are in; regions are joined
-   recursively until each is one component.  A cell beyond LEAF members is cut into parts: all parts are compared
-   with the cell's pivot, and only the members that aren't linked to it are compared, block by block, with all parts.
+   Shingles are counted over all documents (31 bits of hash inside hash buckets; a collision only keeps a document
+   for the exact steps), each map task adding up its own first, so that a shingle that every document has is one entry
+   a task.  What remains is counted again, and each document's shingles are put in order, the rarest first: a linked
+   pair shares one among the first n - ceil(t n) + 1 of both.
+2. Pivots.  The document at such a shingle with the smallest share of shingles of its own is the pivot of all others
+   there, so that both ends of every link are members of a common pivot's region.  Regions inside another are dropped.
+3. Regions.  A region of few members is joined in one task.  In a larger one, pivots are chosen, and their distances to
+   all members are found part by part; members that are linked to a pivot follow it.  The others go to the Voronoi region
+   of their nearest pivot, and boundary documents also to each other region whose triangle-inequality window they are in;
+   those regions are joined in turn, by the same step.
 4. Components of the links, by alternating stars.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,15 +31,20 @@ from pyspark.sql import functions as F
 
 from .common import discard, join_small, map_text, prepare, slices, stored
 from .components import components
-from .textvec import LOWER, U64, byte_view, distinct_by_text, hash_spans, lists, shingle_hashes, word_spans
+from .textvec import LOWER, U64, byte_view, distinct_by_text, gather, hash_spans, lists, shingle_hashes, word_spans
 
 WIDTH, PERCENT = 5, 75
-#: Members of a cell that one task resolves.
-LEAF = 4096
-#: Pivots of one recursion step.
-PIVOTS = 8
-#: Bytes of text whose shingles a census task adds up before it passes them on.
-CENSUS_BYTES = 16 << 20
+#: Members of a region that one task joins; beyond SPLIT, a region's pivots are compared with its parts first.
+LEAF, SPLIT = 4096, 256
+#: Pivots of one step inside a task, and of one step over the parts of a region.
+PIVOTS, SPREAD = 8, 16
+#: Steps over a region; what is larger than LEAF after them is joined block by block.
+DEPTH = 4
+#: Shingles of a census bucket: the first size up to BUCKETS buckets, then the second, which a task's memory bounds.
+BUCKET, BUCKETS, FULL_BUCKET = 1 << 20, 4096, 1 << 24
+#: Shingles that a census task adds up before it passes them on (more, if there are many buckets to fill), and documents.
+CHUNK, FULL_CHUNK, CHUNK_DOCS = 1 << 21, 1 << 24, 60_000
+NEW, LOW = np.uint32(1 << 31), np.uint32((1 << 31) - 1)
 
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -68,35 +74,51 @@ def digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return map_text(docs.select(F.col("doc_id").cast("long"), "text"), "text", "doc_id long, n_shingles long, digest binary", make)
 
 
-def census(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Ids of the documents of which enough shingles occur in other documents, too (all that can have a partner)."""
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+# --- census
+
+
+def census_buckets(total: int) -> int:
+    """Buckets for so many shingles: it depends on them alone, not on the number of partitions."""
+    return max(1, min(-(-total // BUCKET), BUCKETS), -(-total // FULL_BUCKET))
+
+
+_ROW = [("bucket", pa.int32()), ("chunk", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("once", pa.binary()), ("whose", pa.binary()), ("more", pa.binary())]
+
+
+def census_rows(docs: DataFrame, total: int, width: int = WIDTH, whole: bool = False) -> DataFrame:
+    """What each chunk of documents has in each bucket: bucket, chunk, ids and sizes (in one row a chunk), once (shingles
+    in the order of their documents, the top bit marking a document's first one), whose (the places of those documents
+    in the chunk), more (shingles that several of the chunk's documents have, once each; if `whole`, they are in `once`)."""
+    buckets = census_buckets(total)
+    held = min(FULL_CHUNK, max(CHUNK, 256 * buckets))
+    bounds = np.array([b * (1 << 64) // buckets for b in range(1, buckets)], U64)
 
     def emit(ids: list, flats: list, counts: list, place: int) -> Iterator[pa.RecordBatch]:
         ids, flat, counts = np.concatenate(ids), np.concatenate(flats), np.concatenate(counts)
-        who = np.repeat(np.arange(len(ids)), counts).astype(np.uint32)
+        who = np.repeat(np.arange(len(ids), dtype=np.uint16), counts)
         order = np.argsort(flat)
         flat, who = flat[order], who[order]
-        head = np.append(True, flat[1:] != flat[:-1]) if len(flat) else np.zeros(0, bool)
-        alone = head & np.append(head[1:], True)[: len(head)]
-        bounds = (np.arange(buckets + 1, dtype=object) * (1 << 64) // buckets).tolist()
-        cuts = np.searchsorted(flat, np.array(bounds[1:-1], U64))
-        cuts = np.concatenate([[0], cuts, [len(flat)]])
+        head = np.append(True, flat[1:] != flat[:-1])[: len(flat)]
+        alone = np.ones(len(flat), bool) if whole else head & np.append(head[1:], True)[: len(flat)]
+        cuts = np.concatenate([[0], np.searchsorted(flat, bounds), [len(flat)]])
         chunk = xxhash.xxh3_64_intdigest(ids.tobytes(), place) >> 1
+        short = flat.astype(np.uint32) & LOW
         rows = []
         for b in range(buckets):
             s = slice(cuts[b], cuts[b + 1])
-            one = alone[s]
-            # shingles in the order of their documents, so that a number for each document says whose they are
-            order = np.argsort(who[s][one], kind="stable")
-            each = np.bincount(who[s][one], minlength=len(ids))
-            each = each.astype(np.uint16 if each.max(initial=0) < 1 << 16 else np.uint32)
-            rows.append((b, chunk, ids.tobytes(), counts.astype(np.int64).tobytes() if b == 0 else b"", flat[s][one][order].astype(np.uint32).tobytes(), each.tobytes(), flat[s][head[s] & ~one].astype(np.uint32).tobytes()))
+            if b and cuts[b] == cuts[b + 1]:
+                continue
+            mine, owner = short[s][alone[s]], who[s][alone[s]]
+            order = np.argsort(owner, kind="stable")
+            mine, owner = mine[order], owner[order]
+            first = np.append(True, owner[1:] != owner[:-1])[: len(owner)]
+            mine[first] |= NEW
+            rows.append((b, chunk, b"" if b else ids.tobytes(), b"" if b else counts.astype(np.uint32).tobytes(), mine.tobytes(), owner[first].tobytes(), short[s][head[s] & ~alone[s]].tobytes()))
         for at in range(0, len(rows), 64):
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 64], strict=True), [pa.int32(), pa.int64()] + [pa.binary()] * 5, strict=True)], ["bucket", "chunk", "ids", "sizes", "alone", "who", "many"])
+            yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip(zip(*rows[at : at + 64], strict=True), _ROW, strict=True)], [n for n, _ in _ROW])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, flats, counts, held, place = [], [], [], 0, 0
+        ids, flats, counts, load, place = [], [], [], 0, 0
         task = TaskContext.get().partitionId()
         for batch in batches:
             for part in slices(batch, "text"):
@@ -104,36 +126,97 @@ def census(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
                 ids.append(part.column("doc_id").to_numpy(zero_copy_only=False))
                 flats.append(flat)
                 counts.append(n)
-                held += 8 * len(flat) // 2
-                if held >= CENSUS_BYTES:
+                load += len(flat)
+                if load >= held or sum(map(len, ids)) >= CHUNK_DOCS - 10_000:
                     yield from emit(ids, flats, counts, task << 20 | place)
-                    ids, flats, counts, held, place = [], [], [], 0, place + 1
+                    ids, flats, counts, load, place = [], [], [], 0, place + 1
         if ids:
             yield from emit(ids, flats, counts, task << 20 | place)
 
+    table = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+    return table.mapInArrow(count, "bucket int, chunk long, ids binary, sizes binary, once binary, whose binary, more binary")
+
+
+def _times(rows: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The chunks' lists of a bucket, and all its shingles with their numbers."""
+    once = [np.frombuffer(x, np.uint32) for x in rows["once"]]
+    keys, times = np.unique(np.concatenate([*once, *(np.frombuffer(x, np.uint32) for x in rows["more"])]) & LOW, return_counts=True)
+    return once, keys, times
+
+
+def _sparse(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Where counts aren't 0, and the counts there (8 bits each, or 32 if one needs them)."""
+    at = np.flatnonzero(counts)
+    some = counts[at]
+    return at.astype(np.uint16).tobytes(), some.astype(np.uint8 if some.max(initial=0) < 256 else np.uint32).tobytes()
+
+
+def _dense(at: bytes, some: bytes, n: int) -> np.ndarray:
+    out = np.zeros(n, np.int64)
+    where = np.frombuffer(at, np.uint16)
+    out[where] = np.frombuffer(some, np.uint8 if len(some) == len(where) else np.uint32)
+    return out
+
+
+def _owners(once: np.ndarray, whose: bytes) -> np.ndarray:
+    return np.frombuffer(whose, np.uint16)[np.cumsum(once >> 31) - 1].astype(np.int64) if len(once) else np.zeros(0, np.int64)
+
+
+def census(docs: DataFrame, total: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Ids of the documents of which enough shingles occur in other documents, too (all that can have a partner)."""
+
     def rare(rows: pd.DataFrame) -> pd.DataFrame:
         """For each chunk, how many shingles of each of its documents occur nowhere else."""
-        alone = [np.frombuffer(x, np.uint32) for x in rows["alone"]]
-        every = np.concatenate([*alone, *(np.frombuffer(x, np.uint32) for x in rows["many"])])
-        keys, times = np.unique(every, return_counts=True)
+        once, keys, times = _times(rows)
         keys = keys[times == 1]
         out = []
-        for a, w, i in zip(alone, rows["who"], rows["ids"], strict=True):
-            each = np.frombuffer(w, np.uint16 if len(w) == len(i) // 4 else np.uint32)
-            at = np.searchsorted(keys, a)
-            at[at == len(keys)] = 0
-            hit = keys[at] == a if len(keys) else np.zeros(len(a), bool)
-            out.append(np.bincount(np.repeat(np.arange(len(each)), each)[hit], minlength=len(i) // 8).astype(np.uint32).tobytes())
-        return pd.DataFrame({"chunk": rows["chunk"], "ids": [i if s else b"" for i, s in zip(rows["ids"], rows["sizes"], strict=True)], "sizes": rows["sizes"], "rare": out})
+        for mine, whose in zip(once, rows["whose"], strict=True):
+            at = np.minimum(np.searchsorted(keys, mine & LOW), max(0, len(keys) - 1))
+            hit = keys[at] == mine & LOW if len(keys) else np.zeros(len(mine), bool)
+            out.append(_sparse(np.bincount(_owners(mine, whose)[hit])))
+        return pd.DataFrame({"chunk": rows["chunk"], "ids": rows["ids"], "sizes": rows["sizes"], "place": [a for a, _ in out], "lone": [c for _, c in out]})
 
     def keep(rows: pd.DataFrame) -> pd.DataFrame:
         row = rows.loc[rows["sizes"].str.len().idxmax()]
-        ids, n = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int64)
-        lone = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in rows["rare"])
+        ids, n = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
+        lone = sum(_dense(a, c, len(ids)) for a, c in zip(rows["place"], rows["lone"], strict=True))
         return pd.DataFrame({"doc_id": ids[(n > 0) & (n - lone >= needed(n, percent))]})
 
-    table = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "bucket int, chunk long, ids binary, sizes binary, alone binary, who binary, many binary")
-    return table.groupBy("bucket").applyInPandas(rare, "chunk long, ids binary, sizes binary, rare binary").groupBy("chunk").applyInPandas(keep, "doc_id long").distinct()
+    found = census_rows(docs, total, width).groupBy("bucket").applyInPandas(rare, "chunk long, ids binary, sizes binary, place binary, lone binary")
+    return found.groupBy("chunk").applyInPandas(keep, "doc_id long").distinct()
+
+
+def prefixes(docs: DataFrame, total: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, lone (how many in a thousand of its shingles occur nowhere else), tokens: of each document's first
+    n - ceil(percent/100 n) + 1 shingles, rarest first, those that occur in other documents (as bucket and 31 bits of
+    hash).  Both ends of a link have one in common."""
+
+    def spread(rows: pd.DataFrame) -> pd.DataFrame:
+        once, keys, times = _times(rows)
+        out = []
+        for mine, whose in zip(once, rows["whose"], strict=True):
+            owner, n = _owners(mine, whose), times[np.searchsorted(keys, mine & LOW)]
+            often = n > 1
+            out.append((*_sparse(np.bincount(owner[~often])), owner[often].astype(np.uint16).tobytes(), (mine & LOW)[often].tobytes(), np.minimum(n[often], 65_535).astype(np.uint16).tobytes()))
+        columns = dict(zip(("place", "lone", "whose", "token", "times"), zip(*out, strict=True), strict=True))
+        return pd.DataFrame({"bucket": rows["bucket"], "chunk": rows["chunk"], "ids": rows["ids"], "sizes": rows["sizes"], **{k: list(v) for k, v in columns.items()}})
+
+    def first(rows: pd.DataFrame) -> pd.DataFrame:
+        row = rows.loc[rows["sizes"].str.len().idxmax()]
+        ids, n = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
+        lone = sum(_dense(a, c, len(ids)) for a, c in zip(rows["place"], rows["lone"], strict=True))
+        owner = np.concatenate([np.frombuffer(x, np.uint16) for x in rows["whose"]]).astype(np.int64)
+        token = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) | int(b) << 31 for b, x in zip(rows["bucket"], rows["token"], strict=True)])
+        times = np.concatenate([np.frombuffer(x, np.uint16) for x in rows["times"]])
+        token = token[np.lexsort((token, times, owner))]
+        counts = np.bincount(owner, minlength=len(ids))
+        take = np.clip(n - needed(n, percent) + 1 - lone, 0, counts)
+        flat = token[gather(np.cumsum(counts) - counts, take)]
+        some = np.flatnonzero(take)
+        return pd.DataFrame({"doc_id": ids[some], "lone": lone[some] * 1000 // n[some], "tokens": pd.Series(np.split(flat, np.cumsum(take[some])[:-1]) if len(some) else [], dtype=object)})
+
+    found = census_rows(docs, total, width, whole=True).groupBy("bucket").applyInPandas(spread, "bucket int, chunk long, ids binary, sizes binary, place binary, lone binary, whose binary, token binary, times binary")
+    return found.groupBy("chunk").applyInPandas(first, "doc_id long, lone long, tokens array<long>")
 
 
 def sets_of(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -147,8 +230,11 @@ def sets_of(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return map_text(docs.select(F.col("doc_id").cast("long"), "text"), "text", "doc_id long, tokens array<long>", make)
 
 
+# --- regions
+
+
 class Region:
-    """Sets of one cell: distances from one member to others through an inverted index."""
+    """Sets of one region: distances from one member to others through an inverted index."""
 
     def __init__(self, sets: list[np.ndarray], percent: int):
         self.percent = percent
@@ -212,14 +298,190 @@ class Region:
         return self.root(np.arange(len(self.n)))
 
 
-def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
+def solver(percent: int):
+    """For the rows (doc_id, tokens, main) of a region: edges that connect what its links connect.  The rows of `main`
+    are known to be connected."""
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        ids = frame["doc_id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, frame = ids[order], frame.iloc[order]
+        region = Region([np.asarray(t, np.int64) for t in frame["tokens"]], percent)
+        for i in np.flatnonzero(ids[1:] == ids[:-1]):
+            region.link(np.array([i, i + 1]))
+        if (main := frame["main"].to_numpy(bool)).any():
+            region.link(np.flatnonzero(main))
+        root = region.resolve()
+        least = pd.Series(ids).groupby(root).transform("min").to_numpy()
+        return pd.DataFrame({"u": ids, "v": least})[ids != least]
+
+    return solve
+
+
+def distances(percent: int):
+    """For a part of a region, and its pivots: the distance of each member to each pivot, and the bits of the pivots that
+    it is linked with (and the bit SPREAD, if it is a main member)."""
+
+    def measure(frame: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        pivots = pivots.sort_values("slot")
+        held = [np.asarray(t, np.int64) for t in pivots["tokens"]]
+        words = np.unique(np.concatenate(held))
+        has = np.zeros((len(words) + 1, len(held)), np.int32)  # the last row is for shingles that no pivot has
+        for i, t in enumerate(held):
+            has[np.searchsorted(words, t), i] = 1
+        sets = [np.asarray(t, np.int64) for t in frame["tokens"]]
+        n = np.array([len(t) for t in sets], np.int64)
+        flat = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(words, flat), len(words) - 1)
+        at[words[at] != flat] = len(words)
+        both = np.add.reduceat(has[at], np.cumsum(n) - n, axis=0).astype(np.int64)
+        union = n[:, None] + np.array([len(t) for t in held]) - both
+        linked = (100 * both >= percent * union) & (both > 0)
+        mask = (linked << np.arange(len(held))).sum(1) | frame["main"].to_numpy(np.int64) << SPREAD
+        far, ids = 1 - both / union, pivots["doc_id"].to_numpy()
+        own = ((frame["doc_id"].to_numpy()[:, None] == ids) & (far == 0)).any(1)
+        lead = np.where(linked.any(1), ids[linked.argmax(1)], frame["doc_id"].to_numpy())
+        return pd.DataFrame({"region": frame["region"], "doc_id": frame["doc_id"], "rank": frame["rank"], "main": frame["main"], "pivot": own, "lead": lead, "mask": mask, "far": list(far)})
+
+    return measure
+
+
+def scored(rows: DataFrame, large: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of the members of the regions in `large` (region, parts) what distances() says; and the pivots (region, names).
+
+    The pivots are the members outside the main component that come first by rank (those with the smallest share of
+    shingles of their own, which most others are near), one of each of SPREAD hash classes.  Their sets go to each of the
+    region's parts, so that no task sees a whole region."""
+    slot = F.pmod(F.xxhash64("doc_id", "region"), F.lit(SPREAD)).cast("int").alias("slot")
+    chosen = rows.where("not main").groupBy("region", slot).agg(F.min_by("doc_id", "rank").alias("doc_id"))
+    # (of repeated ids with unlike sets one set)
+    held = join_small(sets, chosen, ["doc_id"], "inner").groupBy("region", "slot", "doc_id").agg(F.max("tokens").alias("tokens"))
+    held = stored(held.join(large, "region"), "pivots")
+    names = held.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("slot", "doc_id"))).alias("p")).select("region", F.col("p.doc_id").alias("names"))
+    each = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    met = join_small(sets, rows.join(large, "region"), ["doc_id"], "inner").withColumn("part", part).groupBy("region", "part").cogroup(each.groupBy("region", "part"))
+    made = stored(met.applyInPandas(distances(percent), "region string, doc_id long, rank long, main boolean, pivot boolean, lead long, mask long, far array<double>"), "scored")
+    names = stored(names, "names")
+    discard(held)
+    return made, names
+
+
+def leading(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each region the mask of its main component (that of the main members, or the one with the most linked members),
+    and edges between pivots that are connected.
+
+    `near` holds for each pivot, and last for the main members, the union of the masks that have its bit."""
+    for frame in rows:
+        out = []
+        for region, names, near, counts in zip(frame["region"], frame["names"], frame["near"], frame["counts"], strict=True):
+            masks = [int(x) for x in near]
+            for i in range(len(masks)):  # what meets in one mask is connected
+                for j in range(len(masks)):
+                    if masks[j] >> i & 1:
+                        masks[j] |= masks[i]
+            best = SPREAD if masks[SPREAD] else max(range(SPREAD), key=lambda i: sum(c for k, c in enumerate(counts) if masks[i] >> k & 1))
+            heads = [(names[i], names[(masks[i] & -masks[i]).bit_length() - 1]) for i in range(len(names)) if masks[i]]
+            out.append((region, masks[best], [u for u, v in heads if u != v], [v for u, v in heads if u != v]))
+        yield pd.DataFrame(out, columns=["region", "mains", "us", "vs"])
+
+
+def dealt(score: DataFrame, names: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The edges that a step over large regions has found, and the members of the regions that it leaves to join."""
+    gap = 1 - percent / 100 + 1e-9
+    has = lambda i: F.col("mask").bitwiseAND(F.lit(1 << i)) != 0
+    unions = [F.coalesce(F.bit_or(F.when(has(i), F.col("mask"))), F.lit(0).cast("long")) for i in range(SPREAD + 1)]
+    sums = score.groupBy("region").agg(F.array(*unions).alias("near"), F.array(*(F.count_if(has(i)) for i in range(SPREAD + 1))).alias("counts"))
+    mains = stored(sums.join(names, "region").mapInPandas(leading, "region string, mains long, us array<long>, vs array<long>"), "mains")
+    among = mains.select(F.explode(F.arrays_zip("us", "vs")).alias("e")).select(F.col("e.us").alias("u"), F.col("e.vs").alias("v"))
+    edges = stored(score.where("lead <> doc_id").select(F.col("doc_id").alias("u"), F.col("lead").alias("v")).union(among), "links")
+    rest = score.join(mains.select("region", "mains"), "region").where("not pivot")  # all pairs of the pivots are settled
+    rest = rest.withColumn("main", F.expr("mask & mains <> 0")).withColumn("least", F.array_min("far"))
+    # the region of a member outside the main component: its nearest pivot's, or the one of all that are far from each
+    home = F.when(F.col("least") < 3 * gap, F.array_position("far", F.col("least")) - 1).otherwise(F.lit(SPREAD)).cast("int")
+    rest = rest.withColumn("home", F.when(~F.col("main"), home))
+    reach = rest.where("home is not null").groupBy("region", "home").agg(F.min(F.expr("get(far, home)")).alias("low"), F.max(F.expr("get(far, home)")).alias("high"))
+    reach = reach.groupBy("region").agg(F.collect_list(F.struct("home", F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"))).alias("reach"))
+    inside = F.expr(f"""filter(reach, r -> r.home <=> home or if(r.home = {SPREAD}, least >= {2 * gap},
+        far[least(r.home, size(far) - 1)] <= least + {2 * gap} and far[least(r.home, size(far) - 1)] between r.low - {gap} and r.high + {gap}))""")
+    left = rest.join(reach, "region").withColumn("to", inside).where("size(to) > 0").select("region", "doc_id", "rank", "main", F.col("to.home").alias("to"))
+    # regions that overlap too much to gain anything stay one, less the pivots
+    thick = left.groupBy("region").agg(F.sum(F.size("to")).alias("all"), F.count("*").alias("n")).select("region", (F.col("all") > 1.5 * F.col("n")).alias("thick"))
+    left = left.join(thick, "region").withColumn("to", F.explode(F.when(F.col("thick"), F.array(F.lit(SPREAD + 1))).otherwise(F.col("to"))))
+    left = stored(left.select(F.concat_ws("/", "region", "to").alias("region"), "doc_id", "rank", "main"), "members")
+    discard(mains)
+    return edges, left
+
+
+def blocks(rows: DataFrame, large: DataFrame, sets: DataFrame, percent: int, leaf: int) -> DataFrame:
+    """Edges of regions that no further pivots make smaller: the members outside the main component, in blocks, with the
+    blocks of all members."""
+    rows = rows.join(large, "region")
+    outside = rows.where("not main").groupBy("region").agg(F.ceil(F.count("*") / leaf).cast("int").alias("blocks"))
+    place = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    cut = join_small(sets, rows.join(outside, "region"), ["doc_id"], "inner")
+    left = cut.where("not main").withColumn("block", place("blocks")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = cut.withColumn("part", place("parts")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("main or part <> block or blocks <> parts")
+    keep = ["region", "block", "part", "doc_id", "tokens", "main"]
+    return left.select(keep).union(right.select(keep)).groupBy("region", "block", "part").applyInPandas(solver(percent), "u long, v long")
+
+
+def regions(members: DataFrame, sets: DataFrame, percent: int = PERCENT, leaf: int = LEAF, split: int = SPLIT) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges (u, v) that connect exactly what the links inside the regions connect, and the tables that hold them;
+    members: region, doc_id, rank (an order in which they may become pivots), main (known to be connected)."""
+    out, made, depth = [], [], 0
+    while True:
+        most = leaf if depth else min(split, leaf)
+        sizes = members.groupBy("region").agg(F.count("*").alias("size"), F.count_if(~F.col("main")).alias("open")).where("size > 1 and open > 0")
+        large = stored(sizes.where(F.col("size") > most).select("region", F.ceil(F.col("size") / most).cast("int").alias("parts")), "large")
+        some = sizes.where(F.col("size") <= most).select("region")
+        small = join_small(sets, members.join(some, "region"), ["doc_id"], "inner").groupBy("region").applyInPandas(solver(percent), "u long, v long")
+        out.append(stored(small, "links"))
+        if not large.limit(1).count():
+            break
+        mine = join_small(members, large.select("region"), ["region"], "left_semi")
+        if depth == DEPTH:
+            out.append(stored(blocks(mine, large, sets, percent, leaf), "links"))
+            break
+        score, names = scored(mine, large, sets, percent)
+        found, members = dealt(score, names, percent)
+        out.append(found)
+        discard(score, names, large, *made)
+        made, depth = [members], depth + 1
+    discard(large, *made)
+    return reduce(DataFrame.union, out), out
+
+
+def links(short: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, leaf: int = LEAF, split: int = SPLIT) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges (u, v) that connect exactly what the links of the documents in `short` (prefixes()) connect, and the tables
+    that hold them."""
+    # pivots come first by the share of shingles of their own: copies are nearer to their original than to each other;
+    # two documents of one rank, which hashes make unlikely, would share a region
+    rank = F.expr("lone << 50 | (xxhash64(doc_id) & ((1L << 50) - 1))").alias("rank")
+    claims = short.select("doc_id", rank, F.explode("tokens").alias("token"))
+    owners = claims.groupBy("token").agg(F.min("rank").alias("cell"), F.count("*").alias("times")).where("times > 1").select("token", "cell")
+    members = stored(claims.join(owners, "token").select("cell", "doc_id", "rank").distinct(), "members")
+    # A document's home is the first of its cells.  If all members of a cell have one home, other than the cell, they meet
+    # there, and the cell adds nothing.
+    home = members.groupBy("doc_id").agg(F.min("cell").alias("home"))
+    cells = members.join(home, "doc_id").groupBy("cell").agg(F.count("*").alias("size"), F.min("home").alias("low"), F.max("home").alias("high"))
+    cells = cells.where("size > 1 and (low <> high or low = cell)").select("cell")
+    kept = stored(members.join(cells, "cell").select(F.col("cell").cast("string").alias("region"), "doc_id", "rank", F.lit(False).alias("main")), "members")
+    discard(members)
+    sets = stored(sets_of(join_small(docs, kept.select("doc_id").distinct(), ["doc_id"], "left_semi"), width).where("size(tokens) > 0"), "sets")
+    found = regions(kept, sets, percent, leaf, split)
+    discard(kept, sets)
+    return found
+
+
+def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, leaf: int = LEAF, split: int = SPLIT) -> DataFrame:
     """Similarity classes: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included).
 
     Two documents link when the Jaccard similarity of their sets is percent/100 or more; words are what stands between
     ASCII white space, A-Z lower-cased.  One row for each input row, repeated ids too (they are one vertex).  A null or
     empty text, or one of white space, has an empty set and links with nothing; so do rows with a null id, whose
     component is null.  A text of fewer than `width` words has its whole sequence as one shingle.  Links inside a
-    cell's largest component aren't listed pair by pair; all links between classes' members are found, none is sampled.
+    region's main component aren't listed pair by pair; all links between classes' members are found, none is sampled.
     """
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -228,63 +490,21 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, leaf: i
     first = named.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     first = stored(first.where("n > 1").select("digest", "first"), "first")
     copies = named.join(first, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).alias("first"))
-    one = copies.where("n_shingles > 0 and doc_id = first").select("doc_id").distinct()
-    once = stored(census(docs, width, percent).join(one, "doc_id", "left_semi"), "maybe")
-    twice = stored(census(join_small(docs, once, ["doc_id"], "left_semi"), width, percent), "maybe")
-    sets = stored(sets_of(join_small(docs, twice, ["doc_id"], "left_semi"), width).where("size(tokens) > 0"), "sets")
-    discard(once, twice)
+    one = copies.where("n_shingles > 0 and doc_id = first").select("doc_id", "n_shingles")
+    total = named.agg(F.sum("n_shingles")).first()[0] or 0
+    once = stored(census(docs, total, width, percent).join(one, "doc_id", "left_semi"), "maybe")
+    total = one.join(once, "doc_id", "left_semi").agg(F.sum("n_shingles")).first()[0] or 0
+    some = join_small(docs, once, ["doc_id"], "left_semi")
+    short = stored(prefixes(some, total, width, percent), "prefixes")
     # an id whose rows have unlike sets is one vertex: it joins the classes of all of them
     ids = copies.where("first is not null").groupBy("doc_id").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low <> high").select("doc_id")
     ids = stored(ids, "unlike")
     same = join_small(copies.where("doc_id <> first"), ids, ["doc_id"], "left_semi").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-    found = components(links(sets, percent, leaf).union(same))
-    discard(ids)
-    discard(sets)
-    return copies.join(found, copies["first"] == found["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"))
-
-
-def links(sets: DataFrame, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
-    """Edges (u, v) that connect exactly what the links of these sets connect."""
-    short = F.expr(f"slice(array_sort(transform(tokens, t -> xxhash64(t))), 1, int(size(tokens) - ceil(size(tokens) * {percent} / 100) + 1))")
-    claims = sets.select("doc_id", F.explode(short).alias("token"))
-    owners = claims.groupBy("token").agg(F.min(F.struct(F.xxhash64("doc_id").alias("rank"), "doc_id")).alias("p"), F.count("*").alias("times")).where("times > 1")
-    members = stored(claims.join(owners.select("token", F.col("p.doc_id").alias("cell")), "token").select("cell", "doc_id").distinct(), "members")
-    # A document's home is the first of its cells.  If all members of a cell have one home, other than the cell, they meet
-    # there, and the cell adds nothing.
-    home = members.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("cell").alias("rank"), "cell")).alias("h")).select("doc_id", F.col("h.cell").alias("home"))
-    cells = members.join(home, "doc_id").groupBy("cell").agg(F.count("*").alias("size"), F.min("home").alias("low"), F.max("home").alias("high"))
-    cells = cells.where("size > 1 and (low <> high or low = cell)").select("cell", F.ceil(F.col("size") / leaf).cast("int").alias("parts"))
-    rows = members.join(cells, "cell").join(sets, "doc_id").select("cell", "parts", "doc_id", "tokens")
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        ids = frame["doc_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, frame = ids[order], frame.iloc[order]
-        region = Region([np.asarray(t, np.int64) for t in frame["tokens"]], percent)
-        same = np.flatnonzero(ids[1:] == ids[:-1])
-        for i in same:
-            region.link(np.array([i, i + 1]))
-        if "near" in frame and frame["near"].any():
-            region.link(np.flatnonzero(frame["near"].to_numpy()))
-        root = region.resolve()
-        least = pd.Series(ids).groupby(root).transform("min").to_numpy()
-        return pd.DataFrame({"u": ids, "v": least})[ids != least]
-
-    small = rows.where("parts = 1").groupBy("cell").applyInPandas(solve, "u long, v long")
-    if not cells.where("parts > 1").limit(1).count():
-        return small
-    pivot = sets.select(F.col("doc_id").alias("cell"), F.col("tokens").alias("held"))
-    both = F.size(F.array_intersect("tokens", "held"))
-    large = rows.where("parts > 1").join(pivot, "cell").withColumn("both", both)
-    large = stored(large.select("cell", "parts", "doc_id", "tokens", F.expr(f"100 * both >= {percent} * (size(tokens) + size(held) - both)").alias("near")), "large")
-    apart = large.where("not near").groupBy("cell").agg(F.ceil(F.count("*") / leaf).cast("int").alias("blocks"))
-    place = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
-    cut = large.join(apart, "cell")
-    left = cut.where("not near").withColumn("block", place("blocks")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    right = cut.withColumn("part", place("parts")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("near or part <> block or blocks <> parts")
-    keep = ["cell", "block", "part", "doc_id", "tokens", "near"]
-    across = left.select(keep).union(right.select(keep)).groupBy("cell", "block", "part").applyInPandas(solve, "u long, v long")
-    return small.union(large.where("near").select(F.col("doc_id").alias("u"), F.col("cell").alias("v"))).union(across)
+    edges, held = links(short, docs, width, percent, leaf, split)
+    found = stored(components(edges.union(same)), "components")
+    out = stored(copies.join(found, copies["first"] == found["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id")), "classes")
+    discard(named, first, once, short, ids, found, *held)
+    return out
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -293,4 +513,4 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     return join_small(docs, found, ["doc_id"], "left_anti")
 
 
-__all__ = ["census", "classes", "digests", "keep_one", "links", "sets_of"]
+__all__ = ["census", "classes", "digests", "keep_one", "links", "prefixes", "regions", "sets_of"]
