@@ -16,6 +16,8 @@ LOWER[65:91] += 32
 #: All but letters, digits and bytes of characters beyond ASCII.
 MARKS = np.ones(256, bool)
 MARKS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+#: Bytes that a memo holds, about.
+MEMO_BYTES = 48 << 20
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 _K1, _K2, _K3 = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
 
@@ -81,19 +83,46 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray, gap: np.ndarray = WHITE) ->
     return starts, np.flatnonzero(end) + 1 - starts, np.searchsorted(starts, offsets)
 
 
-def worker_memo(name: str, kind: type) -> Memo:
-    """A memo that all tasks of a Python worker share, one task at a time; functions travel by value, so it hangs on a
+def worker_value(name: str, make):
+    """What make() returns, made once in a Python worker for all its tasks; functions travel by value, so it hangs on a
     module of its own."""
     home = sys.modules.setdefault("stratalog_worker", types.ModuleType("stratalog_worker"))
     if not hasattr(home, name):
-        setattr(home, name, Memo(kind))
+        setattr(home, name, make())
     return getattr(home, name)
 
 
+def worker_memo(name: str, kind: type) -> Memo:
+    """A memo that all tasks of a Python worker share, one task at a time."""
+    return worker_value(name, lambda: Memo(kind))
+
+
+def wide_white(buf: np.ndarray) -> np.ndarray:
+    """Which bytes belong to white space, that beyond ASCII included (Unicode's White_Space)."""
+    white = WHITE[buf]
+    a, b, c = buf[:-2], buf[1:-1], buf[2:]
+    lead = (a == 0xC2) | (a == 0xE1) | (a == 0xE2) | (a == 0xE3)
+    if len(buf) > 1 and (buf[-2] == 0xC2) and buf[-1] in (0x85, 0xA0):
+        white[-2:] = True
+    if lead.any():
+        at = np.flatnonzero(lead)
+        a, b, c = a[at], b[at], c[at]
+        two = at[(a == 0xC2) & ((b == 0x85) | (b == 0xA0))]
+        # U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000
+        spaces = (c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)
+        three = at[((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE2) & (b == 0x80) & (c >= 0x80) & spaces) | ((a == 0xE2) & (b == 0x81) & (c == 0x9F)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))]
+        for k in range(2):
+            white[two + k] = True
+        for k in range(3):
+            white[three + k] = True
+    return white
+
+
 def lead_spans(buf: np.ndarray, offsets: np.ndarray, space_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Like word_spans, but each span takes the white space before it along, so that the spans of a text join to the text."""
+    """Like word_spans, but each span takes the white space before it along (that beyond ASCII, too), so that the spans of a
+    text join to the text."""
     n = len(buf) - 8
-    white = buf[:n] == 0x20 if space_only else WHITE[buf[:n]]
+    white = buf[:n] == 0x20 if space_only else wide_white(buf[:n])
     begin = white.copy()
     begin[1:] &= ~white[:-1]
     inner = offsets[offsets < n]
@@ -150,37 +179,66 @@ def distinct_by_text(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray
 class Memo:
     """Results for words seen before, by hash: look(hashes) asks `make` only for the new ones.
 
-    make(indices into the hashes) returns (flat values, number of values of each).  It holds at most `limit` words
-    and starts anew beyond that, which changes no result.
+    make(indices into the hashes) returns (flat values, number of values of each).  What it holds stays within `limit`
+    bytes; beyond that it starts anew, and a word of more than LONG values isn't kept at all, neither of which changes a
+    result.
     """
 
-    def __init__(self, kind: type, limit: int = 600_000):
+    #: Values of the longest word that is kept.
+    LONG = 256
+
+    def __init__(self, kind: type, limit: int = MEMO_BYTES):
         self.kind, self.limit = kind, limit
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.starts, self.counts = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.parts: list[np.ndarray] = []
-        self.flat = np.zeros(0, self.kind)
+        self.flat, self.used = np.zeros(1 << 10, self.kind), 0
+
+    def held(self) -> int:
+        return self.flat.nbytes + 24 * len(self.keys)
+
+    def _put(self, flat: np.ndarray) -> None:
+        """Appends values; the room doubles, so that what is there is copied seldom."""
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(self.used, 2 * len(flat)), self.kind)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
 
     def look(self, hashes: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
         """Flat values of all the words, in order, and the number of values of each word."""
         keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > self.limit:
+        if self.held() > self.limit:
             self.clear()
         at = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == keys[inside]
-        new = np.flatnonzero(~known)
+        old, new = np.flatnonzero(known), np.flatnonzero(~known)
+        starts, counts = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        starts[old], counts[old] = self.starts[at[old]], self.counts[at[old]]
+        fresh = np.zeros(0, self.kind)
+        if len(new):
+            fresh, counts[new] = make(first[new])
+            fresh = fresh.astype(self.kind, copy=False)
+        # what was there, and what is new: two passes over one result
+        where, sizes = starts[back], counts[back]
+        out, ends = np.empty(int(sizes.sum()), self.kind), np.cumsum(sizes)
+        seen = known[back]
+        out[gather((ends - sizes)[seen], sizes[seen])] = self.flat[gather(where[seen], sizes[seen])]
         if len(new):
-            flat, counts = make(first[new])
-            starts = len(self.flat) + np.cumsum(counts) - counts
-            self.flat = np.concatenate([self.flat, flat.astype(self.kind, copy=False)])
-            at = at[new]
-            self.keys, self.starts, self.counts = np.insert(self.keys, at, keys[new]), np.insert(self.starts, at, starts), np.insert(self.counts, at, counts)
-        at = np.searchsorted(self.keys, keys)[back]
-        return self.flat[gather(self.starts[at], self.counts[at])], self.counts[at]
+            starts[new] = np.cumsum(counts[new]) - counts[new]
+            where = starts[back]
+            out[gather((ends - sizes)[~seen], sizes[~seen])] = fresh[gather(where[~seen], sizes[~seen])]
+            short = new[counts[new] <= self.LONG]
+            kept = fresh[gather(starts[short], counts[short])]
+            if self.used * self.flat.itemsize + kept.nbytes + 24 * (len(self.keys) + len(short)) <= 2 * self.limit:
+                n = counts[short]
+                place = self.used + np.cumsum(n) - n
+                self._put(kept)
+                at = at[short]
+                self.keys, self.starts, self.counts = np.insert(self.keys, at, keys[short]), np.insert(self.starts, at, place), np.insert(self.counts, at, n)
+        return out, sizes
 
 
 def pack(flat: np.ndarray, counts: np.ndarray) -> pa.Array:

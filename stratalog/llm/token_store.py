@@ -19,10 +19,8 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .common import map_text, prepare
-from .textvec import MARKS, WHITE, byte_view, gather, hash_spans, lead_spans, lists, ragged, worker_memo
+from .textvec import MARKS, WHITE, byte_view, gather, hash_spans, lead_spans, lists, ragged, wide_white, worker_memo
 
-#: UTF-8 of the white space beyond ASCII: texts that hold any are encoded in one piece.
-WIDE_SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 #: ASCII letters and digits.
 PLAIN = ~MARKS & (np.arange(256) < 0x80)
 #: New words that one call of the library encodes.
@@ -32,40 +30,47 @@ SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("off
 
 class Encoder:
     """A tokenizer that asks the library only for words it hasn't met: a word with the white space before it is encoded
-    alike wherever it stands, as the pre-tokenizer never joins across the start of a run of white space."""
+    alike wherever it stands, as the pre-tokenizer never joins across the start of a run of white space.
 
-    def __init__(self, tokenizer_json: str):
+    Strings of the vocabulary's added tokens (such as <|endoftext|>) become these tokens, as in the library; with
+    `plain_specials` they are ordinary text.
+    """
+
+    def __init__(self, tokenizer_json: str, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain_specials
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain_specials and t.special)]
+        self.added = [t.content.encode() for t in added]
         self.memo = worker_memo(f"bpe_{xxhash.xxh3_64_hexdigest(tokenizer_json)}", np.int32)
         # in a byte-level vocabulary each character stands for one byte
         self.sizes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids, and the number of ids of each text.
-
-        Texts are cut where the pre-tokenizer always cuts: before white space, and between a letter and a mark.
-        """
+        """Flat ids, and the number of ids of each text.  Texts that hold an added token's string are encoded whole."""
         buf, offsets = byte_view(column)
+        whole = buf[:-8].tobytes()
+        if not any(a in whole for a in self.added):
+            return self._cut(buf, offsets, whole)
+        odd = np.array([any(a in whole[i:j] for a in self.added) for i, j in zip(offsets[:-1], offsets[1:], strict=True)])
+        some = [np.array(self.tokenizer.encode(whole[offsets[i] : offsets[i + 1]].decode(), add_special_tokens=False).ids, np.int32) for i in np.flatnonzero(odd)]
+        flat, n = self.encode(column.filter(pa.array(~odd))) if not odd.all() else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        counts = np.zeros(len(odd), np.int64)
+        counts[odd], counts[~odd] = [len(x) for x in some], n
+        owner = np.repeat(np.concatenate([np.flatnonzero(odd), np.flatnonzero(~odd)]), np.concatenate([counts[odd], counts[~odd]]))
+        return np.concatenate([*some, flat])[np.argsort(owner, kind="stable")], counts
+
+    def _cut(self, buf: np.ndarray, offsets: np.ndarray, whole: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Texts are cut where the pre-tokenizer always cuts: before white space, and between a letter and a mark."""
         starts = lead_spans(buf, offsets)[0]
         # a mark behind an ASCII letter or digit begins a piece of its own, too
         mark = MARKS[buf[1:-8]] & ~WHITE[buf[1:-8]] & PLAIN[buf[:-9]] if len(buf) > 9 else np.zeros(0, bool)
         starts = np.sort(np.concatenate([starts, np.flatnonzero(mark) + 1]))
         starts = starts[np.append(True, starts[1:] != starts[:-1])[: len(starts)]]
         lengths, first = np.diff(np.append(starts, len(buf) - 8)), np.searchsorted(starts, offsets)
-        whole = buf[:-8].tobytes()
-        if any(s in whole for s in WIDE_SPACES):
-            texts = [whole[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            odd = np.array([any(s in t for s in WIDE_SPACES) for t in texts])
-            keep = np.ones(len(starts), bool)
-            for i in np.flatnonzero(odd):
-                keep[first[i] + 1 : first[i + 1]] = False
-            starts = starts[keep]
-            lengths, first = np.diff(np.append(starts, len(whole))), np.searchsorted(starts, offsets)
-
         # New words that begin with white space and don't end with it are joined to long texts: one call for many.
-        white, tail = WHITE[buf[starts]], WHITE[buf[starts + lengths - 1]]
+        space = wide_white(buf[:-8])
+        white, tail = space[starts], space[starts + lengths - 1]
 
         def make(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             fit = white[new] & ~tail[new]
@@ -93,14 +98,15 @@ class Encoder:
         return flat, np.diff(ends)
 
 
-def encode(docs: DataFrame, tokenizer_json: str, end_id: int | None = None) -> DataFrame:
-    """doc_id, ids as bytes (little-endian, 16 bits if the vocabulary allows it, else 32), the end id added."""
+def encode(docs: DataFrame, tokenizer_json: str, end_id: int | None = None, plain_specials: bool = False) -> DataFrame:
+    """doc_id, ids as bytes (little-endian, 16 bits if the vocabulary allows it, else 32), the end id added.  Strings of
+    special tokens in a text become these tokens, as in the library, or stay ordinary text with `plain_specials`."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     width = _width(tokenizer_json, end_id)
 
     def make():
-        encoder = Encoder(shared.value)
+        encoder = Encoder(shared.value, plain_specials)
 
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
             flat, counts = encoder.encode(part.column("text"))
@@ -117,7 +123,7 @@ def _width(tokenizer_json: str, end_id: int | None) -> str:
     return "<u2" if max(Tokenizer.from_str(tokenizer_json).get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else "<u4"
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, end_id: int | None = None) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, end_id: int | None = None, plain_specials: bool = False) -> None:
     """Writes all documents' ids as ORC files, in ascending doc_id over the files in the order of their names.
 
     Rows: doc_id, offset (ids of earlier documents in the same file), ids.  A null text is an empty one and has the end
@@ -145,7 +151,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, end_id: int |
                 yield pa.record_batch([batch.column("doc_id"), pa.array(offset + np.cumsum(counts) - counts), lists(np.concatenate(ids), counts, pa.int32())], ["doc_id", "offset", "ids"])
             offset += int(counts.sum())
 
-    rows = encode(docs, tokenizer_json, end_id).mapInArrow(place_of, "doc_id long, ids binary, place int")
+    rows = encode(docs, tokenizer_json, end_id, plain_specials).mapInArrow(place_of, "doc_id long, ids binary, place int")
     rows = rows.repartitionById(n, F.col("place")).select("doc_id", "ids").sortWithinPartitions("doc_id", "ids")
     rows.mapInArrow(unpack, SCHEMA).write.mode("overwrite").option("compression", "zstd").option("orc.create.index", "true").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path)
 
