@@ -1,19 +1,22 @@
 """Language identification: script ranges narrow the candidates, Viterbi over per-word scores labels spans.
 
-A word's score in a language is the log-likelihood of its letter trigrams, counted over all training documents, against
-the mean of the candidates.  A candidate is a language in whose training words the word's script occurs.  Changing the
-language between two words costs a fixed penalty, so that spans of a mixed text come out, not single words.
+A word is a run of letters (with the marks on them) of one script, lower-cased; long runs are cut, above all those of
+scripts without spaces.  Its score in a language is the log-likelihood of its letter trigrams, counted over all training
+documents, against the mean of the candidates.  A candidate is a language in whose training words the word's script occurs.
+Changing the language between two words costs a fixed penalty, so that spans of a mixed text come out, not single words.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_text, prepare, remainder
-from .textvec import LOWER, MARKS, U64, Memo, byte_view, hash_spans, mix, ragged, word_spans
+from .textvec import LOWER, MARKS, U64, Memo, byte_view, hash_spans, mix, ragged, word_spans, worker_value
 
 HOLD, HELD = 4, 2
 BITS = 16
@@ -27,18 +30,90 @@ _FROM = np.array([f for f, _ in SCRIPTS])
 _SCRIPT = np.array([NAMES.index(s) for _, s in SCRIPTS])
 
 
+#: Characters of a word at most; of one of a script that is written without spaces.
+CAP, CAP_UNSPACED = 24, 8
+UNSPACED = [NAMES.index(n) for n in ("Han", "Kana", "Thai", "Other")]
+LATIN = NAMES.index("Latin")
+#: Beyond this code point there are no letters.
+LETTERS_END = 0x33480
+MARK, GAP = -1, -2
+
+
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point its lower-case form, a space if it is no part of a word; and its script, MARK or GAP."""
+    fold, script = np.full(LETTERS_END + 1, 0x20, np.uint32), np.full(LETTERS_END + 1, GAP, np.int8)
+    for c in range(LETTERS_END):
+        kind = unicodedata.category(chr(c))[0]
+        if kind == "L":
+            low = chr(c).lower()
+            fold[c] = ord(low) if len(low) == 1 else c
+            script[c] = _SCRIPT[np.searchsorted(_FROM, c, "right") - 1]
+        elif kind == "M":
+            fold[c], script[c] = c, MARK
+    return fold, script
+
+
+def _width(codes: np.ndarray) -> np.ndarray:
+    """Bytes in UTF-8 (a byte that is no UTF-8 stands as a low surrogate)."""
+    return 1 + (codes >= 0x80).astype(np.int64) * ((codes < 0xDC80) | (codes > 0xDCFF)) * (1 + (codes >= 0x800) + (codes >= 0x10000))
+
+
 class Words:
-    """Words of a batch of texts (runs of ASCII letters and of characters beyond ASCII)."""
+    """Words of a batch of texts: their folded bytes, number of characters and script, and their place in the texts."""
 
     def __init__(self, column: pa.Array):
-        self.buf, self.offsets = byte_view(column)
-        self.buf[:-8] = LOWER[self.buf[:-8]]
-        gap = MARKS.copy()
-        gap[0x30:0x3A] = True
-        self.starts, self.sizes, self.first = word_spans(self.buf, self.offsets, gap)
+        raw, self.offsets = byte_view(column)
+        if raw.max(initial=0) < 0x80:
+            self.buf = LOWER[raw]
+            gap = MARKS.copy()
+            gap[0x30:0x3A] = True
+            starts, sizes, _ = word_spans(self.buf, self.offsets, gap)
+            owner, place = ragged(-(-sizes // CAP))
+            self.starts = self.begin = starts[owner] + CAP * place
+            self.sizes = self.chars = np.minimum(sizes[owner] - CAP * place, CAP)
+            self.end = self.begin + self.sizes
+            self.script = np.full(len(owner), LATIN)
+        else:
+            self._wide(raw)
+        self.first = np.searchsorted(self.begin, self.offsets)
         self.hashes = hash_spans(self.buf, self.starts, self.sizes)
         self.owner = np.repeat(np.arange(len(column)), np.diff(self.first))
 
+    def _wide(self, raw: np.ndarray) -> None:
+        fold, script = worker_value("language_characters", _characters)
+        codes = np.frombuffer(raw[:-8].tobytes().decode(errors="surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.concatenate([[0], np.cumsum(_width(codes))])
+        known = np.minimum(codes, LETTERS_END)
+        kind, lower = script[known], fold[known]
+        inside, letter = kind != GAP, kind >= 0
+        edge = np.zeros(len(codes) + 1, bool)
+        edge[np.searchsorted(at, self.offsets)] = True
+        fresh = edge[:-1].copy()
+        fresh[1:] |= ~inside[:-1]
+        # a letter of another script than the last letter of its run begins a word
+        here = np.arange(len(codes))
+        run = np.maximum.accumulate(np.where(inside & fresh, here, 0))
+        last = np.maximum.accumulate(np.where(letter, here, -1))
+        before = np.append(-1, last[:-1])
+        change = letter & (before >= run) & (kind[before] != kind)
+        begin = np.flatnonzero(inside & (fresh | change))
+        # a word ends before the next one of its run, at a gap, or with its text
+        bounds = np.flatnonzero(np.append(~inside, True) | np.append(inside & (fresh | change), True))
+        sizes = bounds[np.searchsorted(bounds, begin, "right")] - begin if len(begin) else begin
+        heads = np.concatenate([[0], np.cumsum(letter)])
+        has = heads[begin + sizes] > heads[begin]
+        lead = np.minimum(np.searchsorted(heads, heads[begin], "right") - 1, len(codes) - 1)  # its first letter
+        own = np.where(has, kind[lead], MARK).astype(np.int64)
+        cap = np.where(np.isin(own, UNSPACED), CAP_UNSPACED, CAP)
+        owner, place = ragged(-(-sizes // cap))
+        start = begin[owner] + cap[owner] * place
+        self.chars = np.minimum(sizes[owner] - cap[owner] * place, cap[owner])
+        self.script = own[owner]
+        self.begin, self.end = at[start], at[start + self.chars]
+        folded = np.concatenate([[0], np.cumsum(_width(lower))])
+        self.buf = np.frombuffer(lower.tobytes().decode("utf-32-le").encode() + bytes(8), np.uint8)
+        self.starts, self.sizes = folded[start], folded[start + self.chars] - folded[start]
+
     def trigrams(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashed byte trigrams of some words, with a border at either end: flat, and as many as the word has bytes."""
         sizes = self.sizes[which]
@@ -50,18 +125,8 @@ class Words:
         return (mix(before << U64(16) | here << U64(8) | after) >> U64(64 - BITS)).astype(np.int64), sizes
 
     def scripts(self, which: np.ndarray) -> np.ndarray:
-        """Script of each word: that of its first letter beyond ASCII and Latin, or Latin; -1 for a word without letters."""
-        out = np.empty(len(which), np.int64)
-        for i, w in enumerate(which):
-            raw = self.buf[self.starts[w] : self.starts[w] + self.sizes[w]]
-            if raw.max() < 0x80:
-                out[i] = NAMES.index("Latin")
-                continue
-            codes = np.array([ord(c) for c in raw.tobytes().decode(errors="replace") if c.isalpha()])
-            found = _SCRIPT[np.searchsorted(_FROM, codes, "right") - 1]
-            other = found[found != NAMES.index("Latin")]
-            out[i] = -1 if not len(found) else other[0] if len(other) else NAMES.index("Latin")
-        return out
+        """Script of each word; MARK for a word without letters."""
+        return self.script[which]
 
 
 def fit(docs: DataFrame) -> dict:
@@ -194,7 +259,7 @@ def predict(docs: DataFrame, model: dict, switch: float = SWITCH) -> DataFrame:
             pred, share = np.full(n, len(langs) - 1), np.zeros(n)
             if labeller.k:
                 labels, letters = labeller.label(words)
-                weight = np.where(letters, words.sizes, 0)
+                weight = np.where(letters, words.chars, 0)
                 held = np.stack([np.bincount(words.owner, weight * (labels == i), n) for i in range(labeller.k)], 1)
                 some = held.sum(1) > 0
                 pred[some] = held[some].argmax(1)
@@ -228,7 +293,7 @@ def spans(docs: DataFrame, model: dict, switch: float = SWITCH) -> DataFrame:
             last = np.append(at[1:], len(head)) - 1
             base = words.offsets[words.owner[at]]
             names = np.array(labeller.model["langs"], object)
-            return pa.record_batch([part.column("doc_id").take(pa.array(words.owner[at])), pa.array(words.starts[at] - base), pa.array(words.starts[last] + words.sizes[last] - base), pa.array(names[labels[at]], pa.string())], ["doc_id", "start", "end", "lang"])
+            return pa.record_batch([part.column("doc_id").take(pa.array(words.owner[at])), pa.array(words.begin[at] - base), pa.array(words.end[last] - base), pa.array(names[labels[at]], pa.string())], ["doc_id", "start", "end", "lang"])
 
         return step
 
