@@ -7,15 +7,15 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, map_text, prepare, stored
+from .common import discard, join_small, map_text, prepare, stored
 
 
 def canonical(text: str | None) -> str:
@@ -50,16 +50,20 @@ def likeness(left: str, right: str) -> F.Column:
     return (F.col(left) == F.col(right)).cast("double")
 
 
-def exact_groups(docs: DataFrame, part: int = 10_000) -> DataFrame:
+def exact_groups(docs: DataFrame, part: int = 10_000, prints: DataFrame | None = None) -> DataFrame:
     """doc_id, fingerprint, group_id: the smallest doc_id whose canonical text has the same bytes.
 
     Each bucket of equal digests is compared with its first document, whose text goes to each of the bucket's salted
     parts (one for `part` documents), so that no large bucket comes to one task.  Texts that differ in spite of equal digests (never seen) keep their
-    own id as group_id.  Null ids form no group (group_id null); repeated ids are rows of their own.
+    own id as group_id.  Null ids form no group (group_id null); repeated ids are rows of their own.  `prints` (doc_id,
+    fingerprint) spares a pass over the texts where fingerprints are known.
     """
-    prints = stored(fingerprints(docs).select("doc_id", "fingerprint"), "prints")
+    prints = stored(fingerprints(docs).select("doc_id", "fingerprint"), "prints") if prints is None else prints
     heads = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1 and head is not null").select("fingerprint", "head", F.ceil(F.col("n") / part).cast("int").alias("parts"))
-    shared = stored(prints.where("doc_id is not null").join(heads, "fingerprint").select("doc_id", "head", "parts").distinct(), "shared")
+    # a table of its own, so that the join can split a fingerprint that a third of all rows has
+    heads = stored(heads, "heads")
+    shared = stored(join_small(prints.where("doc_id is not null"), heads, ["fingerprint"], "inner").select("doc_id", "head", "parts").distinct(), "shared")
+    discard(heads)
 
     def make():
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -92,9 +96,21 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(ids.select(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []))[: n - 1]
     unique = not ids.groupBy("id").count().where("count > 1").limit(1).count()
-    # largest id of each range: at most n rows
-    place = f"aggregate(array({', '.join(f'{c}L' for c in cuts)}), 0, (a, c) -> a + int(id > c))" if cuts else "int(id is null)"
-    tops = sorted((r["top"] for r in ids.groupBy(F.expr(place)).agg(F.max("id").alias("top")).collect()), reverse=True)
+    bounds = np.array(cuts, np.int64)
+
+    def largest(batches):
+        for batch in batches:
+            at = batch.column("id").to_numpy()
+            place = np.searchsorted(bounds, at)
+            top = np.full(len(bounds) + 1, LEAST)
+            np.maximum.at(top, place, at)
+            some = np.unique(place)
+            yield pa.record_batch([pa.array(some), pa.array(top[some])], ["place", "top"])
+
+    # the largest id of each range: at most n rows
+    tops = ids.mapInArrow(largest, "place long, top long").groupBy("place").agg(F.max("top").alias("top")).collect()
+    rising = np.array(sorted(r["top"] for r in tops), np.int64)
+    last = len(rising) - 1
 
     def send(batch):
         pack = zstandard.ZstdCompressor(level=1)
@@ -102,15 +118,15 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
         rows.sort(key=lambda r: -r[0])
         digests = [digest(r[2]) for r in rows]
         linked = [unique and a[0] - 1 == b[0] for a, b in zip(rows, rows[1:])] + [False]
-        for k, (at, absent, text) in enumerate(rows):
-            own = len(tops) - 1 - bisect_left(tops[::-1], at)
+        places = last - np.searchsorted(rising, np.array([r[0] for r in rows], np.int64))
+        for k, ((at, absent, text), own) in enumerate(zip(rows, places.tolist(), strict=True)):
             serves = not (k and linked[k - 1])
             result = _edit((at, absent, text, digests[k]), (*rows[k + 1], digests[k + 1])) if linked[k] else (None,) * 6
             data = text.encode("utf-8", "surrogatepass") if serves or not linked[k] else None
             row = (at, absent, None if data is None else pack.compress(data), 0 if data is None else xxhash.xxh3_64_intdigest(data) >> 1)
             yield (own, False, not linked[k], *row, *result)
-            if at == tops[own] and serves:
-                yield ((own - 1) % len(tops), True, False, *row, *(None,) * 6)
+            if at == rising[last - own] and serves:
+                yield ((own - 1) % (last + 1), True, False, *row, *(None,) * 6)
 
     def batched(batches):
         for batch in batches:
@@ -136,7 +152,7 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), RESULT, strict=True)], NAMES[7:])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(batched, ", ".join(f"{n} {t}" for n, t in zip(NAMES, KINDS, strict=True)))
-    rows = rows.repartitionById(max(1, len(tops)), F.col("place")).sortWithinPartitions("extra", F.desc("at"), "ord")
+    rows = rows.repartitionById(max(1, last + 1), F.col("place")).sortWithinPartitions("extra", F.desc("at"), "ord")
     return rows.mapInArrow(pair, ", ".join(f"{n} {t}" for n, t in zip(NAMES[7:], KINDS[7:], strict=True)))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, fingerprint, langid, ngram_join, quality, sentencepiece_viterbi, token_store, toxicity, url_filter
-from .common import shared_dir
+from .common import shared_dir, stored
 
 END_ID = 2
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -47,8 +47,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    groups = fingerprint.exact_groups(docs).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
-    pairs = fingerprint.edited_pairs(docs).join(groups, "doc_id", "left")
+    pairs = stored(fingerprint.edited_pairs(docs), "pairs")
+    groups = fingerprint.exact_groups(docs, prints=pairs.select("doc_id", "fingerprint")).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
+    pairs = pairs.join(groups, "doc_id", "left")
     near = [fingerprint.likeness("fingerprint", f"{x}_fingerprint").alias(f"near_{x}") for x in ("edited", "next")]
     return pairs.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near, "group_id")
 
@@ -71,9 +72,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame(EXTRA_TURNS, "conv_id long, turn long, role string, text string")
     rows = chat_format.format_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra))
-    read = rows.select("conv_id", chat_format.parse(F.col("text")).alias("turns"), chat_format.loss_text(F.col("segments")).alias("loss"), F.length("text").cast("long").alias("formatted_chars"))
+    read = rows.select("conv_id", chat_format.parse(F.col("text")).alias("turns"), chat_format.loss_text(F.col("segments")).alias("loss"), F.length("text").cast("long").alias("formatted_chars"), "valid", "first_bad")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "valid", "first_bad")
 
 
 QUERIES = {
@@ -128,11 +129,17 @@ SQL = {
     "op10_chat_format": f"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-            UNION ALL SELECT * FROM (VALUES {_TURN_ROWS}) AS e(conv_id, turn, role, text))
-        SELECT conv_id, count(*) AS n_turns,
+            UNION ALL SELECT * FROM (VALUES {_TURN_ROWS}) AS e(conv_id, turn, role, text)),
+        placed AS (SELECT *, row_number() OVER w AS n, lag(role) OVER w AS before, lead(role) OVER w IS NULL AS last FROM turns
+            WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+        judged AS (SELECT *, CASE WHEN n = 1 THEN role IN ('system', 'user') WHEN before = 'system' THEN role = 'user' WHEN before = 'user' THEN role = 'assistant'
+            WHEN before = 'assistant' THEN role = 'user' ELSE false END AS allowed FROM placed),
+        runs AS (SELECT conv_id, coalesce(min(n) FILTER (NOT allowed) - 1, max(CASE WHEN last AND role <> 'assistant' THEN n END)) AS first_bad FROM judged GROUP BY conv_id),
+        said AS (SELECT conv_id, count(*) AS n_turns,
             sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
             CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
             sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
             CAST(sum({len(_MARKS.begin) + len(_MARKS.between) + len(_MARKS.end)} + {_escaped_chars('role')} + {_escaped_chars('text')}) AS BIGINT) AS formatted_chars
-        FROM turns GROUP BY conv_id""",
+            FROM turns GROUP BY conv_id)
+        SELECT said.*, first_bad IS NULL AS valid, CAST(first_bad AS BIGINT) AS first_bad FROM said JOIN runs ON said.conv_id IS NOT DISTINCT FROM runs.conv_id""",
 }
