@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import struct
+import time
 import unicodedata
 import zlib
 from itertools import groupby
@@ -131,6 +133,52 @@ def test_region_resolves_like_all_pairs():
         assert all((root[a] == root[b]) == (want[a] == want[b]) for a in range(len(sets)) for b in range(a)), trial
 
 
+@pytest.mark.parametrize(("leaf", "depth"), [(9, 4), (9, 1), (9, 0), (40, 4)])
+def test_large_regions_join_like_all_pairs(spark, monkeypatch, leaf, depth):
+    """Members at all distances from each other, in regions that are cut by Voronoi windows, or block by block."""
+    monkeypatch.setattr(ngram_join, "DEPTH", depth)
+    r = np.random.default_rng(leaf + depth)
+    sets, members = [], []
+    for cell in range(3):
+        for k in range(90):
+            low, size = r.integers(0, [30, 80, 200][cell]), r.integers(8, 30)
+            sets.append(np.setdiff1d(np.arange(low, low + size), r.integers(0, 230, 3)))
+            members.append((str(cell), len(sets) - 1, int(r.integers(0, 1 << 40)), cell == 2 and k % 3 == 0))
+    frame = spark.createDataFrame(members, "region string, doc_id long, rank long, main boolean")
+    tokens = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(sets)], "doc_id long, tokens array<long>")
+    edges, held = ngram_join.regions(frame, tokens, 75, leaf)
+    edges = edges.collect()
+    common.discard(*held)
+    got, want = np.arange(len(sets)), np.arange(len(sets))
+    for _, a, _, main in members:  # members of main are known to be connected
+        if main:
+            got[got == got[a]] = want[want == want[a]] = want[next(b for _, b, _, m in members if m)]
+    for u, v in edges:
+        got[got == got[u]] = got[v]
+    for a in range(len(sets)):
+        for b in range(a - a % 90, a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                want[want == want[a]] = want[b]
+    assert {frozenset(np.flatnonzero(got == x)) for x in got} == {frozenset(np.flatnonzero(want == x)) for x in want}
+
+
+def test_census_rows_do_not_grow_with_partitions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sizes = []
+    for n in ("8", "512"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        rows = ngram_join.census_rows(docs, 50 * ngram_join.BUCKET)
+        sizes.append(rows.agg(F.sum(sum(F.length(c) for c in ("ids", "sizes", "once", "whose", "more")) + 12)).first()[0])
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sizes[0] == sizes[1]
+    # a document's id and size are there once; what is left is its shingles, and its place where it has some
+    tokens = ngram_join.digests(docs).agg(F.sum("n_shingles")).first()[0]
+    assert sizes[0] < 6.5 * tokens + 12 * docs.count() + 64 * 50 * 8
+    assert [ngram_join.census_buckets(n) for n in (0, 1, 1 << 20, 1 << 32, 1 << 40)] == [1, 1, 1, 4096, 1 << 16]
+
+
 def test_jaccard_odd_rows(spark):
     got = sorted(ngram_join.classes(odd_docs(spark)).collect(), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     assert len(got) == len(ODD) + 2
@@ -155,16 +203,20 @@ def test_jaccard_repeated_ids_join_their_sets(spark):
 # --- 2
 
 
-def test_tokens_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("plain", [False, True])
+def test_tokens_round_trip(spark, tmp_path, plain):
+    """As the unmodified library encodes, special tokens' strings included; with plain_specials, as ordinary text."""
     with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
         js = f.read()
     tokenizer = Tokenizer.from_str(js)
-    tokenizer.encode_special_tokens = True
-    texts = [*ODD, "don't we'll I'm,x 'sabc 12a3,b.  <|endoftext|>", *(prose(i, 80) + ",end." for i in range(20))]
+    if plain:
+        tokenizer.encode_special_tokens = True
+    texts = [*ODD, "don't we'll I'm,x 'sabc 12a3,b.  <|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "<|endof text|>", *(prose(i, 80) + ",end." for i in range(20))]
+    texts += ["un\u00a0mot  \u00a0 deux\u2003trois \u3000\u3000fin\u00a0", "\u00a0", "\u2028x\u2029 y\u202f;\u205fz\u1680\u0085!", "x\u200by \u180ez\ufeff", "。中文 ，文本　没有空格" * 5]
     rows = [(i * 7 % 50, t) for i, t in enumerate(texts)] + [(None, "x"), (0, "again")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit("clash")).withColumn("place", F.lit(1)).repartition(5)
     path = str(tmp_path / "t")
-    token_store.write_tokens(docs, path, js, 2)
+    token_store.write_tokens(docs, path, js, 2, **({'plain_specials': True} if plain else {}))
     got = token_store.read_tokens(spark, path).collect()
     enc = lambda t: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
     want = sorted([(-1 if i is None else i, enc(t)) for i, t in rows])
@@ -180,6 +232,41 @@ def test_tokens_round_trip(spark, tmp_path):
     assert all(sums[r["start"]] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in got)
 
 
+def test_words_of_wide_spaces():
+    """Spans begin where a run of Unicode's white space begins, whatever its bytes."""
+    spaces = [chr(c) for c in (0x20, 0x0A, 0x85, 0xA0, 0x1680, 0x2000, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    r = random.Random(4)
+    texts = ["".join(r.choice([*spaces, *"aé語\u200b\u2010\u0084¡"]) for _ in range(r.randint(0, 30))) for _ in range(300)]
+    buf, offsets = byte_view(pa.array(texts))
+    starts, sizes, first = lead_spans(buf, offsets)
+    got = [[buf[s : s + n].tobytes().decode() for s, n in zip(starts[a:b], sizes[a:b])] for a, b in zip(first[:-1], first[1:])]
+    white = "[" + "".join(spaces) + "]"
+    assert got == [re.findall(f"^[^{white[1:-1]}]+|{white}+[^{white[1:-1]}]*", t) for t in texts]
+
+
+def test_memo_is_bounded_by_bytes():
+    memo, r = Memo(np.int64, limit=1 << 20), np.random.default_rng(1)
+    for _ in range(200):
+        h = r.integers(0, 1 << 20, 500).astype(np.uint64)
+        h[:3] = r.integers(1 << 21, 1 << 22, 3)  # a few very long words
+        size = lambda x: np.where(x > 1 << 20, 60_000, x % 90).astype(np.int64)
+        flat, counts = memo.look(h, lambda new: (np.repeat(h[new], size(h[new])).astype(np.int64), size(h[new])))
+        assert np.array_equal(flat, np.repeat(h, size(h)).astype(np.int64)) and np.array_equal(counts, size(h))
+        assert memo.held() < 6 << 20
+
+
+def test_tokens_of_very_long_texts():
+    """A megabyte without white space, one of spaces, and French in wide spaces: as the library, memo small."""
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        js = f.read()
+    tokenizer, encoder = Tokenizer.from_str(js), token_store.Encoder(js)
+    texts = ["日本語の文章" * 60_000, " " * 200_000 + "x", "mot\u00a0" * 100_000, prose(3, 100_000)]
+    flat, counts = encoder.encode(pa.array(texts))
+    for got, text in zip(np.split(flat, np.cumsum(counts)[:-1]), texts, strict=True):
+        assert got.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder.memo.held() < 64 << 20
+
+
 def test_tokens_of_nothing(spark, tmp_path):
     with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
         js = f.read()
@@ -456,6 +543,103 @@ def test_pieces_of_random_strings():
     assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [sp.encode(t) for t in texts]
 
 
+def codec_of(model):
+    return spv.Codec(spv.tables(model)), sentencepiece.SentencePieceProcessor(model_proto=model)
+
+
+def same_as_library(codec, sp, texts):
+    flat, counts = codec.encode(pa.array(texts))
+    for got, text in zip(np.split(flat, np.cumsum(counts)[:-1]), texts, strict=True):
+        assert got.tolist() == sp.encode(text), text[:80]
+    assert codec.decode(flat, counts) == [t.replace("▁", " ") for t in texts]
+
+
+def test_pieces_of_very_long_words(monkeypatch):
+    """Words without a space, of all kinds: as the library, however they are cut; a megabyte takes seconds."""
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        codec, sp = codec_of(f.read())
+    r = random.Random(3)
+    kinds = ["ab", "aeinrstlo", "abcdefghijklmnopqrstuvwxyz", "ABCdef0123+/=", "日本語の中文", "éàüß", "a", "=-", "inging", "aab"]
+    texts = ["".join(r.choice(k) for _ in range(n)) for k in kinds for n in (127, 129, 700, 1281, 1400, 3000)]
+    texts += ["thequickbrownfoxjumpsoverthelazydog" * 200, "x" + "a" * 5001, "supercalifragilisticexpialidocious" * 90, prose(4, 800).replace(" ", "")]
+    same_as_library(codec, sp, texts)
+    for chunk, overlap in ((40, 32), (64, 17)):  # chunks that hardly overlap, or not enough
+        monkeypatch.setattr(spv, "CHUNK", chunk)
+        monkeypatch.setattr(spv, "OVERLAP", overlap)
+        same_as_library(spv.Codec(codec.t), sp, texts)
+    monkeypatch.undo()
+    began = time.perf_counter()
+    same_as_library(codec, sp, ["".join(r.choice("aeinrstlo") for _ in range(1_000_000))])
+    assert time.perf_counter() - began < 60
+
+
+def unigram_model(pieces, **normalizer):
+    """A unigram model in the library's file format, from pieces and their scores (nothing is trained)."""
+
+    def number(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + number(n >> 7)
+
+    def whole(field, data):
+        return number(field << 3 | 2) + number(len(data)) + data
+
+    def entry(piece, score, kind):
+        return whole(1, whole(1, piece.encode()) + number(2 << 3 | 5) + struct.pack("<f", score) + number(3 << 3) + number(kind))
+
+    out = entry("<unk>", 0, 2) + entry("<s>", 0, 3) + entry("</s>", 0, 3) + b"".join(entry(f"<0x{b:02X}>", 0, 6) for b in range(256))
+    out += b"".join(entry(p, s, 1) for p, s in pieces)
+    flags = {3: 1, 4: 0, 5: 1} | normalizer.get("flags", {})
+    spec = whole(1, b"identity") + b"".join(number(k << 3) + number(v) for k, v in flags.items())
+    return out + whole(2, number(3 << 3) + number(normalizer.get("kind", 1)) + number(35 << 3) + number(normalizer.get("fallback", 1))) + whole(3, spec)
+
+
+def test_pieces_of_a_unigram_model(spark):
+    """The path of the greatest score sum, against the library and against all paths."""
+    r = random.Random(9)
+    pieces = {"▁", "▁▁", *"abcdeé語"} | {"".join(r.choice("abcde") for _ in range(r.randint(2, 5))) for _ in range(150)}
+    pieces |= {"▁" + p for p in list(pieces)[:60] if "▁" not in p}
+    model = unigram_model([(p, round(-r.uniform(2, 12), 3)) for p in sorted(pieces)])
+    codec, sp = codec_of(model)
+    texts = ["".join(r.choice("aabbccdde  é語xyz") for _ in range(r.randint(0, 60))) for _ in range(1500)]
+    score = {p: sp.get_score(sp.piece_to_id(p)) for p in pieces}
+    worth = lambda ids: (sum(score[sp.id_to_piece(i)] for i in ids if not sp.is_byte(i)), [i for i in ids if sp.is_byte(i)])
+
+    def alike(got, want):
+        """The same ids, or, where sums are equal but for rounding (the library's begin with the text), as good a path."""
+        (a, x), (b, y) = worth(got), worth(want)
+        return got == want or (abs(a - b) < 1e-3 * max(1, len(want) / 100) and x == y)
+
+    every = [*texts, "a" * 3000, "".join(r.choice("abcdex") for _ in range(40_000)), " " * 50 + "a", "", "▁a"]
+    flat, counts = codec.encode(pa.array(every))
+    found = [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])]
+    assert all(alike(x, sp.encode(t)) for x, t in zip(found, every, strict=True))
+    assert np.mean([x == sp.encode(t) for x, t in zip(found, texts)]) > 0.98
+    assert codec.decode(flat, counts) == [t.replace("▁", " ") for t in every]
+
+    def best(word):
+        value = [0.0]
+        for i in range(1, len(word) + 1):
+            value.append(max(value[j] + score.get(word[j:i], codec.t["unknown"] if i - j == 1 else -np.inf) for j in range(i)))
+        return value[-1]
+
+    for text in texts[:200]:
+        ids = codec.encode(pa.array([text]))[0].tolist()
+        own = sum(score[sp.id_to_piece(i)] for i in ids if not sp.is_byte(i)) + codec.t["unknown"] * sum(c in "xyz" for c in text)
+        assert abs(own - best("▁" + text.replace(" ", "▁"))) < 1e-2 if text else not ids
+    rows = spv.encode(spark.createDataFrame([(i, t) for i, t in enumerate(texts[:50])], "doc_id long, text string"), model).collect()
+    assert all(alike(list(x["piece_ids"]), sp.encode(x["text"])) and x["round_trip"] for x in rows)
+
+
+def test_models_that_are_refused():
+    pieces = [("▁", -2.0), ("a", -3.0), ("▁a", -4.0)]
+    for wrong in ({"kind": 3}, {"kind": 4}, {"fallback": 0}, {"flags": {3: 0}}, {"flags": {4: 1}}, {"flags": {5: 0}}):
+        with pytest.raises(ValueError):
+            spv.tables(unigram_model(pieces, **wrong))
+    codec, _ = codec_of(unigram_model(pieces))
+    for wrong in ([-1], [10**6]):
+        with pytest.raises(IndexError):
+            codec.decode(np.array(wrong), np.array([1]))
+
+
 # --- 10
 
 
@@ -477,5 +661,29 @@ def test_chat(spark):
             n = len(want) if c in (t.begin, t.between, t.end.strip()) else 0
             assert inner.count(c) == n
     assert got[50]["valid"] and not got[51]["valid"] and not got[52]["valid"] and not got[None]["valid"]
+    assert [(got[i]["first_bad"], got[i]["n_turns"]) for i in (50, 51, 52, None)] == [(None, 5), (1, 2), (0, 1), (1, 1)]
     assert chat_format.format_turns(frame.limit(0)).count() == 0
     assert not [n for n in ("Python", "Pandas", "Arrow") if n in out._jdf.queryExecution().executedPlan().toString()]
+
+
+def test_chat_machine_decides(spark):
+    """The machine's moves against a plain run; its states give the loss flags, and the query's plan holds the moves."""
+    from stratalog.llm import queries
+
+    t = chat_format.Template(loss=("assistant", "tool"), follow={"start": ("system", "user"), "system": ("user",), "user": ("assistant", "tool"), "tool": ("assistant", "tool"), "assistant": ("user",)}, final=("assistant", "tool"))
+    r = random.Random(6)
+    chats = [[r.choice(["system", "user", "assistant", "tool", "robot", "start", chat_format.OTHER]) for _ in range(r.randint(1, 6))] for _ in range(150)]
+    chats += [["user", "tool", "tool", "assistant"], ["system", "user", "assistant"], ["user"], ["user", "assistant"] * 300]
+    rows = [(i, k, role, f"<s>{i}") for i, chat in enumerate(chats) for k, role in enumerate(chat)]
+    got = {x["conv_id"]: x for x in chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), t).collect()}
+    for i, chat in enumerate(chats):
+        state, bad = "start", None
+        for k, role in enumerate(chat):
+            if bad is None and (role == "start" or role not in t.follow.get(state, ())):
+                bad = k
+            state = role if role in t.states else None
+        bad = len(chat) if bad is None and chat[-1] not in t.final else bad
+        assert (got[i]["first_bad"], got[i]["valid"]) == (bad, bad is None), chat
+        assert [s["loss"] for s in got[i]["segments"]][3::5] == [role in t.loss for role in chat]
+    plan = queries.op10(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert chat_format.OTHER in plan and "system" in plan and "allowed" in plan
