@@ -60,6 +60,19 @@ def event_fingerprint(event_type: str, version: str, metadata: str, payload: str
     return F.sha2(F.concat_ws("\0", F.col(event_type), F.col(version).cast("string"), F.to_json(F.col(metadata)), F.col(payload)), 256)
 
 
+def content_of(event_type: str, version: int, codec: str, metadata: dict[str, bytes], payload: bytes) -> str:
+    """Equality key of an event's content: the same as content_column, on the driver."""
+    held = ",".join(sorted(f"{k}={v.hex()}" for k, v in metadata.items()))
+    return hashlib.sha256("\0".join((event_type, str(version), codec, held, payload.hex())).encode()).hexdigest()
+
+
+def content_column() -> Column:
+    """Equality key of an event's content, from the log's columns."""
+    entries = F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), F.lower(F.hex(e["value"])))))
+    held = F.coalesce(F.array_join(entries, ","), F.lit(""))
+    return F.sha2(F.concat_ws("\0", "event_type", F.col("schema_version").cast("string"), "codec", held, F.lower(F.hex("payload"))), 256)
+
+
 def millis(nanos: Column) -> Column:
     """Whole milliseconds; negative times clamp to 0."""
     whole = F.greatest(nanos, F.lit(0))

@@ -77,17 +77,42 @@ def block_digest(log: DataFrame, block: int = 1000) -> DataFrame:
 
 
 def prefix_count(log: DataFrame, marker: Column, block: int = 4096) -> DataFrame:
-    """Adds `before`: how many rows with a smaller position are markers.  Two levels, so that no task sees all rows."""
+    """Adds `before`: how many rows with a smaller position are markers.  Three levels, so that no task sees all rows (the
+    last one has a row for each block of blocks, 16 million positions by default).
+
+    `log` is read more than once and must give the same positions each time; a row whose block has no sum, which can only
+    be if it doesn't, is an error.
+    """
     from pyspark.sql import Window
 
     rows = log.withColumn("__block", F.floor(F.col("position") / block)).withColumn("__mark", marker.cast("long"))
     sums = rows.groupBy("__block").agg(F.sum("__mark").alias("__sum"))
-    # blocks are numbered: earlier blocks' sums by a second level of blocks
     sums = sums.withColumn("__top", F.floor(F.col("__block") / block))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    running = lambda c, w: F.coalesce(F.sum(c).over(earlier(w)), F.lit(0))
     tops = sums.groupBy("__top").agg(F.sum("__sum").alias("__t"))
-    listed = tops.agg(F.array_sort(F.collect_list(F.struct("__top", "__t"))).alias("__all"))
-    within = Window.partitionBy("__top").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.crossJoin(F.broadcast(listed)).withColumn("__base", F.coalesce(F.sum("__sum").over(within), F.lit(0)) + F.expr("aggregate(filter(__all, x -> x.__top < __top), 0L, (a, x) -> a + x.__t)")).select("__block", "__base")
-    inside = Window.partitionBy("__block").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.join(base, "__block").withColumn("before", F.col("__base") + F.coalesce(F.sum("__mark").over(inside), F.lit(0)))
+    tops = tops.select("__top", running("__t", Window.orderBy("__top")).alias("__above"))
+    within = Window.partitionBy("__top").orderBy("__block")
+    base = sums.join(tops, "__top").select("__block", (F.col("__above") + running("__sum", within)).alias("__base"))
+    out = rows.join(base, "__block", "left")
+    lost = F.raise_error(F.lit("prefix_count: the rows changed between two reads")).cast("long")
+    out = out.withColumn("__base", F.when(F.col("__base").isNull(), lost).otherwise(F.col("__base")))
+    out = out.withColumn("before", F.col("__base") + running("__mark", Window.partitionBy("__block").orderBy("position")))
     return out.drop("__block", "__mark", "__base")
+
+
+def running_number(log: DataFrame, keys: list[str], block: int = 1 << 16) -> DataFrame:
+    """Adds `number`: how many rows of the same keys have a smaller position.  Rows are numbered inside blocks of positions,
+    and blocks add up, so that a key which a third of all rows has doesn't come to one task."""
+    from pyspark.sql import Window
+
+    rows = log.withColumn("__block", F.floor(F.col("position") / block))
+    sums = rows.groupBy(*keys, "__block").agg(F.count("*").alias("__sum"))
+    earlier = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__block").alias("__at"), F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"))
+    inside = F.row_number().over(Window.partitionBy("__block", *keys).orderBy("position")) - 1
+    same = F.col("__block") == F.col("__at")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    out = rows.withColumn("__inside", inside).join(base, same)
+    return out.withColumn("number", F.col("__base") + F.col("__inside")).drop("__block", "__at", "__base", "__inside", *(f"__{k}" for k in keys))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import OffsetBeyondHeadError, PositionUnavailableError
-from ..functions.ids import partition_of
+from ..functions.ids import content_column, partition_of
 from ..limits import PARTITIONS, span
 from .catalog import Catalog
 
@@ -56,6 +56,8 @@ class ReplayPlan:
     times: tuple[int | None, int | None] = (None, None)
     types: Sequence[str] = ()
     max_events: int | None = None
+    #: Hash each event's content again while reading; an event that was changed is an error.
+    verify: bool = False
 
     def first(self) -> int:
         return self.start if self.after is None else max(self.start, self.after + 1)
@@ -92,6 +94,9 @@ def compile_plan(plan: ReplayPlan, log: DataFrame, catalog: Catalog, head: int,
     if plan.types:
         wanted.append(F.col("event_type").isin(*plan.types))
     out = log.where(reduce(Column.__and__, wanted))
+    if plan.verify:
+        changed = F.raise_error(F.concat(F.lit("the content of the event at position "), F.col("position"), F.lit(" was changed"))).cast("boolean")
+        out = out.where(F.when(F.col("content") == content_column(), True).otherwise(changed))
     if plan.max_events is not None:
         return out.orderBy("position").limit(plan.max_events)
     return out.orderBy("position") if ordered else out

@@ -16,7 +16,8 @@ from ..operators.folds import prefix_count
 from ..plans.catalog import ROOT, Branch, Catalog
 from .store import LogStore
 
-FORK = "__salamander_fork__"
+#: The key of a JSON fork marker: two underscores, the name of the log that made it, and this ending.
+FORK = re.compile("__[A-Za-z0-9]+_fork__")
 FORKED_FROM = "forked_from="
 
 
@@ -53,7 +54,8 @@ def fork_of(body: str) -> tuple[str, int] | None:
         return None
     if not isinstance(value, dict):
         return None
-    if isinstance(mark := value.get(FORK), dict):
+    mark = next((v for k, v in value.items() if FORK.fullmatch(k)), None)
+    if isinstance(mark, dict):
         parent, at = mark.get("parent"), mark.get("at")
         return (parent, at) if isinstance(parent, str) and type(at) is int and at >= 0 else None
     text = value.get("config_hash")
@@ -65,7 +67,7 @@ def fork_of(body: str) -> tuple[str, int] | None:
 
 def forks_of(rows: DataFrame) -> list[Fork]:
     """All fork markers of the source by offset, checked.  As branches, they are as many as the driver's catalog holds."""
-    named = F.get_json_object("body", f"$.{FORK}").isNotNull() | F.get_json_object("body", "$.config_hash").startswith(FORKED_FROM)
+    named = F.col("body").rlike(f'"{FORK.pattern}"') | F.get_json_object("body", "$.config_hash").startswith(FORKED_FROM)
     some = rows.where(named).select("offset", "namespace", "body").orderBy("offset")
     forks = [Fork(r["namespace"], *mark, r["offset"]) for r in some.toLocalIterator() if (mark := fork_of(r["body"]))]
     children, known = {f.child for f in forks}, set()
@@ -104,7 +106,7 @@ def branches_of(rows: DataFrame, forks: list[Fork], source: str, marker: str) ->
     ids, canonical, out, now = {}, {}, [], time.time_ns()
     for f in forks:
         ids[f.child], canonical[f.child] = import_id(source, f.offset), canonical.get(f.parent, f.parent)
-        metadata = {"salamander.legacy_stream": f.child.encode(), "session_stream": canonical[f.child].encode()}
+        metadata = {"legacy_stream": f.child.encode(), "session_stream": canonical[f.child].encode()}
         out.append(Branch(ids[f.child], f.child, ids.get(f.parent, ROOT), f.at - before[f.offset], now, "active", metadata))
     Catalog(out)  # all checks, before anything is written
     return out
@@ -128,8 +130,8 @@ def source_rows(rows: DataFrame, marker: str | None = None, forks: list[Fork] |
 
 
 def run(store: LogStore, rows: DataFrame, marker: str | None = None) -> ImportReport:
-    """Imports into an empty log, in one commit; branches follow with the record that the import is done, in one entry.
-    A run that was broken off before the commit left nothing, and is run again; events without that record are refused."""
+    """Imports into an empty log, in one entry: the events, the branches, and the record that the import is done.  A run that
+    was broken off left nothing, and is run again; events without that record are refused."""
     if store.head:
         done = [r for r in store.state.system if r["type"] == "imported"]
         if not done:
@@ -138,9 +140,9 @@ def run(store: LogStore, rows: DataFrame, marker: str | None = None) -> ImportRe
     total, source = rows.count(), source_id(rows)
     forks = [] if marker is None else forks_of(rows)
     branches = [] if marker is None else branches_of(rows, forks, source, marker)
-    head = store.append_frame(source_rows(rows, marker, forks, source))
     made = [{"type": "branch.created", "branch": {**asdict(b), "metadata": {k: v.hex() for k, v in b.metadata.items()}}} for b in branches]
-    store.record(*made, {"type": "imported", "events": head, "skipped": total - head})
+    finish = lambda events: [*made, {"type": "imported", "events": events, "skipped": total - events}]
+    head = store.append_frame(source_rows(rows, marker, forks, source), records=finish, expected=total if marker is None else None)
     return ImportReport(head, total - head, head)
 
 

@@ -8,7 +8,9 @@ before it.  Branches, views and consumers are system records inside the entries.
 from __future__ import annotations
 
 import json
+import re
 import time
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from hashlib import sha256
 
@@ -16,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import BatchIdConflictError, BranchArchivedError, CodecError, EventIdConflictError, IdempotencyConflictError, InvalidArgumentError, ManifestError, NotBatchBoundaryError, OffsetBeyondHeadError, PositionUnavailableError, RevisionConflictError, UnsupportedFormatError
-from ..functions.ids import fingerprint, new_id, parse_id, stream_id, stream_id_of
+from ..errors import BatchIdConflictError, BranchArchivedError, CodecError, EventIdConflictError, IdempotencyConflictError, InvalidArgumentError, IoError, ManifestError, NotBatchBoundaryError, OffsetBeyondHeadError, PositionUnavailableError, RevisionConflictError, UnsupportedFormatError
+from ..functions.ids import content_column, content_of, fingerprint, new_id, parse_id, stream_id, stream_id_of
 from ..limits import BATCH_BYTES, BATCH_EVENTS, EVENT_TYPE_BYTES, IDEMPOTENCY_KEY_BYTES, METADATA_ENTRIES, METADATA_KEY_BYTES, METADATA_VALUE_BYTES, PAYLOAD_BYTES, RESERVED_PREFIX, STREAM_NAME_BYTES, name, within
 from ..operators.retention import Segment
 from ..plans.catalog import Branch, Catalog
@@ -27,6 +29,8 @@ FORMAT = 1
 CHECKPOINT_EVERY = 64
 #: Bytes of a file that compact() aims at.
 FILE_BYTES = 128 << 20
+#: So many small files at the log's end are joined by the commit that finds them.
+ROLL_FILES = 256
 LOG = T.StructType(
     [T.StructField(n, t) for n, t in (("position", T.LongType()), ("ts_nanos", T.LongType()), ("event_id", T.StringType()), ("database_id", T.StringType()), ("branch_id", T.StringType()), ("stream_id", T.StringType()), ("stream_name", T.StringType()), ("stream_revision", T.LongType()), ("batch_id", T.StringType()), ("batch_index", T.LongType()), ("event_type", T.StringType()), ("schema_version", T.LongType()), ("codec", T.StringType()), ("metadata", T.MapType(T.StringType(), T.BinaryType())), ("payload", T.BinaryType()), ("body", T.StringType()), ("idempotency_key", T.StringType()), ("request", T.StringType()), ("content", T.StringType()))]
 )
@@ -152,8 +156,7 @@ class LogStore:
         """Durable system records.  Whatever is buffered is committed first, as they may name its positions."""
         self.commit()
         self._publish({"system": list(records)})
-        for r in records:
-            self._fold(self.catalog, r)
+        self._folded(list(records))
 
     def refresh(self) -> None:
         """For a reader: takes what a writer has published since."""
@@ -186,6 +189,13 @@ class LogStore:
             out = out.unionByName(self.spark.createDataFrame([tuple(r[c] for c in LOG.names) for r in self.buffer], LOG))
         return out
 
+    def window_end(self, start: int, until: int, events: int) -> int:
+        """The end of the first whole files from `start` on that hold so many positions; files hold whole batches."""
+        for f in self.state.files:
+            if f["end"] >= start + events:
+                return min(f["end"], until)
+        return until
+
     def segments(self) -> list[Segment]:
         return [Segment(f["base"], f["end"], f["bytes"], f["path"]) for f in self.state.files]
 
@@ -195,8 +205,8 @@ class LogStore:
         if key not in self.revisions:
             mine = (F.col("branch_id") == branch) & (F.col("stream_name") == stream)
             found = [self.log(durable_only=True).where(mine).agg(F.max("stream_revision")).first()[0]]
-            if self.files.exists("anchor/streams"):
-                found.append(self.spark.read.parquet(f"{self.path}/anchor/streams").where(mine).agg(F.max("revision")).first()[0])
+            if self._anchor_path():
+                found.append(self._anchor().where(mine).agg(F.max("__rev")).first()[0])
             self.revisions[key] = max((x for x in found if x is not None), default=None)
         return self.revisions[key]
 
@@ -281,7 +291,7 @@ class LogStore:
             raise CodecError(f"codec {codec}")
         within("payload bytes", len(payload), PAYLOAD_BYTES)
         given = event.get("event_id")
-        content = fingerprint(kind, version, sorted(metadata.items()), codec, payload)
+        content = content_of(kind, version, codec, metadata, payload)
         return {"event_id": None if given is None else parse_id(given), "event_type": kind, "schema_version": version, "codec": codec, "metadata": metadata, "payload": bytearray(payload), "body": body, "content": content}
 
     def _find(self, column, test) -> list:
@@ -310,6 +320,13 @@ class LogStore:
             self._write(rows, path)
             self._publish({"files": [{"path": path, "base": base, "end": end, "bytes": self.files.bytes_of(path)}]})
             self.buffer, self.held = [], 0
+            small = 0
+            for f in reversed(self.state.files):
+                if f["bytes"] >= FILE_BYTES // 4:
+                    break
+                small += 1
+            if small >= ROLL_FILES:
+                self.compact(keep=True)  # a lazy read may still name the old files; vacuum() deletes them
         self.since = time.monotonic()
         return self.durable_head
 
@@ -317,39 +334,98 @@ class LogStore:
         writer = rows.write.option("parquet.bloom.filter.enabled#event_id", "true").option("parquet.bloom.filter.enabled#stream_name", "true").option("parquet.bloom.filter.enabled#idempotency_key", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
         writer.parquet(f"{self.path}/{path}")
 
-    def append_frame(self, rows: DataFrame, branch: str = "main") -> int:
+    def append_frame(self, rows: DataFrame, branch: str = "main", records: Callable[[int], list[dict]] | None = None, expected: int | None = None) -> int:
         """Bulk load: rows (stream_name, event_type, body JSON text, and an `ord` to order them by) become one commit.
 
-        Positions and revisions are dealt out in parallel: ranges of `ord`, their counts, then offsets.  Returns the head.
-        Rows may bring a branch_id each (else all are on `branch`), and an event_id, which is their batch's id, too.
+        The rows are written once, in ranges of `ord`; their places in those files are their positions, so nothing that is
+        planned twice can number them differently.  Nothing is published unless there are as many rows as the source has
+        (`expected`, if it is known) and every position occurs once.  Returns the head.  Rows may bring a branch_id each
+        (else all are on `branch`), and an event_id, which is their batch's id, too; other rows come in batches of
+        BATCH_EVENTS.  `records` makes system records of the number of events, published in the same entry.
         """
-        from ..operators.folds import prefix_count
-        from pyspark.sql import Window
+        from ..operators.folds import running_number
 
         self.commit()
-        base = self.head
+        base, tag = self.head, new_id()[:8]
         if "branch_id" not in rows.columns:
             rows = rows.withColumn("branch_id", F.lit(branch))
         own = "event_id" in rows.columns
-        ranked = rows.repartitionByRange("ord").sortWithinPartitions("ord").withColumn("__id", F.monotonically_increasing_id())
-        numbered = prefix_count(ranked.withColumn("position", F.col("__id")), F.lit(True)).withColumn("position", F.col("before") + base)
+        rows = rows.select("ord", "branch_id", "stream_name", "event_type", "body", *(["event_id"] if own else []))
+        aside, path = f"staging/{tag}", f"data/{base:020d}-{tag}"
+        rows.repartitionByRange("ord").sortWithinPartitions("ord").write.parquet(f"{self.path}/{aside}")
+        there = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{aside}")
+        parts = self._parts(there.select("ord", F.col("_metadata.file_name").alias("file")), "ord")
+        starts, count, last = [], 0, None
+        for file, low, high, n in parts:
+            if last is not None and low < last:
+                raise IoError("the ranges of a bulk load overlap")
+            starts.append((file, base + count, len(starts)))
+            count, last = count + n, high
+        if count != (rows.count() if expected is None else expected):
+            raise IoError(f"a bulk load wrote {count} rows, its source has another number")
+        system = records(count) if records else []
+        if not count:
+            self.files.delete(aside)
+            if system:
+                self._publish({"system": system})
+                self._folded(system)
+            return self.head
+        offsets = self.spark.createDataFrame(starts, "__file string, __base long, __place int")
+        placed = there.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row")).join(F.broadcast(offsets), "__file")
+        placed = placed.withColumn("position", F.col("__base") + F.col("__row")).drop("ord", "__file", "__base", "__row", "__place")
         known = self.log(durable_only=True).groupBy("branch_id", "stream_name").agg(F.max("stream_revision").alias("__rev"))
-        number = F.row_number().over(Window.partitionBy("branch_id", "stream_name").orderBy("position"))
-        numbered = numbered.join(known, ["branch_id", "stream_name"], "left").withColumn("stream_revision", F.coalesce("__rev", F.lit(-1)) + number)
-        batch, now = new_id(), time.time_ns() // 1_000_000 * 1_000_000
+        if self._anchor_path():
+            known = known.union(self._anchor()).groupBy("branch_id", "stream_name").agg(F.max("__rev").alias("__rev"))
+        numbered = running_number(placed, ["branch_id", "stream_name"])
+        if base:
+            numbered = numbered.join(known, ["branch_id", "stream_name"], "left")
+        else:
+            numbered = numbered.withColumn("__rev", F.lit(None).cast("long"))
+        numbered = numbered.withColumn("stream_revision", F.coalesce("__rev", F.lit(-1)) + F.col("number") + 1)
+        now, at = time.time_ns() // 1_000_000 * 1_000_000, F.col("position") - base
+        hashed = lambda *c: F.substring(F.sha2(F.concat_ws("/", F.lit(new), *c), 256), 1, 32)
+        new = new_id()
         made = {
-            "ts_nanos": F.lit(now), "event_id": F.col("event_id") if own else F.substring(F.sha2(F.concat_ws("/", F.lit(batch), "position"), 256), 1, 32), "database_id": F.lit(self.database_id), "stream_id": stream_id(F.lit(self.database_id), F.col("branch_id"), F.col("stream_name")),
-            "batch_id": F.col("event_id") if own else F.lit(batch), "batch_index": F.lit(0) if own else F.col("position") - base, "schema_version": F.lit(1), "codec": F.lit("json"), "metadata": F.create_map().cast("map<string,binary>"), "payload": F.col("body").cast("binary"), "idempotency_key": F.lit(None), "request": F.lit(None), "content": F.sha2(F.concat_ws("\0", "event_type", "body"), 256),
+            "ts_nanos": F.lit(now), "event_id": F.col("event_id") if own else hashed("position"), "database_id": F.lit(self.database_id), "stream_id": stream_id(F.lit(self.database_id), F.col("branch_id"), F.col("stream_name")),
+            "batch_id": F.col("event_id") if own else hashed(F.lit("batch"), F.floor(at / BATCH_EVENTS)), "batch_index": F.lit(0) if own else F.pmod(at, F.lit(BATCH_EVENTS)), "schema_version": F.lit(1), "codec": F.lit("json"), "metadata": F.create_map().cast("map<string,binary>"), "payload": F.col("body").cast("binary"), "idempotency_key": F.lit(None), "request": F.lit(None),
         }
-        full = numbered.withColumns(made).select(*(F.col(f.name).cast(f.dataType) for f in LOG))
-        path = f"data/{base:020d}-{new_id()[:8]}"
-        self._write(full.repartitionByRange("position").sortWithinPartitions("position"), path)
-        count = self.spark.read.schema(LOG).parquet(f"{self.path}/{path}").count()
-        if count:
-            self._publish({"files": [{"path": path, "base": base, "end": base + count, "bytes": self.files.bytes_of(path)}]})
+        # each file holds whole batches
+        per = -(-count // (len(starts) * BATCH_EVENTS)) * BATCH_EVENTS
+        numbered = numbered.withColumn("__place", F.floor(at / per).cast("int"))
+        full = numbered.withColumns(made).withColumn("content", content_column()).select("__place", *(F.col(f.name).cast(f.dataType) for f in LOG))
+        self._write(full.repartitionById(len(starts), F.col("__place")).drop("__place").sortWithinPartitions("position"), path)
+        written = self.spark.read.schema(LOG).parquet(f"{self.path}/{path}").select("position", F.col("_metadata.file_name").alias("file"))
+        digest = lambda c: F.bit_xor(F.xxhash64(c))
+        got = written.agg(F.count("*"), F.min("position"), F.max("position"), digest("position")).first()
+        want = self.spark.range(base, base + count).agg(digest("id")).first()[0]
+        if tuple(got) != (count, base, base + count - 1, want):
+            raise IoError(f"a bulk load of {count} rows wrote {got[0]} positions from {got[1]} to {got[2]}, not each once")
+        files, at = [], base
+        for file, low, high, n in self._parts(written, "position"):
+            if low != at or high != at + n - 1:
+                raise IoError("the files of a bulk load aren't in the order of their positions")
+            files.append({"path": f"{path}/{file}", "base": low, "end": high + 1, "bytes": self.files.bytes_of(f"{path}/{file}")})
+            at = high + 1
+        self._publish({"files": files, **({"system": system} if system else {})})
+        self._folded(system)
+        self.files.delete(aside)
         self.revisions.clear()
         return self.head
 
+    @staticmethod
+    def _parts(rows: DataFrame, order: str) -> list[tuple]:
+        """(file, least, greatest, number of rows) of each part file, in order: one row a file."""
+        found = rows.groupBy("file").agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count("*").alias("n")).collect()
+        return sorted(((r["file"], r["low"], r["high"], r["n"]) for r in found), key=lambda x: [int(n) for n in re.match(r"part-(\d+).*?c(\d+)", x[0]).groups()])
+
+    def _folded(self, records: list[dict]) -> None:
+        for r in records:
+            self._fold(self.catalog, r)
+
+    def _anchor(self) -> DataFrame:
+        """branch_id, stream_name, __rev of events that retention has deleted."""
+        return self.spark.read.parquet(f"{self.path}/{self._anchor_path()}").select("branch_id", "stream_name", F.col("revision").alias("__rev"))
+
     # --- branches, retention, upkeep
 
     def fork(self, parent: str, at: int, branch_name: str, metadata: dict[str, bytes] | None = None) -> Branch:
@@ -381,18 +457,28 @@ class LogStore:
             self.files.delete(f["path"])
         return sum(f["bytes"] for f in gone)
 
+    def _anchor_path(self) -> str | None:
+        """The newest whole anchor: one that a writer left half-way has no _SUCCESS and is passed over."""
+        whole = [n for n in self.files.names("anchor") if self.files.exists(f"anchor/{n}/_SUCCESS")]
+        return f"anchor/{whole[-1]}" if whole else None
+
     def write_anchor(self) -> None:
-        """The last revision of every stream, so that revisions go on when old events are gone."""
-        rows = self.log().groupBy("branch_id", "stream_name").agg(F.max("stream_revision").alias("revision"))
-        if self.files.exists("anchor/streams"):
-            rows = rows.union(self.spark.read.parquet(f"{self.path}/anchor/streams")).groupBy("branch_id", "stream_name").agg(F.max("revision").alias("revision"))
-        rows.write.mode("overwrite").parquet(f"{self.path}/anchor/next")
-        self.files.delete("anchor/streams")
-        self.files.fs.rename(self.files._path("anchor/next"), self.files._path("anchor/streams"))
-
-    def compact(self, target: int = FILE_BYTES) -> int:
-        """Joins neighbouring small files; the number of files that went."""
-        self.commit()
+        """The last revision of every stream, so that revisions go on when old events are gone.  Each anchor is a folder of
+        its own, named in rising order; the one before is deleted only when the new one is whole."""
+        rows = self.log().groupBy("branch_id", "stream_name").agg(F.max("stream_revision").alias("__rev"))
+        before = self.files.names("anchor")
+        if self._anchor_path():
+            rows = rows.union(self._anchor()).groupBy("branch_id", "stream_name").agg(F.max("__rev").alias("__rev"))
+        made = f"anchor/{self.entry:012d}-{time.time_ns():020d}"
+        rows.withColumnRenamed("__rev", "revision").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.path}/{made}")
+        for old in before:
+            self.files.delete(f"anchor/{old}")
+
+    def compact(self, target: int = FILE_BYTES, keep: bool = False) -> int:
+        """Joins neighbouring small files, up to `target` bytes a new file (one task each); the number of files that went.
+        With `keep`, the old files stay on disk until vacuum()."""
+        if not keep:
+            self.commit()
         groups: list[list[dict]] = [[]]
         for f in self.state.files:
             if groups[-1] and sum(x["bytes"] for x in groups[-1]) + f["bytes"] > target:
@@ -406,22 +492,29 @@ class LogStore:
             new.append({"path": path, "base": g[0]["base"], "end": g[-1]["end"], "bytes": self.files.bytes_of(path)})
         if new:
             self._publish({"swap": {"old": [f["path"] for g in old for f in g], "new": new}})
-            for g in old:
-                for f in g:
-                    self.files.delete(f["path"])
+            for f in [] if keep else [f for g in old for f in g]:
+                self.files.delete(f["path"])
         return sum(map(len, old)) - len(new)
 
     def verify(self) -> dict[str, int]:
-        """Faults in the whole log: positions that are missing or repeated, batches with gaps, streams with gaps."""
+        """Events, and faults in the whole log: positions that are missing or repeated or other than the manifest says, batches
+        with gaps, streams with gaps."""
         log = self.log(durable_only=True)
         positions = log.agg(F.count("*").alias("n"), F.count_distinct("position").alias("d"), F.min("position").alias("lo"), F.max("position").alias("hi")).first()
         gaps = lambda keys, order, first: log.groupBy(*keys).agg(F.count("*").alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")).where((F.col("hi") - F.col("lo") + 1 != F.col("n")) | (F.col("lo") != first if first is not None else F.lit(False))).count()
-        return {"events": positions["n"], "positions": 0 if not positions["n"] else positions["hi"] - positions["lo"] + 1 - positions["d"] + positions["n"] - positions["d"], "batches": gaps(["batch_id"], "batch_index", 0), "streams": gaps(["branch_id", "stream_name"], "stream_revision", None if self.floor else 0)}
+        there = positions["n"] or 0
+        absent = 0 if not there else positions["hi"] - positions["lo"] + 1 - positions["d"]
+        begin = self.state.files[0]["base"] if self.state.files else self.durable_head
+        wrong = abs(self.durable_head - begin - there) + (there > 0 and (positions["lo"], positions["hi"]) != (begin, self.durable_head - 1))
+        return {"events": there, "positions": max(absent + there - positions["d"], wrong), "batches": gaps(["batch_id"], "batch_index", 0), "streams": gaps(["branch_id", "stream_name"], "stream_revision", None if self.floor else 0)}
 
     def vacuum(self) -> list[str]:
         """Deletes data that no manifest entry names (left by writers that died)."""
-        named = {f["path"] for f in self.state.files}
-        orphans = [f"data/{n}" for n in self.files.names("data") if f"data/{n}" not in named]
+        named = {f["path"] for f in self.state.files} | {"/".join(f["path"].split("/")[:2]) for f in self.state.files}
+        orphans = [f"{place}/{n}" for place in ("data", "staging") for n in self.files.names(place) if f"{place}/{n}" not in named]
+        # files of a bulk load that were joined with others
+        for folder in sorted({f["path"].rpartition("/")[0] for f in self.state.files if f["path"].count("/") > 1}):
+            orphans += [f"{folder}/{n}" for n in self.files.names(folder) if n.startswith("part-") and f"{folder}/{n}" not in named]
         for o in orphans:
             self.files.delete(o)
         return orphans

@@ -63,7 +63,7 @@ def test_import(spark, tmp_path, capsys):
 
 def test_import_of_forks(spark, tmp_path):
     """Two markers of either form, a fork of a fork, and a record of the marker's type that names no fork."""
-    mark = lambda parent, at: json.dumps({"__salamander_fork__": {"parent": parent, "at": at}})
+    mark = lambda parent, at: json.dumps({"__old_fork__": {"parent": parent, "at": at}})
     bodies = [("s", "0"), ("s", "1"), ("other", mark("s", "1")), ("t", mark("s", 2)), ("s", "4"), ("t", "5"), ("x", '"branch.marker"'), ("u", json.dumps({"kind": "SessionStarted", "config_hash": "forked_from=t@6"})), ("u", "8"), ("t", "9"), ("u", "10"), ("s", "11")]
     rows = spark.createDataFrame([(i, n, "branch.marker" if n == "x" else "t", b) for i, (n, b) in enumerate(bodies)], "offset long, namespace string, event_type string, body string")
     seen = []
@@ -74,7 +74,7 @@ def test_import_of_forks(spark, tmp_path):
         t, u = (store.catalog.named(n) for n in "tu")
         # offsets 0 1 2 4 5 8 9 10 11 are positions 0 to 8 now; the marker at 3 lies before u's fork at 6
         assert (t.parent, t.fork_position, u.parent, u.fork_position) == ("main", 2, t.id, 5)
-        assert u.metadata == {"salamander.legacy_stream": b"u", "session_stream": b"s"}
+        assert u.metadata == {"legacy_stream": b"u", "session_stream": b"s"}
         log = sorted(store.log().select("position", "branch_id", "stream_name", "stream_revision", "event_id").collect())
         names = {b.id: b.name for b in store.catalog.by_id.values()}
         assert [(names[r[1]], *r[2:4]) for r in log] == [("main", "s", 0), ("main", "s", 1), ("main", "other", 0), ("main", "s", 2), ("t", "s", 0), ("u", "s", 0), ("t", "s", 1), ("u", "s", 1), ("main", "s", 3)]
