@@ -7,19 +7,19 @@ import json
 import threading
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from dataclasses import asdict
+from dataclasses import asdict, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import CancelledError, ClosedError, ConflictError, InvalidArgumentError, NotFoundError, PositionUnavailableError, RuntimeMissingError
+from .errors import CancelledError, ClosedError, ConflictError, EngineError, InvalidArgumentError, NotFoundError, PositionUnavailableError, RuntimeMissingError
 from .functions.ids import fingerprint, new_id
 from .functions.json_fields import index_key_of
 from .limits import BOOTSTRAP_BYTES, BRANCH_NAME_BYTES, CONSUMER_ID_BYTES, PAGE_BYTES, PAGE_EVENTS, PARTITIONS, name, span, within
 from .operators import retention as R
 from .operators.folds import last_writer_wins
-from .operators.views import IndexedView, ViewDefinition
+from .operators.views import IndexedView, LayeredView, ViewDefinition, state_digest, store_state
 from .plans.catalog import Branch
 from .plans.replay import PartitionClass, ReplayPlan, StreamSet, check_window, compile_plan
 from .plans.replay import diff as plan_diff
@@ -28,6 +28,8 @@ from .streaming.feed import FeedFilter, delivered, page_of
 
 SNAPSHOTS_KEPT = 2
 POLL_SECONDS = 0.05
+#: Events since a view's newest stored state from which on a query stores a new one; fewer are folded for each query.
+MATERIALISE = 50_000
 
 
 def row_of(r: Any) -> dict[str, Any]:
@@ -57,8 +59,7 @@ class Reader:
             raise CancelledError("the reader was cancelled")
         if self.state == "closed":
             raise NotFoundError("the reader is closed")
-        plan = ReplayPlan(self.plan.branch, self.continuation, None, self.until, self.plan.streams, self.plan.times, self.plan.types, self.page_events + 1)
-        rows = self.db.frame(plan).collect()
+        rows = self.db.some(replace(self.plan, start=self.continuation, after=None, until=self.until), self.page_events + 1)
         taken = page_of([(1, size_of(r)) for r in rows], self.page_events, self.page_bytes)
         self.continuation = rows[taken]["position"] if taken < len(rows) else self.until
         return {"records": [row_of(r) for r in rows[:taken]], "continuation": self.continuation, "done": self.continuation >= self.until}
@@ -91,17 +92,25 @@ class Watch(Iterator[dict[str, Any]]):
         head = self.db.store.durable_head
         if self.position >= head:
             return []
-        log = self.db.store.log(True, self.position, head)
-        rows = delivered(log, self.position, head, self.wanted).orderBy("position").limit(PAGE_EVENTS + 1).collect()
+        rows: list[Any] = []
+        end, events = self.position, PAGE_EVENTS
+        while end < head and len(rows) <= PAGE_EVENTS:  # whole files, twice as many positions each time
+            start, end = end, self.db.store.window_end(end, head, events)
+            log = self.db.store.log(True, start, end)
+            rows += delivered(log, start, end, self.wanted).orderBy("position").limit(PAGE_EVENTS + 1 - len(rows)).collect()
+            events *= 2
+        cut = len(rows) > PAGE_EVENTS
+        if cut and rows[0]["batch_id"] == rows[-1]["batch_id"]:  # one batch beyond a page's events: it comes whole
+            log = self.db.store.log(True, rows[0]["position"], head)
+            rows = log.where(F.col("batch_id") == rows[0]["batch_id"]).orderBy("position").collect()
         found: dict[str, list] = {}
         for r in rows:
             found.setdefault(r["batch_id"], []).append(r)
         groups = builtins.list(found.values())
-        if len(rows) > PAGE_EVENTS and len(groups) > 1:
+        if cut and len(groups) > 1:
             groups.pop()  # may be incomplete
         taken = page_of([(1, sum(map(size_of, g))) for g in groups], self.page_batches, self.page_bytes)
-        whole = taken == len(groups) and len(rows) <= PAGE_EVENTS
-        self.position = head if whole else groups[taken - 1][-1]["position"] + 1
+        self.position = end if taken == len(groups) and not cut else groups[taken - 1][-1]["position"] + 1
         return [row_of(r) for g in groups[:taken] for r in g if self.namespace is None or r["stream_name"] == self.namespace]
 
     def __next__(self) -> dict[str, Any]:
@@ -157,24 +166,36 @@ class View:
             return self.db.cache[self.name][1]
         return self.db.indexed(self.name)
 
-    def _values(self, rows: DataFrame) -> builtins.list[Any]:
-        return [json.loads(r["value"]) for r in rows.select("value").collect()]
+    def _ask(self, query: Callable[[IndexedView], DataFrame], columns: Sequence[str] = ("value",)) -> builtins.list[Any]:
+        """A view whose fold fails is marked as failed and raises; appends and other views go on."""
+        try:
+            rows = query(self._now).select(*columns).collect()
+        except EngineError:
+            raise
+        except Exception as e:
+            self.db.failed[self.name] = str(e)
+            raise
+        self.db.failed.pop(self.name, None)
+        return rows
+
+    def _values(self, query: Callable[[IndexedView], DataFrame]) -> builtins.list[Any]:
+        return [json.loads(r["value"]) for r in self._ask(query)]
 
     def get(self, key: str) -> Any:
-        found = self._values(self._now.get(key))
+        found = self._values(lambda v: v.get(key))
         return found[0] if found else None
 
     def by(self, index: str, key: Any) -> builtins.list[Any]:
-        return self._values(self._now.by(index, key))
+        return self._values(lambda v: v.by(index, key))
 
     def range(self, lo: str, hi: str) -> builtins.list[Any]:
-        return self._values(self._now.range(lo, hi))
+        return self._values(lambda v: v.range(lo, hi))
 
     def prefix(self, prefix: str) -> builtins.list[Any]:
-        return self._values(self._now.prefix(prefix))
+        return self._values(lambda v: v.prefix(prefix))
 
     def len(self) -> int:
-        return self._now.len().first()[0]
+        return self._ask(lambda v: v.len(), ["len"])[0]["len"]
 
 
 class Database:
@@ -188,6 +209,9 @@ class Database:
         self.cache: dict[str, tuple[tuple, IndexedView]] = {}
         self.folded, self.snapped_bytes, self.snapped_at = 0, 0, time.monotonic()
         self.failed: dict[str, str] = {}
+        self.building: set[str] = set()
+        #: Snapshots and states whose rows were compared with their checksum, and whether they are sound.
+        self.sound: dict[str, bool] = {}
 
     # --- plumbing
 
@@ -220,6 +244,17 @@ class Database:
         until = check_window(plan.first(), plan.until, self.store.head, self.store.floor)
         return compile_plan(plan, self.store.log(start=plan.first(), until=until), self.store.catalog, self.store.head, self.store.floor)
 
+    def some(self, plan: ReplayPlan, want: int) -> list[Any]:
+        """The first `want` events of a plan whose end is given: opens whole files, twice as many positions each time, until
+        it has them."""
+        rows: list[Any] = []
+        at, events = plan.first(), want
+        while at < plan.until and len(rows) < want:
+            end = self.store.window_end(at, plan.until, events)
+            rows += self.frame(replace(plan, start=at, after=None, until=end, max_events=want - len(rows))).collect()
+            at, events = end, 2 * events
+        return rows
+
     # --- appends
 
     def _append(self, branch: str, namespace: str, events: Sequence[Mapping[str, Any]], **options: Any) -> Receipt:
@@ -453,20 +488,72 @@ class Database:
             view = IndexedView.__new__(IndexedView)
             view.definition, view.rows = ViewDefinition("", {}), self.runtimes[name](self.frame(ReplayPlan("main", self.store.floor, until=head)))
         else:
-            definition = self._definition(name)
-            wanted = None if not partitions else partitions[0] if len(partitions) == 1 else -1
-            base = next((s for s in self._snapshots(name) if s["cursor"] <= head and s["partition"] == wanted), None)
-            start = base["cursor"] if base else 0
-            streams = PartitionClass(spec["partitions"], builtins.list(partitions)) if partitions else ReplayPlan().streams
-            rest = self.frame(ReplayPlan("main", max(start, self.store.floor) if base else start, until=head, streams=streams))
-            view = IndexedView(definition, rest)
-            if base:
-                state = self.spark.read.parquet(f"{self.store.path}/snapshots/{base['id']}/state")
-                merged = last_writer_wins(state.select("key", "value", "position").unionByName(view.rows.select("key", "value", "position")), ["key"], ["value"])
-                view.rows = _with_indexes(definition, merged)
+            view = self._portable(name, spec, head, partitions, at is None)
         self.cache[name] = (stamp, view)
         return view
 
+    def _portable(self, name: str, spec: dict[str, Any], head: int, partitions: Sequence[int] | None, latest: bool) -> IndexedView:
+        definition = self._definition(name)
+        wanted = None if not partitions else partitions[0] if len(partitions) == 1 else -1
+        base = next((s for s in self._stored(name, head) if s["partition"] == wanted and self._sound(s)), None)
+        start = base["cursor"] if base else 0
+        streams = PartitionClass(spec["partitions"], builtins.list(partitions)) if partitions else ReplayPlan().streams
+        rest = self.frame(ReplayPlan("main", max(start, self.store.floor) if base else start, until=head, streams=streams))
+        suffix = IndexedView(definition, rest)
+        if base:
+            at = f"{self.store.path}/{base['place']}"
+            state = self.spark.read.parquet(f"{at}/state")
+            if head - start <= MATERIALISE:
+                indexes = {n: self.spark.read.parquet(f"{at}/index-{i}") for i, n in enumerate(definition.indexes)}
+                return LayeredView(definition, state, indexes, suffix.rows if head > start else None)
+            rows = state.select("key", "value", "position", *(f"ix_{n}" for n in definition.indexes))
+            columns = rows.columns
+            suffix.rows = last_writer_wins(rows.unionByName(suffix.rows.select(columns)), ["key"], columns[1:2] + columns[3:]).select(columns)
+        if latest and not partitions and head == self.store.durable_head and head - start > MATERIALISE:
+            self.building.add(name)
+            try:
+                made = self._store(name, suffix, head, "derived", None)
+            finally:
+                self.building.discard(name)
+            for n in self.store.files.names("derived"):
+                if n != made["id"] and (m := self._meta("derived", n)) is not None and m["projection"] == name:
+                    self.store.files.delete(f"derived/{n}")
+            return self._portable(name, spec, head, partitions, False)
+        return suffix
+
+    def _store(self, projection: str, view: IndexedView, cursor: int, folder: str, partition: int | None) -> dict[str, Any]:
+        """Writes a view's rows with its indexes; it is there when its description is."""
+        made = new_id()
+        store_state(view, f"{self.store.path}/{folder}/{made}")
+        digest = state_digest(self.spark.read.parquet(f"{self.store.path}/{folder}/{made}/state"))
+        meta = {"id": made, "projection": projection, "cursor": cursor, "created_at_unix_nanos": time.time_ns(), "state_bytes": self.store.files.bytes_of(f"{folder}/{made}/state"), "identity": self._identity(projection), "partition": partition, "digest": digest}
+        self.store.files.write_new(f"{folder}/{made}/meta.json", meta)
+        self.sound[made] = True
+        return meta
+
+    def _meta(self, folder: str, made: str) -> dict[str, Any] | None:
+        if not self.store.files.exists(f"{folder}/{made}/meta.json"):
+            return None
+        try:
+            return {**self.store.files.read(f"{folder}/{made}/meta.json"), "place": f"{folder}/{made}"}
+        except EngineError:
+            return None
+
+    def _stored(self, projection: str | None, head: int) -> list[dict[str, Any]]:
+        """Snapshots and derived states that fit the view, newest cursor first."""
+        return [m for m in self._described(("derived", "snapshots"), projection) if m["cursor"] <= head]
+
+    def _sound(self, meta: dict[str, Any]) -> bool:
+        """Whether a state's rows have the checksum that its description gives; looked at once.  A damaged one is passed
+        over for an older one, or for the log."""
+        if meta["id"] not in self.sound:
+            try:
+                rows = self.spark.read.parquet(f"{self.store.path}/{meta['place']}/state")
+                self.sound[meta["id"]] = state_digest(rows) == meta.get("digest")
+            except Exception:
+                self.sound[meta["id"]] = False
+        return self.sound[meta["id"]]
+
     def query_partitions(self, name: str, partitions: Sequence[int]) -> IndexedView:
         """Exactly the rows that the named hash classes of streams make."""
         return self.indexed(name, partitions)
@@ -475,52 +562,69 @@ class Database:
         self._definition(projection)
         for s in self._snapshots(projection):
             self.delete_snapshot(s["id"])
+        for s in self._described(("derived",), projection):
+            self.store.files.delete(s["place"])
+        self.failed.pop(projection, None)
         self.cache.pop(projection, None)
 
     # --- snapshots
 
     def _snapshots(self, projection: str | None = None) -> list[dict[str, Any]]:
-        """Valid ones, newest cursor first: another definition, line of branches or database makes one invalid."""
-        out = []
-        for n in self.store.files.names("snapshots"):
-            if self.store.files.exists(f"snapshots/{n}/meta.json"):
-                meta = self.store.files.read(f"snapshots/{n}/meta.json")
-                views = self._views()
-                if meta["projection"] in views and (projection in (None, meta["projection"])) and meta["identity"] == self._identity(meta["projection"]) and self.store.floor <= meta["cursor"] <= self.store.head:
+        """Valid ones, newest cursor first."""
+        return self._described(("snapshots",), projection)
+
+    def _described(self, folders: Sequence[str], projection: str | None) -> list[dict[str, Any]]:
+        """Stored states that fit: another definition, line of branches or database makes one invalid."""
+        out, views = [], self._views()
+        for folder in folders:
+            for n in self.store.files.names(folder):
+                meta = self._meta(folder, n)
+                if meta is not None and meta["projection"] in views and projection in (None, meta["projection"]) and meta["identity"] == self._identity(meta["projection"]) and self.store.floor <= meta["cursor"] <= self.store.head:
                     out.append(meta)
         return sorted(out, key=lambda m: (-m["cursor"], -m["created_at_unix_nanos"]))
 
+    @staticmethod
+    def _shown(meta: dict[str, Any]) -> dict[str, Any]:
+        return {k: v for k, v in meta.items() if k not in ("identity", "digest", "place")}
+
     def create_snapshot(self, projection: str, partition: int | None = None) -> dict[str, Any]:
         """The view's state at the durable head, of all streams or of one hash class; the newest two are kept."""
         with self.lock:
             self._definition(projection)
             self.store.commit()
-            cursor, made = self.store.durable_head, new_id()
-            rows = self.indexed(projection, None if partition is None else [partition]).rows.select("key", "value", "position")
-            rows.write.parquet(f"{self.store.path}/snapshots/{made}/state")
-            meta = {"id": made, "projection": projection, "cursor": cursor, "created_at_unix_nanos": time.time_ns(), "state_bytes": self.store.files.bytes_of(f"snapshots/{made}/state"), "identity": self._identity(projection), "partition": partition}
-            self.store.files.write_new(f"snapshots/{made}/meta.json", meta)
+            meta = self._store(projection, self.indexed(projection, None if partition is None else [partition]), self.store.durable_head, "snapshots", partition)
             for old in [m for m in self._snapshots(projection) if m["partition"] == partition][SNAPSHOTS_KEPT:]:
                 self.delete_snapshot(old["id"])
             self.cache.pop(projection, None)
-            return {k: v for k, v in meta.items() if k != "identity"}
+            return self._shown(meta)
 
     def list_snapshots(self, projection: str) -> list[dict[str, Any]]:
         self._definition(projection)
-        return [{k: v for k, v in m.items() if k != "identity"} for m in self._snapshots(projection)]
+        return [self._shown(m) for m in self._snapshots(projection)]
 
     def verify_snapshot(self, snapshot_id: str) -> dict[str, Any]:
-        """Folds the log again up to the snapshot's cursor and compares."""
+        """Compares the snapshot with its checksum, and with the log folded up to its cursor: from the beginning, or, if the
+        log begins later, from the newest sound older snapshot (without one, the checksum is all there is)."""
         found = next((m for m in self._snapshots() if m["id"] == snapshot_id), None)
         if found is None:
             raise NotFoundError(f"snapshot {snapshot_id}")
-        state = self.spark.read.parquet(f"{self.store.path}/snapshots/{snapshot_id}/state")
-        if self.store.floor == 0:
+        self.sound.pop(snapshot_id, None)
+        if not self._sound(found):
+            raise ConflictError(f"snapshot {snapshot_id} is damaged")
+        state = self.spark.read.parquet(f"{self.store.path}/{found['place']}/state").select("key", "value", "position")
+        base = None
+        if self.store.floor:
+            older = (m for m in self._snapshots(found["projection"]) if m["cursor"] < found["cursor"] and m["partition"] == found["partition"] and self._sound(m))
+            base = next(older, None)
+        if not self.store.floor or base:
             streams = ReplayPlan().streams if found["partition"] is None else PartitionClass(self._views()[found["projection"]]["partitions"], found["partition"])
-            again = IndexedView(self._definition(found["projection"]), self.frame(ReplayPlan("main", until=found["cursor"], streams=streams))).rows.select("key", "value", "position")
+            log = self.frame(ReplayPlan("main", base["cursor"] if base else 0, until=found["cursor"], streams=streams))
+            again = IndexedView(self._definition(found["projection"]), log).rows.select("key", "value", "position")
+            if base:
+                again = last_writer_wins(again.union(self.spark.read.parquet(f"{self.store.path}/{base['place']}/state").select("key", "value", "position")), ["key"], ["value"])
             if state.exceptAll(again).union(again.exceptAll(state)).limit(1).count():
                 raise ConflictError(f"snapshot {snapshot_id} differs from the log")
-        return {k: v for k, v in found.items() if k != "identity"}
+        return self._shown(found)
 
     def delete_snapshot(self, snapshot_id: str) -> bool:
         there = self.store.files.exists(f"snapshots/{snapshot_id}")
@@ -530,6 +634,8 @@ class Database:
 
     def delete_all_derived_state(self) -> None:
         self.store.files.delete("snapshots")
+        self.store.files.delete("derived")
+        self.sound.clear()
         self.cache.clear()
 
     def _maybe_snapshot(self, receipt: Receipt) -> None:
@@ -548,7 +654,16 @@ class Database:
         if name not in self._views():
             raise NotFoundError(f"view {name}")
         last = next(iter(self._snapshots(name)), None)
-        return {"name": name, "status": "failed" if name in self.failed else "ready", "error": self.failed.get(name), "cursor": self.store.head, "snapshot_cursor": last and last["cursor"]}
+        held = next((m["cursor"] for m in self._stored(name, self.store.head)), None)
+        seen = self.cache[name][0][1] if name in self.cache else None
+        cursor = max((c for c in (held, seen) if c is not None), default=None)
+        if name in self.failed:
+            status = "failed"
+        elif name in self.building or cursor is None:
+            status = "building"  # nothing has been computed yet: the first query does
+        else:
+            status = "ready" if cursor == self.store.head else "stale"
+        return {"name": name, "status": status, "error": self.failed.get(name), "cursor": self.store.floor if cursor is None else cursor, "head": self.store.head, "snapshot_cursor": last and last["cursor"]}
 
     # --- feed
 
@@ -701,13 +816,6 @@ class Database:
         return {"database_id": self.store.database_id, "generation": self.store.state.generation, "floor": self.store.floor, "durable_head": self.store.durable_head, "requested_floor": plan["requested_floor"], "effective_floor": floor, "anchor_ready": any(a["floor"] == floor for a in self._system("anchor")), "reclaimable_bytes": plan["reclaimable_bytes"], "reclaimable_segments": plan["reclaimable_segments"], "blockers": plan["blockers"], "open_readers": len(self.readers), "open_feeds": len(self.feeds), "consumers": self._consumers(floor), "cleanup": {"pending_files": 0}}
 
 
-def _with_indexes(definition: ViewDefinition, rows: DataFrame) -> DataFrame:
-    from .functions import json_fields as J
-
-    rows = rows.withColumn("__v", J.parsed(F.col("value")))
-    return rows.select("key", "value", "position", *(F.array_compact(F.array(J.index_key(F.col("__v"), f))).alias(f"ix_{n}") for n, f in definition.indexes.items()))
-
-
 def open(path: str, commit_every_bytes: int | None = None, commit_every_count: int | None = None, commit_every_millis: int | None = None, snapshot_every_events: int | None = None, snapshot_every_bytes: int | None = None, snapshot_every_millis: int | None = None, spark: SparkSession | None = None) -> Database:
     session = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     return Database(session, path, CommitPolicy(commit_every_bytes, commit_every_count, commit_every_millis), CommitPolicy(snapshot_every_bytes, snapshot_every_events, snapshot_every_millis))

@@ -6,9 +6,11 @@ Events have a `kind` (SessionStarted, ModelTurn, ToolCall, ToolResult, Decision,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .folds import running_number
+
 TRANSCRIPT = ("ModelTurn", "ToolCall", "ToolResult", "Decision")
 
 
@@ -27,8 +29,7 @@ def status(events: DataFrame) -> DataFrame:
 
 def transcript(events: DataFrame) -> DataFrame:
     """The transcript's entries, numbered from 0 in each stream."""
-    number = F.row_number().over(Window.partitionBy("stream_name").orderBy("position")) - 1
-    return events.where(F.col("kind").isin(*TRANSCRIPT)).withColumn("entry", number.cast("long"))
+    return running_number(events.where(F.col("kind").isin(*TRANSCRIPT)), ["stream_name"]).withColumnRenamed("number", "entry")
 
 
 def pending_calls(events: DataFrame) -> DataFrame:
@@ -40,8 +41,10 @@ def pending_calls(events: DataFrame) -> DataFrame:
 
 def shared_prefix(left: DataFrame, right: DataFrame, key: str, label: str, order: str = "position") -> DataFrame:
     """For each key of either side: how many first entries are alike, and each side's length."""
-    w = Window.partitionBy(key).orderBy(order)
-    side = lambda df, name: df.select(F.col(key), F.row_number().over(w).alias("n"), F.col(label).alias(name))
+    def side(df: DataFrame, name: str) -> DataFrame:
+        rows = running_number(df.select(F.col(key), F.col(order).alias("position"), F.col(label).alias("__label")), [key])
+        return rows.select(key, (F.col("number") + 1).alias("n"), F.col("__label").alias(name))
+
     both = side(left, "a").join(side(right, "b"), [key, "n"], "full")
     out = both.groupBy(key).agg(F.min(F.when(~F.coalesce(F.col("a") == F.col("b"), F.lit(False)), F.col("n"))).alias("off"), F.max("n").alias("most"), F.count("a").alias("left_length"), F.count("b").alias("right_length"))
     return out.select(key, (F.coalesce(F.col("off") - 1, F.col("most"))).cast("long").alias("shared"), "left_length", "right_length")

@@ -96,3 +96,52 @@ class IndexedView:
 
     def len(self) -> DataFrame:
         return self.rows.agg(F.count("*").alias("len"))
+
+
+class LayeredView(IndexedView):
+    """A view of a stored state and the few rows that a suffix of the log has changed since.
+
+    The state lies sorted by key, and each index sorted by index key, so that look-ups prune to a few row groups (min and
+    max, Bloom filters); the suffix is bounded by whoever stores states, and is small enough to be sent to all tasks.
+    """
+
+    def __init__(self, definition: ViewDefinition, state: DataFrame, indexes: Mapping[str, DataFrame], suffix: DataFrame | None):
+        self.definition, self.state, self.indexes, self.suffix = definition, state, indexes, suffix
+        columns = ["key", "value", "position", *(f"ix_{n}" for n in definition.indexes)]
+        self.rows = state.select(columns)
+        if suffix is not None:
+            self.rows = last_writer_wins(self.rows.unionByName(suffix.select(columns)), ["key"], columns[1:2] + columns[3:]).select(columns)
+
+    def by(self, index: str, key: object) -> DataFrame:
+        if index not in self.definition.indexes:
+            raise NotFoundError(f"index {index}")
+        wanted = J.index_key_of(key)
+        found = self.indexes[index].where(F.col("index_key") == F.lit(wanted)).select("key", "value", "position")
+        if self.suffix is not None:
+            fresh = self.suffix.where(F.array_contains(f"ix_{index}", F.lit(wanted))).select("key", "value", "position")
+            found = found.join(F.broadcast(self.suffix.select("key")), "key", "left_anti").union(fresh)
+        return found.orderBy("key")
+
+    def len(self) -> DataFrame:
+        keys = self.state.select("key")
+        if self.suffix is None:
+            return keys.agg(F.count("*").alias("len"))
+        # all of the state's keys, and those of the suffix that the state hasn't
+        known = keys.join(F.broadcast(self.suffix.select("key")), "key", "left_semi").select("key")
+        new = self.suffix.select("key").join(known, "key", "left_anti")
+        return keys.agg(F.count("*").alias("n")).union(new.agg(F.count("*").alias("n"))).agg(F.sum("n").alias("len"))
+
+
+def store_state(view: IndexedView, path: str) -> None:
+    """Writes a portable view's rows: `state`, sorted by key, and for each index one table, sorted by index key."""
+    columns = ["key", "value", "position", *(f"ix_{n}" for n in view.definition.indexes)]
+    save = lambda rows, keys, place: rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.option(f"parquet.bloom.filter.enabled#{keys[0]}", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(f"{path}/{place}")
+    save(view.rows.select(columns), ["key"], "state")
+    state = view.rows.sparkSession.read.schema(view.rows.select(columns).schema).parquet(f"{path}/state")
+    for i, n in enumerate(view.definition.indexes):
+        save(state.select(F.explode(f"ix_{n}").alias("index_key"), "key", "value", "position"), ["index_key", "key"], f"index-{i}")
+
+
+def state_digest(rows: DataFrame) -> list:
+    """Number and checksum of a state's rows, in whatever order they are."""
+    return list(rows.agg(F.count("*"), F.bit_xor(F.xxhash64("key", "value", "position")), F.coalesce(F.sum(F.pmod(F.xxhash64("key", "value"), F.lit(1 << 31))), F.lit(0))).first())

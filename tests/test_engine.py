@@ -8,6 +8,7 @@ import sys
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 import stratalog.engine as engine
 from stratalog import errors as E
@@ -426,3 +427,256 @@ def test_killed_writer_leaves_whole_batches(spark, tmp_path):
         assert rows == [[i, k] for i in range(n) for k in range(3)] and n > acked
         assert "data/99999-orphan" in d.store.vacuum()
         d.append("s", "next")
+
+
+def test_bulk_load_keeps_every_row(spark, tmp_path):
+    """A million rows in no order, from 16 files, into 8 ranges: each position once, in the order of `ord`."""
+    n, before = 1_000_000, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        shuffled = spark.range(n).select(F.pmod(F.col("id") * 7_368_787, F.lit(n)).alias("ord"))
+        body = F.concat(F.lit('{"id":"'), "ord", F.lit('"}'))
+        # a third of all rows is one stream's
+        stream = F.when(F.col("ord") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("ord") % 1000))
+        shuffled.select("ord", stream.alias("stream_name"), F.lit("t").alias("event_type"), body.alias("body")).repartition(16).write.parquet(str(tmp_path / "source"))
+        rows = spark.read.parquet(str(tmp_path / "source"))
+        store = LogStore(spark, str(tmp_path / "log"))
+        assert store.append_frame(rows.where(f"ord < {n // 4}")) == n // 4
+        assert store.append_frame(rows.where(f"ord >= {n // 4}")) == n
+        log = store.log()
+        wrong = log.where(F.get_json_object("body", "$.id").cast("long") != F.col("position"))
+        assert (log.count(), log.select("position").distinct().count(), wrong.count()) == (n, n, 0)
+        assert store.verify() == {"events": n, "positions": 0, "batches": 0, "streams": 0}
+        assert log.where("stream_name = 'hot'").agg(F.max("stream_revision")).first()[0] == len(range(0, n, 3)) - 1
+        assert log.where("stream_name = 'hot' and stream_revision <> position / 3").count() == 0
+        # the manifest lists the files with their ranges: a window opens those that it needs
+        files = store.state.files
+        assert len(files) > 8 and all(a["end"] == b["base"] for a, b in zip(files, files[1:]))
+        assert 0 < len(store.log(start=n - 10).inputFiles()) < 3
+        assert not store.files.names("staging") and not store.vacuum()
+        store.close()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_bulk_load_publishes_nothing_that_is_not_whole(spark, tmp_path):
+    from stratalog.errors import IoError
+
+    store = LogStore(spark, str(tmp_path / "log"))
+    rows = spark.range(100).select(F.col("id").alias("ord"), F.lit("s").alias("stream_name"), F.lit("t").alias("event_type"), F.lit("{}").alias("body"))
+    with pytest.raises(IoError):
+        store.append_frame(rows, expected=101)
+    assert store.head == 0 and not store.state.files
+    assert store.vacuum()
+    assert store.append_frame(rows.limit(0)) == 0
+    assert store.append_frame(rows) == 100 and store.append_frame(rows) == 200
+    assert store.verify()["positions"] == 0 and store.revision("main", "s") == 199
+    store.close()
+
+
+def test_running_counts_of_a_hot_key(spark):
+    from stratalog.operators.folds import prefix_count, running_number
+
+    rows = spark.range(5000).select(F.col("id").alias("position"), F.when(F.col("id") % 3 > 0, F.lit("hot")).alias("k"))
+    got = running_number(rows, ["k"], block=64).collect()
+    seen = {}
+    for r in sorted(got, key=lambda r: r["position"]):
+        assert r["number"] == seen.get(r["k"], 0)
+        seen[r["k"]] = r["number"] + 1
+    assert len(got) == 5000
+    marked = prefix_count(rows, F.col("k").isNull(), block=8).collect()
+    assert len(marked) == 5000 and all(r["before"] == -(-r["position"] // 3) for r in marked)
+
+
+def bulk(spark, n, streams=7, name="s"):
+    key = F.concat(F.lit("k"), F.lpad((F.col("id") * 31 % (n // 3)).cast("string"), 7, "0"))
+    body = F.concat(F.lit('{"id":"'), key, F.lit('","kind":"'), F.col("id") % 5, F.lit('","n":'), F.col("id"), F.lit("}"))
+    return spark.range(n).select(F.col("id").alias("ord"), F.concat(F.lit(name), F.col("id") % streams).alias("stream_name"), F.lit("t").alias("event_type"), body.alias("body"))
+
+
+@pytest.fixture(scope="module")
+def loaded(spark, tmp_path_factory):
+    """A log of 60,000 events in several files, and some appended behind them."""
+    path = str(tmp_path_factory.mktemp("loaded") / "log")
+    d = engine.open(path, spark=spark)
+    d.store.append_frame(bulk(spark, 60_000))
+    d.append_batch("s1", [{"body": {"id": "k0000001", "kind": "9", "n": -1}}, {"body": {"id": "new", "kind": "1", "n": -2}}], durability="sync")
+    yield d
+    d.close()
+
+
+def test_pages_read_their_files_only(loaded, monkeypatch):
+    """A page opens the files that hold it; a replay by pages is the whole replay."""
+    opened, log = [], loaded.store.log
+    monkeypatch.setattr(loaded.store, "log", lambda *a, **k: opened.append(log(*a, **k)) or opened[-1])
+    reader = loaded.open_reader("s3", page_events=500)
+    first = reader.next_page()
+    assert len(first["records"]) == 500 and not first["done"]
+    assert sum(len(x.inputFiles()) for x in opened) < len(loaded.store.state.files)
+    got = [r["offset"] for r in first["records"]]
+    while not first["done"]:
+        first = reader.next_page()
+        got += [r["offset"] for r in first["records"]]
+    reader.close()
+    assert got == [i for i in range(60_000) if i % 7 == 3]
+    sparse = loaded.open_reader("nobody")
+    assert sparse.next_page() == {"records": [], "continuation": 60_002, "done": True}
+    sparse.close()
+
+
+def test_feed_pages_hold_whole_batches(loaded, monkeypatch):
+    """Bulk loads come in batches of bounded size; a page never tears one, and opens its files only."""
+    opened, log = [], loaded.store.log
+    monkeypatch.setattr(loaded.store, "log", lambda *a, **k: opened.append(log(*a, **k)) or opened[-1])
+    watch = loaded.watch(start=0, page_batches=2, timeout=0)
+    page = watch.next_page()
+    assert sum(len(x.inputFiles()) for x in opened) < len(loaded.store.state.files)
+    sizes, offsets = [], []
+    while page:
+        batches = {}
+        for r in page:
+            batches.setdefault(r["batch_id"], []).append(r["batch_index"])
+        assert len(batches) <= 2 and all(b == list(range(len(b))) for b in batches.values())
+        sizes += [len(b) for b in batches.values()]
+        offsets += [r["offset"] for r in page]
+        page = watch.next_page()
+    watch.close()
+    assert offsets == list(range(60_002)) and sizes == [4096] * 14 + [60_000 - 14 * 4096, 2]
+    assert loaded.fork("s1", 4096)
+
+
+def test_a_batch_beyond_a_page_comes_whole(spark, tmp_path, monkeypatch):
+    with engine.open(str(tmp_path / "log"), spark=spark) as d:
+        d.append_batch("s", [{"body": i} for i in range(50)])
+        d.append_batch("s", [{"body": i} for i in range(3)])
+        d.commit()
+        monkeypatch.setattr(engine, "PAGE_EVENTS", 20)
+        watch = d.watch(start=0, page_batches=9, timeout=0)
+        assert [len(watch.next_page()) for _ in range(3)] == [50, 3, 0]
+        watch.close()
+
+
+def test_views_are_stored_and_pruned(spark, loaded):
+    """Look-ups go to a stored state, sorted by key and by index key, and to the few events behind it; answers are those of
+    the fold of the whole log."""
+    loaded.register_view("big", "id", {"kind": "kind"})
+    v = loaded.view("big")
+    whole = engine.IndexedView(loaded._definition("big"), loaded.records_from(0))
+    assert v.get("k0000001") == {"id": "k0000001", "kind": "9", "n": -1} and v.get("new")["n"] == -2 and v.get("nope") is None
+    assert len(loaded.store.files.names("derived")) == 1 and not loaded.list_snapshots("big")
+    loaded.append("s1", {"id": "k0000002", "kind": "9", "n": -3})
+    assert v.get("k0000002")["n"] == -3 and v.len() == 20_001
+    assert sorted(x["id"] for x in v.by("kind", "9")) == ["k0000001", "k0000002"]
+    assert [x["id"] for x in v.range("k0000001", "k0000004")] == ["k0000001", "k0000002", "k0000003"] and len(v.prefix("k000001")) == 10
+    for kind in "01":
+        want = [r["key"] for r in whole.by("kind", kind).select("key").collect() if r["key"] not in ("k0000002",)]
+        assert [x["id"] for x in v.by("kind", kind)] == want
+    layered = loaded.indexed("big")
+    plan = layered.get("k0000005")._jdf.queryExecution().toString()
+    assert "EqualTo(key,k0000005)" in plan.replace(" ", "")
+    assert "EqualTo(index_key,9)" in layered.by("kind", "9")._jdf.queryExecution().toString().replace(" ", "")
+    assert sorted(map(tuple, layered.index("kind").collect())) == sorted((r["index_key"], r["key"]) for r in engine.IndexedView(loaded._definition("big"), loaded.records_from(0)).index("kind").collect())
+    assert loaded.projection_status("big")["status"] == "ready"
+    loaded.append("s1", {"id": "k0000002", "kind": "1"})
+    assert loaded.projection_status("big")["status"] == "stale"
+    loaded.commit()
+
+
+def test_damaged_snapshots_are_passed_over(spark, tmp_path):
+    path = str(tmp_path / "log")
+    with engine.open(path, spark=spark) as d:
+        d.register_view("v", "id", {"k": "k"})
+        made = []
+        for i in range(3):
+            d.append("s", {"id": f"i{i}", "k": i})
+            made.append(d.create_snapshot("v"))
+        d.append("s", {"id": "i9", "k": 9})
+        d.commit()
+    state = os.path.join(path, "snapshots", made[2]["id"], "state")
+    spark.createDataFrame([("i0", "{}", 0, ["x"])], "key string, value string, position long, ix_k array<string>").write.mode("overwrite").parquet(state)
+    with engine.open(path, spark=spark) as d:
+        assert d.view("v").len() == 4 and d.view("v").get("i2")["k"] == 2 and [x["id"] for x in d.view("v").by("k", 2)] == ["i2"]
+        with pytest.raises(E.ConflictError):
+            d.verify_snapshot(made[2]["id"])
+        assert d.verify_snapshot(made[1]["id"])["cursor"] == 2
+    for root, _, names in os.walk(os.path.join(path, "snapshots", made[1]["id"], "state")):
+        for n in names:
+            os.remove(os.path.join(root, n))
+    with engine.open(path, spark=spark) as d:
+        assert d.view("v").len() == 4  # no sound snapshot is left: from the log
+
+
+def test_snapshots_above_a_floor_are_verified(spark, tmp_path):
+    path = str(tmp_path / "log")
+    with engine.open(path, spark=spark) as d:
+        d.register_view("v", "id")
+        for i in range(4):
+            d.append_batch("s", [{"body": {"id": f"i{i}"}}], durability="sync")
+        plan = d.create_retention_anchor(3) and d.plan_retention(3)
+        assert plan["blockers"] == [] and d.apply_retention(plan["plan_id"])["floor"] == 3
+        d.append_batch("s", [{"body": {"id": "z"}}], durability="sync")
+        made = d.create_snapshot("v")
+        assert d.verify_snapshot(made["id"])["cursor"] == 5 and d.view("v").len() == 5
+        place = os.path.join(path, "snapshots", made["id"], "state")
+        rows = spark.read.parquet(place).where("key <> 'i0'").collect()
+        spark.createDataFrame(rows, "key string, value string, position long").write.mode("overwrite").parquet(place)
+        with pytest.raises(E.ConflictError):
+            d.verify_snapshot(made["id"])
+        assert d.store.revision("main", "s") == 4
+
+
+def test_a_broken_anchor_leaves_the_one_before(spark, tmp_path):
+    path = str(tmp_path / "log")
+    with engine.open(path, spark=spark) as d:
+        for i in range(4):
+            d.append_batch("s", [{"body": i}], durability="sync")
+        plan = d.create_retention_anchor(3) and d.plan_retention(3)
+        d.apply_retention(plan["plan_id"])
+        good = d.store._anchor_path()
+    os.makedirs(os.path.join(path, "anchor", "999999999999-broken"))
+    open(os.path.join(path, "anchor", "999999999999-broken", "part-0.parquet"), "w").close()
+    with engine.open(path, spark=spark) as d:
+        assert d.store._anchor_path() == good and d.store.revision("main", "s") == 3
+        assert d.append_batch("s", [{"body": 9}], expected_revision=3)["current_revision"] == 4
+
+
+def test_failing_views_fail_alone(db):
+    db.register_view("good", "id")
+    db.register_runtime("bad", lambda log: log.select(F.col("stream_name").alias("key"), F.raise_error(F.lit("no")).cast("string").alias("value"), "position"))
+    assert db.projection_status("good")["status"] == "building"
+    db.append("s", {"id": "a"})
+    with pytest.raises(Exception, match="no"):
+        db.view("bad").get("s")
+    assert db.projection_status("bad")["status"] == "failed" and "no" in db.projection_status("bad")["error"]
+    db.append("s", {"id": "b"})
+    assert db.view("good").len() == 2 and db.projection_status("good")["status"] == "ready"
+    db.register_runtime("bad", lambda log: log.select(F.col("stream_name").alias("key"), F.lit("1").alias("value"), "position"))
+    db.append("s", {"id": "c"})
+    assert db.view("bad").get("s") == 1 and db.projection_status("bad")["status"] != "failed"
+
+
+def test_replays_verify_content(spark, tmp_path):
+    path = str(tmp_path / "log")
+    with engine.open(path, spark=spark) as d:
+        d.append_batch("s", [{"body": {"é": 1}, "metadata": {"b": b"\x00", "a!": b"\xff", "a": b""}, "schema_version": 3}, {"body": b"\x01\x02", "codec": "bytes"}])
+        d.store.append_frame(bulk(spark, 30))
+        assert d.frame(engine.ReplayPlan(verify=True)).count() == 32
+        where = os.path.join(path, d.store.state.files[0]["path"])
+        rows = spark.read.parquet(where).withColumn("body", F.lit("{}")).withColumn("payload", F.lit("{}").cast("binary")).collect()
+        schema = spark.read.parquet(where).schema
+        spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(where)
+        assert d.frame(engine.ReplayPlan()).count() == 32
+        with pytest.raises(Exception, match="was changed"):
+            d.frame(engine.ReplayPlan(verify=True)).collect()
+
+
+def test_small_files_are_joined_by_a_commit(spark, tmp_path, monkeypatch):
+    from stratalog.sources import store as S
+
+    monkeypatch.setattr(S, "ROLL_FILES", 5)
+    with engine.open(str(tmp_path / "log"), commit_every_count=1, spark=spark) as d:
+        held = d.records_from(0)
+        for i in range(12):
+            d.append("s", i)
+        assert len(d.store.state.files) < 5 and bodies(d.history("s")) == list(range(12)) and held.count() == 0
+        assert d.store.verify()["positions"] == 0 and len(d.store.vacuum()) >= 8 and bodies(d.history("s")) == list(range(12))
