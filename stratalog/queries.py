@@ -13,7 +13,6 @@ from .operators.views import IndexedView, TypedView, ViewDefinition
 from .plans.catalog import ancestry_frame
 from .plans.replay import PartitionClass, ReplayPlan, StreamSet, compile_plan, diff, visible
 from .sources.adapters import catalog_for, conversation_log, events_log, kv_changes, session_events, table, view_bodies
-from .sources.work import work_path
 from .streaming import feed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,8 +109,7 @@ def tail_seek(spark, d):
 @query(f"""SELECT stream_name, CAST((rn - 1) // 20 AS BIGINT) AS page, min(position) AS first, max(position) + 1 AS continuation, count(*) AS events
     FROM (SELECT *, row_number() OVER (PARTITION BY stream_name ORDER BY position) AS rn FROM {seen('main')}) GROUP BY 1, 2""")
 def page_by_events(spark, d):
-    rn = F.row_number().over(Window.partitionBy("stream_name").orderBy("position"))
-    rows = read(spark, d).withColumn("page", F.floor((rn - 1) / 20).cast("long"))
+    rows = folds.running_number(read(spark, d).select("stream_name", "position"), ["stream_name"]).withColumn("page", F.floor(F.col("number") / 20).cast("long"))
     return rows.groupBy("stream_name", "page").agg(F.min("position").alias("first"), (F.max("position") + 1).alias("continuation"), F.count("*").alias("events"))
 
 
@@ -157,8 +155,8 @@ def stream_catalog(spark, d):
 @query("SELECT position, branch_id, stream_name, row_number() OVER (PARTITION BY branch_id, stream_name ORDER BY position) - 1 AS stream_revision FROM log")
 def stream_revisions(spark, d):
     log, _, _ = events_log(spark, d)
-    rn = F.row_number().over(Window.partitionBy("branch_id", "stream_name").orderBy("position")) - 1
-    return log.select("position", "branch_id", "stream_name", rn.cast("long").alias("stream_revision"))
+    rows = folds.running_number(log.select("position", "branch_id", "stream_name"), ["branch_id", "stream_name"])
+    return rows.select("position", "branch_id", "stream_name", F.col("number").alias("stream_revision"))
 
 
 @query("WITH r AS (SELECT 'conv-' || conv_id AS stream_name, turn FROM conversations) SELECT stream_name, count(*) AS events, max(turn) AS revision, max(turn) + 1 - count(DISTINCT turn) AS gaps FROM r GROUP BY 1")
@@ -552,56 +550,7 @@ def marker_import(spark, d):
 
 # --- the store -------------------------------------------------------------------------------------------------------
 
+from . import store_queries as _store  # noqa: E402
 
-def _stored(spark, d, path: str) -> None:
-    """The events table as a log on disk, in two commits."""
-    from .sources.store import LogStore
-
-    rows = table(spark, d, "events").select(F.col("event_id").alias("ord"), F.concat(F.lit("user-"), "user_id").alias("stream_name"), "event_type", F.concat(F.lit('{"id":"u'), "user_id", F.lit('","kind":"'), "event_type", F.lit('"}')).alias("body"))
-    head = table(spark, d, "events").count()
-    store = LogStore(spark, path)
-    store.append_frame(rows.where(F.col("ord") < head // 3))
-    store.append_frame(rows.where(F.col("ord") >= head // 3))
-    store.close()
-
-
-_STORED = "SELECT event_id AS position, 'user-' || user_id AS stream_name, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS stream_revision, event_type"
-
-
-@query(f"WITH x AS (SELECT 1) {_STORED} FROM events")
-def store_round_trip(spark, d):
-    """Bulk appends, then a replay of the whole log from its files."""
-    from .engine import open as open_log
-
-    _stored(spark, d, path := work_path(spark, "round"))
-    with open_log(path, spark=spark) as db:
-        return db.frame(ReplayPlan()).select("position", "stream_name", "stream_revision", "event_type")
-
-
-@query(f"WITH x AS (SELECT 1) SELECT * FROM ({_STORED} FROM events) WHERE position >= (SELECT count(*) // 2 FROM events) AND stream_name = 'user-3'")
-def store_stream_window(spark, d):
-    """One stream of a window: files and row groups outside it aren't read."""
-    from .engine import open as open_log
-
-    _stored(spark, d, path := work_path(spark, "window"))
-    with open_log(path, spark=spark) as db:
-        return db.frame(ReplayPlan(start=db.head() // 2, streams=StreamSet(names=["user-3"]))).select("position", "stream_name", "stream_revision", "event_type")
-
-
-@query("WITH x AS (SELECT 1) SELECT 'u' || user_id AS key, arg_max(event_type, event_id) AS kind, max(event_id) AS position FROM events GROUP BY user_id")
-def store_view_snapshot(spark, d):
-    """A registered view, from a snapshot in the middle of the log and what follows it."""
-    from .engine import open as open_log
-    from .sources.store import LogStore
-
-    path = work_path(spark, "view")
-    rows = table(spark, d, "events").select(F.col("event_id").alias("ord"), F.concat(F.lit("user-"), "user_id").alias("stream_name"), "event_type", F.concat(F.lit('{"id":"u'), "user_id", F.lit('","kind":"'), "event_type", F.lit('"}')).alias("body"))
-    half = table(spark, d, "events").count() // 2
-    store = LogStore(spark, path)
-    store.append_frame(rows.where(F.col("ord") < half))
-    store.close()
-    with open_log(path, spark=spark) as db:
-        db.register_view("users", "id", {"kind": "kind"})
-        db.create_snapshot("users")
-        db.store.append_frame(rows.where(F.col("ord") >= half))
-        return db.indexed("users").rows.select("key", F.get_json_object("value", "$.kind").alias("kind"), "position")
+QUERIES |= _store.QUERIES
+SQL |= _store.SQL
