@@ -449,8 +449,8 @@ def pending_tool_calls(spark, d):
     return session.pending_calls(session_events(read(spark, d, branch="a")))
 
 
-@query(f""", l AS (SELECT stream_name, row_number() OVER (PARTITION BY stream_name ORDER BY position) AS rn, position AS a FROM {seen('main')} WHERE user_id % 7 = 1),
-    r AS (SELECT stream_name, row_number() OVER (PARTITION BY stream_name ORDER BY position) AS rn, position AS b FROM {seen('a')} WHERE user_id % 7 = 1)
+@query(f""", l AS (SELECT stream_name, row_number() OVER (PARTITION BY stream_name ORDER BY position) AS rn, position AS a FROM {seen('main')}),
+    r AS (SELECT stream_name, row_number() OVER (PARTITION BY stream_name ORDER BY position) AS rn, position AS b FROM {seen('a')})
     SELECT stream_name, coalesce(min(rn) FILTER (a IS DISTINCT FROM b) - 1, max(rn)) AS shared, count(a) AS left_length, count(b) AS right_length FROM l FULL JOIN r USING (stream_name, rn) GROUP BY 1""")
 def shared_prefix_len(spark, d):
     log, catalog, head = events_log(spark, d)
