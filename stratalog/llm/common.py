@@ -14,27 +14,44 @@ from pyspark.sql.types import StructType
 
 from .textvec import byte_view
 
-#: Rows of one Arrow batch handed to Python; with very long texts this bounds a worker's memory.
-ARROW_ROWS = 512
 #: Bytes of text that a vectorised step looks at together (one longer text is a step of its own).
 STEP_BYTES = 4 << 20
 #: A side of a join is broadcast up to so many rows of a few bytes (counted first); beyond it both sides are shuffled.
 BROADCAST_IDS = 1_000_000
 
 
-def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches: 512 texts of 100 KB are 50 MB, 10,000 (the default) would be 1 GB.
+def prepare() -> None:
+    """Lets functions of this package travel to the workers by value, so that they need no copy of it.
 
-    Also lets functions of this package travel to the workers by value, so that they need no copy of it.
+    No session setting is touched: Spark bounds an Arrow batch by spark.sql.execution.arrow.maxBytesPerBatch (64 MB), and
+    steps look at STEP_BYTES of it at a time.
     """
     cloudpickle.register_pickle_by_value(sys.modules[__package__])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, one in the warehouse."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Only a local master, whose executors are the
+    driver, may do without: there it is a folder in the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(root or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/stratalog-work"
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/stratalog-work"
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def own_path(spark: SparkSession, name: str) -> str:
+    """A new, empty folder in the shared one; it is deleted when the application ends, if not before."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    files, target = _file_system(spark, path)
+    files.mkdirs(target)
+    files.deleteOnExit(target)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -44,8 +61,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     here, as disks would else hold the shuffles of all the jobs of a query side by side.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = own_path(spark, name)
+    df.write.mode("append").parquet(path)
     spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
@@ -60,13 +77,13 @@ def discard(*tables: DataFrame) -> None:
 
 def forget(spark: SparkSession, path: str | None = None) -> None:
     """Deletes what stored() has written (all of it, or one path)."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path or shared_dir(spark))
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    files, target = _file_system(spark, path or shared_dir(spark))
+    files.delete(target, True)
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_IDS) -> bool:
-    """Whether df has at most so many rows; counts no further than that."""
+def is_small(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether df has at most so many rows (BROADCAST_IDS, if none are given); counts no further than that."""
+    rows = BROADCAST_IDS if rows is None else rows
     return df.limit(rows + 1).count() <= rows
 
 

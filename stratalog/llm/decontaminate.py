@@ -118,7 +118,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
     texts hold nothing, empty items are held by nothing; repeated items and documents give a row each; an item that is
     shorter than 1 / rate must be met exactly; empty tables give no rows; further columns are left out.
     """
-    prepare(docs.sparkSession)
+    prepare()
     spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("long"), "text")
     schema = "doc_id long, item_id long, distance int, start long, end long"
     out = spark.createDataFrame([], schema)
@@ -162,7 +162,7 @@ def blocks(benchmark: DataFrame) -> Iterator[dict[str, list[int]]]:
 def keep_clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """All columns of the documents that hold no passage of the benchmark.  Each row goes or stays by its own text; its
     id may be null or repeated.  Each block of items is one pass over the rows that the ones before left."""
-    prepare(docs.sparkSession)
+    prepare()
 
     def without(docs: DataFrame, items: dict[str, list[int]]) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(sorted(items.items()))

@@ -33,7 +33,7 @@ def digest(text: str | None) -> str:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars (code points), fingerprint.  A null text is an empty one; every row has one of its own."""
-    prepare(docs.sparkSession)
+    prepare()
 
     def make():
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -91,7 +91,7 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     a look at the ids alone, and the first document of each range goes to the range before it as well.
     """
     spark = docs.sparkSession
-    prepare(spark)
+    prepare()
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("id"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(ids.select(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []))[: n - 1]

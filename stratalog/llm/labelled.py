@@ -41,7 +41,7 @@ def packed(docs: DataFrame, features: Features) -> DataFrame:
 
         return step
 
-    prepare(docs.sparkSession)
+    prepare()
     return map_text(docs, "text", "doc_id long, features binary", make)
 
 
@@ -113,7 +113,7 @@ def scored(docs: DataFrame, features: Features, judge: Callable[[np.ndarray, np.
 
         return step
 
-    prepare(docs.sparkSession)
+    prepare()
     out = map_text(docs.select(F.col("doc_id").cast("long"), "text"), "text", "doc_id long, score double, predicted int", make)
     return out.select("doc_id", (remainder("doc_id", hold) == 0).alias("held_out"), "score", "predicted")
 
@@ -127,5 +127,5 @@ def kept(docs: DataFrame, features: Features, judge: Callable[[np.ndarray, np.nd
 
         return step
 
-    prepare(docs.sparkSession)
+    prepare()
     return map_text(docs, "text", docs.schema, make)

@@ -135,7 +135,7 @@ def fit(docs: DataFrame) -> dict:
     Rows without lang or text count for nothing.  Each task adds up its own rows, Spark adds up the tasks' sums; a sum
     for each language and trigram bucket comes to the driver (languages x 65,536).  Without rows, no language is known.
     """
-    prepare(docs.sparkSession)
+    prepare()
     rows = docs.where((remainder("doc_id", HOLD) != HELD) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
 
     def make():
@@ -247,7 +247,7 @@ def predict(docs: DataFrame, model: dict, switch: float = SWITCH) -> DataFrame:
     Null texts, texts without a letter, and all texts if no language was learned, get `und` and 0.  Of equal languages
     the first by name wins.  One row for each input row; null ids get held_out null; no other column is looked at.
     """
-    prepare(docs.sparkSession)
+    prepare()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -277,7 +277,7 @@ def spans(docs: DataFrame, model: dict, switch: float = SWITCH) -> DataFrame:
 
     Spans go from the first byte of their first word to the last of their last; texts without words have none.
     """
-    prepare(docs.sparkSession)
+    prepare()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():

@@ -483,7 +483,7 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, leaf: i
     component is null.  A text of fewer than `width` words has its whole sequence as one shingle.  Links inside a
     region's main component aren't listed pair by pair; all links between classes' members are found, none is sampled.
     """
-    prepare(docs.sparkSession)
+    prepare()
     docs = docs.select("doc_id", "text")
     named = stored(digests(docs, width), "digests")
     # copies of a set: their first document stands for them; a table of its own, so that a join with it can be split

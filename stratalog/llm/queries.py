@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, fingerprint, langid, ngram_join, quality, sentencepiece_viterbi, token_store, toxicity, url_filter
-from .common import shared_dir, stored
+from .common import own_path, stored
 
 END_ID = 2
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -25,7 +23,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = own_path(spark, "tokens")
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         token_store.write_tokens(table(spark, sf_dir, "documents"), path, f.read(), END_ID)
     return token_store.summary(token_store.read_tokens(spark, path))

@@ -428,7 +428,7 @@ def encode(docs: DataFrame, model: bytes, keep: list[str] | None = None) -> Data
     A null or empty text has no ids and round_trip true; repeated rows are encoded each; columns of the new names in
     docs are replaced; an empty table gives no rows.
     """
-    prepare(docs.sparkSession)
+    prepare()
     shared = docs.sparkSession.sparkContext.broadcast(tables(model))
     new = ["piece_ids", "n_pieces", "ids_crc32", "round_trip"]
     docs = docs.select(*([c for c in docs.columns if c not in new] if keep is None else keep), *(["text"] if keep is not None and "text" not in keep else []))
@@ -463,5 +463,5 @@ def decode(rows: DataFrame, model: bytes, column: str = "piece_ids") -> DataFram
         some = [np.asarray(x if x is not None else [], np.int64) for x in ids]
         return pd.Series(codec.decode(np.concatenate(some) if some else np.zeros(0, np.int64), np.array([len(x) for x in some], np.int64)))
 
-    prepare(rows.sparkSession)
+    prepare()
     return rows.withColumn("decoded", texts(F.col(column)))

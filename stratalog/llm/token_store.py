@@ -101,7 +101,7 @@ class Encoder:
 def encode(docs: DataFrame, tokenizer_json: str, end_id: int | None = None, plain_specials: bool = False) -> DataFrame:
     """doc_id, ids as bytes (little-endian, 16 bits if the vocabulary allows it, else 32), the end id added.  Strings of
     special tokens in a text become these tokens, as in the library, or stay ordinary text with `plain_specials`."""
-    prepare(docs.sparkSession)
+    prepare()
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     width = _width(tokenizer_json, end_id)
 
