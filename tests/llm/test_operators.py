@@ -328,6 +328,95 @@ def test_stage_filters_judge_each_row(spark, module, column):
     assert sorted((r["doc_id"] or 0, r["tags"][0]) for r in kept if r["tags"] != ["x"]) == [(0, "g"), (9000, "g")]
 
 
+def test_dual_descent_reaches_the_optimum():
+    """Against projected gradients on the dual, written plainly; the rounds that are used come near the least cost."""
+    r = np.random.default_rng(5)
+    rows = [np.flatnonzero(r.random(25) < 0.3) for _ in range(80)] + [np.zeros(0, int)]
+    label = np.array([int((3 in x) + (7 in x) + r.random() > 1) for x in rows])
+    scale = r.normal(0, 1, 25)
+    x = np.zeros((len(rows), 26))
+    for i, row in enumerate(rows):
+        x[i, row] = scale[row]
+    x[:, 25] = 1
+    sign = np.where(label == 1, 1.0, -1.0)
+    cost = np.where(label == 1, 0.1, 0.1 * max(1.0, min(4.0, label.mean() / (1 - label.mean()))))
+    q = (x * sign[:, None]) @ (x * sign[:, None]).T
+    alpha = np.zeros(len(rows))
+    for _ in range(200_000):
+        alpha = np.clip(alpha - (q @ alpha - 1) / np.linalg.norm(q, 2), 0, cost)
+    want = (alpha * sign) @ x
+
+    def primal(w):
+        return 0.5 * w @ w + (cost * np.maximum(0, 1 - sign * (x @ w))).sum()
+
+    assert abs(primal(want) - (alpha.sum() - 0.5 * want @ want)) < 1e-6  # no duality gap
+    assert np.allclose(quality.descend(rows, label, scale, rounds=3000), want, atol=1e-4)
+    assert primal(quality.descend(rows, label, scale)) < 1.02 * primal(want)
+
+
+def test_quality_scores_against_a_plain_version(spark):
+    """Log-count ratios from plain counts; margins as plain sums; ties at the sample's edge and repeated rows are decided
+    by the rows alone, not by their order."""
+    docs, labels = labelled(spark, "quality")
+    docs = docs.union(docs.where("doc_id < 20"))
+    model = quality.fit(docs, labels)
+    rows = docs.join(labels.where("quality is not null and doc_id is not null"), "doc_id").collect()
+    rows = [x for x in rows if zlib.crc32(str(x["doc_id"]).encode()) % 5]
+    times = {0: {}, 1: {}}
+    for x in rows:
+        for f in quality.features(pa.array([x["text"]]))[0].tolist():
+            times[x["quality"]][f] = times[x["quality"]].get(f, 0) + 1
+    n = {k: sum(x["quality"] == k for x in rows) for k in (0, 1)}
+    ratio = {f: np.log((times[1].get(f, 0) + 1) / (n[1] + 2)) - np.log((times[0].get(f, 0) + 1) / (n[0] + 2)) for f in {*times[0], *times[1]} if times[0].get(f, 0) + times[1].get(f, 0) >= 3}
+    used = np.flatnonzero(model["weights"])
+    assert set(used.tolist()) <= set(ratio) and len(used) > 20
+    some = sorted(rows, key=lambda x: (x["doc_id"], x["text"]))
+    sets = [quality.features(pa.array([x["text"]]))[0] for x in some]
+    scale = np.zeros(1 << quality.BITS)
+    for f, v in ratio.items():
+        scale[f] = v / np.sqrt(np.mean([len(s) for s in sets]) + 1)
+    margins = np.array([model["weights"][s].sum() for s in sets])
+    best = quality.descend(sets, np.array([x["quality"] for x in some]), scale, rounds=200)
+    plain = np.array([(best[:-1] * scale)[s].sum() for s in sets])
+    assert np.corrcoef(margins, plain)[0, 1] > 0.99
+    got = {(x["doc_id"], x["score"]) for x in quality.score(docs, model).collect()}
+    for x, m in zip(some, margins):
+        want = 1 / (1 + np.exp(-np.clip(model["slope"] * m + model["offset"], -40, 40)))
+        assert any(i == x["doc_id"] and abs(v - want) < 1e-4 for i, v in got)
+    again = quality.fit(docs.repartition(7, "text"), labels.repartition(3))
+    assert np.array_equal(again["weights"], model["weights"])
+    few = [quality.fit(docs.repartition(k), labels, most=50)["weights"] for k in (2, 5)]
+    assert np.array_equal(*few)
+
+
+def test_toxicity_scores_against_a_plain_version(spark):
+    """Margins as plain sums over terms and pairs of terms; the terms chosen by plain chi-square values."""
+    docs, labels = labelled(spark, "toxic")
+    model = toxicity.fit(docs, labels)
+    machine, place = model["machine"], model["place"]
+    got = {x["doc_id"]: x["score"] for x in toxicity.score(docs, model).collect()}
+    for x in docs.collect():
+        terms = [place[t] for t in toxicity.features(pa.array([x["text"]]))[0] if place[t] >= 0]
+        margin = machine.offset + sum(machine.w[t] for t in terms) + sum(machine.v[a] @ machine.v[b] for i, a in enumerate(terms) for b in terms[:i])
+        assert abs(got[x["doc_id"]] - 1 / (1 + np.exp(-np.clip(margin, -40, 40)))) < 1e-9
+    rows = [(toxicity.features(pa.array([x["text"]]))[0].tolist(), x["toxic"]) for x in docs.join(labels.where("doc_id is not null and toxic is not null"), "doc_id").collect() if zlib.crc32(str(x["doc_id"]).encode()) % 5]
+    for t in {t for f, _ in rows for t in f}:
+        a, b = (sum(t in f and y == k for f, y in rows) for k in (1, 0))
+        c, d = (sum(t not in f and y == k for f, y in rows) for k in (1, 0))
+        chi = (a * d - b * c) ** 2 * len(rows) / max(1, (a + b) * (c + d) * (a + c) * (b + d))
+        assert (place[t] >= 0) == (chi >= toxicity.DEPENDS and a + b >= 5), (t, chi)
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_classifiers_read_very_long_texts(module):
+    """A text's features are those of its whole length: its last word counts."""
+    long = ("word " * 400_000).strip()
+    a, b = (set(module.features(pa.array([t]))[0].tolist()) for t in (long, long + " FINALLY!!! finally"))
+    assert len(b - a) > 1
+    flat, counts = module.features(pa.array(["x" * 2_000_000, None, "", " \n" * 100_000]))
+    assert counts[0] > 0 and counts[1:].tolist() == [0, 0, 0] and len(flat) == counts[0]
+
+
 def test_factorization_machine_learns_a_pair():
     """Neither word alone is toxic, both together are: no linear model can tell."""
     rows = [np.array(x) for x in ([0, 2], [1, 2], [0, 1, 2], [2])] * 100
@@ -493,6 +582,106 @@ def test_languages(spark):
     assert [(s["lang"], mixed[s["start"] : s["end"]].split()[0]) for s in spans] == [("aa", "alpha"), ("bb", "omega")]
 
 
+def plain_words(text):
+    """Runs of letters of one script with their marks, lower-cased, cut at CAP; (word, script, first byte, behind it)."""
+    out, now, script = [], [], None
+
+    def end():
+        nonlocal now, script
+        cap = langid.CAP_UNSPACED if script in langid.UNSPACED else langid.CAP
+        for i in range(0, len(now), cap):
+            some = now[i : i + cap]
+            low = "".join(c.lower() if unicodedata.category(c)[0] == "L" and len(c.lower()) == 1 else c for _, c in some)
+            out.append((low, -1 if script is None else script, some[0][0], some[-1][0] + len(some[-1][1].encode())))
+        now, script = [], None
+
+    at = 0
+    for c in text:
+        kind = unicodedata.category(c)[0]
+        if kind == "L":
+            mine = max(i for i, (f, _) in enumerate(langid.SCRIPTS) if f <= ord(c))
+            mine = langid.NAMES.index(langid.SCRIPTS[mine][1])
+            if script is not None and mine != script:
+                end()
+            script = mine
+            now.append((at, c))
+        elif kind == "M":
+            now.append((at, c))
+        else:
+            end()
+        at += len(c.encode())
+    end()
+    return out
+
+
+def plain_grams(word):
+    data = word.encode()
+    cells = [(data[i - 1] if i else 0, data[i], data[i + 1] if i + 1 < len(data) else 0) for i in range(len(data))]
+    return [int(langid.mix(np.array([a << 16 | b << 8 | c], np.uint64))[0] >> np.uint64(64 - langid.BITS)) for a, b, c in cells]
+
+
+MIXED = ["日本語です。中文文本，没有空格。これはペンです", "École école ÉCOLE", "a1b2 c", "naïve café", "x" * 60 + " " + "日" * 30, "e\u0301cole \u0301 a\u0300\u0301b", "Straße λόγος ЖЖ", "ﬁn Ⅷ ª 𝒳 ʼn", "ภาษาไทย", "\u3000\u00a0", "한국어 텍스트"]
+
+
+def test_language_words_against_a_plain_version():
+    texts = [*ODD, *MIXED, "plain ascii Words, it's 3x", prose(4, 50)]
+    for batch in [texts, *[[t] for t in texts]]:
+        words = langid.Words(pa.array(batch, pa.string()))
+        got = [[(words.buf[words.starts[i] : words.starts[i] + words.sizes[i]].tobytes().decode(), int(words.script[i]), int(words.begin[i] - words.offsets[k]), int(words.end[i] - words.offsets[k])) for i in range(words.first[k], words.first[k + 1])] for k in range(len(batch))]
+        assert got == [plain_words(t or "") for t in batch]
+
+
+def test_languages_against_a_plain_version(spark):
+    """Counts, scores, best paths and shares by plain loops; spans of texts that mix scripts."""
+    vocab = {"aa": "alpha beta École gamma delta".split(), "ja": "日本語です これは ペン 本です".split(), "zh": "中文文本 没有 空格 本文".split(), "gr": "λόγος φως νους".split()}
+    r = random.Random(12)
+    docs = [(i, ("" if lang in ("ja", "zh") else " ").join(r.choice(vocab[lang]) for _ in range(8)), lang) for i in range(120) for lang in [list(vocab)[i % 4]]]
+    model = langid.fit(spark.createDataFrame([*docs, (500, "alpha", None), (501, None, "aa")], "doc_id long, text string, lang string"))
+    langs = sorted(vocab)
+    table, scripts = np.full((4, 1 << langid.BITS), 0.05), np.zeros((4, len(langid.NAMES)))
+    for i, text, lang in docs:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            for word, script, _, _ in plain_words(text):
+                for g in plain_grams(word):
+                    table[langs.index(lang), g] += 1
+                scripts[langs.index(lang), script] += 1
+    table = np.log(table / table.sum(1, keepdims=True))
+    assert model["langs"] == langs and np.allclose(model["table"].T, table, atol=1e-5)
+    fits = scripts > 0.005 * scripts.sum(1, keepdims=True)
+
+    def scores(word, script):
+        if script < 0:
+            return np.zeros(4)
+        s = sum((table[:, g] for g in plain_grams(word)), np.zeros(4))
+        s = s - s.max()
+        f = fits[:, script]
+        s = np.where(f | ~f.any(), np.maximum(s, -25), -50)
+        return s - s.mean()
+
+    texts = [t for _, t, _ in docs[:30]] + MIXED + ["".join(r.choice(vocab["ja"] + vocab["zh"]) for _ in range(30)) + " alpha beta" * 6, "alpha " * 9 + "中文文本" * 9 + " λόγος" * 9]
+    rows = {x["doc_id"]: x for x in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        words = plain_words(text)
+        path, _ = brute_path(np.array([scores(w, s) for w, s, _, _ in words]).reshape(-1, 4), langid.SWITCH) if words else ([], 0)
+        held = np.zeros(4)
+        for (w, s, _, _), p in zip(words, path):
+            held[p] += len(w) if s >= 0 else 0
+        if not held.sum():
+            assert (rows[i]["lang_pred"], rows[i]["score"]) == ("und", 0.0)
+        else:
+            assert abs(rows[i]["score"] - held.max() / held.sum()) < 1e-9 and held[langs.index(rows[i]["lang_pred"])] == held.max(), text
+    spans = langid.spans(spark.createDataFrame([(1, texts[-1])], "doc_id long, text string"), model).orderBy("start").collect()
+    data = texts[-1].encode()
+    assert [(x["lang"], data[x["start"] : x["end"]].decode().strip()[:2]) for x in spans] == [("aa", "al"), ("zh", "中文"), ("gr", "λό")]
+
+
+def test_languages_of_very_long_texts():
+    """A megabyte without spaces is words of bounded length; the whole of it counts."""
+    words = langid.Words(pa.array(["日本語" * 100_000 + "λ", "x" * 1_000_000 + " y"]))
+    assert words.chars.max() <= langid.CAP and words.chars.sum() == 300_001 + 1_000_001
+    assert words.script[words.first[1] - 1] == langid.NAMES.index("Greek")
+
+
 def test_viterbi_is_the_best_path(spark):
     vocab = {"aa": "alpha beta gamma delta".split(), "bb": "omega sigma kappa zeta".split(), "cc": "uno dos tres siete".split()}
     r = random.Random(5)
