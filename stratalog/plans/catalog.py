@@ -114,13 +114,11 @@ class Catalog:
 
 def ancestry_frame(branches: DataFrame) -> DataFrame:
     """(branch, ancestor, depth), each branch among its own: a recursive query over a table of branches."""
-    spark = branches.sparkSession
-    view = f"branches_{abs(hash(id(branches)))}"
-    branches.createOrReplaceTempView(view)
-    return spark.sql(
+    return branches.sparkSession.sql(
         f"""WITH RECURSIVE line(branch, ancestor, parent, depth) AS (
-                SELECT id, id, parent, 0 FROM {view}
+                SELECT id, id, parent, 0 FROM {{branches}}
                 UNION ALL
-                SELECT l.branch, b.id, b.parent, l.depth + 1 FROM line l JOIN {view} b ON b.id = l.parent WHERE l.depth < {LINEAGE_NODES})
-            SELECT branch, ancestor, CAST(depth AS BIGINT) AS depth FROM line"""
+                SELECT l.branch, b.id, b.parent, l.depth + 1 FROM line l JOIN {{branches}} b ON b.id = l.parent WHERE l.depth < {LINEAGE_NODES})
+            SELECT branch, ancestor, CAST(depth AS BIGINT) AS depth FROM line""",
+        branches=branches,
     )
