@@ -6,6 +6,7 @@ import sys
 import types
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 U64 = np.uint64
@@ -100,29 +101,28 @@ def worker_memo(name: str, kind: type) -> Memo:
 def wide_white(buf: np.ndarray) -> np.ndarray:
     """Which bytes belong to white space, that beyond ASCII included (Unicode's White_Space)."""
     white = WHITE[buf]
-    a, b, c = buf[:-2], buf[1:-1], buf[2:]
-    lead = (a == 0xC2) | (a == 0xE1) | (a == 0xE2) | (a == 0xE3)
-    if len(buf) > 1 and (buf[-2] == 0xC2) and buf[-1] in (0x85, 0xA0):
-        white[-2:] = True
-    if lead.any():
-        at = np.flatnonzero(lead)
-        a, b, c = a[at], b[at], c[at]
-        two = at[(a == 0xC2) & ((b == 0x85) | (b == 0xA0))]
-        # U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000
-        spaces = (c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)
-        three = at[((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE2) & (b == 0x80) & (c >= 0x80) & spaces) | ((a == 0xE2) & (b == 0x81) & (c == 0x9F)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))]
-        for k in range(2):
-            white[two + k] = True
-        for k in range(3):
-            white[three + k] = True
+    at = np.flatnonzero((buf >= 0xC2) & (buf <= 0xE3))  # first bytes of what is looked for are C2 and E1 to E3
+    if not len(at):
+        return white
+    spare = np.append(buf[at[0] :], np.zeros(2, np.uint8))
+    a, b, c = (spare[at - at[0] + k] for k in range(3))
+    two = at[(a == 0xC2) & ((b == 0x85) | (b == 0xA0))]
+    # U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000
+    spaces = (c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)
+    three = at[((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE2) & (b == 0x80) & (c >= 0x80) & spaces) | ((a == 0xE2) & (b == 0x81) & (c == 0x9F)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))]
+    for k in range(2):
+        white[two + k] = True
+    for k in range(3):
+        white[three + k] = True
     return white
 
 
-def lead_spans(buf: np.ndarray, offsets: np.ndarray, space_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def lead_spans(buf: np.ndarray, offsets: np.ndarray, space_only: bool = False, white: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Like word_spans, but each span takes the white space before it along (that beyond ASCII, too), so that the spans of a
     text join to the text."""
     n = len(buf) - 8
-    white = buf[:n] == 0x20 if space_only else wide_white(buf[:n])
+    if white is None:
+        white = buf[:n] == 0x20 if space_only else wide_white(buf[:n])
     begin = white.copy()
     begin[1:] &= ~white[:-1]
     inner = offsets[offsets < n]
@@ -139,8 +139,14 @@ def ragged(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def gather(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Indices of the elements of spans of a flat array, span after span."""
-    owner, place = ragged(counts)
-    return starts[owner] + place
+    some = counts > 0
+    starts, counts = starts[some], counts[some]
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    step = np.ones(int(counts.sum()), np.int64)
+    step[0] = starts[0]
+    step[np.cumsum(counts)[:-1]] = starts[1:] - starts[:-1] - counts[:-1] + 1
+    return np.cumsum(step, out=step)
 
 
 def lists(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -207,37 +213,36 @@ class Memo:
 
     def look(self, hashes: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
         """Flat values of all the words, in order, and the number of values of each word."""
-        keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        back, keys = pd.factorize(hashes)
         if self.held() > self.limit:
             self.clear()
         at = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == keys[inside]
-        old, new = np.flatnonzero(known), np.flatnonzero(~known)
+        new = np.flatnonzero(~known)
         starts, counts = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        starts[old], counts[old] = self.starts[at[old]], self.counts[at[old]]
-        fresh = np.zeros(0, self.kind)
+        starts[known], counts[known] = self.starts[at[known]], self.counts[at[known]]
+        base, fresh = self.used, np.zeros(0, self.kind)
         if len(new):
+            new = new[np.argsort(keys[new])]
+            first = np.empty(len(keys), np.int64)
+            first[back[::-1]] = np.arange(len(back) - 1, -1, -1)
             fresh, counts[new] = make(first[new])
-            fresh = fresh.astype(self.kind, copy=False)
-        # what was there, and what is new: two passes over one result
-        where, sizes = starts[back], counts[back]
-        out, ends = np.empty(int(sizes.sum()), self.kind), np.cumsum(sizes)
-        seen = known[back]
-        out[gather((ends - sizes)[seen], sizes[seen])] = self.flat[gather(where[seen], sizes[seen])]
+            starts[new] = base + np.cumsum(counts[new]) - counts[new]
+            self._put(fresh)
+        sizes = counts[back]
+        out = self.flat[gather(starts[back], sizes)]
         if len(new):
-            starts[new] = np.cumsum(counts[new]) - counts[new]
-            where = starts[back]
-            out[gather((ends - sizes)[~seen], sizes[~seen])] = fresh[gather(where[~seen], sizes[~seen])]
-            short = new[counts[new] <= self.LONG]
-            kept = fresh[gather(starts[short], counts[short])]
-            if self.used * self.flat.itemsize + kept.nbytes + 24 * (len(self.keys) + len(short)) <= 2 * self.limit:
-                n = counts[short]
-                place = self.used + np.cumsum(n) - n
+            short = counts[new] <= self.LONG
+            if not short.all():  # the long ones give way
+                self.used = base
+                kept = fresh[gather(starts[new[short]] - base, counts[new[short]])]
+                new = new[short]
+                starts[new] = base + np.cumsum(counts[new]) - counts[new]
                 self._put(kept)
-                at = at[short]
-                self.keys, self.starts, self.counts = np.insert(self.keys, at, keys[short]), np.insert(self.starts, at, place), np.insert(self.counts, at, n)
+            at = at[new]
+            self.keys, self.starts, self.counts = np.insert(self.keys, at, keys[new]), np.insert(self.starts, at, starts[new]), np.insert(self.counts, at, counts[new])
         return out, sizes
 
 

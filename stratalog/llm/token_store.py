@@ -62,14 +62,14 @@ class Encoder:
 
     def _cut(self, buf: np.ndarray, offsets: np.ndarray, whole: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Texts are cut where the pre-tokenizer always cuts: before white space, and between a letter and a mark."""
-        starts = lead_spans(buf, offsets)[0]
+        space = wide_white(buf[:-8])
+        starts = lead_spans(buf, offsets, white=space)[0]
         # a mark behind an ASCII letter or digit begins a piece of its own, too
         mark = MARKS[buf[1:-8]] & ~WHITE[buf[1:-8]] & PLAIN[buf[:-9]] if len(buf) > 9 else np.zeros(0, bool)
         starts = np.sort(np.concatenate([starts, np.flatnonzero(mark) + 1]))
         starts = starts[np.append(True, starts[1:] != starts[:-1])[: len(starts)]]
         lengths, first = np.diff(np.append(starts, len(buf) - 8)), np.searchsorted(starts, offsets)
         # New words that begin with white space and don't end with it are joined to long texts: one call for many.
-        space = wide_white(buf[:-8])
         white, tail = space[starts], space[starts + lengths - 1]
 
         def make(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
