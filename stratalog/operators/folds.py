@@ -36,24 +36,45 @@ def changes_with_deletes(changes: DataFrame, keys: list[str], values: list[str],
     return state.select(*keys, *(F.col(f"__last.{v}").alias(v) for v in [*values, "deleted"]), order)
 
 
-def ordered_fold(log: DataFrame, keys: list[str], schema: str, start: Callable[[], object], step: Callable[[object, dict], object], finish: Callable[[tuple, object], dict], order: str = "position") -> DataFrame:
-    """A fold that needs every event in order: step(state, event) over each key's events.
+def ordered_fold(
+    log: DataFrame,
+    keys: list[str],
+    schema: str,
+    start: Callable[[], object],
+    step: Callable[[object, dict], object] | None,
+    finish: Callable[[tuple, object], dict],
+    order: str = "position",
+    run: Callable[[object, pd.DataFrame], object] | None = None,
+) -> DataFrame:
+    """A fold that needs every event in order: step(state, event) over each key's events, one at a time, or, much faster,
+    run(state, events) over stretches of one key's events as they lie in a batch (a key can have several).
 
     Events stream through a sorted partition; memory holds one state at a time, however long a key's history is.
     """
     columns = log.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def one_by_one(state: object, events: pd.DataFrame) -> object:
+        for row in events.itertuples(index=False, name=None):
+            state = step(state, dict(zip(columns, row, strict=True)))
+        return state
+
+    advance = run or one_by_one
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state, done = None, None, []
         for batch in batches:
-            for row in batch.itertuples(index=False, name=None):
-                event = dict(zip(columns, row, strict=True))
-                mine = tuple(event[k] for k in keys)
+            if batch.empty:
+                continue
+            same = batch[keys].eq(batch[keys].shift()) | (batch[keys].isna() & batch[keys].shift().isna())
+            heads = [0, *(i for i in (~same.all(axis=1)).to_numpy().nonzero()[0].tolist() if i), len(batch)]
+            for low, high in zip(heads, heads[1:]):
+                events = batch.iloc[low:high]
+                mine = tuple(None if pd.isna(x) else x for x in events.iloc[0][keys])
                 if mine != key:
                     if key is not None:
                         done.append(finish(key, state))
                     key, state = mine, start()
-                state = step(state, event)
+                state = advance(state, events)
             if len(done) >= 1000:
                 yield pd.DataFrame(done)
                 done = []
@@ -62,7 +83,7 @@ def ordered_fold(log: DataFrame, keys: list[str], schema: str, start: Callable[[
         if done:
             yield pd.DataFrame(done)
 
-    return log.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
+    return log.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(fold, schema)
 
 
 def exactly_once(log: DataFrame, keys: list[str], step: str) -> DataFrame:

@@ -298,12 +298,18 @@ def custom_fold(spark, d):
     """A fold that needs every event in order: the longest run of events of one type in each stream."""
     log, _, _ = events_log(spark, d)
 
-    def step(s, e):
-        run = s[1] + 1 if e["event_type"] == s[0] else 1
-        return e["event_type"], run, max(s[2], run)
+    def run(s, events):
+        last, length, longest = s
+        types = events["event_type"].to_numpy(object)
+        ends = [*(i + 1 for i in (types[1:] != types[:-1]).nonzero()[0].tolist()), len(types)]
+        for low, high in zip([0, *ends], ends):
+            length = high - low + (length if low == 0 and types[0] == last else 0)
+            longest = max(longest, length)
+        return types[-1], length, longest
 
     rows = log.select("stream_name", "position", "event_type")
-    return folds.ordered_fold(rows, ["stream_name"], "stream_name string, longest_run bigint", lambda: (None, 0, 0), step, lambda k, s: {"stream_name": k[0], "longest_run": s[2]})
+    finish = lambda k, s: {"stream_name": k[0], "longest_run": s[2]}
+    return folds.ordered_fold(rows, ["stream_name"], "stream_name string, longest_run bigint", lambda: (None, 0, 0), None, finish, run=run)
 
 
 @query("""WITH x AS (SELECT l_partkey, max({'d': l_shipdate, 'o': l_orderkey, 'n': l_linenumber, 's': l_suppkey, 'q': l_quantity, 'p': l_extendedprice}) AS m, count(*) AS shipments FROM lineitem GROUP BY 1)
