@@ -452,9 +452,9 @@ def regions(members: DataFrame, sets: DataFrame, percent: int = PERCENT, leaf: i
     return reduce(DataFrame.union, out), out
 
 
-def links(short: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, leaf: int = LEAF, split: int = SPLIT) -> tuple[DataFrame, list[DataFrame]]:
-    """Edges (u, v) that connect exactly what the links of the documents in `short` (prefixes()) connect, and the tables
-    that hold them."""
+def cells_of(short: DataFrame) -> DataFrame:
+    """region, doc_id, rank, main (false) of the documents in `short` (prefixes()): both ends of every link are in a
+    common region; a stored table."""
     # pivots come first by the share of shingles of their own: copies are nearer to their original than to each other;
     # two documents of one rank, which hashes make unlikely, would share a region
     rank = F.expr("lone << 50 | (xxhash64(doc_id) & ((1L << 50) - 1))").alias("rank")
@@ -468,13 +468,46 @@ def links(short: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int =
     cells = cells.where("size > 1 and (low <> high or low = cell)").select("cell")
     kept = stored(members.join(cells, "cell").select(F.col("cell").cast("string").alias("region"), "doc_id", "rank", F.lit(False).alias("main")), "members")
     discard(members)
-    sets = stored(sets_of(join_small(docs, kept.select("doc_id").distinct(), ["doc_id"], "left_semi"), width).where("size(tokens) > 0"), "sets")
-    found = regions(kept, sets, percent, leaf, split)
-    discard(kept, sets)
-    return found
+    return kept
 
 
-def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, leaf: int = LEAF, split: int = SPLIT) -> DataFrame:
+def link_counts(members: DataFrame, sets: DataFrame, weights: DataFrame, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
+    """doc_id, n: how many rows are linked with each document, each set counting as often as `weights` (doc_id, weight) says.
+
+    All members of a region are compared, block by block, and a pair counts in the first region that has both.  The work
+    grows with the square of the number of unlike sets in a region, which no index can spare where each pair is to be
+    told from the ones that just fail; so classes() does it only if asked to.
+    """
+    sizes = members.groupBy("region").agg(F.count("*").alias("size")).where("size > 1").select("region", F.ceil(F.col("size") / leaf).cast("int").alias("parts"))
+    lists = members.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.col("region").cast("long"))).alias("cells"))
+    rows = join_small(sets, members.join(sizes, "region").join(lists, "doc_id").join(weights, "doc_id"), ["doc_id"], "inner")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("region", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "doc_id", "tokens", "cells", "weight")
+
+    def count(frame: pd.DataFrame) -> pd.DataFrame:
+        here, cross = int(frame["region"].iloc[0]), frame["a"].iloc[0] != frame["b"].iloc[0]
+        region = Region([np.asarray(t, np.int64) for t in frame["tokens"]], percent)
+        everyone, part, weight = np.arange(len(frame)), frame["part"].to_numpy(), frame["weight"].to_numpy()
+        earlier = [np.asarray(c, np.int64) for c in frame["cells"]]
+        earlier = [c[c < here] for c in earlier]
+        names, at = np.unique(np.concatenate(earlier), return_inverse=True)
+        also = np.zeros((len(frame), len(names)), np.float32)
+        also[np.repeat(everyone, [len(c) for c in earlier]), at] = 1
+        total = np.zeros(len(frame), np.int64)
+        for i in everyone:
+            mine = region.near(i, everyone)[1]
+            mine[i] = False
+            if cross:
+                mine &= part != part[i]
+            if len(names):
+                mine[mine] = also[mine] @ also[i] == 0  # counted in an earlier region
+            total[i] = weight[mine].sum()
+        return pd.DataFrame({"doc_id": frame["doc_id"], "n": total})
+
+    return rows.groupBy("region", "a", "b").applyInPandas(count, "doc_id long, n long").groupBy("doc_id").agg(F.sum("n").alias("n"))
+
+
+def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, leaf: int = LEAF, split: int = SPLIT, counts: bool = False) -> DataFrame:
     """Similarity classes: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included).
 
     Two documents link when the Jaccard similarity of their sets is percent/100 or more; words are what stands between
@@ -482,6 +515,9 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, leaf: i
     empty text, or one of white space, has an empty set and links with nothing; so do rows with a null id, whose
     component is null.  A text of fewer than `width` words has its whole sequence as one shingle.  Links inside a
     region's main component aren't listed pair by pair; all links between classes' members are found, none is sampled.
+
+    With `counts`, also n_links: the number of other rows that the document is linked with, copies included (of a repeated
+    id with unlike sets, those of all its sets); see link_counts() for what that costs.
     """
     prepare()
     docs = docs.select("doc_id", "text")
@@ -500,10 +536,18 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, leaf: i
     ids = copies.where("first is not null").groupBy("doc_id").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low <> high").select("doc_id")
     ids = stored(ids, "unlike")
     same = join_small(copies.where("doc_id <> first"), ids, ["doc_id"], "left_semi").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-    edges, held = links(short, docs, width, percent, leaf, split)
+    members = cells_of(short)
+    sets = stored(sets_of(join_small(docs, members.select("doc_id").distinct(), ["doc_id"], "left_semi"), width).where("size(tokens) > 0"), "sets")
+    edges, held = regions(members, sets, percent, leaf, split)
     found = stored(components(edges.union(same)), "components")
-    out = stored(copies.join(found, copies["first"] == found["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id")), "classes")
-    discard(named, first, once, short, ids, found, *held)
+    out = copies.join(found, copies["first"] == found["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"), "first")
+    if counts:
+        weights = stored(copies.where("n_shingles > 0 and first is not null").groupBy(F.col("first").alias("doc_id")).agg(F.count("*").alias("weight")), "weights")
+        linked = stored(weights.join(link_counts(members, sets, weights, percent, leaf), "doc_id", "left").select(F.col("doc_id").alias("first"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "counts")
+        out = out.join(linked, "first", "left").withColumn("n_links", F.when(F.col("first").isNotNull(), F.coalesce("n_links", F.lit(0))))
+        held += [weights, linked]
+    out = stored(out.drop("first"), "classes")
+    discard(named, first, once, short, ids, members, sets, found, *held)
     return out
 
 
@@ -513,4 +557,4 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     return join_small(docs, found, ["doc_id"], "left_anti")
 
 
-__all__ = ["census", "classes", "digests", "keep_one", "links", "prefixes", "regions", "sets_of"]
+__all__ = ["census", "classes", "digests", "keep_one", "link_counts", "prefixes", "regions", "sets_of"]

@@ -133,6 +133,18 @@ def test_region_resolves_like_all_pairs():
         assert all((root[a] == root[b]) == (want[a] == want[b]) for a in range(len(sets)) for b in range(a)), trial
 
 
+@pytest.mark.parametrize("leaf", [4096, 11])
+def test_jaccard_link_counts(spark, leaf):
+    """Each document's number of links, copies of a set counting each, against all pairs."""
+    rows = near_copies(40)
+    rows += [(500 + i, t) for i, (_, t) in enumerate(rows[:6])] + [(600, rows[0][1]), (700, ""), (701, None)]
+    got = {r["doc_id"]: (r["n_links"], r["component_id"]) for r in ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string"), leaf=leaf, split=leaf, counts=True).collect()}
+    sets = [(i, shingles(t)) for i, t in rows]
+    linked = {i: sum(j != i and bool(a) and bool(b) and 100 * len(a & b) >= 75 * len(a | b) for j, b in sets) for i, a in sets}
+    assert {i: n for i, (n, _) in got.items()} == linked
+    assert {i: c for i, (_, c) in got.items()} == {i: c for i, (_, c) in brute_components(rows).items()}
+
+
 @pytest.mark.parametrize(("leaf", "depth"), [(9, 4), (9, 1), (9, 0), (40, 4)])
 def test_large_regions_join_like_all_pairs(spark, monkeypatch, leaf, depth):
     """Members at all distances from each other, in regions that are cut by Voronoi windows, or block by block."""
