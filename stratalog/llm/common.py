@@ -18,6 +18,8 @@ from .textvec import byte_view
 STEP_BYTES = 4 << 20
 #: A side of a join is broadcast up to so many rows of a few bytes (counted first); beyond it both sides are shuffled.
 BROADCAST_IDS = 1_000_000
+#: The same for stored tables of texts: up to so many compressed bytes.
+BROADCAST_BYTES = 8 << 20
 
 
 def prepare() -> None:
@@ -87,11 +89,22 @@ def is_small(df: DataFrame, rows: int | None = None) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def is_light(table: DataFrame) -> bool:
+    """Whether the files of a table that stored() has made are within BROADCAST_BYTES: for rows of no bounded size."""
+    files, target = _file_system(table.sparkSession, table._stored_path)
+    return files.getContentSummary(target).getLength() <= BROADCAST_BYTES
+
+
 def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
     """Broadcasts right only if its counted rows are within BROADCAST_IDS; else Spark shuffles both sides."""
     return left.join(F.broadcast(right) if is_small(right) else right, on, how)
 
 
+def join_light(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Broadcasts a stored table only if its files are within BROADCAST_BYTES; else Spark shuffles both sides."""
+    return left.join(F.broadcast(right) if is_light(right) else right, on, how)
+
+
 def remainder(column: str, of: int) -> F.Column:
     """crc32 of the id as text, modulo: decides which rows are held out."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(of))

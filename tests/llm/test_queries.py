@@ -87,6 +87,7 @@ def test_both_sides_of_a_broadcast(spark, sf_dir, name, monkeypatch):
     """Sides that are too large to be sent to all tasks are shuffled; the rows stay the same."""
     want = sorted(map(repr, QUERIES[name](spark, sf_dir).collect()))
     monkeypatch.setattr(common, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     assert not common.is_small(spark.range(1))
     assert sorted(map(repr, QUERIES[name](spark, sf_dir).collect())) == want
 
