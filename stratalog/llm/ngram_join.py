@@ -460,7 +460,9 @@ def cells_of(short: DataFrame) -> DataFrame:
     rank = F.expr("lone << 50 | (xxhash64(doc_id) & ((1L << 50) - 1))").alias("rank")
     claims = short.select("doc_id", rank, F.explode("tokens").alias("token"))
     owners = claims.groupBy("token").agg(F.min("rank").alias("cell"), F.count("*").alias("times")).where("times > 1").select("token", "cell")
+    owners = stored(owners, "owners")  # a table of its own, so that the join can split a token that a third of all documents has
     members = stored(claims.join(owners, "token").select("cell", "doc_id", "rank").distinct(), "members")
+    discard(owners)
     # A document's home is the first of its cells.  If all members of a cell have one home, other than the cell, they meet
     # there, and the cell adds nothing.
     home = members.groupBy("doc_id").agg(F.min("cell").alias("home"))
