@@ -29,13 +29,19 @@ class Template:
     loss: tuple[str, ...] = ("assistant",)
     #: Further strings that tokenizers take for control tokens; none may occur in a formatted text.
     reserved: tuple[str, ...] = ("<s>", "</s>", "[INST]", "[/INST]", "<|endoftext|>")
-    follow: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"start": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)})
+    follow: dict[str, tuple[str, ...]] = field(
+        default_factory=lambda: {
+            "start": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",),
+        }
+    )
     final: tuple[str, ...] = ("assistant",)
 
     @property
     def states(self) -> list[str]:
         """The roles that the machine knows."""
-        return sorted({*self.loss, *self.final, *self.follow, *(r for to in self.follow.values() for r in to)} - {START})
+        return sorted(
+            {*self.loss, *self.final, *self.follow, *(r for to in self.follow.values() for r in to)} - {START}
+        )
 
     @property
     def controls(self) -> list[str]:
@@ -66,7 +72,9 @@ def moves(turns: Column, template: Template) -> Column:
         for name, roles in t.follow.items():
             if roles:
                 allowed |= (before == name) & after.isin(*roles)
-        return F.struct(before.alias("before"), after.alias("after"), allowed.alias("allowed"), after.isin(*t.loss).alias("loss"))
+        return F.struct(
+            before.alias("before"), after.alias("after"), allowed.alias("allowed"), after.isin(*t.loss).alias("loss"),
+        )
 
     return F.transform(turns, move)
 
@@ -89,12 +97,18 @@ def format_turns(rows: DataFrame, template: Template | None = None) -> DataFrame
 
     def emit(x: Column, move: Column) -> Column:
         """The segments that a move puts out; the state it goes to decides the loss flag."""
-        return F.array(mark(t.begin), F.struct(escape(x["role"], t).alias("text"), F.lit(False).alias("loss")), mark(t.between), F.struct(escape(x["text"], t).alias("text"), move["loss"].alias("loss")), mark(t.end))
+        return F.array(
+            mark(t.begin), F.struct(escape(x["role"], t).alias("text"), F.lit(False).alias("loss")), mark(t.between),
+            F.struct(escape(x["text"], t).alias("text"), move["loss"].alias("loss")), mark(t.end),
+        )
 
     wrong = F.array_position(F.col("run.allowed"), False)
     ended = F.element_at("run", -1)["after"].isin(*t.final)
     first_bad = F.when(wrong > 0, wrong - 1).when(~ended, F.col("n_turns"))
-    rows = rows.select("conv_id", F.flatten(F.zip_with("turns", "run", emit)).alias("segments"), "n_turns", first_bad.isNull().alias("valid"), first_bad.cast("long").alias("first_bad"))
+    rows = rows.select(
+        "conv_id", F.flatten(F.zip_with("turns", "run", emit)).alias("segments"), "n_turns",
+        first_bad.isNull().alias("valid"), first_bad.cast("long").alias("first_bad"),
+    )
     return rows.withColumn("text", F.array_join(F.col("segments.text"), ""))
 
 
@@ -105,11 +119,16 @@ def parse(text: Column, template: Template | None = None) -> Column:
 
     def turn(x: Column) -> Column:
         at = F.locate(t.between, x)
-        return F.struct(unescape(F.substring(x, F.lit(len(t.begin) + 1), at - len(t.begin) - 1), t).alias("role"), unescape(F.substring(x, at + len(t.between), F.length(x)), t).alias("text"))
+        return F.struct(
+            unescape(F.substring(x, F.lit(len(t.begin) + 1), at - len(t.begin) - 1), t).alias("role"),
+            unescape(F.substring(x, at + len(t.between), F.length(x)), t).alias("text"),
+        )
 
     return F.transform(pieces, turn)
 
 
 def loss_text(segments: Column, template: Template | None = None) -> Column:
     """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"], template or Template())), "")
+    return F.array_join(
+        F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"], template or Template())), "",
+    )

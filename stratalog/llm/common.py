@@ -122,7 +122,10 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Itera
         at = end
 
 
-def map_text(df: DataFrame, column: str, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]) -> DataFrame:
+def map_text(
+    df: DataFrame, column: str, schema: str | StructType,
+    make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]],
+) -> DataFrame:
     """mapInArrow over parts of bounded text; make() runs once a task and returns the function for a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

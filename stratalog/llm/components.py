@@ -19,18 +19,26 @@ def components(edges: DataFrame) -> DataFrame:
     Rounds of large-star and small-star (Kiveris et al., 2014), each cut off from its lineage by a table in the shared
     folder, until the edges stay the same.  Nulls and loops are ignored; repeated edges count once; no edges: no rows.
     """
-    edges = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    edges = stored(
+        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges",
+    )
     before = _digest(edges)
     while before[0]:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(
+            F.col("v").alias("u"), F.col("m").alias("v"),
+        ).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", "m")).where("u <> v").distinct()
+        small = large.join(down, "u").select(
+            F.col("v").alias("u"), F.col("m").alias("v"),
+        ).union(down.select("u", "m")).where("u <> v").distinct()
         edges, old = stored(small, "edges"), edges
         discard(old)
         after = _digest(edges)
         if after == before:
             break
         before = after
-    return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").union(edges.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component")))
+    return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").union(
+        edges.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))
+    )

@@ -130,9 +130,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
             searcher = Searcher(shared.value, rate)
 
             def step(part: pa.RecordBatch) -> pa.RecordBatch:
-                rows = [(doc, *hit) for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True) for hit in searcher.search(plain(text))]
+                rows = [
+                    (doc, *hit)
+                    for doc, text in zip(
+                        part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True,
+                    )
+                    for hit in searcher.search(plain(text))
+                ]
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-                return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "item_id", "distance", "start", "end"])
+                return pa.record_batch(
+                    [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
+                    ["doc_id", "item_id", "distance", "start", "end"],
+                )
 
             return step
 
@@ -147,7 +156,9 @@ def blocks(benchmark: DataFrame) -> Iterator[dict[str, list[int]]]:
     """The plain() texts of the items and their ids, BLOCK characters at a time."""
     block: dict[str, list[int]] = {}
     held = 0
-    for row in benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
+    for row in benchmark.select(
+        F.col("item_id").cast("long"), "text",
+    ).where("text is not null").orderBy("item_id", "text").toLocalIterator():
         if not (text := plain(row["text"])):
             continue
         if held and held + len(text) > BLOCK:
@@ -169,7 +180,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Dat
 
         def make():
             searcher = Searcher(shared.value, rate)
-            return lambda part: part.filter(pa.array([not searcher.search(plain(text)) for text in part.column("text").to_pylist()], pa.bool_()))
+            return lambda part: part.filter(
+                pa.array([not searcher.search(plain(text)) for text in part.column("text").to_pylist()], pa.bool_())
+            )
 
         return map_text(docs, "text", docs.schema, make)
 

@@ -25,10 +25,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, column: str, features: Fea
     A document's label is the largest of its non-null ones.  Labels are broadcast up to a counted bound; beyond it,
     features (a fraction of the text) are shuffled instead of texts.
     """
-    labels = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", hold) != 0)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(column) > 0).cast("int").alias("label"))
+    labels = labels.where(
+        F.col(column).isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id", hold) != 0)
+    ).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(column) > 0).cast("int").alias("label"))
     docs = docs.select(F.col("doc_id").cast("long"), "text").where(remainder("doc_id", hold) != 0)
     if is_small(labels):
-        rows = packed(docs.join(F.broadcast(labels.select("doc_id")), "doc_id", "left_semi"), features).join(F.broadcast(labels), "doc_id")
+        rows = packed(
+            docs.join(F.broadcast(labels.select("doc_id")), "doc_id", "left_semi"), features,
+        ).join(F.broadcast(labels), "doc_id")
     else:
         rows = packed(docs, features).join(labels, "doc_id")
     return stored(rows.select("doc_id", "label", "features"), "training")
@@ -37,7 +41,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, column: str, features: Fea
 def packed(docs: DataFrame, features: Features) -> DataFrame:
     def make():
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.record_batch([part.column("doc_id"), pack(*features(part.column("text")))], ["doc_id", "features"])
+            return pa.record_batch(
+                [part.column("doc_id"), pack(*features(part.column("text")))], ["doc_id", "features"],
+            )
 
         return step
 
@@ -55,14 +61,20 @@ def document_counts(rows: DataFrame, size: int, least: int = 1) -> tuple[np.ndar
         for batch in batches:
             label = batch.column("label").to_numpy()
             for one in (0, 1):
-                some = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column("features").filter(pa.array(label == one))]
+                some = [
+                    np.frombuffer(x.as_py(), np.uint32) for x in batch.column("features").filter(pa.array(label == one))
+                ]
                 total[one, size] += len(some)
                 if some:
                     total[one, :size] += np.bincount(np.concatenate(some), minlength=size)
         at = np.flatnonzero(total.any(0))
-        yield pa.record_batch([pa.array(at), pa.array(total[1, at]), pa.array(total[0, at])], ["feature", "good", "bad"])
+        yield pa.record_batch(
+            [pa.array(at), pa.array(total[1, at]), pa.array(total[0, at])], ["feature", "good", "bad"],
+        )
 
-    sums = rows.mapInArrow(add, "feature long, good long, bad long").groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).where((F.col("good") + F.col("bad") >= least) | (F.col("feature") == size)).toPandas()
+    sums = rows.mapInArrow(add, "feature long, good long, bad long").groupBy("feature").agg(
+        F.sum("good").alias("good"), F.sum("bad").alias("bad"),
+    ).where((F.col("good") + F.col("bad") >= least) | (F.col("feature") == size)).toPandas()
     out = np.zeros((2, size + 1))
     out[:, sums["feature"]] = sums[["good", "bad"]].to_numpy(float).T
     return out[0, :size], out[1, :size], int(out[0, size]), int(out[1, size])
@@ -79,7 +91,13 @@ def sample(rows: DataFrame, most: int, place: np.ndarray | None = None) -> tuple
         def known(batches):
             for batch in batches:
                 kept = (shared.value[np.frombuffer(x.as_py(), np.uint32)] for x in batch.column("features"))
-                yield pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array([k[k >= 0].astype(np.uint32).tobytes() for k in kept], pa.binary())], ["doc_id", "label", "features"])
+                yield pa.record_batch(
+                    [
+                        batch.column("doc_id"), batch.column("label"),
+                        pa.array([k[k >= 0].astype(np.uint32).tobytes() for k in kept], pa.binary()),
+                    ],
+                    ["doc_id", "label", "features"],
+                )
 
         some = some.mapInArrow(known, "doc_id long, label int, features binary")
     got = some.orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(most).select("features", "label").toPandas()
@@ -103,22 +121,33 @@ def platt(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def scored(docs: DataFrame, features: Features, judge: Callable[[np.ndarray, np.ndarray], np.ndarray], threshold: float, hold: int = HOLD) -> DataFrame:
+def scored(
+    docs: DataFrame, features: Features, judge: Callable[[np.ndarray, np.ndarray], np.ndarray], threshold: float,
+    hold: int = HOLD,
+) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs; judge maps features, flat and by text, to scores."""
 
     def make():
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
             score = judge(*features(part.column("text")))
-            return pa.record_batch([part.column("doc_id"), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+            return pa.record_batch(
+                [part.column("doc_id"), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))],
+                ["doc_id", "score", "predicted"],
+            )
 
         return step
 
     prepare()
-    out = map_text(docs.select(F.col("doc_id").cast("long"), "text"), "text", "doc_id long, score double, predicted int", make)
+    out = map_text(
+        docs.select(F.col("doc_id").cast("long"), "text"), "text", "doc_id long, score double, predicted int", make,
+    )
     return out.select("doc_id", (remainder("doc_id", hold) == 0).alias("held_out"), "score", "predicted")
 
 
-def kept(docs: DataFrame, features: Features, judge: Callable[[np.ndarray, np.ndarray], np.ndarray], keep: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+def kept(
+    docs: DataFrame, features: Features, judge: Callable[[np.ndarray, np.ndarray], np.ndarray],
+    keep: Callable[[np.ndarray], np.ndarray],
+) -> DataFrame:
     """The rows of docs, with all their columns, whose own scores `keep` takes; ids are not looked at."""
 
     def make():

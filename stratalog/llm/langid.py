@@ -24,7 +24,13 @@ BITS = 16
 SWITCH = 12.0
 UNKNOWN = "und"
 #: First code points of Unicode ranges, and the script of the letters from there on.
-SCRIPTS = ((0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0900, "Devanagari"), (0x0980, "Indic"), (0x0E00, "Thai"), (0x0E80, "Other"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Other"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "Other"), (0x3040, "Kana"), (0x3100, "Other"), (0x3400, "Han"), (0xA000, "Other"), (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Other"))
+SCRIPTS = (
+    (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"),
+    (0x0600, "Arabic"), (0x0900, "Devanagari"), (0x0980, "Indic"), (0x0E00, "Thai"), (0x0E80, "Other"),
+    (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Other"), (0x1E00, "Latin"), (0x1F00, "Greek"),
+    (0x2000, "Other"), (0x3040, "Kana"), (0x3100, "Other"), (0x3400, "Han"), (0xA000, "Other"), (0xAC00, "Hangul"),
+    (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Other"),
+)
 NAMES = sorted({s for _, s in SCRIPTS})
 _FROM = np.array([f for f, _ in SCRIPTS])
 _SCRIPT = np.array([NAMES.index(s) for _, s in SCRIPTS])
@@ -55,7 +61,9 @@ def _characters() -> tuple[np.ndarray, np.ndarray]:
 
 def _width(codes: np.ndarray) -> np.ndarray:
     """Bytes in UTF-8 (a byte that is no UTF-8 stands as a low surrogate)."""
-    return 1 + (codes >= 0x80).astype(np.int64) * ((codes < 0xDC80) | (codes > 0xDCFF)) * (1 + (codes >= 0x800) + (codes >= 0x10000))
+    return 1 + (codes >= 0x80).astype(np.int64) * ((codes < 0xDC80) | (codes > 0xDCFF)) * (
+        1 + (codes >= 0x800) + (codes >= 0x10000)
+    )
 
 
 class Words:
@@ -81,7 +89,9 @@ class Words:
 
     def _wide(self, raw: np.ndarray) -> None:
         fold, script = worker_value("language_characters", _characters)
-        codes = np.frombuffer(raw[:-8].tobytes().decode(errors="surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.frombuffer(
+            raw[:-8].tobytes().decode(errors="surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32,
+        )
         at = np.concatenate([[0], np.cumsum(_width(codes))])
         known = np.minimum(codes, LETTERS_END)
         kind, lower = script[known], fold[known]
@@ -136,7 +146,9 @@ def fit(docs: DataFrame) -> dict:
     for each language and trigram bucket comes to the driver (languages x 65,536).  Without rows, no language is known.
     """
     prepare()
-    rows = docs.where((remainder("doc_id", HOLD) != HELD) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    rows = docs.where(
+        (remainder("doc_id", HOLD) != HELD) & F.col("lang").isNotNull() & F.col("text").isNotNull()
+    ).select("lang", "text")
 
     def make():
         memo = Memo(np.int64)
@@ -159,11 +171,19 @@ def fit(docs: DataFrame) -> dict:
             kind = (1 << BITS) + 1 + len(NAMES)
             sums = np.bincount(np.repeat(which[words.owner], counts) * kind + flat, minlength=len(langs) * kind)
             at = np.flatnonzero(sums)
-            return pa.record_batch([pa.array(langs[at // kind], pa.string()), pa.array(at % kind, pa.int32()), pa.array(sums[at], pa.int64())], ["lang", "gram", "times"])
+            return pa.record_batch(
+                [
+                    pa.array(langs[at // kind], pa.string()), pa.array(at % kind, pa.int32()),
+                    pa.array(sums[at], pa.int64()),
+                ],
+                ["lang", "gram", "times"],
+            )
 
         return step
 
-    sums = map_text(rows, "text", "lang string, gram int, times long", make).groupBy("lang", "gram").agg(F.sum("times").alias("times")).toPandas()
+    sums = map_text(
+        rows, "text", "lang string, gram int, times long", make,
+    ).groupBy("lang", "gram").agg(F.sum("times").alias("times")).toPandas()
     langs = sorted(sums["lang"].unique())
     table, scripts = np.full((len(langs), 1 << BITS), 0.05), np.zeros((len(langs), len(NAMES)))
     for i, lang in enumerate(langs):
@@ -174,7 +194,10 @@ def fit(docs: DataFrame) -> dict:
         script = grams > 1 << BITS
         scripts[i, grams[script] - (1 << BITS) - 1] = mine["times"].to_numpy()[script]
     table = np.log(table / table.sum(1, keepdims=True)) if langs else table
-    return {"langs": langs, "table": table.T.astype(np.float32).copy(), "scripts": (scripts > 0.005 * scripts.sum(1, keepdims=True)).T}
+    return {
+        "langs": langs, "table": table.T.astype(np.float32).copy(),
+        "scripts": (scripts > 0.005 * scripts.sum(1, keepdims=True)).T,
+    }
 
 
 class Labeller:
@@ -187,14 +210,18 @@ class Labeller:
         def make(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             grams, sizes = words.trigrams(new)
             ends = np.cumsum(sizes)
-            total = np.concatenate([np.zeros((1, self.k)), np.cumsum(self.model["table"][grams], axis=0, dtype=np.float64)])
+            total = np.concatenate(
+                [np.zeros((1, self.k)), np.cumsum(self.model["table"][grams], axis=0, dtype=np.float64)]
+            )
             score = total[ends] - total[ends - sizes]
             score -= score.max(1, keepdims=True)
             script = words.scripts(new)
             fit = self.model["scripts"][script]
             score = np.where(fit | ~fit.any(1, keepdims=True), np.maximum(score, -25), -50)
             score[script < 0] = 0
-            return np.hstack([score - score.mean(1, keepdims=True), (script >= 0)[:, None]]).astype(np.float32).ravel(), np.full(len(new), self.k + 1)
+            return np.hstack(
+                [score - score.mean(1, keepdims=True), (script >= 0)[:, None]]
+            ).astype(np.float32).ravel(), np.full(len(new), self.k + 1)
 
         flat, _ = self.memo.look(words.hashes, make)
         return flat.reshape(-1, self.k + 1).astype(np.float64)
@@ -214,7 +241,9 @@ class Labeller:
                 gain = np.cumsum(score[:, i] - score[np.arange(len(out)), out]) - words.owner * 1e7
                 low = np.minimum.accumulate(np.append(0, gain)[:-1])
                 fresh = np.append(True, words.owner[1:] != words.owner[:-1])
-                base = np.where(fresh, np.append(0, gain)[:-1] - 1e7 * np.append(words.owner[0], np.diff(words.owner)), low)
+                base = np.where(
+                    fresh, np.append(0, gain)[:-1] - 1e7 * np.append(words.owner[0], np.diff(words.owner)), low,
+                )
                 mixed |= np.bincount(words.owner, gain - np.minimum.accumulate(base) > self.switch / 2, texts) > 0
         some = np.flatnonzero(mixed)
         if len(some):
@@ -233,7 +262,9 @@ class Labeller:
             top = now.argmax(1)
             stay = now >= now[np.arange(live), top][:, None] - self.switch
             moves.append(np.where(stay, np.arange(self.k), top[:, None]).astype(np.int16))
-            value[:live] = np.where(stay, now, now[np.arange(live), top][:, None] - self.switch) + score[first[:live] + i]
+            value[:live] = np.where(
+                stay, now, now[np.arange(live), top][:, None] - self.switch,
+            ) + score[first[:live] + i]
         state = value.argmax(1)
         for i in range(sizes[0] - 1, -1, -1):
             live = len(moves[i])
@@ -264,11 +295,16 @@ def predict(docs: DataFrame, model: dict, switch: float = SWITCH) -> DataFrame:
                 some = held.sum(1) > 0
                 pred[some] = held[some].argmax(1)
                 share[some] = held[some].max(1) / held[some].sum(1)
-            return pa.record_batch([part.column("doc_id"), pa.array([langs[i] for i in pred]), pa.array(share)], ["doc_id", "lang_pred", "score"])
+            return pa.record_batch(
+                [part.column("doc_id"), pa.array([langs[i] for i in pred]), pa.array(share)],
+                ["doc_id", "lang_pred", "score"],
+            )
 
         return step
 
-    out = map_text(docs.select(F.col("doc_id").cast("long"), "text"), "text", "doc_id long, lang_pred string, score double", make)
+    out = map_text(
+        docs.select(F.col("doc_id").cast("long"), "text"), "text", "doc_id long, lang_pred string, score double", make,
+    )
     return out.select("doc_id", (remainder("doc_id", HOLD) == HELD).alias("held_out"), "lang_pred", "score")
 
 
@@ -293,8 +329,17 @@ def spans(docs: DataFrame, model: dict, switch: float = SWITCH) -> DataFrame:
             last = np.append(at[1:], len(head)) - 1
             base = words.offsets[words.owner[at]]
             names = np.array(labeller.model["langs"], object)
-            return pa.record_batch([part.column("doc_id").take(pa.array(words.owner[at])), pa.array(words.begin[at] - base), pa.array(words.end[last] - base), pa.array(names[labels[at]], pa.string())], ["doc_id", "start", "end", "lang"])
+            return pa.record_batch(
+                [
+                    part.column("doc_id").take(pa.array(words.owner[at])), pa.array(words.begin[at] - base),
+                    pa.array(words.end[last] - base), pa.array(names[labels[at]], pa.string()),
+                ],
+                ["doc_id", "start", "end", "lang"],
+            )
 
         return step
 
-    return map_text(docs.select(F.col("doc_id").cast("long"), "text"), "text", "doc_id long, start long, end long, lang string", make)
+    return map_text(
+        docs.select(F.col("doc_id").cast("long"), "text"), "text", "doc_id long, start long, end long, lang string",
+        make,
+    )

@@ -66,12 +66,20 @@ def digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
             flat, counts = shingle_sets(part.column("text"), width)
             ends = np.cumsum(counts)
-            sums = [xxhash.xxh3_128_digest(flat[e - c : e].tobytes()) if c else None for e, c in zip(ends, counts, strict=True)]
-            return pa.record_batch([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(sums, pa.binary())], ["doc_id", "n_shingles", "digest"])
+            sums = [
+                xxhash.xxh3_128_digest(flat[e - c : e].tobytes()) if c else None
+                for e, c in zip(ends, counts, strict=True)
+            ]
+            return pa.record_batch(
+                [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(sums, pa.binary())],
+                ["doc_id", "n_shingles", "digest"],
+            )
 
         return step
 
-    return map_text(docs.select(F.col("doc_id").cast("long"), "text"), "text", "doc_id long, n_shingles long, digest binary", make)
+    return map_text(
+        docs.select(F.col("doc_id").cast("long"), "text"), "text", "doc_id long, n_shingles long, digest binary", make,
+    )
 
 
 # --- census
@@ -82,7 +90,10 @@ def census_buckets(total: int) -> int:
     return max(1, min(-(-total // BUCKET), BUCKETS), -(-total // FULL_BUCKET))
 
 
-_ROW = [("bucket", pa.int32()), ("chunk", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("once", pa.binary()), ("whose", pa.binary()), ("more", pa.binary())]
+_ROW = [
+    ("bucket", pa.int32()), ("chunk", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("once", pa.binary()),
+    ("whose", pa.binary()), ("more", pa.binary()),
+]
 
 
 def census_rows(docs: DataFrame, total: int, width: int = WIDTH, whole: bool = False) -> DataFrame:
@@ -113,9 +124,17 @@ def census_rows(docs: DataFrame, total: int, width: int = WIDTH, whole: bool = F
             mine, owner = mine[order], owner[order]
             first = np.append(True, owner[1:] != owner[:-1])[: len(owner)]
             mine[first] |= NEW
-            rows.append((b, chunk, b"" if b else ids.tobytes(), b"" if b else counts.astype(np.uint32).tobytes(), mine.tobytes(), owner[first].tobytes(), short[s][head[s] & ~alone[s]].tobytes()))
+            rows.append(
+                (
+                    b, chunk, b"" if b else ids.tobytes(), b"" if b else counts.astype(np.uint32).tobytes(),
+                    mine.tobytes(), owner[first].tobytes(), short[s][head[s] & ~alone[s]].tobytes(),
+                )
+            )
         for at in range(0, len(rows), 64):
-            yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip(zip(*rows[at : at + 64], strict=True), _ROW, strict=True)], [n for n, _ in _ROW])
+            yield pa.record_batch(
+                [pa.array(c, t) for c, (_, t) in zip(zip(*rows[at : at + 64], strict=True), _ROW, strict=True)],
+                [n for n, _ in _ROW],
+            )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, flats, counts, load, place = [], [], [], 0, 0
@@ -134,13 +153,17 @@ def census_rows(docs: DataFrame, total: int, width: int = WIDTH, whole: bool = F
             yield from emit(ids, flats, counts, task << 20 | place)
 
     table = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    return table.mapInArrow(count, "bucket int, chunk long, ids binary, sizes binary, once binary, whose binary, more binary")
+    return table.mapInArrow(
+        count, "bucket int, chunk long, ids binary, sizes binary, once binary, whose binary, more binary",
+    )
 
 
 def _times(rows: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """The chunks' lists of a bucket, and all its shingles with their numbers."""
     once = [np.frombuffer(x, np.uint32) for x in rows["once"]]
-    keys, times = np.unique(np.concatenate([*once, *(np.frombuffer(x, np.uint32) for x in rows["more"])]) & LOW, return_counts=True)
+    keys, times = np.unique(
+        np.concatenate([*once, *(np.frombuffer(x, np.uint32) for x in rows["more"])]) & LOW, return_counts=True,
+    )
     return once, keys, times
 
 
@@ -159,7 +182,9 @@ def _dense(at: bytes, some: bytes, n: int) -> np.ndarray:
 
 
 def _owners(once: np.ndarray, whose: bytes) -> np.ndarray:
-    return np.frombuffer(whose, np.uint16)[np.cumsum(once >> 31) - 1].astype(np.int64) if len(once) else np.zeros(0, np.int64)
+    return np.frombuffer(whose, np.uint16)[
+        np.cumsum(once >> 31) - 1
+    ].astype(np.int64) if len(once) else np.zeros(0, np.int64)
 
 
 def census(docs: DataFrame, total: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -174,7 +199,12 @@ def census(docs: DataFrame, total: int, width: int = WIDTH, percent: int = PERCE
             at = np.minimum(np.searchsorted(keys, mine & LOW), max(0, len(keys) - 1))
             hit = keys[at] == mine & LOW if len(keys) else np.zeros(len(mine), bool)
             out.append(_sparse(np.bincount(_owners(mine, whose)[hit])))
-        return pd.DataFrame({"chunk": rows["chunk"], "ids": rows["ids"], "sizes": rows["sizes"], "place": [a for a, _ in out], "lone": [c for _, c in out]})
+        return pd.DataFrame(
+            {
+                "chunk": rows["chunk"], "ids": rows["ids"], "sizes": rows["sizes"], "place": [a for a, _ in out],
+                "lone": [c for _, c in out],
+            }
+        )
 
     def keep(rows: pd.DataFrame) -> pd.DataFrame:
         row = rows.loc[rows["sizes"].str.len().idxmax()]
@@ -182,7 +212,9 @@ def census(docs: DataFrame, total: int, width: int = WIDTH, percent: int = PERCE
         lone = sum(_dense(a, c, len(ids)) for a, c in zip(rows["place"], rows["lone"], strict=True))
         return pd.DataFrame({"doc_id": ids[(n > 0) & (n - lone >= needed(n, percent))]})
 
-    found = census_rows(docs, total, width).groupBy("bucket").applyInPandas(rare, "chunk long, ids binary, sizes binary, place binary, lone binary")
+    found = census_rows(docs, total, width).groupBy("bucket").applyInPandas(
+        rare, "chunk long, ids binary, sizes binary, place binary, lone binary",
+    )
     return found.groupBy("chunk").applyInPandas(keep, "doc_id long").distinct()
 
 
@@ -197,25 +229,48 @@ def prefixes(docs: DataFrame, total: int, width: int = WIDTH, percent: int = PER
         for mine, whose in zip(once, rows["whose"], strict=True):
             owner, n = _owners(mine, whose), times[np.searchsorted(keys, mine & LOW)]
             often = n > 1
-            out.append((*_sparse(np.bincount(owner[~often])), owner[often].astype(np.uint16).tobytes(), (mine & LOW)[often].tobytes(), np.minimum(n[often], 65_535).astype(np.uint16).tobytes()))
+            out.append(
+                (
+                    *_sparse(np.bincount(owner[~often])), owner[often].astype(np.uint16).tobytes(),
+                    (mine & LOW)[often].tobytes(), np.minimum(n[often], 65_535).astype(np.uint16).tobytes(),
+                )
+            )
         columns = dict(zip(("place", "lone", "whose", "token", "times"), zip(*out, strict=True), strict=True))
-        return pd.DataFrame({"bucket": rows["bucket"], "chunk": rows["chunk"], "ids": rows["ids"], "sizes": rows["sizes"], **{k: list(v) for k, v in columns.items()}})
+        return pd.DataFrame(
+            {
+                "bucket": rows["bucket"], "chunk": rows["chunk"], "ids": rows["ids"], "sizes": rows["sizes"],
+                **{k: list(v) for k, v in columns.items()}
+            }
+        )
 
     def first(rows: pd.DataFrame) -> pd.DataFrame:
         row = rows.loc[rows["sizes"].str.len().idxmax()]
         ids, n = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
         lone = sum(_dense(a, c, len(ids)) for a, c in zip(rows["place"], rows["lone"], strict=True))
         owner = np.concatenate([np.frombuffer(x, np.uint16) for x in rows["whose"]]).astype(np.int64)
-        token = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) | int(b) << 31 for b, x in zip(rows["bucket"], rows["token"], strict=True)])
+        token = np.concatenate(
+            [
+                np.frombuffer(x, np.uint32).astype(np.int64) | int(b) << 31
+                for b, x in zip(rows["bucket"], rows["token"], strict=True)
+            ]
+        )
         times = np.concatenate([np.frombuffer(x, np.uint16) for x in rows["times"]])
         token = token[np.lexsort((token, times, owner))]
         counts = np.bincount(owner, minlength=len(ids))
         take = np.clip(n - needed(n, percent) + 1 - lone, 0, counts)
         flat = token[gather(np.cumsum(counts) - counts, take)]
         some = np.flatnonzero(take)
-        return pd.DataFrame({"doc_id": ids[some], "lone": lone[some] * 1000 // n[some], "tokens": pd.Series(np.split(flat, np.cumsum(take[some])[:-1]) if len(some) else [], dtype=object)})
-
-    found = census_rows(docs, total, width, whole=True).groupBy("bucket").applyInPandas(spread, "bucket int, chunk long, ids binary, sizes binary, place binary, lone binary, whose binary, token binary, times binary")
+        return pd.DataFrame(
+            {
+                "doc_id": ids[some], "lone": lone[some] * 1000 // n[some],
+                "tokens": pd.Series(np.split(flat, np.cumsum(take[some])[:-1]) if len(some) else [], dtype=object),
+            }
+        )
+
+    found = census_rows(docs, total, width, whole=True).groupBy("bucket").applyInPandas(
+        spread,
+        "bucket int, chunk long, ids binary, sizes binary, place binary, lone binary, whose binary, token binary, times binary",
+    )
     return found.groupBy("chunk").applyInPandas(first, "doc_id long, lone long, tokens array<long>")
 
 
@@ -223,7 +278,9 @@ def sets_of(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def make():
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
             flat, counts = shingle_sets(part.column("text"), width)
-            return pa.record_batch([part.column("doc_id"), lists(flat.view(np.int64), counts, pa.int64())], ["doc_id", "tokens"])
+            return pa.record_batch(
+                [part.column("doc_id"), lists(flat.view(np.int64), counts, pa.int64())], ["doc_id", "tokens"],
+            )
 
         return step
 
@@ -259,7 +316,9 @@ class Region:
 
     def near(self, pivot: int, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distances from a pivot to members, and which of them it links with."""
-        posted = np.concatenate([self.posted[self.bounds[t] : self.bounds[t + 1]] for t in self.own[pivot]]) if self.n[pivot] else self.posted[:0]
+        posted = np.concatenate(
+            [self.posted[self.bounds[t] : self.bounds[t + 1]] for t in self.own[pivot]]
+        ) if self.n[pivot] else self.posted[:0]
         both = np.bincount(posted, minlength=len(self.n))[members]
         union = self.n[pivot] + self.n[members] - both
         return 1 - both / np.maximum(union, 1), (100 * both >= self.percent * union) & (both > 0)
@@ -341,7 +400,12 @@ def distances(percent: int):
         far, ids = 1 - both / union, pivots["doc_id"].to_numpy()
         own = ((frame["doc_id"].to_numpy()[:, None] == ids) & (far == 0)).any(1)
         lead = np.where(linked.any(1), ids[linked.argmax(1)], frame["doc_id"].to_numpy())
-        return pd.DataFrame({"region": frame["region"], "doc_id": frame["doc_id"], "rank": frame["rank"], "main": frame["main"], "pivot": own, "lead": lead, "mask": mask, "far": list(far)})
+        return pd.DataFrame(
+            {
+                "region": frame["region"], "doc_id": frame["doc_id"], "rank": frame["rank"], "main": frame["main"],
+                "pivot": own, "lead": lead, "mask": mask, "far": list(far),
+            }
+        )
 
     return measure
 
@@ -355,13 +419,25 @@ def scored(rows: DataFrame, large: DataFrame, sets: DataFrame, percent: int) ->
     slot = F.pmod(F.xxhash64("doc_id", "region"), F.lit(SPREAD)).cast("int").alias("slot")
     chosen = rows.where("not main").groupBy("region", slot).agg(F.min_by("doc_id", "rank").alias("doc_id"))
     # (of repeated ids with unlike sets one set)
-    held = join_small(sets, chosen, ["doc_id"], "inner").groupBy("region", "slot", "doc_id").agg(F.max("tokens").alias("tokens"))
+    held = join_small(
+        sets, chosen, ["doc_id"], "inner",
+    ).groupBy("region", "slot", "doc_id").agg(F.max("tokens").alias("tokens"))
     held = stored(held.join(large, "region"), "pivots")
-    names = held.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("slot", "doc_id"))).alias("p")).select("region", F.col("p.doc_id").alias("names"))
+    names = held.groupBy("region").agg(
+        F.sort_array(F.collect_list(F.struct("slot", "doc_id"))).alias("p")
+    ).select("region", F.col("p.doc_id").alias("names"))
     each = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    met = join_small(sets, rows.join(large, "region"), ["doc_id"], "inner").withColumn("part", part).groupBy("region", "part").cogroup(each.groupBy("region", "part"))
-    made = stored(met.applyInPandas(distances(percent), "region string, doc_id long, rank long, main boolean, pivot boolean, lead long, mask long, far array<double>"), "scored")
+    met = join_small(
+        sets, rows.join(large, "region"), ["doc_id"], "inner",
+    ).withColumn("part", part).groupBy("region", "part").cogroup(each.groupBy("region", "part"))
+    made = stored(
+        met.applyInPandas(
+            distances(percent),
+            "region string, doc_id long, rank long, main boolean, pivot boolean, lead long, mask long, far array<double>",
+        ),
+        "scored",
+    )
     names = stored(names, "names")
     discard(held)
     return made, names
@@ -374,13 +450,17 @@ def leading(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     `near` holds for each pivot, and last for the main members, the union of the masks that have its bit."""
     for frame in rows:
         out = []
-        for region, names, near, counts in zip(frame["region"], frame["names"], frame["near"], frame["counts"], strict=True):
+        for region, names, near, counts in zip(
+            frame["region"], frame["names"], frame["near"], frame["counts"], strict=True,
+        ):
             masks = [int(x) for x in near]
             for i in range(len(masks)):  # what meets in one mask is connected
                 for j in range(len(masks)):
                     if masks[j] >> i & 1:
                         masks[j] |= masks[i]
-            best = SPREAD if masks[SPREAD] else max(range(SPREAD), key=lambda i: sum(c for k, c in enumerate(counts) if masks[i] >> k & 1))
+            best = SPREAD if masks[SPREAD] else max(
+                range(SPREAD), key=lambda i: sum(c for k, c in enumerate(counts) if masks[i] >> k & 1),
+            )
             heads = [(names[i], names[(masks[i] & -masks[i]).bit_length() - 1]) for i in range(len(names)) if masks[i]]
             out.append((region, masks[best], [u for u, v in heads if u != v], [v for u, v in heads if u != v]))
         yield pd.DataFrame(out, columns=["region", "mains", "us", "vs"])
@@ -391,23 +471,47 @@ def dealt(score: DataFrame, names: DataFrame, percent: int) -> tuple[DataFrame,
     gap = 1 - percent / 100 + 1e-9
     has = lambda i: F.col("mask").bitwiseAND(F.lit(1 << i)) != 0
     unions = [F.coalesce(F.bit_or(F.when(has(i), F.col("mask"))), F.lit(0).cast("long")) for i in range(SPREAD + 1)]
-    sums = score.groupBy("region").agg(F.array(*unions).alias("near"), F.array(*(F.count_if(has(i)) for i in range(SPREAD + 1))).alias("counts"))
-    mains = stored(sums.join(names, "region").mapInPandas(leading, "region string, mains long, us array<long>, vs array<long>"), "mains")
-    among = mains.select(F.explode(F.arrays_zip("us", "vs")).alias("e")).select(F.col("e.us").alias("u"), F.col("e.vs").alias("v"))
-    edges = stored(score.where("lead <> doc_id").select(F.col("doc_id").alias("u"), F.col("lead").alias("v")).union(among), "links")
+    sums = score.groupBy("region").agg(
+        F.array(*unions).alias("near"), F.array(*(F.count_if(has(i)) for i in range(SPREAD + 1))).alias("counts"),
+    )
+    mains = stored(
+        sums.join(names, "region").mapInPandas(leading, "region string, mains long, us array<long>, vs array<long>"),
+        "mains",
+    )
+    among = mains.select(F.explode(F.arrays_zip("us", "vs")).alias("e")).select(
+        F.col("e.us").alias("u"), F.col("e.vs").alias("v"),
+    )
+    edges = stored(
+        score.where("lead <> doc_id").select(F.col("doc_id").alias("u"), F.col("lead").alias("v")).union(among),
+        "links",
+    )
     rest = score.join(mains.select("region", "mains"), "region").where("not pivot")  # all pairs of the pivots are settled
     rest = rest.withColumn("main", F.expr("mask & mains <> 0")).withColumn("least", F.array_min("far"))
     # the region of a member outside the main component: its nearest pivot's, or the one of all that are far from each
-    home = F.when(F.col("least") < 3 * gap, F.array_position("far", F.col("least")) - 1).otherwise(F.lit(SPREAD)).cast("int")
+    home = F.when(
+        F.col("least") < 3 * gap, F.array_position("far", F.col("least")) - 1,
+    ).otherwise(F.lit(SPREAD)).cast("int")
     rest = rest.withColumn("home", F.when(~F.col("main"), home))
-    reach = rest.where("home is not null").groupBy("region", "home").agg(F.min(F.expr("get(far, home)")).alias("low"), F.max(F.expr("get(far, home)")).alias("high"))
-    reach = reach.groupBy("region").agg(F.collect_list(F.struct("home", F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"))).alias("reach"))
+    reach = rest.where("home is not null").groupBy("region", "home").agg(
+        F.min(F.expr("get(far, home)")).alias("low"), F.max(F.expr("get(far, home)")).alias("high"),
+    )
+    reach = reach.groupBy("region").agg(
+        F.collect_list(
+            F.struct("home", F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"))
+        ).alias("reach")
+    )
     inside = F.expr(f"""filter(reach, r -> r.home <=> home or if(r.home = {SPREAD}, least >= {2 * gap},
         far[least(r.home, size(far) - 1)] <= least + {2 * gap} and far[least(r.home, size(far) - 1)] between r.low - {gap} and r.high + {gap}))""")
-    left = rest.join(reach, "region").withColumn("to", inside).where("size(to) > 0").select("region", "doc_id", "rank", "main", F.col("to.home").alias("to"))
+    left = rest.join(reach, "region").withColumn("to", inside).where("size(to) > 0").select(
+        "region", "doc_id", "rank", "main", F.col("to.home").alias("to"),
+    )
     # regions that overlap too much to gain anything stay one, less the pivots
-    thick = left.groupBy("region").agg(F.sum(F.size("to")).alias("all"), F.count("*").alias("n")).select("region", (F.col("all") > 1.5 * F.col("n")).alias("thick"))
-    left = left.join(thick, "region").withColumn("to", F.explode(F.when(F.col("thick"), F.array(F.lit(SPREAD + 1))).otherwise(F.col("to"))))
+    thick = left.groupBy("region").agg(F.sum(F.size("to")).alias("all"), F.count("*").alias("n")).select(
+        "region", (F.col("all") > 1.5 * F.col("n")).alias("thick"),
+    )
+    left = left.join(thick, "region").withColumn(
+        "to", F.explode(F.when(F.col("thick"), F.array(F.lit(SPREAD + 1))).otherwise(F.col("to"))),
+    )
     left = stored(left.select(F.concat_ws("/", "region", "to").alias("region"), "doc_id", "rank", "main"), "members")
     discard(mains)
     return edges, left
@@ -420,22 +524,37 @@ def blocks(rows: DataFrame, large: DataFrame, sets: DataFrame, percent: int, lea
     outside = rows.where("not main").groupBy("region").agg(F.ceil(F.count("*") / leaf).cast("int").alias("blocks"))
     place = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     cut = join_small(sets, rows.join(outside, "region"), ["doc_id"], "inner")
-    left = cut.where("not main").withColumn("block", place("blocks")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    right = cut.withColumn("part", place("parts")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("main or part <> block or blocks <> parts")
+    left = cut.where("not main").withColumn("block", place("blocks")).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)),
+    )
+    right = cut.withColumn("part", place("parts")).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)),
+    ).where("main or part <> block or blocks <> parts")
     keep = ["region", "block", "part", "doc_id", "tokens", "main"]
-    return left.select(keep).union(right.select(keep)).groupBy("region", "block", "part").applyInPandas(solver(percent), "u long, v long")
+    return left.select(keep).union(right.select(keep)).groupBy("region", "block", "part").applyInPandas(
+        solver(percent), "u long, v long",
+    )
 
 
-def regions(members: DataFrame, sets: DataFrame, percent: int = PERCENT, leaf: int = LEAF, split: int = SPLIT) -> tuple[DataFrame, list[DataFrame]]:
+def regions(
+    members: DataFrame, sets: DataFrame, percent: int = PERCENT, leaf: int = LEAF, split: int = SPLIT,
+) -> tuple[DataFrame, list[DataFrame]]:
     """Edges (u, v) that connect exactly what the links inside the regions connect, and the tables that hold them;
     members: region, doc_id, rank (an order in which they may become pivots), main (known to be connected)."""
     out, made, depth = [], [], 0
     while True:
         most = leaf if depth else min(split, leaf)
-        sizes = members.groupBy("region").agg(F.count("*").alias("size"), F.count_if(~F.col("main")).alias("open")).where("size > 1 and open > 0")
-        large = stored(sizes.where(F.col("size") > most).select("region", F.ceil(F.col("size") / most).cast("int").alias("parts")), "large")
+        sizes = members.groupBy("region").agg(
+            F.count("*").alias("size"), F.count_if(~F.col("main")).alias("open"),
+        ).where("size > 1 and open > 0")
+        large = stored(
+            sizes.where(F.col("size") > most).select("region", F.ceil(F.col("size") / most).cast("int").alias("parts")),
+            "large",
+        )
         some = sizes.where(F.col("size") <= most).select("region")
-        small = join_small(sets, members.join(some, "region"), ["doc_id"], "inner").groupBy("region").applyInPandas(solver(percent), "u long, v long")
+        small = join_small(
+            sets, members.join(some, "region"), ["doc_id"], "inner",
+        ).groupBy("region").applyInPandas(solver(percent), "u long, v long")
         out.append(stored(small, "links"))
         if not large.limit(1).count():
             break
@@ -459,32 +578,52 @@ def cells_of(short: DataFrame) -> DataFrame:
     # two documents of one rank, which hashes make unlikely, would share a region
     rank = F.expr("lone << 50 | (xxhash64(doc_id) & ((1L << 50) - 1))").alias("rank")
     claims = short.select("doc_id", rank, F.explode("tokens").alias("token"))
-    owners = claims.groupBy("token").agg(F.min("rank").alias("cell"), F.count("*").alias("times")).where("times > 1").select("token", "cell")
+    owners = claims.groupBy("token").agg(
+        F.min("rank").alias("cell"), F.count("*").alias("times"),
+    ).where("times > 1").select("token", "cell")
     owners = stored(owners, "owners")  # a table of its own, so that the join can split a token that a third of all documents has
     members = stored(claims.join(owners, "token").select("cell", "doc_id", "rank").distinct(), "members")
     discard(owners)
     # A document's home is the first of its cells.  If all members of a cell have one home, other than the cell, they meet
     # there, and the cell adds nothing.
     home = members.groupBy("doc_id").agg(F.min("cell").alias("home"))
-    cells = members.join(home, "doc_id").groupBy("cell").agg(F.count("*").alias("size"), F.min("home").alias("low"), F.max("home").alias("high"))
+    cells = members.join(home, "doc_id").groupBy("cell").agg(
+        F.count("*").alias("size"), F.min("home").alias("low"), F.max("home").alias("high"),
+    )
     cells = cells.where("size > 1 and (low <> high or low = cell)").select("cell")
-    kept = stored(members.join(cells, "cell").select(F.col("cell").cast("string").alias("region"), "doc_id", "rank", F.lit(False).alias("main")), "members")
+    kept = stored(
+        members.join(cells, "cell").select(
+            F.col("cell").cast("string").alias("region"), "doc_id", "rank", F.lit(False).alias("main"),
+        ),
+        "members",
+    )
     discard(members)
     return kept
 
 
-def link_counts(members: DataFrame, sets: DataFrame, weights: DataFrame, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
+def link_counts(
+    members: DataFrame, sets: DataFrame, weights: DataFrame, percent: int = PERCENT, leaf: int = LEAF,
+) -> DataFrame:
     """doc_id, n: how many rows are linked with each document, each set counting as often as `weights` (doc_id, weight) says.
 
     All members of a region are compared, block by block, and a pair counts in the first region that has both.  The work
     grows with the square of the number of unlike sets in a region, which no index can spare where each pair is to be
     told from the ones that just fail; so classes() does it only if asked to.
     """
-    sizes = members.groupBy("region").agg(F.count("*").alias("size")).where("size > 1").select("region", F.ceil(F.col("size") / leaf).cast("int").alias("parts"))
+    sizes = members.groupBy("region").agg(F.count("*").alias("size")).where("size > 1").select(
+        "region", F.ceil(F.col("size") / leaf).cast("int").alias("parts"),
+    )
     lists = members.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.col("region").cast("long"))).alias("cells"))
-    rows = join_small(sets, members.join(sizes, "region").join(lists, "doc_id").join(weights, "doc_id"), ["doc_id"], "inner")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("region", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "doc_id", "tokens", "cells", "weight")
+    rows = join_small(
+        sets, members.join(sizes, "region").join(lists, "doc_id").join(weights, "doc_id"), ["doc_id"], "inner",
+    )
+    rows = rows.withColumn(
+        "part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"),
+    ).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select(
+        "region", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "doc_id",
+        "tokens", "cells", "weight",
+    )
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
         here, cross = int(frame["region"].iloc[0]), frame["a"].iloc[0] != frame["b"].iloc[0]
@@ -506,10 +645,15 @@ def link_counts(members: DataFrame, sets: DataFrame, weights: DataFrame, percent
             total[i] = weight[mine].sum()
         return pd.DataFrame({"doc_id": frame["doc_id"], "n": total})
 
-    return rows.groupBy("region", "a", "b").applyInPandas(count, "doc_id long, n long").groupBy("doc_id").agg(F.sum("n").alias("n"))
+    return rows.groupBy("region", "a", "b").applyInPandas(
+        count, "doc_id long, n long",
+    ).groupBy("doc_id").agg(F.sum("n").alias("n"))
 
 
-def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, leaf: int = LEAF, split: int = SPLIT, counts: bool = False) -> DataFrame:
+def classes(
+    docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, leaf: int = LEAF, split: int = SPLIT,
+    counts: bool = False,
+) -> DataFrame:
     """Similarity classes: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included).
 
     Two documents link when the Jaccard similarity of their sets is percent/100 or more; words are what stands between
@@ -525,9 +669,13 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, leaf: i
     docs = docs.select("doc_id", "text")
     named = stored(digests(docs, width), "digests")
     # copies of a set: their first document stands for them; a table of its own, so that a join with it can be split
-    first = named.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    first = named.where("digest is not null and doc_id is not null").groupBy("digest").agg(
+        F.min("doc_id").alias("first"), F.count("*").alias("n"),
+    )
     first = stored(first.where("n > 1").select("digest", "first"), "first")
-    copies = named.join(first, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).alias("first"))
+    copies = named.join(first, "digest", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).alias("first"),
+    )
     one = copies.where("n_shingles > 0 and doc_id = first").select("doc_id", "n_shingles")
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
     once = stored(census(docs, total, width, percent).join(one, "doc_id", "left_semi"), "maybe")
@@ -535,18 +683,41 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, leaf: i
     some = join_small(docs, once, ["doc_id"], "left_semi")
     short = stored(prefixes(some, total, width, percent), "prefixes")
     # an id whose rows have unlike sets is one vertex: it joins the classes of all of them
-    ids = copies.where("first is not null").groupBy("doc_id").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low <> high").select("doc_id")
+    ids = copies.where("first is not null").groupBy("doc_id").agg(
+        F.min("first").alias("low"), F.max("first").alias("high"),
+    ).where("low <> high").select("doc_id")
     ids = stored(ids, "unlike")
-    same = join_small(copies.where("doc_id <> first"), ids, ["doc_id"], "left_semi").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    same = join_small(
+        copies.where("doc_id <> first"), ids, ["doc_id"], "left_semi",
+    ).select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
     members = cells_of(short)
-    sets = stored(sets_of(join_small(docs, members.select("doc_id").distinct(), ["doc_id"], "left_semi"), width).where("size(tokens) > 0"), "sets")
+    sets = stored(
+        sets_of(
+            join_small(docs, members.select("doc_id").distinct(), ["doc_id"], "left_semi"), width,
+        ).where("size(tokens) > 0"),
+        "sets",
+    )
     edges, held = regions(members, sets, percent, leaf, split)
     found = stored(components(edges.union(same)), "components")
-    out = copies.join(found, copies["first"] == found["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"), "first")
+    out = copies.join(found, copies["first"] == found["id"], "left").select(
+        "doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"), "first",
+    )
     if counts:
-        weights = stored(copies.where("n_shingles > 0 and first is not null").groupBy(F.col("first").alias("doc_id")).agg(F.count("*").alias("weight")), "weights")
-        linked = stored(weights.join(link_counts(members, sets, weights, percent, leaf), "doc_id", "left").select(F.col("doc_id").alias("first"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "counts")
-        out = out.join(linked, "first", "left").withColumn("n_links", F.when(F.col("first").isNotNull(), F.coalesce("n_links", F.lit(0))))
+        weights = stored(
+            copies.where(
+                "n_shingles > 0 and first is not null"
+            ).groupBy(F.col("first").alias("doc_id")).agg(F.count("*").alias("weight")),
+            "weights",
+        )
+        linked = stored(
+            weights.join(link_counts(members, sets, weights, percent, leaf), "doc_id", "left").select(
+                F.col("doc_id").alias("first"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
+            ),
+            "counts",
+        )
+        out = out.join(linked, "first", "left").withColumn(
+            "n_links", F.when(F.col("first").isNotNull(), F.coalesce("n_links", F.lit(0))),
+        )
         held += [weights, linked]
     out = stored(out.drop("first"), "classes")
     discard(named, first, once, short, ids, members, sets, found, *held)

@@ -52,8 +52,12 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         both, times = np.unique(who.astype(U64) << U64(32) | gram.astype(U64), return_counts=True)
         who = (both >> U64(32)).astype(np.int64)
         share = times / np.maximum(n[who], 1)
-        step = np.where(share >= 0.125, 8 + np.floor(share * 8), np.maximum(0, 8 + np.floor(np.log2(share)))).astype(U64)
-        found.append((who, half + (mix((both & U64(0xFFFFFFFF)) * U64(64) + step + U64(seed << 48)) >> U64(64 - BITS + 1))))
+        step = np.where(
+            share >= 0.125, 8 + np.floor(share * 8), np.maximum(0, 8 + np.floor(np.log2(share))),
+        ).astype(U64)
+        found.append(
+            (who, half + (mix((both & U64(0xFFFFFFFF)) * U64(64) + step + U64(seed << 48)) >> U64(64 - BITS + 1)))
+        )
 
     half = U64(1 << (BITS - 1))
     binned(owner, shape, 1)
@@ -69,14 +73,19 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         who = who[whole]
         seen = np.bincount(who, minlength=texts)
         kept = np.sort(who.astype(U64) << U64(40) | h[whole] >> U64(24))
-        fresh = np.bincount((kept[np.append(True, kept[1:] != kept[:-1])] >> U64(40)).astype(np.int64) if len(kept) else who, minlength=texts)
+        fresh = np.bincount(
+            (kept[np.append(True, kept[1:] != kept[:-1])] >> U64(40)).astype(np.int64) if len(kept) else who,
+            minlength=texts,
+        )
         some = np.flatnonzero(seen)
         step = (16 * (seen[some] - fresh[some])) // seen[some]
         found.append((some, half + (mix((step + 32 * width).astype(U64) + U64(3 << 48)) >> U64(64 - BITS + 1))))
     return per_text(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), texts)
 
 
-def descend(rows: list[np.ndarray], label: np.ndarray, scale: np.ndarray, c: float = 0.1, rounds: int = 12, seed: int = 7) -> np.ndarray:
+def descend(
+    rows: list[np.ndarray], label: np.ndarray, scale: np.ndarray, c: float = 0.1, rounds: int = 12, seed: int = 7,
+) -> np.ndarray:
     """Weights of the hinge-loss model, by dual coordinate descent (Hsieh et al., 2008); the last one is the offset."""
     sign, w, alpha = np.where(label == 1, 1.0, -1.0), np.zeros(len(scale) + 1), np.zeros(len(rows))
     values = [scale[r] for r in rows]
@@ -100,7 +109,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict:
     good, bad, n_good, n_bad = document_counts(rows, 1 << BITS, 3)
     if not n_good or not n_bad:
         discard(rows)
-        return {"weights": np.zeros(1 << BITS, np.float32), "slope": 0.0, "offset": 40.0 if n_good else -40.0 if n_bad else 0.0}
+        return {
+            "weights": np.zeros(1 << BITS, np.float32), "slope": 0.0,
+            "offset": 40.0 if n_good else -40.0 if n_bad else 0.0,
+        }
     ratio = np.log((good + 1) / (n_good + 2)) - np.log((bad + 1) / (n_bad + 2))
     ratio[good + bad == 0] = 0  # too rare
     some, label = sample(rows, most)
@@ -128,4 +140,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     """All columns of the documents that the classifier, trained on these documents' labels, doesn't reject.  Each row
     goes or stays by its own text; its id may be null or repeated."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    return kept(docs, features, lambda flat, counts: judge(shared.value, flat, counts), lambda score: score >= threshold)
+    return kept(
+        docs, features, lambda flat, counts: judge(shared.value, flat, counts), lambda score: score >= threshold,
+    )

@@ -6,11 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, fingerprint, langid, ngram_join, quality, sentencepiece_viterbi, token_store, toxicity, url_filter
+from . import (
+    chat_format, decontaminate, fingerprint, langid, ngram_join, quality, sentencepiece_viterbi, token_store, toxicity,
+    url_filter,
+)
 from .common import own_path, stored
 
 END_ID = 2
-RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+RULES = [
+    ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"), ("block", "org", "/es/"),
+]
 EXTRA_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
@@ -40,13 +46,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
-    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.judge(
+        table(spark, sf_dir, "pages").select("page_id", "url"), rules,
+    ).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pairs = stored(fingerprint.edited_pairs(docs), "pairs")
-    groups = fingerprint.exact_groups(docs, prints=pairs.select("doc_id", "fingerprint")).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
+    groups = fingerprint.exact_groups(
+        docs, prints=pairs.select("doc_id", "fingerprint"),
+    ).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
     pairs = pairs.join(groups, "doc_id", "left")
     near = [fingerprint.likeness("fingerprint", f"{x}_fingerprint").alias(f"near_{x}") for x in ("edited", "next")]
     return pairs.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near, "group_id")
@@ -69,10 +79,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame(EXTRA_TURNS, "conv_id long, turn long, role string, text string")
-    rows = chat_format.format_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra))
-    read = rows.select("conv_id", chat_format.parse(F.col("text")).alias("turns"), chat_format.loss_text(F.col("segments")).alias("loss"), F.length("text").cast("long").alias("formatted_chars"), "valid", "first_bad")
+    rows = chat_format.format_turns(
+        table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    )
+    read = rows.select(
+        "conv_id", chat_format.parse(F.col("text")).alias("turns"),
+        chat_format.loss_text(F.col("segments")).alias("loss"), F.length("text").cast("long").alias("formatted_chars"),
+        "valid", "first_bad",
+    )
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "valid", "first_bad")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
+        "valid", "first_bad",
+    )
 
 
 QUERIES = {

@@ -79,7 +79,9 @@ def _kind(model: bytes) -> int:
     kind = trainer.get(3, [UNIGRAM])[-1]
     if kind not in (UNIGRAM, BPE):
         raise ValueError(f"a model of kind {kind}: only unigram and BPE models are known")
-    plain = not normalizer.get(2, [b""])[-1] and normalizer.get(3, [1])[-1] and not normalizer.get(4, [1])[-1] and normalizer.get(5, [1])[-1]
+    plain = not normalizer.get(
+        2, [b""],
+    )[-1] and normalizer.get(3, [1])[-1] and not normalizer.get(4, [1])[-1] and normalizer.get(5, [1])[-1]
     if not plain or trainer.get(24, [0])[-1]:
         raise ValueError("a model that normalises texts, or doesn't put a space before them and keep all others")
     if not trainer.get(35, [0])[-1]:
@@ -96,21 +98,34 @@ def tables(model: bytes) -> dict:
     plain = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
     if any("▁" in pieces[i].lstrip("▁") for i in plain):
         raise ValueError("pieces that join words can't be told apart at spaces")
-    data = [b"" if sp.is_control(i) else bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-    beside = np.unique(np.array([ord(a) << 32 | ord(b) for i in plain for a, b in zip(pieces[i], pieces[i][1:])], np.int64))
-    both = {"kind": kind, "byte0": next(i for i in range(size) if sp.is_byte(i)), "data": np.frombuffer(b"".join(data), np.uint8), "sizes": np.array([len(d) for d in data]), "beside": beside}
+    data = [
+        b"" if sp.is_control(i) else bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace("▁", " ").encode()
+        for i, p in enumerate(pieces)
+    ]
+    beside = np.unique(
+        np.array([ord(a) << 32 | ord(b) for i in plain for a, b in zip(pieces[i], pieces[i][1:])], np.int64)
+    )
+    both = {
+        "kind": kind, "byte0": next(i for i in range(size) if sp.is_byte(i)),
+        "data": np.frombuffer(b"".join(data), np.uint8), "sizes": np.array([len(d) for d in data]), "beside": beside,
+    }
     if kind == UNIGRAM:
         if any(_fields(x).get(3, [1])[-1] == 4 for x in _fields(model)[1]):
             raise ValueError("user-defined pieces aren't supported")
         scores = np.array([sp.get_score(i) for i in plain], np.float32)
         key, by = _sorted_keys([pieces[i] for i in plain])
-        return both | {"keys": key, "orders": by, "ids": np.array(plain), "scores": scores, "unknown": scores.min() - UNKNOWN_PENALTY, "longest": max(len(pieces[i]) for i in plain)}
+        return both | {
+            "keys": key, "orders": by, "ids": np.array(plain), "scores": scores,
+            "unknown": scores.min() - UNKNOWN_PENALTY, "longest": max(len(pieces[i]) for i in plain),
+        }
     # Runs of spaces have one score, below all others, in models of this kind: they are merged last, from the left.
     runs = {len(pieces[i]): i for i in plain if not pieces[i].strip("▁")}
     inner = [i for i in plain if pieces[i].strip("▁") or len(pieces[i]) == 1]
     score = {pieces[i]: sp.get_score(i) for i in inner}
     joined = [sp.get_score(i) for i in inner if len(pieces[i]) > 1]
-    if len(set(joined)) < len(joined) or (len(runs) > 1 and max(sp.get_score(i) for k, i in runs.items() if k > 1) > min(joined)):
+    if len(set(joined)) < len(joined) or (
+        len(runs) > 1 and max(sp.get_score(i) for k, i in runs.items() if k > 1) > min(joined)
+    ):
         raise ValueError("merges of equal rank can't be told apart")
     plain = inner
     chars = [i for i in plain if len(pieces[i]) == 1]
@@ -134,7 +149,11 @@ def tables(model: bytes) -> dict:
     names = [p for p, k in order.items() if reached[k]]
     key, by = _sorted_keys(names)
     keys = np.array(sorted(pairs))
-    return both | {"keys": key, "orders": np.array([order[p] for p in names])[by], "ids": np.array(chars + merges), "left": left, "right": right, "pairs": keys, "merged": np.array([pairs[k] for k in keys]), "runs": runs, "longest": max(map(len, names))}
+    return both | {
+        "keys": key, "orders": np.array([order[p] for p in names])[by], "ids": np.array(chars + merges), "left": left,
+        "right": right, "pairs": keys, "merged": np.array([pairs[k] for k in keys]), "runs": runs,
+        "longest": max(map(len, names)),
+    }
 
 
 def _sorted_keys(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -365,7 +384,9 @@ class Codec:
         flat, counts = self.ids(names)
         at = np.array([place[p] for p in parts])
         starts = np.cumsum(counts) - counts
-        return flat[gather(starts[at], counts[at])], np.bincount(np.array(owner), counts[at], len(words)).astype(np.int64)
+        return flat[gather(starts[at], counts[at])], np.bincount(
+            np.array(owner), counts[at], len(words),
+        ).astype(np.int64)
 
     def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.array([len(w) for w in words])
@@ -383,7 +404,9 @@ class Codec:
                 continue
             for at in range(first, last, max(1, GROUP // size)):
                 some = order[at : min(last, at + max(1, GROUP // size))]
-                codes = np.frombuffer("".join([words[i] for i in some.tolist()]).encode("utf-32-le"), np.uint32).reshape(len(some), size).astype(U64)
+                codes = np.frombuffer(
+                    "".join([words[i] for i in some.tolist()]).encode("utf-32-le"), np.uint32,
+                ).reshape(len(some), size).astype(U64)
                 flat, n = self.group(codes)
                 counts[some] = n
                 found.append(flat)
@@ -394,7 +417,10 @@ class Codec:
         ids[known] = self.t["ids"][flat[known]]
         if known.all():
             return ids, counts
-        wide = [np.frombuffer(chr(c - self.n).encode(), np.uint8).astype(np.int32) + self.t["byte0"] if c >= self.n else ids[k : k + 1] for k, c in enumerate(flat.tolist())]
+        wide = [
+            np.frombuffer(chr(c - self.n).encode(), np.uint8).astype(np.int32) + self.t["byte0"] if c >= self.n
+            else ids[k : k + 1] for k, c in enumerate(flat.tolist())
+        ]
         sizes = np.array([len(w) for w in wide])
         bounds = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
         return np.concatenate(wide), np.diff(bounds)
@@ -403,11 +429,16 @@ class Codec:
         """Flat ids of all the texts, and the number of ids of each."""
         column = pc.fill_null(column, "")
         column = pc.replace_substring(column, "▁", " ")
-        column = pc.if_else(pc.equal(pc.binary_length(column), 0), column, pc.binary_join_element_wise(pa.scalar("", column.type), column, pa.scalar(" ", column.type)))
+        column = pc.if_else(
+            pc.equal(pc.binary_length(column), 0), column,
+            pc.binary_join_element_wise(pa.scalar("", column.type), column, pa.scalar(" ", column.type)),
+        )
         buf, offsets = byte_view(column)
         starts, lengths, first = lead_spans(buf, offsets, space_only=True)
         whole = buf[:-8].tobytes()
-        make = lambda new: self.words([whole[s : s + n].decode().replace(" ", "▁") for s, n in zip(starts[new], lengths[new], strict=True)])
+        make = lambda new: self.words(
+            [whole[s : s + n].decode().replace(" ", "▁") for s, n in zip(starts[new], lengths[new], strict=True)]
+        )
         flat, counts = self.memo.look(hash_spans(buf, starts, lengths), make)
         return flat, np.diff(np.concatenate([[0], np.cumsum(counts)])[first])
 
@@ -431,7 +462,10 @@ def encode(docs: DataFrame, model: bytes, keep: list[str] | None = None) -> Data
     prepare()
     shared = docs.sparkSession.sparkContext.broadcast(tables(model))
     new = ["piece_ids", "n_pieces", "ids_crc32", "round_trip"]
-    docs = docs.select(*([c for c in docs.columns if c not in new] if keep is None else keep), *(["text"] if keep is not None and "text" not in keep else []))
+    docs = docs.select(
+        *([c for c in docs.columns if c not in new] if keep is None else keep),
+        *(["text"] if keep is not None and "text" not in keep else [])
+    )
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if keep is None or f.name in keep)
 
     def make():
@@ -441,14 +475,21 @@ def encode(docs: DataFrame, model: bytes, keep: list[str] | None = None) -> Data
             flat, counts = codec.encode(part.column("text"))
             ends = np.cumsum(counts)
             sums = [zlib.crc32(flat[e - c : e].astype("<u4").tobytes()) for e, c in zip(ends, counts, strict=True)]
-            same = [a == (b or "").replace("▁", " ") for a, b in zip(codec.decode(flat, counts), part.column("text").to_pylist(), strict=True)]
+            same = [
+                a == (b or "").replace("▁", " ")
+                for a, b in zip(codec.decode(flat, counts), part.column("text").to_pylist(), strict=True)
+            ]
             kept = [i for i, name in enumerate(part.schema.names) if keep is None or name in keep]
-            columns = [part.column(i) for i in kept] + [lists(flat, counts, pa.int32()), pa.array(counts), pa.array(sums, pa.int64()), pa.array(same)]
+            columns = [part.column(i) for i in kept] + [
+                lists(flat, counts, pa.int32()), pa.array(counts), pa.array(sums, pa.int64()), pa.array(same),
+            ]
             return pa.record_batch(columns, [part.schema.names[i] for i in kept] + new)
 
         return step
 
-    return map_text(docs, "text", f"{schema}, piece_ids array<int>, n_pieces long, ids_crc32 long, round_trip boolean", make)
+    return map_text(
+        docs, "text", f"{schema}, piece_ids array<int>, n_pieces long, ids_crc32 long, round_trip boolean", make,
+    )
 
 
 def decode(rows: DataFrame, model: bytes, column: str = "piece_ids") -> DataFrame:
@@ -461,7 +502,11 @@ def decode(rows: DataFrame, model: bytes, column: str = "piece_ids") -> DataFram
 
         codec = Codec(shared.value)
         some = [np.asarray(x if x is not None else [], np.int64) for x in ids]
-        return pd.Series(codec.decode(np.concatenate(some) if some else np.zeros(0, np.int64), np.array([len(x) for x in some], np.int64)))
+        return pd.Series(
+            codec.decode(
+                np.concatenate(some) if some else np.zeros(0, np.int64), np.array([len(x) for x in some], np.int64),
+            )
+        )
 
     prepare()
     return rows.withColumn("decoded", texts(F.col(column)))

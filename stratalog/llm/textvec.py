@@ -35,7 +35,9 @@ def byte_view(column: pa.Array, copy: bool = True) -> tuple[np.ndarray, np.ndarr
     _, where, data = column.buffers()
     if where is None or not len(column):
         return np.zeros(8, np.uint8), np.zeros(len(column) + 1, np.int64)
-    offsets = np.frombuffer(where, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    offsets = np.frombuffer(where, np.int64 if wide else np.int32)[
+        column.offset : column.offset + len(column) + 1
+    ].astype(np.int64)
     first, last = int(offsets[0]), int(offsets[-1])
     if not copy:
         return np.zeros(0, np.uint8), offsets - first
@@ -69,7 +71,9 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: i
     return h
 
 
-def word_spans(buf: np.ndarray, offsets: np.ndarray, gap: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(
+    buf: np.ndarray, offsets: np.ndarray, gap: np.ndarray = WHITE,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and lengths of the words (runs without white space, or without bytes of `gap`), and each text's first word
     (n + 1 entries)."""
     n = len(buf) - 8
@@ -109,7 +113,10 @@ def wide_white(buf: np.ndarray) -> np.ndarray:
     two = at[(a == 0xC2) & ((b == 0x85) | (b == 0xA0))]
     # U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000
     spaces = (c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)
-    three = at[((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE2) & (b == 0x80) & (c >= 0x80) & spaces) | ((a == 0xE2) & (b == 0x81) & (c == 0x9F)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))]
+    three = at[
+        ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE2) & (b == 0x80) & (c >= 0x80) & spaces)
+        | ((a == 0xE2) & (b == 0x81) & (c == 0x9F)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+    ]
     for k in range(2):
         white[two + k] = True
     for k in range(3):
@@ -117,7 +124,9 @@ def wide_white(buf: np.ndarray) -> np.ndarray:
     return white
 
 
-def lead_spans(buf: np.ndarray, offsets: np.ndarray, space_only: bool = False, white: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def lead_spans(
+    buf: np.ndarray, offsets: np.ndarray, space_only: bool = False, white: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Like word_spans, but each span takes the white space before it along (that beyond ASCII, too), so that the spans of a
     text join to the text."""
     n = len(buf) - 8
@@ -150,7 +159,9 @@ def gather(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def lists(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat, kind))
+    return pa.ListArray.from_arrays(
+        pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat, kind),
+    )
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +253,9 @@ class Memo:
                 starts[new] = base + np.cumsum(counts[new]) - counts[new]
                 self._put(kept)
             at = at[new]
-            self.keys, self.starts, self.counts = np.insert(self.keys, at, keys[new]), np.insert(self.starts, at, starts[new]), np.insert(self.counts, at, counts[new])
+            self.keys, self.starts, self.counts = np.insert(self.keys, at, keys[new]), np.insert(
+                self.starts, at, starts[new],
+            ), np.insert(self.counts, at, counts[new])
         return out, sizes
 
 

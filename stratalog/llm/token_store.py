@@ -25,7 +25,12 @@ from .textvec import MARKS, WHITE, byte_view, gather, hash_spans, lead_spans, li
 PLAIN = ~MARKS & (np.arange(256) < 0x80)
 #: New words that one call of the library encodes.
 JOINED = 4096
-SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+SCHEMA = T.StructType(
+    [
+        T.StructField("doc_id", T.LongType()), T.StructField("offset", T.LongType()),
+        T.StructField("ids", T.ArrayType(T.IntegerType())),
+    ]
+)
 
 
 class Encoder:
@@ -44,7 +49,9 @@ class Encoder:
         self.added = [t.content.encode() for t in added]
         self.memo = worker_memo(f"bpe_{xxhash.xxh3_64_hexdigest(tokenizer_json)}", np.int32)
         # in a byte-level vocabulary each character stands for one byte
-        self.sizes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
+        self.sizes = np.array(
+            [len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())]
+        )
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids, and the number of ids of each text.  Texts that hold an added token's string are encoded whole."""
@@ -52,12 +59,24 @@ class Encoder:
         whole = buf[:-8].tobytes()
         if not any(a in whole for a in self.added):
             return self._cut(buf, offsets, whole)
-        odd = np.array([any(a in whole[i:j] for a in self.added) for i, j in zip(offsets[:-1], offsets[1:], strict=True)])
-        some = [np.array(self.tokenizer.encode(whole[offsets[i] : offsets[i + 1]].decode(), add_special_tokens=False).ids, np.int32) for i in np.flatnonzero(odd)]
-        flat, n = self.encode(column.filter(pa.array(~odd))) if not odd.all() else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        odd = np.array(
+            [any(a in whole[i:j] for a in self.added) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+        )
+        some = [
+            np.array(
+                self.tokenizer.encode(whole[offsets[i] : offsets[i + 1]].decode(), add_special_tokens=False).ids,
+                np.int32,
+            )
+            for i in np.flatnonzero(odd)
+        ]
+        flat, n = self.encode(column.filter(pa.array(~odd))) if not odd.all() else (
+            np.zeros(0, np.int32), np.zeros(0, np.int64),
+        )
         counts = np.zeros(len(odd), np.int64)
         counts[odd], counts[~odd] = [len(x) for x in some], n
-        owner = np.repeat(np.concatenate([np.flatnonzero(odd), np.flatnonzero(~odd)]), np.concatenate([counts[odd], counts[~odd]]))
+        owner = np.repeat(
+            np.concatenate([np.flatnonzero(odd), np.flatnonzero(~odd)]), np.concatenate([counts[odd], counts[~odd]]),
+        )
         return np.concatenate([*some, flat])[np.argsort(owner, kind="stable")], counts
 
     def _cut(self, buf: np.ndarray, offsets: np.ndarray, whole: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +110,9 @@ class Encoder:
                 counts[fit] = np.concatenate(ends)
             flat = np.concatenate(flat)
             owner, _ = ragged(np.concatenate([counts[~fit], counts[fit]]))
-            return flat[np.argsort(np.concatenate([np.flatnonzero(~fit), np.flatnonzero(fit)])[owner], kind="stable")], counts
+            return flat[
+                np.argsort(np.concatenate([np.flatnonzero(~fit), np.flatnonzero(fit)])[owner], kind="stable")
+            ], counts
 
         flat, counts = self.memo.look(hash_spans(buf, starts, lengths), make)
         ends = np.concatenate([[0], np.cumsum(counts)])[first]
@@ -123,7 +144,9 @@ def _width(tokenizer_json: str, end_id: int | None) -> str:
     return "<u2" if max(Tokenizer.from_str(tokenizer_json).get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else "<u4"
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, end_id: int | None = None, plain_specials: bool = False) -> None:
+def write_tokens(
+    docs: DataFrame, path: str, tokenizer_json: str, end_id: int | None = None, plain_specials: bool = False,
+) -> None:
     """Writes all documents' ids as ORC files, in ascending doc_id over the files in the order of their names.
 
     Rows: doc_id, offset (ids of earlier documents in the same file), ids.  A null text is an empty one and has the end
@@ -133,7 +156,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, end_id: int |
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
+    cuts = docs.select(
+        F.percentile_approx(F.col("doc_id").cast("long"), [i / n for i in range(1, n)] or [0.5], 100 * n)
+    ).first()[0] or []
     cuts = sorted(set(cuts))[: n - 1]
     width = _width(tokenizer_json, end_id)
 
@@ -148,12 +173,22 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, end_id: int |
             ids = [np.frombuffer(x.as_py(), width).astype(np.int32) for x in batch.column("ids")]
             counts = np.array([len(x) for x in ids], np.int64)
             if len(ids):
-                yield pa.record_batch([batch.column("doc_id"), pa.array(offset + np.cumsum(counts) - counts), lists(np.concatenate(ids), counts, pa.int32())], ["doc_id", "offset", "ids"])
+                yield pa.record_batch(
+                    [
+                        batch.column("doc_id"), pa.array(offset + np.cumsum(counts) - counts),
+                        lists(np.concatenate(ids), counts, pa.int32()),
+                    ],
+                    ["doc_id", "offset", "ids"],
+                )
             offset += int(counts.sum())
 
-    rows = encode(docs, tokenizer_json, end_id, plain_specials).mapInArrow(place_of, "doc_id long, ids binary, place int")
+    rows = encode(docs, tokenizer_json, end_id, plain_specials).mapInArrow(
+        place_of, "doc_id long, ids binary, place int",
+    )
     rows = rows.repartitionById(n, F.col("place")).select("doc_id", "ids").sortWithinPartitions("doc_id", "ids")
-    rows.mapInArrow(unpack, SCHEMA).write.mode("overwrite").option("compression", "zstd").option("orc.create.index", "true").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path)
+    rows.mapInArrow(unpack, SCHEMA).write.mode("overwrite").option("compression", "zstd").option(
+        "orc.create.index", "true",
+    ).option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
@@ -161,12 +196,22 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
     (found through statistics and Bloom filters)."""
     rows = spark.read.schema(SCHEMA).orc(path).select("*", F.col("_metadata.file_name").alias("file"))
     # one row a file: the running sum over files is small
-    files = rows.groupBy("file").agg(F.max(F.struct("offset", F.size("ids").alias("n"))).alias("last")).select("file", (F.col("last.offset") + F.col("last.n")).alias("held"))
+    files = rows.groupBy("file").agg(
+        F.max(F.struct("offset", F.size("ids").alias("n"))).alias("last")
+    ).select("file", (F.col("last.offset") + F.col("last.n")).alias("held"))
     listed = files.agg(F.array_sort(F.collect_list(F.struct("file", "held"))).alias("all"))
-    bases = listed.select(F.explode(F.expr("transform(all, (x, i) -> struct(x.file as file, aggregate(slice(all, 1, i), 0L, (a, y) -> a + y.held) as base))")).alias("f")).select("f.*")
+    bases = listed.select(
+        F.explode(
+            F.expr(
+                "transform(all, (x, i) -> struct(x.file as file, aggregate(slice(all, 1, i), 0L, (a, y) -> a + y.held) as base))"
+            )
+        ).alias("f")
+    ).select("f.*")
     if doc_ids is not None:
         rows = rows.where(F.col("doc_id").isin(doc_ids))
-    return rows.join(F.broadcast(bases), "file").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "ids")
+    return rows.join(F.broadcast(bases), "file").select(
+        "doc_id", (F.col("base") + F.col("offset")).alias("start"), "ids",
+    )
 
 
 def summary(tokens: DataFrame) -> DataFrame:
@@ -179,6 +224,9 @@ def summary(tokens: DataFrame) -> DataFrame:
             counts = np.array([len(x) for x in ids], np.int64)
             ends = np.cumsum(counts)
             sums = [zlib.crc32(flat[e - c : e].tobytes()) for e, c in zip(ends, counts, strict=True)]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("start"), pa.array(counts), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.record_batch(
+                [batch.column("doc_id"), batch.column("start"), pa.array(counts), pa.array(sums, pa.int64())],
+                ["doc_id", "start", "n_tokens", "ids_crc32"],
+            )
 
     return tokens.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -37,7 +37,9 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for size in STEMS:
         longer = sizes > size
         terms.append((owner[longer], hash_spans(buf, starts[longer], np.full(longer.sum(), size), seed=1)))
-    return per_text(np.concatenate([t[0] for t in terms]), np.concatenate([t[1] for t in terms]) >> U64(64 - BITS), len(column))
+    return per_text(
+        np.concatenate([t[0] for t in terms]), np.concatenate([t[1] for t in terms]) >> U64(64 - BITS), len(column),
+    )
 
 
 class Machine:
@@ -55,7 +57,10 @@ class Machine:
             out += 0.5 * (np.bincount(owner, x, n) ** 2 - np.bincount(owner, x * x, n))
         return out
 
-    def fit(self, rows: list[np.ndarray], label: np.ndarray, rounds: int = 20, rate: float = 0.1, decay: float = 2e-5, batch: int = 128, tilt: float = 8.0, seed: int = 7) -> None:
+    def fit(
+        self, rows: list[np.ndarray], label: np.ndarray, rounds: int = 20, rate: float = 0.1, decay: float = 2e-5,
+        batch: int = 128, tilt: float = 8.0, seed: int = 7,
+    ) -> None:
         """AdaGrad on the log-loss with a quadratic penalty; the rarer class weighs more, up to `tilt` times."""
         rng, terms = np.random.default_rng(seed), len(self.w)
         seen_w, seen_v, seen_o = np.full(terms, 1e-6), np.full(self.v.shape, 1e-6), 1e-6

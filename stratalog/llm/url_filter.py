@@ -41,7 +41,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     URLs and those without :// have an empty host and fit no rule.  Rules with an empty or null host or verdict fit
     nothing; a null path is empty.  Repeated pages are judged each; without rules all get the default.
     """
-    rules = rules.where("host <> '' and verdict is not null").select(F.col("host").alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"), F.col("verdict").alias("r_verdict")).distinct()
+    rules = rules.where("host <> '' and verdict is not null").select(
+        F.col("host").alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"),
+        F.col("verdict").alias("r_verdict"),
+    ).distinct()
     rules = stored(_keyed(rules.withColumn("r_text", F.concat("r_host", "r_path")), "r_text"), "rules")
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     pages = pages.select(*kept, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -49,23 +52,40 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     most = rules.agg(F.max(labels("r_host"))).first()[0]
     if most is None:
         discard(rules)
-        return pages.select(*kept, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+        return pages.select(
+            *kept, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"),
+        )
     asked = pages.where("host <> ''").select(F.col("host").alias("q_host"), F.col("path").alias("q_path")).distinct()
     # hosts: their suffixes of at most as many labels as any rule's, and the lengths of the paths under the rules' hosts
     hosts = _keyed(rules.groupBy("r_host").agg(F.collect_set(F.length("r_path")).alias("lengths")), "r_host")
-    parts = asked.select("q_host").distinct().withColumn("n", F.explode(F.sequence(F.lit(1), F.least(labels("q_host"), F.lit(most)))))
-    parts = _keyed(parts.withColumn("suffix", F.expr("substring_index(q_host, '.', -n)")), "suffix").select("q_host", "short", F.col("digest").alias("q_digest"))
+    parts = asked.select("q_host").distinct().withColumn(
+        "n", F.explode(F.sequence(F.lit(1), F.least(labels("q_host"), F.lit(most)))),
+    )
+    parts = _keyed(
+        parts.withColumn("suffix", F.expr("substring_index(q_host, '.', -n)")), "suffix",
+    ).select("q_host", "short", F.col("digest").alias("q_digest"))
     under = join_small(parts, hosts, ["short"], "inner").where("q_digest = digest")
     under = stored(under.groupBy("q_host").agg(F.collect_list(F.struct("r_host", "lengths")).alias("under")), "hosts")
     # paths: prefixes of those lengths
     asked = join_light(asked, under, ["q_host"], "inner").select("q_host", "q_path", F.explode("under").alias("u"))
-    asked = asked.select("q_host", "q_path", "u.r_host", F.explode(F.filter("u.lengths", lambda n: n <= F.length("q_path"))).alias("chars"))
-    asked = _keyed(asked.withColumn("q_text", F.concat("r_host", F.expr("substring(q_path, 1, chars)"))), "q_text").select("q_host", "q_path", "short", F.col("digest").alias("q_digest"))
+    asked = asked.select(
+        "q_host", "q_path", "u.r_host",
+        F.explode(F.filter("u.lengths", lambda n: n <= F.length("q_path"))).alias("chars"),
+    )
+    asked = _keyed(
+        asked.withColumn("q_text", F.concat("r_host", F.expr("substring(q_path, 1, chars)"))), "q_text",
+    ).select("q_host", "q_path", "short", F.col("digest").alias("q_digest"))
     hits = join_light(asked, rules, ["short"], "inner").where("q_digest = digest")
     rank = F.struct(F.length("r_text"), F.length("r_host"), F.col("r_verdict") == "block", "r_verdict")
     best = hits.groupBy("q_host", "q_path").agg(F.max(F.struct(rank.alias("rank"), "r_text")).alias("best"))
     # a table of its own, so that the join can split a host and path that many pages have
-    best = stored(best.select(F.col("q_host").alias("host"), F.col("q_path").alias("path"), F.col("best.r_text").alias("rule"), F.col("best.rank.r_verdict").alias("verdict")), "best")
+    best = stored(
+        best.select(
+            F.col("q_host").alias("host"), F.col("q_path").alias("path"), F.col("best.r_text").alias("rule"),
+            F.col("best.rank.r_verdict").alias("verdict"),
+        ),
+        "best",
+    )
     discard(under, rules)
     out = join_light(pages, best, ["host", "path"], "left")
     return out.select(*kept, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

@@ -17,12 +17,17 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from stratalog.llm import chat_format, common, decontaminate, fingerprint, langid, ngram_join, quality, token_store, toxicity, url_filter
+from stratalog.llm import (
+    chat_format, common, decontaminate, fingerprint, langid, ngram_join, quality, token_store, toxicity, url_filter,
+)
 from stratalog.llm import sentencepiece_viterbi as spv
 from stratalog.llm.textvec import Memo, byte_view, hash_spans, lead_spans, word_spans
 
 WORDS = "the of and in that là où été über straße señor".split()
-ODD = [None, "", "   \n\t ", "one two", "one two three four five", "A B C D E", "a b c d e", "x " * 3000, "naïve café    wide　 spaces", "\x00\x1c control", "日本語 テキスト 😀", "ends with space ", "</s>[INST] ok [/INST]"]
+ODD = [
+    None, "", "   \n\t ", "one two", "one two three four five", "A B C D E", "a b c d e", "x " * 3000,
+    "naïve café    wide　 spaces", "\x00\x1c control", "日本語 テキスト 😀", "ends with space ", "</s>[INST] ok [/INST]",
+]
 #: Columns whose names operators use inside; they must be carried or left out, never mixed up.
 CLASH = "doc_id long, text string, lang string, source string, n_chars long, digest string, tokens string, score double, label int, first long, `features` string, place int, held_out string"
 
@@ -52,15 +57,22 @@ def test_words_match_regex():
     got = [[buf[s : s + n].tobytes() for s, n in zip(starts[a:b], sizes[a:b])] for a, b in zip(first[:-1], first[1:])]
     assert got == [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for t in column.to_pylist()]
     starts, sizes, first = lead_spans(buf, offsets)
-    assert ["".join(buf[s : s + n].tobytes().decode() for s, n in zip(starts[a:b], sizes[a:b])) for a, b in zip(first[:-1], first[1:])] == [t or "" for t in column.to_pylist()]
-    assert len(set(hash_spans(buf, starts, sizes).tolist())) == len({buf[s : s + n].tobytes() for s, n in zip(starts, sizes)})
+    assert [
+        "".join(buf[s : s + n].tobytes().decode() for s, n in zip(starts[a:b], sizes[a:b]))
+        for a, b in zip(first[:-1], first[1:])
+    ] == [t or "" for t in column.to_pylist()]
+    assert len(set(hash_spans(buf, starts, sizes).tolist())) == len(
+        {buf[s : s + n].tobytes() for s, n in zip(starts, sizes)}
+    )
 
 
 def test_memo_forgets_without_changing_results():
     memo = Memo(np.int64, limit=3)
     for seed in range(20):
         h = np.random.default_rng(seed).integers(0, 9, 30).astype(np.uint64)
-        flat, counts = memo.look(h, lambda new: (np.repeat(h[new], h[new].astype(int)).astype(np.int64), h[new].astype(np.int64)))
+        flat, counts = memo.look(
+            h, lambda new: (np.repeat(h[new], h[new].astype(int)).astype(np.int64), h[new].astype(np.int64)),
+        )
         assert flat.tolist() == [int(x) for x in h for _ in range(int(x))] and counts.tolist() == h.tolist()
 
 
@@ -107,14 +119,20 @@ def near_copies(n=60, seed=3):
         out.append(" ".join(words))
         out.append(prose(1000 + i, 60) + " " + passage)
         base = words if i % 10 == 0 else base
-    out += [" ".join(f"w{i}" for i in range(11)), " ".join(f"w{i}" for i in range(12)), " ".join(f"w{i}" for i in range(14)), "a b c", "A b C", "a b c"]
+    out += [
+        " ".join(f"w{i}" for i in range(11)), " ".join(f"w{i}" for i in range(12)),
+        " ".join(f"w{i}" for i in range(14)), "a b c", "A b C", "a b c",
+    ]
     return list(enumerate(out))
 
 
 @pytest.mark.parametrize("leaf", [4096, 7])
 def test_jaccard_classes_against_all_pairs(spark, leaf):
     rows = near_copies()
-    got = {r[0]: (r[1], r[2]) for r in ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string"), leaf=leaf).collect()}
+    got = {
+        r[0]: (r[1], r[2])
+        for r in ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string"), leaf=leaf).collect()
+    }
     assert got == brute_components(rows)
 
 
@@ -138,9 +156,16 @@ def test_jaccard_link_counts(spark, leaf):
     """Each document's number of links, copies of a set counting each, against all pairs."""
     rows = near_copies(40)
     rows += [(500 + i, t) for i, (_, t) in enumerate(rows[:6])] + [(600, rows[0][1]), (700, ""), (701, None)]
-    got = {r["doc_id"]: (r["n_links"], r["component_id"]) for r in ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string"), leaf=leaf, split=leaf, counts=True).collect()}
+    got = {
+        r["doc_id"]: (r["n_links"], r["component_id"])
+        for r in ngram_join.classes(
+            spark.createDataFrame(rows, "doc_id long, text string"), leaf=leaf, split=leaf, counts=True,
+        ).collect()
+    }
     sets = [(i, shingles(t)) for i, t in rows]
-    linked = {i: sum(j != i and bool(a) and bool(b) and 100 * len(a & b) >= 75 * len(a | b) for j, b in sets) for i, a in sets}
+    linked = {
+        i: sum(j != i and bool(a) and bool(b) and 100 * len(a & b) >= 75 * len(a | b) for j, b in sets) for i, a in sets
+    }
     assert {i: n for i, (n, _) in got.items()} == linked
     assert {i: c for i, (_, c) in got.items()} == {i: c for i, (_, c) in brute_components(rows).items()}
 
@@ -182,7 +207,9 @@ def test_census_rows_do_not_grow_with_partitions(spark, sf_dir):
         before = spark.conf.get("spark.sql.shuffle.partitions")
         spark.conf.set("spark.sql.shuffle.partitions", n)
         rows = ngram_join.census_rows(docs, 50 * ngram_join.BUCKET)
-        sizes.append(rows.agg(F.sum(sum(F.length(c) for c in ("ids", "sizes", "once", "whose", "more")) + 12)).first()[0])
+        sizes.append(
+            rows.agg(F.sum(sum(F.length(c) for c in ("ids", "sizes", "once", "whose", "more")) + 12)).first()[0]
+        )
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert sizes[0] == sizes[1]
     # a document's id and size are there once; what is left is its shingles, and its place where it has some
@@ -196,10 +223,20 @@ def test_jaccard_odd_rows(spark):
     assert len(got) == len(ODD) + 2
     by = {r["doc_id"]: r for r in got}
     assert [by[i]["n_shingles"] for i in range(7)] == [0, 0, 0, 1, 1, 1, 1] and by[7]["n_shingles"] == 1
-    assert by[6]["component_id"] == 5 and by[5]["component_id"] == 5 and by[0]["component_id"] == 0 and by[1]["component_id"] == 1
+    assert by[6][
+        "component_id"
+    ] == 5 and by[5]["component_id"] == 5 and by[0]["component_id"] == 0 and by[1]["component_id"] == 1
     assert by[None]["component_id"] is None and by[None]["n_shingles"] == 1
-    twin = spark.createDataFrame([(4, "same words in both rows here"), (None, "same words in both rows here"), (9, "same words in both rows here")], "doc_id long, text string")
-    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in ngram_join.classes(twin).collect()) == [(0, 0), (4, 4), (9, 4)]
+    twin = spark.createDataFrame(
+        [
+            (4, "same words in both rows here"), (None, "same words in both rows here"),
+            (9, "same words in both rows here"),
+        ],
+        "doc_id long, text string",
+    )
+    assert sorted(
+        (r["doc_id"] or 0, r["component_id"] or 0) for r in ngram_join.classes(twin).collect()
+    ) == [(0, 0), (4, 4), (9, 4)]
     assert ngram_join.classes(empty_docs(spark)).count() == 0
     kept = ngram_join.keep_one(odd_docs(spark))
     assert kept.columns == odd_docs(spark).columns and kept.count() == len(ODD) + 1
@@ -208,8 +245,12 @@ def test_jaccard_odd_rows(spark):
 def test_jaccard_repeated_ids_join_their_sets(spark):
     """Document 5 has the sets of both 2 and 3, neither of which it is the first of."""
     a, b = "one text of seven words in all", "quite another one that has eight words here"
-    rows = spark.createDataFrame([(2, b), (3, a), (5, a), (5, b), (7, "alone among all these rows")], "doc_id long, text string")
-    assert sorted((r["doc_id"], r["component_id"]) for r in ngram_join.classes(rows).collect()) == [(2, 2), (3, 2), (5, 2), (5, 2), (7, 7)]
+    rows = spark.createDataFrame(
+        [(2, b), (3, a), (5, a), (5, b), (7, "alone among all these rows")], "doc_id long, text string",
+    )
+    assert sorted(
+        (r["doc_id"], r["component_id"]) for r in ngram_join.classes(rows).collect()
+    ) == [(2, 2), (3, 2), (5, 2), (5, 2), (7, 7)]
 
 
 # --- 2
@@ -223,10 +264,18 @@ def test_tokens_round_trip(spark, tmp_path, plain):
     tokenizer = Tokenizer.from_str(js)
     if plain:
         tokenizer.encode_special_tokens = True
-    texts = [*ODD, "don't we'll I'm,x 'sabc 12a3,b.  <|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "<|endof text|>", *(prose(i, 80) + ",end." for i in range(20))]
-    texts += ["un\u00a0mot  \u00a0 deux\u2003trois \u3000\u3000fin\u00a0", "\u00a0", "\u2028x\u2029 y\u202f;\u205fz\u1680\u0085!", "x\u200by \u180ez\ufeff", "。中文 ，文本　没有空格" * 5]
+    texts = [
+        *ODD, "don't we'll I'm,x 'sabc 12a3,b.  <|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>x",
+        "<|endof text|>", *(prose(i, 80) + ",end." for i in range(20))
+    ]
+    texts += [
+        "un\u00a0mot  \u00a0 deux\u2003trois \u3000\u3000fin\u00a0", "\u00a0",
+        "\u2028x\u2029 y\u202f;\u205fz\u1680\u0085!", "x\u200by \u180ez\ufeff", "。中文 ，文本　没有空格" * 5,
+    ]
     rows = [(i * 7 % 50, t) for i, t in enumerate(texts)] + [(None, "x"), (0, "again")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit("clash")).withColumn("place", F.lit(1)).repartition(5)
+    docs = spark.createDataFrame(
+        rows, "doc_id long, text string",
+    ).withColumn("ids", F.lit("clash")).withColumn("place", F.lit(1)).repartition(5)
     path = str(tmp_path / "t")
     token_store.write_tokens(docs, path, js, 2, **({'plain_specials': True} if plain else {}))
     got = token_store.read_tokens(spark, path).collect()
@@ -248,10 +297,15 @@ def test_words_of_wide_spaces():
     """Spans begin where a run of Unicode's white space begins, whatever its bytes."""
     spaces = [chr(c) for c in (0x20, 0x0A, 0x85, 0xA0, 0x1680, 0x2000, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
     r = random.Random(4)
-    texts = ["".join(r.choice([*spaces, *"aé語\u200b\u2010\u0084¡"]) for _ in range(r.randint(0, 30))) for _ in range(300)]
+    texts = [
+        "".join(r.choice([*spaces, *"aé語\u200b\u2010\u0084¡"]) for _ in range(r.randint(0, 30))) for _ in range(300)
+    ]
     buf, offsets = byte_view(pa.array(texts))
     starts, sizes, first = lead_spans(buf, offsets)
-    got = [[buf[s : s + n].tobytes().decode() for s, n in zip(starts[a:b], sizes[a:b])] for a, b in zip(first[:-1], first[1:])]
+    got = [
+        [buf[s : s + n].tobytes().decode() for s, n in zip(starts[a:b], sizes[a:b])]
+        for a, b in zip(first[:-1], first[1:])
+    ]
     white = "[" + "".join(spaces) + "]"
     assert got == [re.findall(f"^[^{white[1:-1]}]+|{white}+[^{white[1:-1]}]*", t) for t in texts]
 
@@ -301,7 +355,9 @@ def labelled(spark, column):
             text += f" {r.choice(['idiot', 'scum'])} groupish"
         texts.append((i, text))
         marks.append((i, int(not bad) if column == "quality" else int(bad)))
-    return spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([*marks, (None, 1), (1, None)], f"doc_id long, {column} int")
+    return spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(
+        [*marks, (None, 1), (1, None)], f"doc_id long, {column} int",
+    )
 
 
 @pytest.mark.parametrize(("module", "column", "least"), [(quality, "quality", 0.3), (toxicity, "toxic", 0.5)])
@@ -333,10 +389,18 @@ def test_stage_filters_judge_each_row(spark, module, column):
     """Null and repeated ids: every row goes by its own verdict."""
     docs, labels = labelled(spark, column)
     worst = 0 if column == "quality" else 1
-    texts = {r["doc_id"]: (r["text"], r["predicted"] == worst) for r in module.score(docs, module.fit(docs, labels)).join(docs, "doc_id").collect()}
+    texts = {
+        r["doc_id"]: (r["text"], r["predicted"] == worst)
+        for r in module.score(docs, module.fit(docs, labels)).join(docs, "doc_id").collect()
+    }
     bad, good = next(t for t, b in texts.values() if b), next(t for t, b in texts.values() if not b)
-    more = spark.createDataFrame([(None, bad, ["b"]), (None, good, ["g"]), (9000, bad, ["b"]), (9000, good, ["g"])], "doc_id long, text string, tags array<string>")
-    kept = (module.keep_good if column == "quality" else module.keep_clean)(docs.withColumn("tags", F.array(F.lit("x"))).union(more), labels).collect()
+    more = spark.createDataFrame(
+        [(None, bad, ["b"]), (None, good, ["g"]), (9000, bad, ["b"]), (9000, good, ["g"])],
+        "doc_id long, text string, tags array<string>",
+    )
+    kept = (module.keep_good if column == "quality" else module.keep_clean)(
+        docs.withColumn("tags", F.array(F.lit("x"))).union(more), labels,
+    ).collect()
     assert sorted((r["doc_id"] or 0, r["tags"][0]) for r in kept if r["tags"] != ["x"]) == [(0, "g"), (9000, "g")]
 
 
@@ -379,7 +443,10 @@ def test_quality_scores_against_a_plain_version(spark):
         for f in quality.features(pa.array([x["text"]]))[0].tolist():
             times[x["quality"]][f] = times[x["quality"]].get(f, 0) + 1
     n = {k: sum(x["quality"] == k for x in rows) for k in (0, 1)}
-    ratio = {f: np.log((times[1].get(f, 0) + 1) / (n[1] + 2)) - np.log((times[0].get(f, 0) + 1) / (n[0] + 2)) for f in {*times[0], *times[1]} if times[0].get(f, 0) + times[1].get(f, 0) >= 3}
+    ratio = {
+        f: np.log((times[1].get(f, 0) + 1) / (n[1] + 2)) - np.log((times[0].get(f, 0) + 1) / (n[0] + 2))
+        for f in {*times[0], *times[1]} if times[0].get(f, 0) + times[1].get(f, 0) >= 3
+    }
     used = np.flatnonzero(model["weights"])
     assert set(used.tolist()) <= set(ratio) and len(used) > 20
     some = sorted(rows, key=lambda x: (x["doc_id"], x["text"]))
@@ -409,9 +476,15 @@ def test_toxicity_scores_against_a_plain_version(spark):
     got = {x["doc_id"]: x["score"] for x in toxicity.score(docs, model).collect()}
     for x in docs.collect():
         terms = [place[t] for t in toxicity.features(pa.array([x["text"]]))[0] if place[t] >= 0]
-        margin = machine.offset + sum(machine.w[t] for t in terms) + sum(machine.v[a] @ machine.v[b] for i, a in enumerate(terms) for b in terms[:i])
+        margin = machine.offset + sum(machine.w[t] for t in terms) + sum(
+            machine.v[a] @ machine.v[b] for i, a in enumerate(terms) for b in terms[:i]
+        )
         assert abs(got[x["doc_id"]] - 1 / (1 + np.exp(-np.clip(margin, -40, 40)))) < 1e-9
-    rows = [(toxicity.features(pa.array([x["text"]]))[0].tolist(), x["toxic"]) for x in docs.join(labels.where("doc_id is not null and toxic is not null"), "doc_id").collect() if zlib.crc32(str(x["doc_id"]).encode()) % 5]
+    rows = [
+        (toxicity.features(pa.array([x["text"]]))[0].tolist(), x["toxic"])
+        for x in docs.join(labels.where("doc_id is not null and toxic is not null"), "doc_id").collect()
+        if zlib.crc32(str(x["doc_id"]).encode()) % 5
+    ]
     for t in {t for f, _ in rows for t in f}:
         a, b = (sum(t in f and y == k for f, y in rows) for k in (1, 0))
         c, d = (sum(t not in f and y == k for f, y in rows) for k in (1, 0))
@@ -453,7 +526,9 @@ def edit_distance_anywhere(item, text):
 
 def test_leaks_against_brute_force(spark):
     r = random.Random(8)
-    items = [(i, prose(500 + i, 12)) for i in range(6)] + [(6, ""), (7, None), (8, "Ünïcode Straße!"), (3, items_text := prose(503, 12))]
+    items = [(i, prose(500 + i, 12)) for i in range(6)] + [
+        (6, ""), (7, None), (8, "Ünïcode Straße!"), (3, items_text := prose(503, 12)),
+    ]
     docs = []
     for i in range(40):
         text = prose(i, 60)
@@ -465,7 +540,13 @@ def test_leaks_against_brute_force(spark):
         docs.append((i, text))
     docs += [(40, None), (41, ""), (42, "xx ÜNÏCODE, straße"), (42, "xx ÜNÏCODE, straße")]
     del items_text
-    got = sorted((r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect())
+    got = sorted(
+        (r["doc_id"], r["item_id"], r["distance"])
+        for r in decontaminate.leaks(
+            spark.createDataFrame(docs, "doc_id long, text string"),
+            spark.createDataFrame(items, "item_id long, text string"),
+        ).collect()
+    )
     want = []
     for d, t in docs:
         for i, x in items:
@@ -474,14 +555,19 @@ def test_leaks_against_brute_force(spark):
                 if t and dist <= int(decontaminate.RATE * len(item)):
                     want.append((d, i, dist))
     assert got == sorted(want) and len(got) > 10
-    assert decontaminate.leaks(empty_docs(spark), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+    assert decontaminate.leaks(
+        empty_docs(spark), spark.createDataFrame(items, "item_id long, text string"),
+    ).count() == 0
     assert decontaminate.leaks(odd_docs(spark), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
 def test_leaks_go_row_by_row(spark, monkeypatch):
     items = [(1, "which river flows past the old mill at noon"), (2, "how many stones lie under the northern bridge")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    docs = spark.createDataFrame([(None, items[0][1], 1), (None, "clean", 2), (7, items[1][1] + " yes", 3), (7, "also clean", 4), (8, None, 5)], "doc_id long, text string, n int")
+    docs = spark.createDataFrame(
+        [(None, items[0][1], 1), (None, "clean", 2), (7, items[1][1] + " yes", 3), (7, "also clean", 4), (8, None, 5)],
+        "doc_id long, text string, n int",
+    )
     for size in (4_000_000, 10):
         monkeypatch.setattr(decontaminate, "BLOCK", size)
         assert sorted(r["n"] for r in decontaminate.keep_clean(docs, benchmark).collect()) == [2, 4, 5]
@@ -491,7 +577,14 @@ def test_leaks_go_row_by_row(spark, monkeypatch):
 
 
 def test_urls(spark):
-    rules = spark.createDataFrame([("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"), ("block", "", "/x"), (None, "com", "/"), ("block", "bad.com", None), ("allow", "tie.com", "/a"), ("block", "tie.com", "/a")], "verdict string, host string, path string")
+    rules = spark.createDataFrame(
+        [
+            ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"),
+            ("block", "example.net", "/de/8"), ("block", "org", "/es/"), ("block", "", "/x"), (None, "com", "/"),
+            ("block", "bad.com", None), ("allow", "tie.com", "/a"), ("block", "tie.com", "/a"),
+        ],
+        "verdict string, host string, path string",
+    )
     cases = {
         "http://A.Example.COM/en/71?x": ("a.example.com", "/en/71", "example.com/en/7", "allow"),
         "http://xexample.com/en/71": ("xexample.com", "/en/71", "com/en/", "block"),
@@ -506,13 +599,19 @@ def test_urls(spark):
         "http://com?/en/": ("com", "", None, "allow"),
         None: ("", "", None, "allow"),
     }
-    pages = spark.createDataFrame([(i, u, "old", "short") for i, u in enumerate(cases)] + [(0, next(iter(cases)), "old", "short")], "page_id long, url string, rule string, short string")
+    pages = spark.createDataFrame(
+        [(i, u, "old", "short") for i, u in enumerate(cases)] + [(0, next(iter(cases)), "old", "short")],
+        "page_id long, url string, rule string, short string",
+    )
     got = url_filter.judge(pages, rules).collect()
     assert len(got) == len(cases) + 1
     assert {r["url"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in got} == cases
     assert {r["verdict"] for r in url_filter.judge(pages, rules.limit(0), "block").collect()} == {"block"}
     assert url_filter.judge(pages.limit(0), rules).count() == 0
-    names = [n for n in ("Python", "Pandas", "Arrow") if n in url_filter.judge(pages, rules)._jdf.queryExecution().executedPlan().toString()]
+    names = [
+        n for n in ("Python", "Pandas", "Arrow")
+        if n in url_filter.judge(pages, rules)._jdf.queryExecution().executedPlan().toString()
+    ]
     assert not names
 
 
@@ -522,11 +621,24 @@ def test_urls(spark):
 def test_fingerprints(spark):
     texts = ["Straße  X", "STRASSE x", "ﬁne", "fine", "fine ", None, "", "é", "é"]
     rows = list(enumerate(texts))
-    prints = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert prints[0] == prints[1] and prints[2] == prints[3] == prints[4] and prints[5] == prints[6] and prints[7] == prints[8] and len(set(prints.values())) == 4
-    groups = {r["doc_id"]: r["group_id"] for r in fingerprint.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    prints = {
+        r["doc_id"]: r["fingerprint"]
+        for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    }
+    assert prints[
+        0
+    ] == prints[1] and prints[2] == prints[3] == prints[4] and prints[5] == prints[6] and prints[7] == prints[8] and len(
+        set(prints.values())
+    ) == 4
+    groups = {
+        r["doc_id"]: r["group_id"]
+        for r in fingerprint.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    }
     assert groups == {0: 0, 1: 0, 2: 2, 3: 2, 4: 2, 5: 5, 6: 5, 7: 7, 8: 7}
-    assert groups == {r["doc_id"]: r["group_id"] for r in fingerprint.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), part=1).collect()}
+    assert groups == {
+        r["doc_id"]: r["group_id"]
+        for r in fingerprint.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), part=1).collect()
+    }
     assert fingerprint.exact_groups(empty_docs(spark)).count() == 0
     assert fingerprint.exact_groups(odd_docs(spark)).count() == len(ODD) + 2
     assert unicodedata.normalize("NFKC", "ﬁ") == "fi"
@@ -544,13 +656,18 @@ def test_edited_texts(spark, n):
         cut = len(t) // 3
         edited = t[: len(t) - cut] + following[:cut]
         r = got[i]
-        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], r["next_fingerprint"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), fingerprint.digest(t), fingerprint.digest(edited), fingerprint.digest(following))
+        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], r["next_fingerprint"]) == (
+            len(t), hashlib.sha256(edited.encode()).hexdigest(), fingerprint.digest(t), fingerprint.digest(edited),
+            fingerprint.digest(following),
+        )
 
 
 def test_edited_texts_of_repeated_and_null_ids(spark):
     rows = [(1, "aaa"), (1, "bbb"), (1, "bbb"), (None, "zzz"), (5, "ccc")]
     got = fingerprint.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == [(False, 1), (False, 1), (False, 1), (False, 5), (True, 0)]
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == [
+        (False, 1), (False, 1), (False, 1), (False, 5), (True, 0),
+    ]
     assert {r["next_fingerprint"] for r in got if r["doc_id"] is None} == {fingerprint.digest("ccc")}
 
 
@@ -576,21 +693,37 @@ def path_value(scores, path, switch):
 
 
 def test_languages(spark):
-    vocab = {"aa": "alpha beta gamma delta".split(), "bb": "omega sigma kappa zeta".split(), "gr": "λόγος φως νους ψυχή".split()}
+    vocab = {
+        "aa": "alpha beta gamma delta".split(), "bb": "omega sigma kappa zeta".split(),
+        "gr": "λόγος φως νους ψυχή".split(),
+    }
     r = random.Random(1)
-    docs = [(i, " ".join(r.choice(vocab[lang]) for _ in range(12)), lang) for i in range(90) for lang in [list(vocab)[i % 3]]]
-    frame = spark.createDataFrame([*docs, (900, None, "aa"), (901, "x y", None)], "doc_id long, text string, lang string")
+    docs = [
+        (i, " ".join(r.choice(vocab[lang]) for _ in range(12)), lang) for i in range(90)
+        for lang in [list(vocab)[i % 3]]
+    ]
+    frame = spark.createDataFrame(
+        [*docs, (900, None, "aa"), (901, "x y", None)], "doc_id long, text string, lang string",
+    )
     model = langid.fit(frame)
     assert model["langs"] == ["aa", "bb", "gr"]
     got = {r["doc_id"]: r for r in langid.predict(frame, model).collect()}
     assert all(got[i]["lang_pred"] == lang for i, _, lang in docs) and got[900]["lang_pred"] == "und"
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
-    odd = langid.predict(spark.createDataFrame([(1, "123 !!"), (2, ""), (3, None), (None, "alpha"), (5, "alpha"), (5, "alpha"), (6, "ЖЖ日"), (7, "“—”")], "doc_id long, text string").withColumn("lang", F.lit("zz")), model).collect()
+    odd = langid.predict(
+        spark.createDataFrame(
+            [(1, "123 !!"), (2, ""), (3, None), (None, "alpha"), (5, "alpha"), (5, "alpha"), (6, "ЖЖ日"), (7, "“—”")],
+            "doc_id long, text string",
+        ).withColumn("lang", F.lit("zz")),
+        model,
+    ).collect()
     assert len(odd) == 8 and [r["lang_pred"] for r in odd if r["doc_id"] in (1, 2, 3, 7)] == ["und"] * 4
     assert langid.predict(empty_docs(spark), model).count() == 0
     assert {r["lang_pred"] for r in langid.predict(frame, langid.fit(frame.limit(0))).collect()} == {"und"}
     mixed = "alpha beta gamma " * 10 + "omega sigma kappa " * 10
-    spans = langid.spans(spark.createDataFrame([(1, mixed)], "doc_id long, text string"), model).orderBy("start").collect()
+    spans = langid.spans(
+        spark.createDataFrame([(1, mixed)], "doc_id long, text string"), model,
+    ).orderBy("start").collect()
     assert [(s["lang"], mixed[s["start"] : s["end"]].split()[0]) for s in spans] == [("aa", "alpha"), ("bb", "omega")]
 
 
@@ -603,7 +736,9 @@ def plain_words(text):
         cap = langid.CAP_UNSPACED if script in langid.UNSPACED else langid.CAP
         for i in range(0, len(now), cap):
             some = now[i : i + cap]
-            low = "".join(c.lower() if unicodedata.category(c)[0] == "L" and len(c.lower()) == 1 else c for _, c in some)
+            low = "".join(
+                c.lower() if unicodedata.category(c)[0] == "L" and len(c.lower()) == 1 else c for _, c in some
+            )
             out.append((low, -1 if script is None else script, some[0][0], some[-1][0] + len(some[-1][1].encode())))
         now, script = [], None
 
@@ -629,26 +764,49 @@ def plain_words(text):
 def plain_grams(word):
     data = word.encode()
     cells = [(data[i - 1] if i else 0, data[i], data[i + 1] if i + 1 < len(data) else 0) for i in range(len(data))]
-    return [int(langid.mix(np.array([a << 16 | b << 8 | c], np.uint64))[0] >> np.uint64(64 - langid.BITS)) for a, b, c in cells]
+    return [
+        int(langid.mix(np.array([a << 16 | b << 8 | c], np.uint64))[0] >> np.uint64(64 - langid.BITS))
+        for a, b, c in cells
+    ]
 
 
-MIXED = ["日本語です。中文文本，没有空格。これはペンです", "École école ÉCOLE", "a1b2 c", "naïve café", "x" * 60 + " " + "日" * 30, "e\u0301cole \u0301 a\u0300\u0301b", "Straße λόγος ЖЖ", "ﬁn Ⅷ ª 𝒳 ʼn", "ภาษาไทย", "\u3000\u00a0", "한국어 텍스트"]
+MIXED = [
+    "日本語です。中文文本，没有空格。これはペンです", "École école ÉCOLE", "a1b2 c", "naïve café", "x" * 60 + " " + "日" * 30,
+    "e\u0301cole \u0301 a\u0300\u0301b", "Straße λόγος ЖЖ", "ﬁn Ⅷ ª 𝒳 ʼn", "ภาษาไทย", "\u3000\u00a0", "한국어 텍스트",
+]
 
 
 def test_language_words_against_a_plain_version():
     texts = [*ODD, *MIXED, "plain ascii Words, it's 3x", prose(4, 50)]
     for batch in [texts, *[[t] for t in texts]]:
         words = langid.Words(pa.array(batch, pa.string()))
-        got = [[(words.buf[words.starts[i] : words.starts[i] + words.sizes[i]].tobytes().decode(), int(words.script[i]), int(words.begin[i] - words.offsets[k]), int(words.end[i] - words.offsets[k])) for i in range(words.first[k], words.first[k + 1])] for k in range(len(batch))]
+        got = [
+            [
+                (
+                    words.buf[words.starts[i] : words.starts[i] + words.sizes[i]].tobytes().decode(),
+                    int(words.script[i]), int(words.begin[i] - words.offsets[k]), int(words.end[i] - words.offsets[k]),
+                )
+                for i in range(words.first[k], words.first[k + 1])
+            ]
+            for k in range(len(batch))
+        ]
         assert got == [plain_words(t or "") for t in batch]
 
 
 def test_languages_against_a_plain_version(spark):
     """Counts, scores, best paths and shares by plain loops; spans of texts that mix scripts."""
-    vocab = {"aa": "alpha beta École gamma delta".split(), "ja": "日本語です これは ペン 本です".split(), "zh": "中文文本 没有 空格 本文".split(), "gr": "λόγος φως νους".split()}
+    vocab = {
+        "aa": "alpha beta École gamma delta".split(), "ja": "日本語です これは ペン 本です".split(), "zh": "中文文本 没有 空格 本文".split(),
+        "gr": "λόγος φως νους".split(),
+    }
     r = random.Random(12)
-    docs = [(i, ("" if lang in ("ja", "zh") else " ").join(r.choice(vocab[lang]) for _ in range(8)), lang) for i in range(120) for lang in [list(vocab)[i % 4]]]
-    model = langid.fit(spark.createDataFrame([*docs, (500, "alpha", None), (501, None, "aa")], "doc_id long, text string, lang string"))
+    docs = [
+        (i, ("" if lang in ("ja", "zh") else " ").join(r.choice(vocab[lang]) for _ in range(8)), lang)
+        for i in range(120) for lang in [list(vocab)[i % 4]]
+    ]
+    model = langid.fit(
+        spark.createDataFrame([*docs, (500, "alpha", None), (501, None, "aa")], "doc_id long, text string, lang string")
+    )
     langs = sorted(vocab)
     table, scripts = np.full((4, 1 << langid.BITS), 0.05), np.zeros((4, len(langid.NAMES)))
     for i, text, lang in docs:
@@ -670,21 +828,37 @@ def test_languages_against_a_plain_version(spark):
         s = np.where(f | ~f.any(), np.maximum(s, -25), -50)
         return s - s.mean()
 
-    texts = [t for _, t, _ in docs[:30]] + MIXED + ["".join(r.choice(vocab["ja"] + vocab["zh"]) for _ in range(30)) + " alpha beta" * 6, "alpha " * 9 + "中文文本" * 9 + " λόγος" * 9]
-    rows = {x["doc_id"]: x for x in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    texts = [t for _, t, _ in docs[:30]] + MIXED + [
+        "".join(r.choice(vocab["ja"] + vocab["zh"]) for _ in range(30)) + " alpha beta" * 6,
+        "alpha " * 9 + "中文文本" * 9 + " λόγος" * 9,
+    ]
+    rows = {
+        x["doc_id"]: x
+        for x in langid.predict(
+            spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model,
+        ).collect()
+    }
     for i, text in enumerate(texts):
         words = plain_words(text)
-        path, _ = brute_path(np.array([scores(w, s) for w, s, _, _ in words]).reshape(-1, 4), langid.SWITCH) if words else ([], 0)
+        path, _ = brute_path(
+            np.array([scores(w, s) for w, s, _, _ in words]).reshape(-1, 4), langid.SWITCH,
+        ) if words else ([], 0)
         held = np.zeros(4)
         for (w, s, _, _), p in zip(words, path):
             held[p] += len(w) if s >= 0 else 0
         if not held.sum():
             assert (rows[i]["lang_pred"], rows[i]["score"]) == ("und", 0.0)
         else:
-            assert abs(rows[i]["score"] - held.max() / held.sum()) < 1e-9 and held[langs.index(rows[i]["lang_pred"])] == held.max(), text
-    spans = langid.spans(spark.createDataFrame([(1, texts[-1])], "doc_id long, text string"), model).orderBy("start").collect()
+            assert abs(
+                rows[i]["score"] - held.max() / held.sum()
+            ) < 1e-9 and held[langs.index(rows[i]["lang_pred"])] == held.max(), text
+    spans = langid.spans(
+        spark.createDataFrame([(1, texts[-1])], "doc_id long, text string"), model,
+    ).orderBy("start").collect()
     data = texts[-1].encode()
-    assert [(x["lang"], data[x["start"] : x["end"]].decode().strip()[:2]) for x in spans] == [("aa", "al"), ("zh", "中文"), ("gr", "λό")]
+    assert [
+        (x["lang"], data[x["start"] : x["end"]].decode().strip()[:2]) for x in spans
+    ] == [("aa", "al"), ("zh", "中文"), ("gr", "λό")]
 
 
 def test_languages_of_very_long_texts():
@@ -695,12 +869,20 @@ def test_languages_of_very_long_texts():
 
 
 def test_viterbi_is_the_best_path(spark):
-    vocab = {"aa": "alpha beta gamma delta".split(), "bb": "omega sigma kappa zeta".split(), "cc": "uno dos tres siete".split()}
+    vocab = {
+        "aa": "alpha beta gamma delta".split(), "bb": "omega sigma kappa zeta".split(),
+        "cc": "uno dos tres siete".split(),
+    }
     r = random.Random(5)
-    docs = [(i, " ".join(r.choice(vocab[lang]) for _ in range(9)), lang) for i in range(60) for lang in [list(vocab)[i % 3]]]
+    docs = [
+        (i, " ".join(r.choice(vocab[lang]) for _ in range(9)), lang) for i in range(60) for lang in [list(vocab)[i % 3]]
+    ]
     model = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
     every = sum(vocab.values(), [])
-    texts = [" ".join(r.choice(every if r.random() < 0.5 else vocab["aa"]) for _ in range(r.randint(0, 40))) for _ in range(60)]
+    texts = [
+        " ".join(r.choice(every if r.random() < 0.5 else vocab["aa"]) for _ in range(r.randint(0, 40)))
+        for _ in range(60)
+    ]
     for switch in (1.0, 4.0, 12.0):
         labeller = langid.Labeller(model, switch)
         words = langid.Words(pa.array(texts))
@@ -719,15 +901,25 @@ def test_pieces_match_the_library(spark):
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         model = f.read()
     sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-    texts = [*ODD, "▁x▁ y", "aaaa aaaaa " + "a" * 200, "-------- ===== 1234567 <s> </s> <unk> <0x41>", "supercalifragilistic" * 40, *(prose(i, 60) for i in range(20))]
+    texts = [
+        *ODD, "▁x▁ y", "aaaa aaaaa " + "a" * 200, "-------- ===== 1234567 <s> </s> <unk> <0x41>",
+        "supercalifragilistic" * 40, *(prose(i, 60) for i in range(20))
+    ]
     docs = odd_docs(spark, texts).withColumn("piece_ids", F.lit(1)).withColumn("n_pieces", F.lit(1))
     got = spv.encode(docs, model)
-    assert got.columns == [*(c for c in docs.columns if c not in ("piece_ids", "n_pieces")), "piece_ids", "n_pieces", "ids_crc32", "round_trip"]
+    assert got.columns == [
+        *(c for c in docs.columns if c not in ("piece_ids", "n_pieces")), "piece_ids", "n_pieces", "ids_crc32",
+        "round_trip",
+    ]
     rows = got.collect()
     assert len(rows) == len(texts) + 2
     for r in rows:
         want = sp.encode(r["text"] or "")
-        assert list(r["piece_ids"]) == want and r["n_pieces"] == len(want) and r["round_trip"] and r["ids_crc32"] == zlib.crc32(np.array(want, "<u4").tobytes())
+        assert list(
+            r["piece_ids"]
+        ) == want and r["n_pieces"] == len(want) and r["round_trip"] and r["ids_crc32"] == zlib.crc32(
+            np.array(want, "<u4").tobytes()
+        )
     back = spv.decode(got, model).collect()
     assert all(r["decoded"] == (r["text"] or "").replace("▁", " ") for r in back)
     assert spv.encode(empty_docs(spark), model, ["doc_id"]).count() == 0
@@ -760,9 +952,14 @@ def test_pieces_of_very_long_words(monkeypatch):
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         codec, sp = codec_of(f.read())
     r = random.Random(3)
-    kinds = ["ab", "aeinrstlo", "abcdefghijklmnopqrstuvwxyz", "ABCdef0123+/=", "日本語の中文", "éàüß", "a", "=-", "inging", "aab"]
+    kinds = [
+        "ab", "aeinrstlo", "abcdefghijklmnopqrstuvwxyz", "ABCdef0123+/=", "日本語の中文", "éàüß", "a", "=-", "inging", "aab",
+    ]
     texts = ["".join(r.choice(k) for _ in range(n)) for k in kinds for n in (127, 129, 700, 1281, 1400, 3000)]
-    texts += ["thequickbrownfoxjumpsoverthelazydog" * 200, "x" + "a" * 5001, "supercalifragilisticexpialidocious" * 90, prose(4, 800).replace(" ", "")]
+    texts += [
+        "thequickbrownfoxjumpsoverthelazydog" * 200, "x" + "a" * 5001, "supercalifragilisticexpialidocious" * 90,
+        prose(4, 800).replace(" ", ""),
+    ]
     same_as_library(codec, sp, texts)
     for chunk, overlap in ((40, 32), (64, 17)):  # chunks that hardly overlap, or not enough
         monkeypatch.setattr(spv, "CHUNK", chunk)
@@ -784,13 +981,19 @@ def unigram_model(pieces, **normalizer):
         return number(field << 3 | 2) + number(len(data)) + data
 
     def entry(piece, score, kind):
-        return whole(1, whole(1, piece.encode()) + number(2 << 3 | 5) + struct.pack("<f", score) + number(3 << 3) + number(kind))
+        return whole(
+            1, whole(1, piece.encode()) + number(2 << 3 | 5) + struct.pack("<f", score) + number(3 << 3) + number(kind),
+        )
 
-    out = entry("<unk>", 0, 2) + entry("<s>", 0, 3) + entry("</s>", 0, 3) + b"".join(entry(f"<0x{b:02X}>", 0, 6) for b in range(256))
+    out = entry("<unk>", 0, 2) + entry("<s>", 0, 3) + entry("</s>", 0, 3) + b"".join(
+        entry(f"<0x{b:02X}>", 0, 6) for b in range(256)
+    )
     out += b"".join(entry(p, s, 1) for p, s in pieces)
     flags = {3: 1, 4: 0, 5: 1} | normalizer.get("flags", {})
     spec = whole(1, b"identity") + b"".join(number(k << 3) + number(v) for k, v in flags.items())
-    return out + whole(2, number(3 << 3) + number(normalizer.get("kind", 1)) + number(35 << 3) + number(normalizer.get("fallback", 1))) + whole(3, spec)
+    return out + whole(
+        2, number(3 << 3) + number(normalizer.get("kind", 1)) + number(35 << 3) + number(normalizer.get("fallback", 1)),
+    ) + whole(3, spec)
 
 
 def test_pieces_of_a_unigram_model(spark):
@@ -802,7 +1005,9 @@ def test_pieces_of_a_unigram_model(spark):
     codec, sp = codec_of(model)
     texts = ["".join(r.choice("aabbccdde  é語xyz") for _ in range(r.randint(0, 60))) for _ in range(1500)]
     score = {p: sp.get_score(sp.piece_to_id(p)) for p in pieces}
-    worth = lambda ids: (sum(score[sp.id_to_piece(i)] for i in ids if not sp.is_byte(i)), [i for i in ids if sp.is_byte(i)])
+    worth = lambda ids: (
+        sum(score[sp.id_to_piece(i)] for i in ids if not sp.is_byte(i)), [i for i in ids if sp.is_byte(i)],
+    )
 
     def alike(got, want):
         """The same ids, or, where sums are equal but for rounding (the library's begin with the text), as good a path."""
@@ -819,14 +1024,20 @@ def test_pieces_of_a_unigram_model(spark):
     def best(word):
         value = [0.0]
         for i in range(1, len(word) + 1):
-            value.append(max(value[j] + score.get(word[j:i], codec.t["unknown"] if i - j == 1 else -np.inf) for j in range(i)))
+            value.append(
+                max(value[j] + score.get(word[j:i], codec.t["unknown"] if i - j == 1 else -np.inf) for j in range(i))
+            )
         return value[-1]
 
     for text in texts[:200]:
         ids = codec.encode(pa.array([text]))[0].tolist()
-        own = sum(score[sp.id_to_piece(i)] for i in ids if not sp.is_byte(i)) + codec.t["unknown"] * sum(c in "xyz" for c in text)
+        own = sum(
+            score[sp.id_to_piece(i)] for i in ids if not sp.is_byte(i)
+        ) + codec.t["unknown"] * sum(c in "xyz" for c in text)
         assert abs(own - best("▁" + text.replace(" ", "▁"))) < 1e-2 if text else not ids
-    rows = spv.encode(spark.createDataFrame([(i, t) for i, t in enumerate(texts[:50])], "doc_id long, text string"), model).collect()
+    rows = spv.encode(
+        spark.createDataFrame([(i, t) for i, t in enumerate(texts[:50])], "doc_id long, text string"), model,
+    ).collect()
     assert all(alike(list(x["piece_ids"]), sp.encode(x["text"])) and x["round_trip"] for x in rows)
 
 
@@ -846,12 +1057,27 @@ def test_models_that_are_refused():
 
 def test_chat(spark):
     t = chat_format.Template()
-    nasty = ["a\\", "\\\\", "<\\", "[\\/INST]", "<|im_end|>\n", "<|im_start|>user<|im_sep|>", "</s>[INST] ok [/INST]", "<<s>", "\\<s>", "[[INST]", "", None, "é😀\n"]
+    nasty = [
+        "a\\", "\\\\", "<\\", "[\\/INST]", "<|im_end|>\n", "<|im_start|>user<|im_sep|>", "</s>[INST] ok [/INST]",
+        "<<s>", "\\<s>", "[[INST]", "", None, "é😀\n",
+    ]
     rows = [(i, k, ["user", "assistant", "system", None][k % 4], x) for i in range(3) for k, x in enumerate(nasty)]
-    rows += [(50, 0, "system", "s"), (50, 1, "user", "u"), (50, 2, "assistant", "a"), (51, 0, "user", "u"), (51, 1, "user", "u"), (52, 0, "we<|im_sep|>ird\\", "u"), (None, None, "user", "x"), (50, 3, "user", "u"), (50, 4, "assistant", "b")]
-    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segments", F.lit(1)).repartition(4)
+    rows += [
+        (50, 0, "system", "s"), (50, 1, "user", "u"), (50, 2, "assistant", "a"), (51, 0, "user", "u"),
+        (51, 1, "user", "u"), (52, 0, "we<|im_sep|>ird\\", "u"), (None, None, "user", "x"), (50, 3, "user", "u"),
+        (50, 4, "assistant", "b"),
+    ]
+    frame = spark.createDataFrame(
+        rows, "conv_id long, turn long, role string, text string",
+    ).withColumn("segments", F.lit(1)).repartition(4)
     out = chat_format.format_turns(frame)
-    got = {r["conv_id"]: r for r in out.select("*", chat_format.parse(F.col("text")).alias("turns"), chat_format.loss_text(F.col("segments")).alias("lost")).collect()}
+    got = {
+        r["conv_id"]: r
+        for r in out.select(
+            "*", chat_format.parse(F.col("text")).alias("turns"),
+            chat_format.loss_text(F.col("segments")).alias("lost"),
+        ).collect()
+    }
     key = lambda r: (r[0] is not None, r[0] or 0)
     for conv, group in groupby(sorted(rows, key=lambda r: (*key(r), r[1] or 0)), lambda r: r[0]):
         want = [(r[2] or "", r[3] or "") for r in group]
@@ -871,12 +1097,32 @@ def test_chat_machine_decides(spark):
     """The machine's moves against a plain run; its states give the loss flags, and the query's plan holds the moves."""
     from stratalog.llm import queries
 
-    t = chat_format.Template(loss=("assistant", "tool"), follow={"start": ("system", "user"), "system": ("user",), "user": ("assistant", "tool"), "tool": ("assistant", "tool"), "assistant": ("user",)}, final=("assistant", "tool"))
+    t = chat_format.Template(
+        loss=("assistant", "tool"),
+        follow={
+            "start": ("system", "user"), "system": ("user",), "user": ("assistant", "tool"),
+            "tool": ("assistant", "tool"), "assistant": ("user",),
+        },
+        final=("assistant", "tool"),
+    )
     r = random.Random(6)
-    chats = [[r.choice(["system", "user", "assistant", "tool", "robot", "start", chat_format.OTHER]) for _ in range(r.randint(1, 6))] for _ in range(150)]
-    chats += [["user", "tool", "tool", "assistant"], ["system", "user", "assistant"], ["user"], ["user", "assistant"] * 300]
+    chats = [
+        [
+            r.choice(["system", "user", "assistant", "tool", "robot", "start", chat_format.OTHER])
+            for _ in range(r.randint(1, 6))
+        ]
+        for _ in range(150)
+    ]
+    chats += [
+        ["user", "tool", "tool", "assistant"], ["system", "user", "assistant"], ["user"], ["user", "assistant"] * 300,
+    ]
     rows = [(i, k, role, f"<s>{i}") for i, chat in enumerate(chats) for k, role in enumerate(chat)]
-    got = {x["conv_id"]: x for x in chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), t).collect()}
+    got = {
+        x["conv_id"]: x
+        for x in chat_format.format_turns(
+            spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), t,
+        ).collect()
+    }
     for i, chat in enumerate(chats):
         state, bad = "start", None
         for k, role in enumerate(chat):

@@ -58,7 +58,9 @@ def test_token_ids_of_the_table(spark, sf_dir):
 
 def test_fingerprints_of_the_table(spark, sf_dir):
     docs = texts_of(spark, sf_dir)[::-1]
-    canonical = [" ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold()).split()) for _, t in docs]
+    canonical = [
+        " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold()).split()) for _, t in docs
+    ]
     marks = [xxhash.xxh3_128_hexdigest(c.encode()) for c in canonical]
     got = {r["doc_id"]: r for r in QUERIES["op6_fingerprint"](spark, sf_dir).collect()}
     assert len(got) == len(docs)
@@ -70,8 +72,12 @@ def test_fingerprints_of_the_table(spark, sf_dir):
         cut = len(text) // 3
         edited = text[: len(text) - cut] + docs[after][1][:cut]
         r = got[i]
-        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["group_id"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest(), marks[k], first[canonical[k]])
-        assert (r["near_next"], r["near_edited"]) == (float(marks[k] == marks[after]), float(r["edited_fingerprint"] == marks[k]))
+        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["group_id"]) == (
+            len(text), hashlib.sha256(edited.encode()).hexdigest(), marks[k], first[canonical[k]],
+        )
+        assert (r["near_next"], r["near_edited"]) == (
+            float(marks[k] == marks[after]), float(r["edited_fingerprint"] == marks[k]),
+        )
 
 
 def test_pieces_of_the_table(spark, sf_dir):
@@ -133,14 +139,27 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
         assert out.columns == docs.columns
         after = {r["doc_id"] for r in out.collect()}
         if name == "toxicity":
-            gone = {r["doc_id"] for r in toxicity.score(kept, toxicity.fit(kept, labels)).where("predicted = 1").collect()}
+            gone = {
+                r["doc_id"] for r in toxicity.score(kept, toxicity.fit(kept, labels)).where("predicted = 1").collect()
+            }
         elif name == "quality":
-            gone = {r["doc_id"] for r in quality.score(kept, quality.fit(kept, labels)).where("predicted = 0").collect()}
+            gone = {
+                r["doc_id"] for r in quality.score(kept, quality.fit(kept, labels)).where("predicted = 0").collect()
+            }
         elif name == "ngram_jaccard":
             gone = {i for i, (_, c) in brute_components(list(before.items())).items() if i != c}
         else:
             items = [decontaminate.plain(r["text"]) for r in table(spark, sf_dir, "benchmark").collect()]
-            gone = {i for i, t in before.items() if any(edit_distance_anywhere(x, decontaminate.plain(t)) <= int(decontaminate.RATE * len(x)) for x in items if any(p in decontaminate.plain(t) for _, p in decontaminate.pieces(x, int(decontaminate.RATE * len(x)))))}
+            gone = {
+                i for i, t in before.items()
+                if any(
+                    edit_distance_anywhere(x, decontaminate.plain(t)) <= int(decontaminate.RATE * len(x)) for x in items
+                    if any(
+                        p in decontaminate.plain(t)
+                        for _, p in decontaminate.pieces(x, int(decontaminate.RATE * len(x)))
+                    )
+                )
+            }
         assert after == set(before) - gone
         seen.append(len(before) - len(after))
         kept = spark.createDataFrame(out.collect(), docs.schema)
