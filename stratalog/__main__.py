@@ -14,7 +14,12 @@ from .sources.store import LogStore
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="stratalog")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, text in (("import", "rows (offset, namespace, body) in Parquet into a new log"), ("import-branches", "the same, with branches made from fork markers, without marker records"), ("show", "a log's head, floor and branches"), ("compact", "join small files"), ("verify", "check positions, revisions and batches")):
+    for name, text in (
+        ("import", "rows (offset, namespace, body) in Parquet into a new log"),
+        ("import-branches", "the same, with branches made from fork markers, without marker records"),
+        ("show", "a log's head, floor and branches"), ("compact", "join small files"),
+        ("verify", "check positions, revisions and batches"),
+    ):
         p = commands.add_parser(name, help=text)
         if name.startswith("import"):
             p.add_argument("source")
@@ -36,7 +41,14 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         elif given.command == "verify":
             print(json.dumps(store.verify()))
         else:
-            print(json.dumps({"database_id": store.database_id, "head": store.head, "floor": store.floor, "files": len(store.state.files), "branches": [b.name for b in store.catalog.by_id.values()]}))
+            print(
+                json.dumps(
+                    {
+                        "database_id": store.database_id, "head": store.head, "floor": store.floor,
+                        "files": len(store.state.files), "branches": [b.name for b in store.catalog.by_id.values()],
+                    }
+                )
+            )
     finally:
         if not store.read_only:
             store.close()

@@ -59,9 +59,14 @@ class SessionState:
     cursor: int
 
 
-def events(db: Database, namespace: str | None = None, branch: str | None = "main", until: int | None = None) -> DataFrame:
+def events(
+    db: Database, namespace: str | None = None, branch: str | None = "main", until: int | None = None,
+) -> DataFrame:
     """Agent events with their fields as columns; with branch None, of all branches."""
-    plan = ReplayPlan(branch and db.branch(branch).id, db.store.floor, until=until, streams=StreamSet(names=[namespace]) if namespace else ReplayPlan().streams)
+    plan = ReplayPlan(
+        branch and db.branch(branch).id, db.store.floor, until=until,
+        streams=StreamSet(names=[namespace]) if namespace else ReplayPlan().streams,
+    )
     rows = db.frame(plan)
     get = lambda f: F.get_json_object("body", f"$.{f}").alias(f)
     return rows.select("position", "stream_name", "body", *map(get, ("kind", "key", "value", "call_id", "agent_id")))
@@ -76,7 +81,9 @@ def session_view(db: Database, namespace: str, branch: str = "main", until: int
     agent = rows.where("kind = 'SessionStarted'").agg(F.max_by("agent_id", "position")).first()[0]
     entries = [json.loads(r["body"]) for r in session.transcript(rows).orderBy("position").select("body").collect()]
     pending = [r["call_id"] for r in session.pending_calls(rows).orderBy("position").collect()]
-    return SessionState(state["status"] if state else "NotStarted", agent, entries, pending, db.head() if until is None else until)
+    return SessionState(
+        state["status"] if state else "NotStarted", agent, entries, pending, db.head() if until is None else until,
+    )
 
 
 def kv_view(db: Database, branch: str | None = "main", until: int | None = None) -> DataFrame:

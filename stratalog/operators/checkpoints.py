@@ -24,12 +24,18 @@ def newest_before(rows: DataFrame, before: int | None = None, limit: int | None
     rows = rows.where("kind = 'checkpoint'")
     if before is not None:
         rows = rows.where(F.col("position") < before)
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("thread").orderBy(F.desc("position"))).cast("long"))
+    rows = rows.withColumn(
+        "rank", F.row_number().over(Window.partitionBy("thread").orderBy(F.desc("position"))).cast("long"),
+    )
     return rows if limit is None else rows.where(F.col("rank") <= limit)
 
 
 def pending_writes(rows: DataFrame) -> DataFrame:
     """Checkpoints with the bodies of their writes, in order; an empty list if there are none."""
-    writes = rows.where("kind = 'writes'").groupBy("thread", "checkpoint_id").agg(F.sort_array(F.collect_list(F.struct("position", "body"))).alias("w"))
+    writes = rows.where("kind = 'writes'").groupBy("thread", "checkpoint_id").agg(
+        F.sort_array(F.collect_list(F.struct("position", "body"))).alias("w")
+    )
     both = rows.where("kind = 'checkpoint'").join(writes, ["thread", "checkpoint_id"], "left")
-    return both.withColumn("writes", F.coalesce(F.transform("w", lambda x: x["body"]), F.array().cast("array<string>"))).drop("w")
+    return both.withColumn(
+        "writes", F.coalesce(F.transform("w", lambda x: x["body"]), F.array().cast("array<string>")),
+    ).drop("w")

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def last_writer_wins(changes: DataFrame, keys: list[str], values: list[str], deleted: Column | None = None, order: str = "position") -> DataFrame:
+def last_writer_wins(
+    changes: DataFrame, keys: list[str], values: list[str], deleted: Column | None = None, order: str = "position",
+) -> DataFrame:
     """Of each key the values of its latest change, without keys whose latest change deletes them; with its position.
 
     One shuffle of at most one row a key and task: max_by is combined on the map side.
@@ -19,7 +21,9 @@ def last_writer_wins(changes: DataFrame, keys: list[str], values: list[str], del
     return state.where("not __last.__gone").select(*keys, *(F.col(f"__last.{v}").alias(v) for v in values), order)
 
 
-def merge_states(*states: DataFrame, keys: list[str], values: list[str], deleted: str | None = None, order: str = "position") -> DataFrame:
+def merge_states(
+    *states: DataFrame, keys: list[str], values: list[str], deleted: str | None = None, order: str = "position",
+) -> DataFrame:
     """A snapshot and the fold of what follows it, as one state.  Last-writer-wins is associative, so this is exact, if
     the snapshot keeps deleted keys as such (the column `deleted`) or the suffix says which keys it deletes."""
     union = states[0]
@@ -29,7 +33,9 @@ def merge_states(*states: DataFrame, keys: list[str], values: list[str], deleted
     return last_writer_wins(union, keys, values, gone, order)
 
 
-def changes_with_deletes(changes: DataFrame, keys: list[str], values: list[str], deleted: Column, order: str = "position") -> DataFrame:
+def changes_with_deletes(
+    changes: DataFrame, keys: list[str], values: list[str], deleted: Column, order: str = "position",
+) -> DataFrame:
     """The latest change of each key, deletes included: what a snapshot stores."""
     held = F.struct(*values, deleted.alias("deleted"))
     state = changes.groupBy(*keys).agg(F.max_by(held, order).alias("__last"), F.max(order).alias(order))
@@ -88,13 +94,21 @@ def ordered_fold(
 
 def exactly_once(log: DataFrame, keys: list[str], step: str) -> DataFrame:
     """Of each key: steps done, the next step, and whether each step came once and none is missing."""
-    out = log.groupBy(*keys).agg(F.count("*").alias("events"), F.count_distinct(step).alias("steps"), F.max(step).alias("last"))
-    return out.select(*keys, "steps", (F.col("last") + 1).alias("next_step"), ((F.col("events") == F.col("steps")) & (F.col("steps") == F.col("last") + 1)).alias("once"))
+    out = log.groupBy(*keys).agg(
+        F.count("*").alias("events"), F.count_distinct(step).alias("steps"), F.max(step).alias("last"),
+    )
+    return out.select(
+        *keys, "steps", (F.col("last") + 1).alias("next_step"),
+        ((F.col("events") == F.col("steps")) & (F.col("steps") == F.col("last") + 1)).alias("once"),
+    )
 
 
 def block_digest(log: DataFrame, block: int = 1000) -> DataFrame:
     """Number of positions and order-sensitive digest of each block of positions: combines to a digest of the log."""
-    return log.groupBy(F.floor(F.col("position") / block).cast("long").alias("block")).agg(F.count("*").alias("events"), F.md5(F.array_join(F.array_sort(F.collect_list("position")), ",")).alias("digest"))
+    return log.groupBy(F.floor(F.col("position") / block).cast("long").alias("block")).agg(
+        F.count("*").alias("events"),
+        F.md5(F.array_join(F.array_sort(F.collect_list("position")), ",")).alias("digest"),
+    )
 
 
 def prefix_count(log: DataFrame, marker: Column, block: int = 4096) -> DataFrame:
@@ -118,7 +132,9 @@ def prefix_count(log: DataFrame, marker: Column, block: int = 4096) -> DataFrame
     out = rows.join(base, "__block", "left")
     lost = F.raise_error(F.lit("prefix_count: the rows changed between two reads")).cast("long")
     out = out.withColumn("__base", F.when(F.col("__base").isNull(), lost).otherwise(F.col("__base")))
-    out = out.withColumn("before", F.col("__base") + running("__mark", Window.partitionBy("__block").orderBy("position")))
+    out = out.withColumn(
+        "before", F.col("__base") + running("__mark", Window.partitionBy("__block").orderBy("position")),
+    )
     return out.drop("__block", "__mark", "__base")
 
 
@@ -130,10 +146,15 @@ def running_number(log: DataFrame, keys: list[str], block: int = 1 << 16) -> Dat
     rows = log.withColumn("__block", F.floor(F.col("position") / block))
     sums = rows.groupBy(*keys, "__block").agg(F.count("*").alias("__sum"))
     earlier = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__block").alias("__at"), F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"))
+    base = sums.select(
+        *(F.col(k).alias(f"__{k}") for k in keys), F.col("__block").alias("__at"),
+        F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"),
+    )
     inside = F.row_number().over(Window.partitionBy("__block", *keys).orderBy("position")) - 1
     same = F.col("__block") == F.col("__at")
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
     out = rows.withColumn("__inside", inside).join(base, same)
-    return out.withColumn("number", F.col("__base") + F.col("__inside")).drop("__block", "__at", "__base", "__inside", *(f"__{k}" for k in keys))
+    return out.withColumn("number", F.col("__base") + F.col("__inside")).drop(
+        "__block", "__at", "__base", "__inside", *(f"__{k}" for k in keys)
+    )

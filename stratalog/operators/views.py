@@ -31,9 +31,14 @@ class ViewDefinition:
         events = events.withColumn("__v", J.parsed(F.col("body")))
         if self.where is not None:
             events = events.where(J.equals(F.col("__v"), *self.where))
-        events = events.where(J.is_string(F.col("__v"), self.key)).select(J.text(F.col("__v"), self.key).alias("key"), F.col("body").alias("value"), "position")
+        events = events.where(J.is_string(F.col("__v"), self.key)).select(
+            J.text(F.col("__v"), self.key).alias("key"), F.col("body").alias("value"), "position",
+        )
         state = last_writer_wins(events, ["key"], ["value"]).withColumn("__v", J.parsed(F.col("value")))
-        return state.select("key", "value", "position", *(F.array_compact(F.array(J.index_key(F.col("__v"), f))).alias(f"ix_{n}") for n, f in self.indexes.items()))
+        return state.select(
+            "key", "value", "position",
+            *(F.array_compact(F.array(J.index_key(F.col("__v"), f))).alias(f"ix_{n}") for n, f in self.indexes.items())
+        )
 
     def strict(self) -> bool:
         return True
@@ -50,7 +55,9 @@ class TypedView:
     indexes: Mapping[str, Column] = field(default_factory=dict)
 
     def rows(self, log: DataFrame) -> DataFrame:
-        changes = log.select(self.op.alias("op"), self.key.alias("key"), self.value.alias("value"), "position").where("op in ('put', 'delete') and key is not null")
+        changes = log.select(
+            self.op.alias("op"), self.key.alias("key"), self.value.alias("value"), "position",
+        ).where("op in ('put', 'delete') and key is not null")
         state = last_writer_wins(changes, ["key"], ["value"], F.col("op") == "delete")
         return state.select("*", *(c.alias(f"ix_{n}") for n, c in self.indexes.items()))
 
@@ -67,7 +74,9 @@ class IndexedView:
     def get(self, key: object) -> DataFrame:
         return self.rows.where(F.col("key") == F.lit(key))
 
-    def range(self, low: object = None, high: object = None, include_low: bool = True, include_high: bool = False) -> DataFrame:
+    def range(
+        self, low: object = None, high: object = None, include_low: bool = True, include_high: bool = False,
+    ) -> DataFrame:
         out, key = self.rows, F.col("key")
         if low is not None:
             out = out.where(key >= F.lit(low) if include_low else key > F.lit(low))
@@ -105,12 +114,16 @@ class LayeredView(IndexedView):
     max, Bloom filters); the suffix is bounded by whoever stores states, and is small enough to be sent to all tasks.
     """
 
-    def __init__(self, definition: ViewDefinition, state: DataFrame, indexes: Mapping[str, DataFrame], suffix: DataFrame | None):
+    def __init__(
+        self, definition: ViewDefinition, state: DataFrame, indexes: Mapping[str, DataFrame], suffix: DataFrame | None,
+    ):
         self.definition, self.state, self.indexes, self.suffix = definition, state, indexes, suffix
         columns = ["key", "value", "position", *(f"ix_{n}" for n in definition.indexes)]
         self.rows = state.select(columns)
         if suffix is not None:
-            self.rows = last_writer_wins(self.rows.unionByName(suffix.select(columns)), ["key"], columns[1:2] + columns[3:]).select(columns)
+            self.rows = last_writer_wins(
+                self.rows.unionByName(suffix.select(columns)), ["key"], columns[1:2] + columns[3:],
+            ).select(columns)
 
     def by(self, index: str, key: object) -> DataFrame:
         if index not in self.definition.indexes:
@@ -135,13 +148,23 @@ class LayeredView(IndexedView):
 def store_state(view: IndexedView, path: str) -> None:
     """Writes a portable view's rows: `state`, sorted by key, and for each index one table, sorted by index key."""
     columns = ["key", "value", "position", *(f"ix_{n}" for n in view.definition.indexes)]
-    save = lambda rows, keys, place: rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.option(f"parquet.bloom.filter.enabled#{keys[0]}", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(f"{path}/{place}")
+    save = lambda rows, keys, place: rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.option(
+        f"parquet.bloom.filter.enabled#{keys[0]}", "true",
+    ).option("parquet.bloom.filter.adaptive.enabled", "true").parquet(f"{path}/{place}")
     save(view.rows.select(columns), ["key"], "state")
     state = view.rows.sparkSession.read.schema(view.rows.select(columns).schema).parquet(f"{path}/state")
     for i, n in enumerate(view.definition.indexes):
-        save(state.select(F.explode(f"ix_{n}").alias("index_key"), "key", "value", "position"), ["index_key", "key"], f"index-{i}")
+        save(
+            state.select(F.explode(f"ix_{n}").alias("index_key"), "key", "value", "position"), ["index_key", "key"],
+            f"index-{i}",
+        )
 
 
 def state_digest(rows: DataFrame) -> list:
     """Number and checksum of a state's rows, in whatever order they are."""
-    return list(rows.agg(F.count("*"), F.bit_xor(F.xxhash64("key", "value", "position")), F.coalesce(F.sum(F.pmod(F.xxhash64("key", "value"), F.lit(1 << 31))), F.lit(0))).first())
+    return list(
+        rows.agg(
+            F.count("*"), F.bit_xor(F.xxhash64("key", "value", "position")),
+            F.coalesce(F.sum(F.pmod(F.xxhash64("key", "value"), F.lit(1 << 31))), F.lit(0)),
+        ).first()
+    )

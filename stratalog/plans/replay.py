@@ -29,7 +29,11 @@ class StreamSet:
     names: Sequence[str] = ()
 
     def predicate(self) -> Column | None:
-        return F.col("stream_id").isin(*self.ids) if not self.names else F.col("stream_name").isin(*self.names) if not self.ids else F.col("stream_id").isin(*self.ids) | F.col("stream_name").isin(*self.names)
+        return F.col("stream_id").isin(*self.ids) if not self.names else F.col(
+            "stream_name"
+        ).isin(*self.names) if not self.ids else F.col("stream_id").isin(*self.ids) | F.col(
+            "stream_name"
+        ).isin(*self.names)
 
 
 @dataclass(frozen=True)
@@ -41,7 +45,9 @@ class PartitionClass:
 
     def predicate(self) -> Column | None:
         span("partitions", self.count, PARTITIONS)
-        return partition_of(F.col("stream_id"), self.count).isin(*([self.index] if isinstance(self.index, int) else self.index))
+        return partition_of(F.col("stream_id"), self.count).isin(
+            *([self.index] if isinstance(self.index, int) else self.index)
+        )
 
 
 @dataclass(frozen=True)
@@ -65,7 +71,10 @@ class ReplayPlan:
 
 def visible(catalog: Catalog, branch: str, until: int) -> Column:
     """What a branch sees below `until`: one bound a branch of its line, at most 64, all pushed to the scan."""
-    return reduce(Column.__or__, [(F.col("branch_id") == b) & (F.col("position") < cap) for b, cap in catalog.scopes(branch, until)])
+    return reduce(
+        Column.__or__,
+        [(F.col("branch_id") == b) & (F.col("position") < cap) for b, cap in catalog.scopes(branch, until)],
+    )
 
 
 def check_window(start: int, until: int | None, head: int, floor: int = 0) -> int:
@@ -74,11 +83,15 @@ def check_window(start: int, until: int | None, head: int, floor: int = 0) -> in
     if until is not None and until > head:
         raise OffsetBeyondHeadError(f"offset {until} beyond head {head}")
     if start < floor or (until is not None and until < floor):
-        raise PositionUnavailableError(f"position {min(start, head if until is None else until)} is unavailable: retained history starts at {floor}, head is {head}")
+        raise PositionUnavailableError(
+            f"position {min(start, head if until is None else until)} is unavailable: retained history starts at {floor}, head is {head}"
+        )
     return head if until is None else until
 
 
-def compile_plan(plan: ReplayPlan, log: DataFrame, catalog: Catalog, head: int, floor: int = 0, ordered: bool = True) -> DataFrame:
+def compile_plan(
+    plan: ReplayPlan, log: DataFrame, catalog: Catalog, head: int, floor: int = 0, ordered: bool = True,
+) -> DataFrame:
     start = plan.first()
     until = check_window(start, plan.until, head, floor)
     wanted = [F.col("position") >= start, F.col("position") < until]
@@ -95,7 +108,9 @@ def compile_plan(plan: ReplayPlan, log: DataFrame, catalog: Catalog, head: int,
         wanted.append(F.col("event_type").isin(*plan.types))
     out = log.where(reduce(Column.__and__, wanted))
     if plan.verify:
-        changed = F.raise_error(F.concat(F.lit("the content of the event at position "), F.col("position"), F.lit(" was changed"))).cast("boolean")
+        changed = F.raise_error(
+            F.concat(F.lit("the content of the event at position "), F.col("position"), F.lit(" was changed"))
+        ).cast("boolean")
         out = out.where(F.when(F.col("content") == content_column(), True).otherwise(changed))
     if plan.max_events is not None:
         return out.orderBy("position").limit(plan.max_events)
@@ -111,12 +126,19 @@ class TimelineDiff:
     right: DataFrame
 
 
-def diff(log: DataFrame, catalog: Catalog, left: str, right: str, head: int, floor: int = 0, left_until: int | None = None, right_until: int | None = None, names: Sequence[str] = (), ordered: bool = True) -> TimelineDiff:
+def diff(
+    log: DataFrame, catalog: Catalog, left: str, right: str, head: int, floor: int = 0, left_until: int | None = None,
+    right_until: int | None = None, names: Sequence[str] = (), ordered: bool = True,
+) -> TimelineDiff:
     """What two branches share and what each has alone: three lazy reads; the divergence comes from the catalog."""
     ends = [check_window(floor, u, head, floor) for u in (left_until, right_until)]
     ancestor, at = catalog.divergence(left, ends[0], right, ends[1])
     if at < floor:
         raise PositionUnavailableError(f"the timelines part at {at}, retained history starts at {floor}")
     streams = StreamSet(names=names) if names else AllStreams()
-    read = lambda branch, start, until: compile_plan(ReplayPlan(branch, start, until=until, streams=streams), log, catalog, head, floor, ordered)
-    return TimelineDiff(ancestor.id, at, read(ancestor.id, floor, at), read(left, at, ends[0]), read(right, at, ends[1]))
+    read = lambda branch, start, until: compile_plan(
+        ReplayPlan(branch, start, until=until, streams=streams), log, catalog, head, floor, ordered,
+    )
+    return TimelineDiff(
+        ancestor.id, at, read(ancestor.id, floor, at), read(left, at, ends[0]), read(right, at, ends[1]),
+    )

@@ -79,16 +79,24 @@ for _b in ("main", "a", "b", "c"):
     query(f"SELECT {COLUMNS} FROM {seen(_b)}")(_replay)
 
 
-@query(f"SELECT {COLUMNS} FROM {seen('main', 'n // 2')}, n WHERE position >= n // 4".replace("least(cap, n // 2)", "least(cap, (SELECT n // 2 FROM n))"))
+@query(
+    f"SELECT {COLUMNS} FROM {seen('main', 'n // 2')}, n WHERE position >= n // 4".replace(
+        "least(cap, n // 2)", "least(cap, (SELECT n // 2 FROM n))",
+    )
+)
 def position_window(spark, d):
     return read(spark, d, start=lambda n: n // 4, until=lambda n: n // 2).select(ROW)
 
 
-@query(f"SELECT {COLUMNS}, ts_nanos FROM {seen('main')}, (SELECT min(ts_nanos) AS lo, max(ts_nanos) AS hi FROM log) WHERE ts_nanos >= lo + (hi - lo) // 4 AND ts_nanos < lo + (hi - lo) // 2")
+@query(
+    f"SELECT {COLUMNS}, ts_nanos FROM {seen('main')}, (SELECT min(ts_nanos) AS lo, max(ts_nanos) AS hi FROM log) WHERE ts_nanos >= lo + (hi - lo) // 4 AND ts_nanos < lo + (hi - lo) // 2"
+)
 def time_filter(spark, d):
     log, catalog, head = events_log(spark, d)
     lo, hi = log.agg(F.min("ts_nanos"), F.max("ts_nanos")).first()
-    return compile_plan(ReplayPlan(times=(lo + (hi - lo) // 4, lo + (hi - lo) // 2)), log, catalog, head, ordered=False).select(*ROW, "ts_nanos")
+    return compile_plan(
+        ReplayPlan(times=(lo + (hi - lo) // 4, lo + (hi - lo) // 2)), log, catalog, head, ordered=False,
+    ).select(*ROW, "ts_nanos")
 
 
 @query(f"SELECT {COLUMNS} FROM {seen('a')} WHERE stream_name IN ('user-1', 'user-2', 'user-8')")
@@ -109,8 +117,12 @@ def tail_seek(spark, d):
 @query(f"""SELECT stream_name, CAST((rn - 1) // 20 AS BIGINT) AS page, min(position) AS first, max(position) + 1 AS continuation, count(*) AS events
     FROM (SELECT *, row_number() OVER (PARTITION BY stream_name ORDER BY position) AS rn FROM {seen('main')}) GROUP BY 1, 2""")
 def page_by_events(spark, d):
-    rows = folds.running_number(read(spark, d).select("stream_name", "position"), ["stream_name"]).withColumn("page", F.floor(F.col("number") / 20).cast("long"))
-    return rows.groupBy("stream_name", "page").agg(F.min("position").alias("first"), (F.max("position") + 1).alias("continuation"), F.count("*").alias("events"))
+    rows = folds.running_number(
+        read(spark, d).select("stream_name", "position"), ["stream_name"],
+    ).withColumn("page", F.floor(F.col("number") / 20).cast("long"))
+    return rows.groupBy("stream_name", "page").agg(
+        F.min("position").alias("first"), (F.max("position") + 1).alias("continuation"), F.count("*").alias("events"),
+    )
 
 
 @query(f""", sized AS (SELECT stream_name, position, length(body) + length(event_type) AS size, row_number() OVER (PARTITION BY stream_name ORDER BY position) AS rn FROM {seen('main')}),
@@ -135,46 +147,78 @@ def page_by_bytes(spark, d):
         return pages
 
     rows = read(spark, d).select("stream_name", "position", "body", "event_type")
-    out = folds.ordered_fold(rows, ["stream_name"], "stream_name string, pages array<struct<first: bigint, events: bigint, bytes: bigint>>", start, step, lambda k, p: {"stream_name": k[0], "pages": [{"first": int(a), "events": b, "bytes": c} for a, b, c in p]})
-    return out.select("stream_name", F.posexplode("pages").alias("page", "p")).select("stream_name", F.col("page").cast("long").alias("page"), "p.first", "p.events", "p.bytes")
-
-
-@query("SELECT l.position, coalesce(p.batch_id <> l.batch_id, true) AS boundary FROM log l LEFT JOIN log p ON p.position = l.position - 1")
+    out = folds.ordered_fold(
+        rows, ["stream_name"], "stream_name string, pages array<struct<first: bigint, events: bigint, bytes: bigint>>",
+        start, step,
+        lambda k, p: {"stream_name": k[0], "pages": [{"first": int(a), "events": b, "bytes": c} for a, b, c in p]},
+    )
+    return out.select("stream_name", F.posexplode("pages").alias("page", "p")).select(
+        "stream_name", F.col("page").cast("long").alias("page"), "p.first", "p.events", "p.bytes",
+    )
+
+
+@query(
+    "SELECT l.position, coalesce(p.batch_id <> l.batch_id, true) AS boundary FROM log l LEFT JOIN log p ON p.position = l.position - 1"
+)
 def batch_boundary(spark, d):
     log, _, _ = events_log(spark, d)
     before = log.select((F.col("position") + 1).alias("position"), F.col("batch_id").alias("previous"))
-    return log.join(before, "position", "left").select("position", F.coalesce(F.col("previous") != F.col("batch_id"), F.lit(True)).alias("boundary"))
+    return log.join(before, "position", "left").select(
+        "position", F.coalesce(F.col("previous") != F.col("batch_id"), F.lit(True)).alias("boundary"),
+    )
 
 
-@query("SELECT branch_id, stream_name, count(*) - 1 AS revision, count(*) AS events, min(position) AS first, max(position) AS last, count(DISTINCT batch_id) AS batches FROM log GROUP BY 1, 2")
+@query(
+    "SELECT branch_id, stream_name, count(*) - 1 AS revision, count(*) AS events, min(position) AS first, max(position) AS last, count(DISTINCT batch_id) AS batches FROM log GROUP BY 1, 2"
+)
 def stream_catalog(spark, d):
     log, _, _ = events_log(spark, d)
-    return log.groupBy("branch_id", "stream_name").agg((F.count("*") - 1).alias("revision"), F.count("*").alias("events"), F.min("position").alias("first"), F.max("position").alias("last"), F.count_distinct("batch_id").alias("batches"))
+    return log.groupBy("branch_id", "stream_name").agg(
+        (F.count("*") - 1).alias("revision"), F.count("*").alias("events"), F.min("position").alias("first"),
+        F.max("position").alias("last"), F.count_distinct("batch_id").alias("batches"),
+    )
 
 
-@query("SELECT position, branch_id, stream_name, row_number() OVER (PARTITION BY branch_id, stream_name ORDER BY position) - 1 AS stream_revision FROM log")
+@query(
+    "SELECT position, branch_id, stream_name, row_number() OVER (PARTITION BY branch_id, stream_name ORDER BY position) - 1 AS stream_revision FROM log"
+)
 def stream_revisions(spark, d):
     log, _, _ = events_log(spark, d)
     rows = folds.running_number(log.select("position", "branch_id", "stream_name"), ["branch_id", "stream_name"])
     return rows.select("position", "branch_id", "stream_name", F.col("number").alias("stream_revision"))
 
 
-@query("WITH r AS (SELECT 'conv-' || conv_id AS stream_name, turn FROM conversations) SELECT stream_name, count(*) AS events, max(turn) AS revision, max(turn) + 1 - count(DISTINCT turn) AS gaps FROM r GROUP BY 1")
+@query(
+    "WITH r AS (SELECT 'conv-' || conv_id AS stream_name, turn FROM conversations) SELECT stream_name, count(*) AS events, max(turn) AS revision, max(turn) + 1 - count(DISTINCT turn) AS gaps FROM r GROUP BY 1"
+)
 def revision_gap_check(spark, d):
-    rows = conversation_log(spark, d).groupBy("stream_name").agg(F.count("*").alias("events"), F.max("stream_revision").alias("revision"), F.count_distinct("stream_revision").alias("n"))
+    rows = conversation_log(spark, d).groupBy("stream_name").agg(
+        F.count("*").alias("events"), F.max("stream_revision").alias("revision"),
+        F.count_distinct("stream_revision").alias("n"),
+    )
     return rows.select("stream_name", "events", "revision", (F.col("revision") + 1 - F.col("n")).alias("gaps"))
 
 
-@query("SELECT sha256(coalesce(text, '')) AS fingerprint, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1".replace("SELECT sha256", "WITH x AS (SELECT 1) SELECT sha256"))
+@query(
+    "SELECT sha256(coalesce(text, '')) AS fingerprint, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1".replace(
+        "SELECT sha256", "WITH x AS (SELECT 1) SELECT sha256",
+    )
+)
 def idempotent_dedup(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("fingerprint"))
+    docs = table(spark, d, "documents").select(
+        "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("fingerprint"),
+    )
     return docs.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-@query("SELECT sha256(body || chr(0) || event_type) AS fingerprint, count(*) AS events, min(position) AS first FROM log GROUP BY 1")
+@query(
+    "SELECT sha256(body || chr(0) || event_type) AS fingerprint, count(*) AS events, min(position) AS first FROM log GROUP BY 1"
+)
 def event_fingerprints(spark, d):
     log, _, _ = events_log(spark, d)
-    return log.groupBy(F.sha2(F.concat_ws("\0", "body", "event_type"), 256).alias("fingerprint")).agg(F.count("*").alias("events"), F.min("position").alias("first"))
+    return log.groupBy(
+        F.sha2(F.concat_ws("\0", "body", "event_type"), 256).alias("fingerprint")
+    ).agg(F.count("*").alias("events"), F.min("position").alias("first"))
 
 
 # --- branches and diff -----------------------------------------------------------------------------------------------
@@ -190,7 +234,9 @@ def ancestry_cte(spark, d):
     return ancestry_frame(_branches(spark, d)[0].frame(spark))
 
 
-@query("SELECT p.id AS parent, c.id AS child, c.fork_position, c.status FROM branches p JOIN branches c ON c.parent = p.id")
+@query(
+    "SELECT p.id AS parent, c.id AS child, c.fork_position, c.status FROM branches p JOIN branches c ON c.parent = p.id"
+)
 def branch_children(spark, d):
     catalog, _ = _branches(spark, d)
     b = catalog.frame(spark)
@@ -200,7 +246,10 @@ def branch_children(spark, d):
 @query("SELECT branch, ancestor, cap FROM caps")
 def replay_scopes(spark, d):
     catalog, head = _branches(spark, d)
-    return spark.createDataFrame([(b, s, cap) for b in catalog.by_id for s, cap in catalog.scopes(b, head)], "branch string, ancestor string, cap long")
+    return spark.createDataFrame(
+        [(b, s, cap) for b in catalog.by_id for s, cap in catalog.scopes(b, head)],
+        "branch string, ancestor string, cap long",
+    )
 
 
 @query(""", pairs AS (SELECT a.id AS l, b.id AS r FROM branches a, branches b),
@@ -210,7 +259,10 @@ def replay_scopes(spark, d):
     SELECT d.l AS left_branch, d.r AS right_branch, d.ancestor, least((SELECT n FROM n), coalesce(min(fork_position), (SELECT n FROM n))) AS divergence FROM deepest d LEFT JOIN apart a ON a.l = d.l AND a.r = d.r GROUP BY 1, 2, 3""")
 def divergence_matrix(spark, d):
     catalog, head = _branches(spark, d)
-    rows = [(x, y, *(lambda a: (a[0].id, a[1]))(catalog.divergence(x, head, y, head))) for x in catalog.by_id for y in catalog.by_id]
+    rows = [
+        (x, y, *(lambda a: (a[0].id, a[1]))(catalog.divergence(x, head, y, head))) for x in catalog.by_id
+        for y in catalog.by_id
+    ]
     return spark.createDataFrame(rows, "left_branch string, right_branch string, ancestor string, divergence long")
 
 
@@ -243,7 +295,9 @@ def diff_reconstruction(spark, d):
         parts = diff(log, catalog, b, "main", head, ordered=False)
         made = parts.shared.select("position").unionByName(parts.left.select("position"))
         whole = log.where(visible(catalog, b, head)).select("position")
-        off = made.withColumn("side", F.lit(1)).unionByName(whole.withColumn("side", F.lit(-1))).groupBy("position").agg(F.sum("side").alias("side")).where("side <> 0")
+        off = made.withColumn("side", F.lit(1)).unionByName(
+            whole.withColumn("side", F.lit(-1))
+        ).groupBy("position").agg(F.sum("side").alias("side")).where("side <> 0")
         one = off.agg(F.count("*").alias("mismatches")).select(F.lit(b).alias("branch"), "mismatches")
         out = one if out is None else out.unionByName(one)
     return out
@@ -280,16 +334,24 @@ def kv_on_branch(spark, d):
 def snapshot_plus_suffix(spark, d):
     """A snapshot at half the log, deletes kept, and the fold of the rest on top of it."""
     log, _, head = events_log(spark, d)
-    half = folds.changes_with_deletes(kv_changes(log.where(F.col("position") < head // 2)), ["key"], ["value"], F.col("deleted"))
+    half = folds.changes_with_deletes(
+        kv_changes(log.where(F.col("position") < head // 2)), ["key"], ["value"], F.col("deleted"),
+    )
     rest = kv_changes(log.where(F.col("position") >= head // 2))
     return folds.merge_states(half, rest, keys=["key"], values=["value"], deleted="deleted")
 
 
-@query("SELECT stream_name, count(*) FILTER (event_type = 'view') AS moves, count(*) FILTER (event_type = 'purchase') AS loot, arg_max(event_type, position) FILTER (event_type IN ('signup', 'error')) AS mode, max(position) AS cursor FROM log GROUP BY 1")
+@query(
+    "SELECT stream_name, count(*) FILTER (event_type = 'view') AS moves, count(*) FILTER (event_type = 'purchase') AS loot, arg_max(event_type, position) FILTER (event_type IN ('signup', 'error')) AS mode, max(position) AS cursor FROM log GROUP BY 1"
+)
 def world_fold(spark, d):
     log, _, _ = events_log(spark, d)
     edge = F.when(F.col("event_type").isin("signup", "error"), F.col("position"))
-    return log.groupBy("stream_name").agg(F.count_if(F.col("event_type") == "view").alias("moves"), F.count_if(F.col("event_type") == "purchase").alias("loot"), F.max_by("event_type", edge).alias("mode"), F.max("position").alias("cursor"))
+    return log.groupBy("stream_name").agg(
+        F.count_if(F.col("event_type") == "view").alias("moves"),
+        F.count_if(F.col("event_type") == "purchase").alias("loot"), F.max_by("event_type", edge).alias("mode"),
+        F.max("position").alias("cursor"),
+    )
 
 
 @query("""SELECT stream_name, CAST(max(run) AS BIGINT) AS longest_run FROM (SELECT stream_name, grp, count(*) AS run FROM (
@@ -309,7 +371,9 @@ def custom_fold(spark, d):
 
     rows = log.select("stream_name", "position", "event_type")
     finish = lambda k, s: {"stream_name": k[0], "longest_run": s[2]}
-    return folds.ordered_fold(rows, ["stream_name"], "stream_name string, longest_run bigint", lambda: (None, 0, 0), None, finish, run=run)
+    return folds.ordered_fold(
+        rows, ["stream_name"], "stream_name string, longest_run bigint", lambda: (None, 0, 0), None, finish, run=run,
+    )
 
 
 @query("""WITH x AS (SELECT l_partkey, max({'d': l_shipdate, 'o': l_orderkey, 'n': l_linenumber, 's': l_suppkey, 'q': l_quantity, 'p': l_extendedprice}) AS m, count(*) AS shipments FROM lineitem GROUP BY 1)
@@ -317,37 +381,58 @@ def custom_fold(spark, d):
 def part_state_fold(spark, d):
     """The last shipment of each part: a last-writer-wins fold of the largest table, in one map-side combined shuffle."""
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice"]
-    out = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.max(F.struct(*order)).alias("m"), F.count("*").alias("shipments"))
-    return out.select("l_partkey", F.col("m.l_orderkey").alias("orderkey"), F.col("m.l_suppkey").alias("suppkey"), F.col("m.l_extendedprice").alias("price"), "shipments")
-
-
-@query("SELECT CAST(position // 1000 AS BIGINT) AS block, count(*) AS events, md5(string_agg(position, ',' ORDER BY position)) AS digest FROM log GROUP BY 1")
+    out = table(spark, d, "lineitem").groupBy("l_partkey").agg(
+        F.max(F.struct(*order)).alias("m"), F.count("*").alias("shipments"),
+    )
+    return out.select(
+        "l_partkey", F.col("m.l_orderkey").alias("orderkey"), F.col("m.l_suppkey").alias("suppkey"),
+        F.col("m.l_extendedprice").alias("price"), "shipments",
+    )
+
+
+@query(
+    "SELECT CAST(position // 1000 AS BIGINT) AS block, count(*) AS events, md5(string_agg(position, ',' ORDER BY position)) AS digest FROM log GROUP BY 1"
+)
 def log_digest(spark, d):
     return folds.block_digest(events_log(spark, d)[0])
 
 
-@query("WITH x AS (SELECT 1) SELECT conv_id, count(DISTINCT turn) AS steps, max(turn) + 1 AS next_step, count(*) = count(DISTINCT turn) AND count(DISTINCT turn) = max(turn) + 1 AS once FROM conversations GROUP BY 1")
+@query(
+    "WITH x AS (SELECT 1) SELECT conv_id, count(DISTINCT turn) AS steps, max(turn) + 1 AS next_step, count(*) = count(DISTINCT turn) AND count(DISTINCT turn) = max(turn) + 1 AS once FROM conversations GROUP BY 1"
+)
 def step_exactly_once(spark, d):
     return folds.exactly_once(table(spark, d, "conversations"), ["conv_id"], "turn")
 
 
-@query("WITH x AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) SELECT o_custkey, o_orderkey, o_orderstatus FROM x WHERE rn = 1")
+@query(
+    "WITH x AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) SELECT o_custkey, o_orderkey, o_orderstatus FROM x WHERE rn = 1"
+)
 def checkpoint_latest(spark, d):
     last = F.max_by(F.struct("o_orderkey", "o_orderstatus"), F.struct("o_orderdate", "o_orderkey")).alias("o")
-    return table(spark, d, "orders").groupBy("o_custkey").agg(last).select("o_custkey", "o.o_orderkey", "o.o_orderstatus")
+    return table(spark, d, "orders").groupBy("o_custkey").agg(last).select(
+        "o_custkey", "o.o_orderkey", "o.o_orderstatus",
+    )
 
 
-@query("WITH x AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01') SELECT o_custkey, o_orderkey, CAST(rn AS BIGINT) AS rank FROM x WHERE rn <= 3")
+@query(
+    "WITH x AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01') SELECT o_custkey, o_orderkey, CAST(rn AS BIGINT) AS rank FROM x WHERE rn <= 3"
+)
 def checkpoint_list_before(spark, d):
     rn = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
     rows = table(spark, d, "orders").where(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz"))
     return rows.withColumn("rank", rn.cast("long")).where("rank <= 3").select("o_custkey", "o_orderkey", "rank")
 
 
-@query("WITH x AS (SELECT 1) SELECT o_custkey, o_orderkey, count(l_linenumber) AS writes FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
+@query(
+    "WITH x AS (SELECT 1) SELECT o_custkey, o_orderkey, count(l_linenumber) AS writes FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2"
+)
 def checkpoint_writes(spark, d):
-    writes = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("l_linenumber").alias("w"))
-    return table(spark, d, "orders").select("o_custkey", "o_orderkey").join(writes, "o_orderkey", "left").select("o_custkey", "o_orderkey", F.coalesce("w", F.lit(0)).alias("writes"))
+    writes = table(spark, d, "lineitem").groupBy(
+        F.col("l_orderkey").alias("o_orderkey")
+    ).agg(F.count("l_linenumber").alias("w"))
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey").join(writes, "o_orderkey", "left").select(
+        "o_custkey", "o_orderkey", F.coalesce("w", F.lit(0)).alias("writes"),
+    )
 
 
 # --- views -----------------------------------------------------------------------------------------------------------
@@ -410,14 +495,21 @@ def view_len(spark, d):
     return _view(spark, d).len()
 
 
-@query("WITH x AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part) SELECT DISTINCT w AS index_key, p_partkey AS key FROM x WHERE w <> ''")
+@query(
+    "WITH x AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part) SELECT DISTINCT w AS index_key, p_partkey AS key FROM x WHERE w <> ''"
+)
 def view_multi_index(spark, d):
     log = table(spark, d, "part").withColumn("position", F.col("p_partkey"))
-    view = TypedView(F.lit("put"), F.col("p_partkey"), F.col("p_name"), {"by_word": F.filter(F.split("value", " "), lambda w: w != "")})
+    view = TypedView(
+        F.lit("put"), F.col("p_partkey"), F.col("p_name"),
+        {"by_word": F.filter(F.split("value", " "), lambda w: w != "")},
+    )
     return IndexedView(view, log).index("by_word")
 
 
-@query("WITH x AS (SELECT 1) SELECT c_name AS key, c_mktsegment AS segment FROM customer WHERE c_acctbal >= 0 AND c_mktsegment = 'BUILDING'")
+@query(
+    "WITH x AS (SELECT 1) SELECT c_name AS key, c_mktsegment AS segment FROM customer WHERE c_acctbal >= 0 AND c_mktsegment = 'BUILDING'"
+)
 def view_typed_delete(spark, d):
     """Customers in debt are deletes; index by market segment."""
     op = F.when(F.col("c_acctbal") < 0, "delete").otherwise("put")
@@ -427,13 +519,19 @@ def view_typed_delete(spark, d):
 
 
 _HEX = "sha256('events' || chr(0) || branch_id || chr(0) || stream_name)"
-_CLASS = "CAST(('0x' || " + " || ".join(f"substr({_HEX}, {2 * i + 1}, 2)" for i in reversed(range(8))) + ")::UBIGINT % 4 AS INTEGER)"
+_CLASS = "CAST(('0x' || " + " || ".join(
+    f"substr({_HEX}, {2 * i + 1}, 2)" for i in reversed(range(8))
+) + ")::UBIGINT % 4 AS INTEGER)"
 
 
-@query(f"SELECT branch_id, stream_name, count(*) AS events, {_CLASS} AS class FROM log WHERE {_CLASS} IN (1, 2) GROUP BY 1, 2, 4")
+@query(
+    f"SELECT branch_id, stream_name, count(*) AS events, {_CLASS} AS class FROM log WHERE {_CLASS} IN (1, 2) GROUP BY 1, 2, 4"
+)
 def view_partition_class(spark, d):
     rows = read(spark, d, branch=None, streams=PartitionClass(4, [1, 2]))
-    return rows.groupBy("branch_id", "stream_name", partition_of(F.col("stream_id"), 4).alias("class")).agg(F.count("*").alias("events"))
+    return rows.groupBy(
+        "branch_id", "stream_name", partition_of(F.col("stream_id"), 4).alias("class"),
+    ).agg(F.count("*").alias("events"))
 
 
 # --- sessions --------------------------------------------------------------------------------------------------------
@@ -445,12 +543,18 @@ def session_status(spark, d):
     return session.status(session_events(read(spark, d, branch="a")))
 
 
-@query(f"SELECT stream_name, position, event_type, row_number() OVER (PARTITION BY stream_name ORDER BY position) - 1 AS entry FROM {seen('a')} WHERE event_type IN ('view', 'click', 'purchase')")
+@query(
+    f"SELECT stream_name, position, event_type, row_number() OVER (PARTITION BY stream_name ORDER BY position) - 1 AS entry FROM {seen('a')} WHERE event_type IN ('view', 'click', 'purchase')"
+)
 def session_transcript(spark, d):
-    return session.transcript(session_events(read(spark, d, branch="a"))).select("stream_name", "position", "event_type", "entry")
+    return session.transcript(session_events(read(spark, d, branch="a"))).select(
+        "stream_name", "position", "event_type", "entry",
+    )
 
 
-@query(f"SELECT stream_name, '' || k AS call_id, max(position) AS position FROM {seen('a')} WHERE event_type IN ('view', 'click') GROUP BY 1, 2 HAVING arg_max(event_type, position) = 'view'")
+@query(
+    f"SELECT stream_name, '' || k AS call_id, max(position) AS position FROM {seen('a')} WHERE event_type IN ('view', 'click') GROUP BY 1, 2 HAVING arg_max(event_type, position) = 'view'"
+)
 def pending_tool_calls(spark, d):
     return session.pending_calls(session_events(read(spark, d, branch="a")))
 
@@ -500,10 +604,14 @@ def feed_delivered(spark, d):
     return feed.delivered(log, 0, head, feed.FeedFilter(branches=["c"])).select("position", "batch_id")
 
 
-@query("SELECT i AS consumer_id, i * n // 10 AS position, n - i * n // 10 AS lag, i * n // 10 < n // 3 AS behind_floor FROM n, (SELECT unnest(range(1, 11)) AS i)")
+@query(
+    "SELECT i AS consumer_id, i * n // 10 AS position, n - i * n // 10 AS lag, i * n // 10 < n // 3 AS behind_floor FROM n, (SELECT unnest(range(1, 11)) AS i)"
+)
 def consumer_lag(spark, d):
     _, head = _branches(spark, d)
-    acked = spark.range(1, 11).select(F.col("id").alias("consumer_id"), F.floor(F.col("id") * head / 10).cast("long").alias("position"))
+    acked = spark.range(1, 11).select(
+        F.col("id").alias("consumer_id"), F.floor(F.col("id") * head / 10).cast("long").alias("position"),
+    )
     return feed.consumer_lag(acked, head, head // 3)
 
 
@@ -519,39 +627,55 @@ def follower_ingest(spark, d):
 # --- retention and import --------------------------------------------------------------------------------------------
 
 
-@query("SELECT n - least(1234, n) AS floor, count(*) AS kept FROM log, n WHERE position >= n - least(1234, n) GROUP BY 1")
+@query(
+    "SELECT n - least(1234, n) AS floor, count(*) AS kept FROM log, n WHERE position >= n - least(1234, n) GROUP BY 1"
+)
 def retention_keep_latest(spark, d):
     log, _, head = events_log(spark, d)
     floor = retention.latest_events_floor(head, 0, 1234)
-    return log.where(F.col("position") >= floor).agg(F.count("*").alias("kept")).select(F.lit(floor).cast("long").alias("floor"), "kept")
+    return log.where(F.col("position") >= floor).agg(F.count("*").alias("kept")).select(
+        F.lit(floor).cast("long").alias("floor"), "kept",
+    )
 
 
-@query("SELECT min(position) AS floor FROM log, (SELECT min(ts_nanos) AS lo, max(ts_nanos) AS hi FROM log) WHERE ts_nanos >= lo + (hi - lo) // 3")
+@query(
+    "SELECT min(position) AS floor FROM log, (SELECT min(ts_nanos) AS lo, max(ts_nanos) AS hi FROM log) WHERE ts_nanos >= lo + (hi - lo) // 3"
+)
 def retention_keep_newer_than(spark, d):
     log, _, head = events_log(spark, d)
     lo, hi = log.agg(F.min("ts_nanos"), F.max("ts_nanos")).first()
     return spark.createDataFrame([(retention.newer_than_floor(log, lo + (hi - lo) // 3, head),)], "floor long")
 
 
-@query(", seg AS (SELECT position // 500 * 500 AS base, CAST(sum(length(body) + length(event_type)) AS BIGINT) AS bytes FROM log GROUP BY 1) SELECT base, bytes, CAST(sum(bytes) OVER (ORDER BY base DESC) AS BIGINT) AS suffix FROM seg")
+@query(
+    ", seg AS (SELECT position // 500 * 500 AS base, CAST(sum(length(body) + length(event_type)) AS BIGINT) AS bytes FROM log GROUP BY 1) SELECT base, bytes, CAST(sum(bytes) OVER (ORDER BY base DESC) AS BIGINT) AS suffix FROM seg"
+)
 def retention_target_bytes(spark, d):
     log, _, _ = events_log(spark, d)
-    segments = log.groupBy((F.floor(F.col("position") / 500) * 500).cast("long").alias("base")).agg(F.sum(F.length("body") + F.length("event_type")).alias("bytes"))
+    segments = log.groupBy(
+        (F.floor(F.col("position") / 500) * 500).cast("long").alias("base")
+    ).agg(F.sum(F.length("body") + F.length("event_type")).alias("bytes"))
     return retention.segment_suffixes(segments)
 
 
 @query("SELECT id AS branch, fork_position FROM branches, n WHERE fork_position < n // 2")
 def retention_blocked_branches(spark, d):
     catalog, head = _branches(spark, d)
-    return catalog.frame(spark).where(F.col("fork_position") < head // 2).select(F.col("id").alias("branch"), "fork_position")
+    return catalog.frame(spark).where(F.col("fork_position") < head // 2).select(
+        F.col("id").alias("branch"), "fork_position",
+    )
 
 
-@query("SELECT position AS source, position - count(*) FILTER (event_type = 'error') OVER (ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS position, branch_id FROM log QUALIFY event_type <> 'error'")
+@query(
+    "SELECT position AS source, position - count(*) FILTER (event_type = 'error') OVER (ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS position, branch_id FROM log QUALIFY event_type <> 'error'"
+)
 def marker_import(spark, d):
     """An import that drops marker records (here: errors) and closes the gaps in the positions."""
     log, _, _ = events_log(spark, d)
     rows = folds.prefix_count(log.select("position", "event_type", "branch_id"), F.col("event_type") == "error")
-    return rows.where("event_type <> 'error'").select(F.col("position").alias("source"), (F.col("position") - F.col("before")).alias("position"), "branch_id")
+    return rows.where("event_type <> 'error'").select(
+        F.col("position").alias("source"), (F.col("position") - F.col("before")).alias("position"), "branch_id",
+    )
 
 
 # --- the store -------------------------------------------------------------------------------------------------------

@@ -18,9 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import BatchIdConflictError, BranchArchivedError, CodecError, EventIdConflictError, IdempotencyConflictError, InvalidArgumentError, IoError, ManifestError, NotBatchBoundaryError, OffsetBeyondHeadError, PositionUnavailableError, RevisionConflictError, UnsupportedFormatError
+from ..errors import (
+    BatchIdConflictError, BranchArchivedError, CodecError, EventIdConflictError, IdempotencyConflictError,
+    InvalidArgumentError, IoError, ManifestError, NotBatchBoundaryError, OffsetBeyondHeadError,
+    PositionUnavailableError, RevisionConflictError, UnsupportedFormatError,
+)
 from ..functions.ids import content_column, content_of, fingerprint, new_id, parse_id, stream_id, stream_id_of
-from ..limits import BATCH_BYTES, BATCH_EVENTS, EVENT_TYPE_BYTES, IDEMPOTENCY_KEY_BYTES, METADATA_ENTRIES, METADATA_KEY_BYTES, METADATA_VALUE_BYTES, PAYLOAD_BYTES, RESERVED_PREFIX, STREAM_NAME_BYTES, name, within
+from ..limits import (
+    BATCH_BYTES, BATCH_EVENTS, EVENT_TYPE_BYTES, IDEMPOTENCY_KEY_BYTES, METADATA_ENTRIES, METADATA_KEY_BYTES,
+    METADATA_VALUE_BYTES, PAYLOAD_BYTES, RESERVED_PREFIX, STREAM_NAME_BYTES, name, within,
+)
 from ..operators.retention import Segment
 from ..plans.catalog import Branch, Catalog
 from .files import Files
@@ -32,8 +39,19 @@ FILE_BYTES = 128 << 20
 #: So many small files at the log's end are joined by the commit that finds them.
 ROLL_FILES = 256
 LOG = T.StructType(
-    [T.StructField(n, t) for n, t in (("position", T.LongType()), ("ts_nanos", T.LongType()), ("event_id", T.StringType()), ("database_id", T.StringType()), ("branch_id", T.StringType()), ("stream_id", T.StringType()), ("stream_name", T.StringType()), ("stream_revision", T.LongType()), ("batch_id", T.StringType()), ("batch_index", T.LongType()), ("event_type", T.StringType()), ("schema_version", T.LongType()), ("codec", T.StringType()), ("metadata", T.MapType(T.StringType(), T.BinaryType())), ("payload", T.BinaryType()), ("body", T.StringType()), ("idempotency_key", T.StringType()), ("request", T.StringType()), ("content", T.StringType()))]
-)
+    [
+        T.StructField(n, t)
+        for n, t in (
+            ("position", T.LongType()), ("ts_nanos", T.LongType()), ("event_id", T.StringType()),
+            ("database_id", T.StringType()), ("branch_id", T.StringType()), ("stream_id", T.StringType()),
+            ("stream_name", T.StringType()), ("stream_revision", T.LongType()), ("batch_id", T.StringType()),
+            ("batch_index", T.LongType()), ("event_type", T.StringType()), ("schema_version", T.LongType()),
+            ("codec", T.StringType()), ("metadata", T.MapType(T.StringType(), T.BinaryType())),
+            ("payload", T.BinaryType()), ("body", T.StringType()), ("idempotency_key", T.StringType()),
+            ("request", T.StringType()), ("content", T.StringType()),
+        )
+    ]
+)
 
 
 @dataclass(frozen=True)
@@ -56,7 +74,10 @@ class CommitPolicy:
     every_millis: int | None = None
 
     def due(self, held_bytes: int, count: int, millis: float) -> bool:
-        return any(limit is not None and now >= limit for limit, now in ((self.every_bytes, held_bytes), (self.every_count, count), (self.every_millis, millis)))
+        return any(
+            limit is not None and now >= limit
+            for limit, now in ((self.every_bytes, held_bytes), (self.every_count, count), (self.every_millis, millis))
+        )
 
 
 @dataclass
@@ -85,7 +106,9 @@ class State:
             self.head = f["end"]
         if "swap" in entry:
             gone = set(entry["swap"]["old"])
-            self.files = sorted([f for f in self.files if f["path"] not in gone] + entry["swap"]["new"], key=lambda f: f["base"])
+            self.files = sorted(
+                [f for f in self.files if f["path"] not in gone] + entry["swap"]["new"], key=lambda f: f["base"],
+            )
         self.system += [{"seq": len(self.system) + i, **r} for i, r in enumerate(entry.get("system", ()))]
         if "floor" in entry:
             self.floor, self.generation = entry["floor"], entry["generation"]
@@ -183,10 +206,15 @@ class LogStore:
 
     def log(self, durable_only: bool = False, start: int = 0, until: int | None = None) -> DataFrame:
         """Committed and buffered events; files outside [start, until) aren't opened."""
-        paths = [f"{self.path}/{f['path']}" for f in self.state.files if f["end"] > start and (until is None or f["base"] < until)]
+        paths = [
+            f"{self.path}/{f['path']}" for f in self.state.files if f["end"] > start
+            and (until is None or f["base"] < until)
+        ]
         out = self.spark.read.schema(LOG).parquet(*paths) if paths else self.spark.createDataFrame([], LOG)
         if self.buffer and not durable_only:
-            out = out.unionByName(self.spark.createDataFrame([tuple(r[c] for c in LOG.names) for r in self.buffer], LOG))
+            out = out.unionByName(
+                self.spark.createDataFrame([tuple(r[c] for c in LOG.names) for r in self.buffer], LOG)
+            )
         return out
 
     def window_end(self, start: int, until: int, events: int) -> int:
@@ -217,12 +245,20 @@ class LogStore:
             return False
         ids = [r["batch_id"] for r in self.buffer if r["position"] in (at - 1, at)]
         if len(ids) < 2:
-            ids += [r[0] for r in self.log(True, at - 1, at + 1).where(F.col("position").isin(at - 1, at)).select("batch_id").collect()]
+            ids += [
+                r[0]
+                for r in self.log(True, at - 1, at + 1).where(
+                    F.col("position").isin(at - 1, at)
+                ).select("batch_id").collect()
+            ]
         return len(set(ids)) == 2
 
     # --- appends
 
-    def append(self, branch: str, stream: str, events: list[dict], expected: str | int | None = None, idempotency_key: str | None = None, batch_id: str | None = None, durability: str = "buffered") -> Receipt:
+    def append(
+        self, branch: str, stream: str, events: list[dict], expected: str | int | None = None,
+        idempotency_key: str | None = None, batch_id: str | None = None, durability: str = "buffered",
+    ) -> Receipt:
         """One atomic batch: all checks come before anything is written."""
         if durability not in ("buffered", "flush", "sync"):
             raise InvalidArgumentError("durability must be buffered, flush or sync")
@@ -240,37 +276,57 @@ class LogStore:
         if self.catalog.get(branch).status == "archived":
             raise BranchArchivedError(branch)
         request = fingerprint(branch, stream, expected, batch_id, [(r["event_id"], r["content"]) for r in rows])
-        if idempotency_key is not None and (old := self._find((F.col("branch_id") == branch) & (F.col("idempotency_key") == idempotency_key), lambda r: r["branch_id"] == branch and r["idempotency_key"] == idempotency_key)):
+        if idempotency_key is not None and (
+            old := self._find(
+                (F.col("branch_id") == branch) & (F.col("idempotency_key") == idempotency_key),
+                lambda r: r["branch_id"] == branch and r["idempotency_key"] == idempotency_key,
+            )
+        ):
             if old[0]["request"] != request:
                 raise IdempotencyConflictError(idempotency_key)
             return self._receipt(old[0]["batch_id"])
         previous = self.revision(branch, stream)
-        wanted = expected in (None, "any") or (expected == "no_stream" and previous is None) or (not isinstance(expected, str) and expected == previous)
+        wanted = expected in (None, "any") or (expected == "no_stream" and previous is None) or (
+            not isinstance(expected, str) and expected == previous
+        )
         if not wanted:
             raise RevisionConflictError(f"expected {expected}, actual {previous}")
         if given and (old := self._find(F.col("event_id").isin(given), lambda r: r["event_id"] in set(given))):
             known = {r["event_id"]: r for r in old}
-            if len(given) < len(rows) or len(known) < len(given) or len({r["batch_id"] for r in old}) > 1 or any(known[r["event_id"]]["content"] != r["content"] for r in rows):
+            if len(given) < len(rows) or len(known) < len(given) or len({r["batch_id"] for r in old}) > 1 or any(
+                known[r["event_id"]]["content"] != r["content"] for r in rows
+            ):
                 raise EventIdConflictError("event ids exist with other content or in other batches")
             return self._receipt(old[0]["batch_id"])
-        if batch_id is not None and self._find(F.col("batch_id") == parse_id(batch_id), lambda r: r["batch_id"] == batch_id):
+        if batch_id is not None and self._find(
+            F.col("batch_id") == parse_id(batch_id), lambda r: r["batch_id"] == batch_id,
+        ):
             raise BatchIdConflictError(batch_id)
         batch, now, first = batch_id or new_id(), time.time_ns() // 1_000_000 * 1_000_000, self.head
         stream_id = stream_id_of(self.database_id, branch, stream)
         for i, r in enumerate(rows):
-            r |= {"position": first + i, "ts_nanos": now, "event_id": r["event_id"] or new_id(), "database_id": self.database_id, "branch_id": branch, "stream_id": stream_id, "stream_name": stream, "stream_revision": (-1 if previous is None else previous) + 1 + i, "batch_id": batch, "batch_index": i, "idempotency_key": idempotency_key, "request": request}
+            r |= {
+                "position": first + i, "ts_nanos": now, "event_id": r["event_id"] or new_id(),
+                "database_id": self.database_id, "branch_id": branch, "stream_id": stream_id, "stream_name": stream,
+                "stream_revision": (-1 if previous is None else previous) + 1 + i, "batch_id": batch, "batch_index": i,
+                "idempotency_key": idempotency_key, "request": request,
+            }
             self.held += len(r["payload"])
             self.appended += len(r["payload"])
         self.buffer += rows
         self.revisions[branch, stream] = rows[-1]["stream_revision"]
-        if durability != "buffered" or self.policy.due(self.held, len(self.buffer), (time.monotonic() - self.since) * 1000):
+        if durability != "buffered" or self.policy.due(
+            self.held, len(self.buffer), (time.monotonic() - self.since) * 1000,
+        ):
             self.commit()
         done = {"buffered": "buffered", "flush": "flushed", "sync": "synced"}[durability]
         return Receipt(batch, first, first + len(rows) - 1, stream_id, previous, rows[-1]["stream_revision"], done)
 
     @staticmethod
     def _row(event: dict) -> dict:
-        codec, kind, version = event.get("codec", "json"), event.get("event_type", "application.json"), event.get("schema_version", 1)
+        codec, kind, version = event.get("codec", "json"), event.get(
+            "event_type", "application.json",
+        ), event.get("schema_version", 1)
         name("event type", kind, EVENT_TYPE_BYTES)
         metadata = {k: v.encode() if isinstance(v, str) else bytes(v) for k, v in (event.get("metadata") or {}).items()}
         within("metadata entries", len(metadata), METADATA_ENTRIES)
@@ -281,7 +337,9 @@ class LogStore:
             within("metadata value bytes", len(v), METADATA_VALUE_BYTES)
         if codec == "json":
             try:
-                body = json.dumps(event.get("body"), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+                body = json.dumps(
+                    event.get("body"), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False,
+                )
             except (TypeError, ValueError) as e:
                 raise CodecError(str(e)) from None
             payload = body.encode()
@@ -292,11 +350,16 @@ class LogStore:
         within("payload bytes", len(payload), PAYLOAD_BYTES)
         given = event.get("event_id")
         content = content_of(kind, version, codec, metadata, payload)
-        return {"event_id": None if given is None else parse_id(given), "event_type": kind, "schema_version": version, "codec": codec, "metadata": metadata, "payload": bytearray(payload), "body": body, "content": content}
+        return {
+            "event_id": None if given is None else parse_id(given), "event_type": kind, "schema_version": version,
+            "codec": codec, "metadata": metadata, "payload": bytearray(payload), "body": body, "content": content,
+        }
 
     def _find(self, column, test) -> list:
         """Matching events among the buffered ones, else among the committed ones (by a pushed-down filter)."""
-        return [r for r in self.buffer if test(r)] or self.log(durable_only=True).where(column).select("event_id", "batch_id", "request", "content").collect()
+        return [r for r in self.buffer if test(r)] or self.log(durable_only=True).where(column).select(
+            "event_id", "batch_id", "request", "content",
+        ).collect()
 
     def _receipt(self, batch: str) -> Receipt:
         """The receipt of an earlier batch, rebuilt from the log."""
@@ -304,10 +367,15 @@ class LogStore:
         if rows:
             first, last = rows[0], rows[-1]
         else:
-            mine = self.log(durable_only=True).where(F.col("batch_id") == batch).select("position", "stream_id", "stream_revision")
+            mine = self.log(durable_only=True).where(F.col("batch_id") == batch).select(
+                "position", "stream_id", "stream_revision",
+            )
             first, last = mine.orderBy("position").first(), mine.orderBy(F.desc("position")).first()
         before = first["stream_revision"] - 1
-        return Receipt(batch, first["position"], last["position"], first["stream_id"], None if before < 0 else before, last["stream_revision"], "buffered")
+        return Receipt(
+            batch, first["position"], last["position"], first["stream_id"], None if before < 0 else before,
+            last["stream_revision"], "buffered",
+        )
 
     def commit(self) -> int:
         """Makes the buffered events durable; the durable head."""
@@ -316,7 +384,9 @@ class LogStore:
         if self.buffer:
             base, end = self.durable_head, self.head
             path = f"data/{base:020d}-{new_id()[:8]}"
-            rows = self.spark.createDataFrame([tuple(r[c] for c in LOG.names) for r in self.buffer], LOG).coalesce(1).sortWithinPartitions("position")
+            rows = self.spark.createDataFrame(
+                [tuple(r[c] for c in LOG.names) for r in self.buffer], LOG,
+            ).coalesce(1).sortWithinPartitions("position")
             self._write(rows, path)
             self._publish({"files": [{"path": path, "base": base, "end": end, "bytes": self.files.bytes_of(path)}]})
             self.buffer, self.held = [], 0
@@ -331,10 +401,17 @@ class LogStore:
         return self.durable_head
 
     def _write(self, rows: DataFrame, path: str) -> None:
-        writer = rows.write.option("parquet.bloom.filter.enabled#event_id", "true").option("parquet.bloom.filter.enabled#stream_name", "true").option("parquet.bloom.filter.enabled#idempotency_key", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+        writer = rows.write.option("parquet.bloom.filter.enabled#event_id", "true").option(
+            "parquet.bloom.filter.enabled#stream_name", "true",
+        ).option(
+            "parquet.bloom.filter.enabled#idempotency_key", "true",
+        ).option("parquet.bloom.filter.adaptive.enabled", "true")
         writer.parquet(f"{self.path}/{path}")
 
-    def append_frame(self, rows: DataFrame, branch: str = "main", records: Callable[[int], list[dict]] | None = None, expected: int | None = None) -> int:
+    def append_frame(
+        self, rows: DataFrame, branch: str = "main", records: Callable[[int], list[dict]] | None = None,
+        expected: int | None = None,
+    ) -> int:
         """Bulk load: rows (stream_name, event_type, body JSON text, and an `ord` to order them by) become one commit.
 
         The rows are written once, in ranges of `ord`; their places in those files are their positions, so nothing that is
@@ -371,9 +448,15 @@ class LogStore:
                 self._folded(system)
             return self.head
         offsets = self.spark.createDataFrame(starts, "__file string, __base long, __place int")
-        placed = there.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row")).join(F.broadcast(offsets), "__file")
-        placed = placed.withColumn("position", F.col("__base") + F.col("__row")).drop("ord", "__file", "__base", "__row", "__place")
-        known = self.log(durable_only=True).groupBy("branch_id", "stream_name").agg(F.max("stream_revision").alias("__rev"))
+        placed = there.select(
+            "*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"),
+        ).join(F.broadcast(offsets), "__file")
+        placed = placed.withColumn("position", F.col("__base") + F.col("__row")).drop(
+            "ord", "__file", "__base", "__row", "__place",
+        )
+        known = self.log(durable_only=True).groupBy("branch_id", "stream_name").agg(
+            F.max("stream_revision").alias("__rev")
+        )
         if self._anchor_path():
             known = known.union(self._anchor()).groupBy("branch_id", "stream_name").agg(F.max("__rev").alias("__rev"))
         numbered = running_number(placed, ["branch_id", "stream_name"])
@@ -386,25 +469,40 @@ class LogStore:
         hashed = lambda *c: F.substring(F.sha2(F.concat_ws("/", F.lit(new), *c), 256), 1, 32)
         new = new_id()
         made = {
-            "ts_nanos": F.lit(now), "event_id": F.col("event_id") if own else hashed("position"), "database_id": F.lit(self.database_id), "stream_id": stream_id(F.lit(self.database_id), F.col("branch_id"), F.col("stream_name")),
-            "batch_id": F.col("event_id") if own else hashed(F.lit("batch"), F.floor(at / BATCH_EVENTS)), "batch_index": F.lit(0) if own else F.pmod(at, F.lit(BATCH_EVENTS)), "schema_version": F.lit(1), "codec": F.lit("json"), "metadata": F.create_map().cast("map<string,binary>"), "payload": F.col("body").cast("binary"), "idempotency_key": F.lit(None), "request": F.lit(None),
-        }
+            "ts_nanos": F.lit(now), "event_id": F.col("event_id") if own else hashed("position"),
+            "database_id": F.lit(self.database_id),
+            "stream_id": stream_id(F.lit(self.database_id), F.col("branch_id"), F.col("stream_name")),
+            "batch_id": F.col("event_id") if own else hashed(F.lit("batch"), F.floor(at / BATCH_EVENTS)),
+            "batch_index": F.lit(0) if own else F.pmod(at, F.lit(BATCH_EVENTS)), "schema_version": F.lit(1),
+            "codec": F.lit("json"), "metadata": F.create_map().cast("map<string,binary>"),
+            "payload": F.col("body").cast("binary"), "idempotency_key": F.lit(None), "request": F.lit(None),
+        }
         # each file holds whole batches
         per = -(-count // (len(starts) * BATCH_EVENTS)) * BATCH_EVENTS
         numbered = numbered.withColumn("__place", F.floor(at / per).cast("int"))
-        full = numbered.withColumns(made).withColumn("content", content_column()).select("__place", *(F.col(f.name).cast(f.dataType) for f in LOG))
-        self._write(full.repartitionById(len(starts), F.col("__place")).drop("__place").sortWithinPartitions("position"), path)
-        written = self.spark.read.schema(LOG).parquet(f"{self.path}/{path}").select("position", F.col("_metadata.file_name").alias("file"))
+        full = numbered.withColumns(made).withColumn("content", content_column()).select(
+            "__place", *(F.col(f.name).cast(f.dataType) for f in LOG)
+        )
+        self._write(
+            full.repartitionById(len(starts), F.col("__place")).drop("__place").sortWithinPartitions("position"), path,
+        )
+        written = self.spark.read.schema(LOG).parquet(f"{self.path}/{path}").select(
+            "position", F.col("_metadata.file_name").alias("file"),
+        )
         digest = lambda c: F.bit_xor(F.xxhash64(c))
         got = written.agg(F.count("*"), F.min("position"), F.max("position"), digest("position")).first()
         want = self.spark.range(base, base + count).agg(digest("id")).first()[0]
         if tuple(got) != (count, base, base + count - 1, want):
-            raise IoError(f"a bulk load of {count} rows wrote {got[0]} positions from {got[1]} to {got[2]}, not each once")
+            raise IoError(
+                f"a bulk load of {count} rows wrote {got[0]} positions from {got[1]} to {got[2]}, not each once"
+            )
         files, at = [], base
         for file, low, high, n in self._parts(written, "position"):
             if low != at or high != at + n - 1:
                 raise IoError("the files of a bulk load aren't in the order of their positions")
-            files.append({"path": f"{path}/{file}", "base": low, "end": high + 1, "bytes": self.files.bytes_of(f"{path}/{file}")})
+            files.append(
+                {"path": f"{path}/{file}", "base": low, "end": high + 1, "bytes": self.files.bytes_of(f"{path}/{file}")}
+            )
             at = high + 1
         self._publish({"files": files, **({"system": system} if system else {})})
         self._folded(system)
@@ -415,8 +513,13 @@ class LogStore:
     @staticmethod
     def _parts(rows: DataFrame, order: str) -> list[tuple]:
         """(file, least, greatest, number of rows) of each part file, in order: one row a file."""
-        found = rows.groupBy("file").agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count("*").alias("n")).collect()
-        return sorted(((r["file"], r["low"], r["high"], r["n"]) for r in found), key=lambda x: [int(n) for n in re.match(r"part-(\d+).*?c(\d+)", x[0]).groups()])
+        found = rows.groupBy("file").agg(
+            F.min(order).alias("low"), F.max(order).alias("high"), F.count("*").alias("n"),
+        ).collect()
+        return sorted(
+            ((r["file"], r["low"], r["high"], r["n"]) for r in found),
+            key=lambda x: [int(n) for n in re.match(r"part-(\d+).*?c(\d+)", x[0]).groups()],
+        )
 
     def _folded(self, records: list[dict]) -> None:
         for r in records:
@@ -424,7 +527,9 @@ class LogStore:
 
     def _anchor(self) -> DataFrame:
         """branch_id, stream_name, __rev of events that retention has deleted."""
-        return self.spark.read.parquet(f"{self.path}/{self._anchor_path()}").select("branch_id", "stream_name", F.col("revision").alias("__rev"))
+        return self.spark.read.parquet(f"{self.path}/{self._anchor_path()}").select(
+            "branch_id", "stream_name", F.col("revision").alias("__rev"),
+        )
 
     # --- branches, retention, upkeep
 
@@ -438,7 +543,12 @@ class LogStore:
             raise NotBatchBoundaryError(f"position {at} is not a committed batch boundary")
         branch = Branch(new_id(), branch_name, parent, at, time.time_ns(), "active", dict(metadata or {}))
         Catalog([b for b in self.catalog.by_id.values() if b.parent is not None]).add(branch)  # all checks, before the record
-        self.record({"type": "branch.created", "branch": {**asdict(branch), "metadata": {k: v.hex() for k, v in branch.metadata.items()}}})
+        self.record(
+            {
+                "type": "branch.created",
+                "branch": {**asdict(branch), "metadata": {k: v.hex() for k, v in branch.metadata.items()}},
+            }
+        )
         return self.catalog.get(branch.id)
 
     def archive(self, branch: str) -> Branch:
@@ -470,7 +580,9 @@ class LogStore:
         if self._anchor_path():
             rows = rows.union(self._anchor()).groupBy("branch_id", "stream_name").agg(F.max("__rev").alias("__rev"))
         made = f"anchor/{self.entry:012d}-{time.time_ns():020d}"
-        rows.withColumnRenamed("__rev", "revision").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.path}/{made}")
+        rows.withColumnRenamed("__rev", "revision").write.option(
+            "mapreduce.fileoutputcommitter.marksuccessfuljobs", "true",
+        ).parquet(f"{self.path}/{made}")
         for old in before:
             self.files.delete(f"anchor/{old}")
 
@@ -488,7 +600,12 @@ class LogStore:
         new = []
         for g in old:
             path = f"data/{g[0]['base']:020d}-{new_id()[:8]}"
-            self._write(self.spark.read.schema(LOG).parquet(*(f"{self.path}/{f['path']}" for f in g)).repartitionByRange(1, "position").sortWithinPartitions("position"), path)
+            self._write(
+                self.spark.read.schema(LOG).parquet(
+                    *(f"{self.path}/{f['path']}" for f in g)
+                ).repartitionByRange(1, "position").sortWithinPartitions("position"),
+                path,
+            )
             new.append({"path": path, "base": g[0]["base"], "end": g[-1]["end"], "bytes": self.files.bytes_of(path)})
         if new:
             self._publish({"swap": {"old": [f["path"] for g in old for f in g], "new": new}})
@@ -500,21 +617,41 @@ class LogStore:
         """Events, and faults in the whole log: positions that are missing or repeated or other than the manifest says, batches
         with gaps, streams with gaps."""
         log = self.log(durable_only=True)
-        positions = log.agg(F.count("*").alias("n"), F.count_distinct("position").alias("d"), F.min("position").alias("lo"), F.max("position").alias("hi")).first()
-        gaps = lambda keys, order, first: log.groupBy(*keys).agg(F.count("*").alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")).where((F.col("hi") - F.col("lo") + 1 != F.col("n")) | (F.col("lo") != first if first is not None else F.lit(False))).count()
+        positions = log.agg(
+            F.count("*").alias("n"), F.count_distinct("position").alias("d"), F.min("position").alias("lo"),
+            F.max("position").alias("hi"),
+        ).first()
+        gaps = lambda keys, order, first: log.groupBy(*keys).agg(
+            F.count("*").alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi"),
+        ).where(
+            (F.col("hi") - F.col("lo") + 1 != F.col("n"))
+            | (F.col("lo") != first if first is not None else F.lit(False))
+        ).count()
         there = positions["n"] or 0
         absent = 0 if not there else positions["hi"] - positions["lo"] + 1 - positions["d"]
         begin = self.state.files[0]["base"] if self.state.files else self.durable_head
-        wrong = abs(self.durable_head - begin - there) + (there > 0 and (positions["lo"], positions["hi"]) != (begin, self.durable_head - 1))
-        return {"events": there, "positions": max(absent + there - positions["d"], wrong), "batches": gaps(["batch_id"], "batch_index", 0), "streams": gaps(["branch_id", "stream_name"], "stream_revision", None if self.floor else 0)}
+        wrong = abs(self.durable_head - begin - there) + (
+            there > 0 and (positions["lo"], positions["hi"]) != (begin, self.durable_head - 1)
+        )
+        return {
+            "events": there, "positions": max(absent + there - positions["d"], wrong),
+            "batches": gaps(["batch_id"], "batch_index", 0),
+            "streams": gaps(["branch_id", "stream_name"], "stream_revision", None if self.floor else 0),
+        }
 
     def vacuum(self) -> list[str]:
         """Deletes data that no manifest entry names (left by writers that died)."""
         named = {f["path"] for f in self.state.files} | {"/".join(f["path"].split("/")[:2]) for f in self.state.files}
-        orphans = [f"{place}/{n}" for place in ("data", "staging") for n in self.files.names(place) if f"{place}/{n}" not in named]
+        orphans = [
+            f"{place}/{n}" for place in ("data", "staging") for n in self.files.names(place)
+            if f"{place}/{n}" not in named
+        ]
         # files of a bulk load that were joined with others
         for folder in sorted({f["path"].rpartition("/")[0] for f in self.state.files if f["path"].count("/") > 1}):
-            orphans += [f"{folder}/{n}" for n in self.files.names(folder) if n.startswith("part-") and f"{folder}/{n}" not in named]
+            orphans += [
+                f"{folder}/{n}" for n in self.files.names(folder) if n.startswith("part-")
+                and f"{folder}/{n}" not in named
+            ]
         for o in orphans:
             self.files.delete(o)
         return orphans

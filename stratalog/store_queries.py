@@ -34,7 +34,10 @@ _EVENTS = """log AS (SELECT event_id AS position, 'user-' || user_id AS stream_n
 
 def rows_of(spark: SparkSession, d: str) -> DataFrame:
     body = F.concat(F.lit('{"id":"u'), "user_id", F.lit('","kind":"'), "event_type", F.lit('"}'))
-    return table(spark, d, "events").select(F.col("event_id").alias("ord"), F.concat(F.lit("user-"), "user_id").alias("stream_name"), "event_type", body.alias("body"))
+    return table(spark, d, "events").select(
+        F.col("event_id").alias("ord"), F.concat(F.lit("user-"), "user_id").alias("stream_name"), "event_type",
+        body.alias("body"),
+    )
 
 
 def opened(spark: SparkSession, d: str, name: str) -> Database:
@@ -53,11 +56,15 @@ def store_round_trip(spark, d):
         return db.frame(ReplayPlan(verify=True)).select("position", "stream_name", "stream_revision", "event_type")
 
 
-@query("SELECT position, stream_name, stream_revision, event_type FROM log WHERE position >= (SELECT count(*) // 2 FROM events) AND stream_name = 'user-3'")
+@query(
+    "SELECT position, stream_name, stream_revision, event_type FROM log WHERE position >= (SELECT count(*) // 2 FROM events) AND stream_name = 'user-3'"
+)
 def store_stream_window(spark, d):
     """One stream of a window: files and row groups outside it aren't read."""
     with opened(spark, d, "window") as db:
-        return db.frame(ReplayPlan(start=db.head() // 2, streams=StreamSet(names=["user-3"]))).select("position", "stream_name", "stream_revision", "event_type")
+        return db.frame(
+            ReplayPlan(start=db.head() // 2, streams=StreamSet(names=["user-3"]))
+        ).select("position", "stream_name", "stream_revision", "event_type")
 
 
 @query(""", line AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS position, l_partkey, l_orderkey FROM lineitem)
@@ -66,10 +73,17 @@ def store_bulk_load(spark, d):
     """The largest table as one commit: every row once, in order."""
     line = table(spark, d, "lineitem")
     body = F.to_json(F.struct(F.col("l_orderkey").alias("orderkey")))
-    rows = line.select(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("ord"), F.concat(F.lit("part-"), "l_partkey").alias("stream_name"), F.lit("line").alias("event_type"), body.alias("body"))
+    rows = line.select(
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("ord"),
+        F.concat(F.lit("part-"), "l_partkey").alias("stream_name"), F.lit("line").alias("event_type"),
+        body.alias("body"),
+    )
     with open_log(work_path(spark, "bulk"), spark=spark) as db:
         db.store.append_frame(rows)
-        return db.frame(ReplayPlan()).select("position", "stream_name", "stream_revision", F.get_json_object("body", "$.orderkey").cast("long").alias("orderkey"))
+        return db.frame(ReplayPlan()).select(
+            "position", "stream_name", "stream_revision",
+            F.get_json_object("body", "$.orderkey").cast("long").alias("orderkey"),
+        )
 
 
 @query(""", numbered AS (SELECT position, (row_number() OVER (ORDER BY position) - 1) // 16 AS page FROM log WHERE user_id = 3)
@@ -118,7 +132,10 @@ def store_view_lookups(spark, d):
         db.create_snapshot("users")
         db.store.append_frame(rows.where(F.col("ord") >= half))
         v = db.view("users")
-        found = [("get", [v.get("u8")]), ("range", v.range("u11", "u2")), ("prefix", v.prefix("u1")), ("by", v.by("kind", "click"))]
+        found = [
+            ("get", [v.get("u8")]), ("range", v.range("u11", "u2")), ("prefix", v.prefix("u1")),
+            ("by", v.by("kind", "click")),
+        ]
         out = [(q, x["id"], x["kind"]) for q, xs in found for x in xs if x] + [("len", str(v.len()), None)]
     return spark.createDataFrame(out, "question string, key string, kind string")
 
@@ -144,7 +161,9 @@ def store_view_in_time(spark, d):
     """A view as it was at a position in the past."""
     with opened(spark, d, "time") as db:
         db.register_view("users", "id", {"kind": "kind"})
-        return db.view_at("users", 3 * db.head() // 5).rows.select("key", F.get_json_object("value", "$.kind").alias("kind"))
+        return db.view_at("users", 3 * db.head() // 5).rows.select(
+            "key", F.get_json_object("value", "$.kind").alias("kind"),
+        )
 
 
 _FORKED = "SELECT position, stream_name, 'main' AS branch FROM log, n WHERE position < n // 3 UNION ALL SELECT n + i, 'user-3', 'try' FROM n, (SELECT unnest(range(4)) AS i)"
@@ -154,7 +173,9 @@ def _forked(spark: SparkSession, d: str, name: str) -> Database:
     """A branch from the first commit's end, with four events of its own."""
     db = opened(spark, d, name)
     db.fork_branch("main", db.head() // 3, "try", {"why": b"test"})
-    db.append_batch("user-3", [{"body": {"id": f"x{i}"}} for i in range(4)], branch="try", expected_revision="no_stream")
+    db.append_batch(
+        "user-3", [{"body": {"id": f"x{i}"}} for i in range(4)], branch="try", expected_revision="no_stream",
+    )
     db.commit()
     return db
 
@@ -164,8 +185,13 @@ def store_branch_replay(spark, d):
     """What a branch sees: its parent up to the fork, then its own events."""
     with _forked(spark, d, "fork") as db:
         at = db.branch("try").id
-        rows = db.frame(ReplayPlan(at)).select("position", "stream_name", F.when(F.col("branch_id") == at, "try").otherwise(F.col("branch_id")).alias("branch"))
-        assert db.branch_history("try", "user-3")[-1]["stream_revision"] == 3 and db.branch_common_ancestor("try", "main")["name"] == "main"
+        rows = db.frame(ReplayPlan(at)).select(
+            "position", "stream_name",
+            F.when(F.col("branch_id") == at, "try").otherwise(F.col("branch_id")).alias("branch"),
+        )
+        assert db.branch_history("try", "user-3")[-1][
+            "stream_revision"
+        ] == 3 and db.branch_common_ancestor("try", "main")["name"] == "main"
         return rows
 
 
@@ -188,14 +214,23 @@ def store_diff(spark, d):
     return spark.createDataFrame(out, "side string, events long, first long, last long")
 
 
-@query("SELECT CAST(k AS VARCHAR) AS key, CAST(arg_max(user_id, position) AS VARCHAR) AS value, max(position) AS position FROM log GROUP BY k HAVING arg_max(event_type, position) <> 'error'")
+@query(
+    "SELECT CAST(k AS VARCHAR) AS key, CAST(arg_max(user_id, position) AS VARCHAR) AS value, max(position) AS position FROM log GROUP BY k HAVING arg_max(event_type, position) <> 'error'"
+)
 def store_key_values(spark, d):
     """Put and Delete events of all streams, folded through the agent's vocabulary."""
     events = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k"))
     put = F.to_json(F.struct(F.lit("Put").alias("kind"), F.col("k").alias("key"), F.col("user_id").alias("value")))
-    body = F.when(F.col("event_type") == "error", F.to_json(F.struct(F.lit("Delete").alias("kind"), F.col("k").alias("key")))).otherwise(put)
+    body = F.when(
+        F.col("event_type") == "error", F.to_json(F.struct(F.lit("Delete").alias("kind"), F.col("k").alias("key"))),
+    ).otherwise(put)
     with open_log(work_path(spark, "kv"), spark=spark) as db:
-        db.store.append_frame(events.select(F.col("event_id").alias("ord"), F.concat(F.lit("user-"), "user_id").alias("stream_name"), F.lit("agent").alias("event_type"), body.alias("body")))
+        db.store.append_frame(
+            events.select(
+                F.col("event_id").alias("ord"), F.concat(F.lit("user-"), "user_id").alias("stream_name"),
+                F.lit("agent").alias("event_type"), body.alias("body"),
+            )
+        )
         return agent.kv_view(db)
 
 
@@ -206,17 +241,27 @@ def store_sessions(spark, d):
     """Sessions of all conversations: system turns start them, user turns are calls, assistant turns their results."""
     turns = table(spark, d, "conversations")
     call = F.when(F.col("role") == "assistant", F.col("turn") - 1).otherwise(F.col("turn")).cast("string")
-    kind = F.when(F.col("role") == "system", "SessionStarted").when(F.col("role") == "user", "ToolCall").otherwise("ToolResult")
+    kind = F.when(
+        F.col("role") == "system", "SessionStarted",
+    ).when(F.col("role") == "user", "ToolCall").otherwise("ToolResult")
     body = F.to_json(F.struct(kind.alias("kind"), F.when(F.col("role") != "system", call).alias("call_id")))
-    rows = turns.select(F.struct("conv_id", "turn", "role", "text").alias("ord"), F.concat(F.lit("conv-"), "conv_id").alias("stream_name"), F.lit("agent").alias("event_type"), body.alias("body"))
+    rows = turns.select(
+        F.struct("conv_id", "turn", "role", "text").alias("ord"),
+        F.concat(F.lit("conv-"), "conv_id").alias("stream_name"), F.lit("agent").alias("event_type"),
+        body.alias("body"),
+    )
     with open_log(work_path(spark, "sessions"), spark=spark) as db:
         db.store.append_frame(rows)
         events = agent.events(db)
         pending = session.pending_calls(events).groupBy("stream_name").agg(F.count("*").alias("pending"))
-        return session.status(events).join(pending, "stream_name", "left").select("stream_name", "status", "entries", F.coalesce("pending", F.lit(0)).alias("pending"))
+        return session.status(events).join(pending, "stream_name", "left").select(
+            "stream_name", "status", "entries", F.coalesce("pending", F.lit(0)).alias("pending"),
+        )
 
 
-@query("SELECT n // 3 AS floor, count(*) AS events, min(position) AS first, 0 AS faults FROM log, n WHERE position >= n // 3 GROUP BY 1")
+@query(
+    "SELECT n // 3 AS floor, count(*) AS events, min(position) AS first, 0 AS faults FROM log, n WHERE position >= n // 3 GROUP BY 1"
+)
 def store_retention(spark, d):
     """History below a position is given up, with an anchor: what is left is whole, revisions go on."""
     with opened(spark, d, "retention") as db:
@@ -227,30 +272,46 @@ def store_retention(spark, d):
         assert db.append_batch("user-3", [{"body": 1}])["current_revision"] == before + 1
         log = db.store.log(True)
         faults = db.store.verify()
-        return log.agg(F.count("*").alias("events"), F.min("position").alias("first")).select(F.lit(db.retention_floor()).cast("long").alias("floor"), "events", "first", F.lit(sum(faults.values()) - faults["events"]).cast("int").alias("faults"))
+        return log.agg(F.count("*").alias("events"), F.min("position").alias("first")).select(
+            F.lit(db.retention_floor()).cast("long").alias("floor"), "events", "first",
+            F.lit(sum(faults.values()) - faults["events"]).cast("int").alias("faults"),
+        )
 
 
 @query("""SELECT r_name AS stream_name, (min(p) OVER (PARTITION BY r_regionkey)) AS first_position, (max(p) OVER (PARTITION BY r_regionkey)) AS last_position, p AS position, row_number() OVER (PARTITION BY r_regionkey ORDER BY p) - 1 AS revision, n_name AS nation
     FROM (SELECT *, row_number() OVER (ORDER BY r_regionkey, n_nationkey) - 1 AS p FROM nation JOIN region ON n_regionkey = r_regionkey)""")
 def store_append(spark, d):
     """A batch for each region's nations, each sent twice with one key: receipts are the same, events are there once."""
-    nations = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).orderBy("r_regionkey", "n_nationkey").select("r_name", "n_name").collect()
+    nations = table(spark, d, "nation").join(
+        table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"),
+    ).orderBy("r_regionkey", "n_nationkey").select("r_name", "n_name").collect()
     with open_log(work_path(spark, "append"), commit_every_count=10, spark=spark) as db:
         receipts = []
         for region in dict.fromkeys(r["r_name"] for r in nations):
             batch = [{"body": {"nation": r["n_name"]}} for r in nations if r["r_name"] == region]
-            sent = [db.append_batch(region, batch, expected_revision="no_stream", idempotency_key=region) for _ in range(2)]
-            assert {k: v for k, v in sent[0].items() if k != "durability"} == {k: v for k, v in sent[1].items() if k != "durability"}
+            sent = [
+                db.append_batch(region, batch, expected_revision="no_stream", idempotency_key=region) for _ in range(2)
+            ]
+            assert {
+                k: v for k, v in sent[0].items() if k != "durability"
+            } == {k: v for k, v in sent[1].items() if k != "durability"}
             receipts.append((region, sent[0]["first_position"], sent[0]["last_position"]))
         db.commit()
-        log = db.frame(ReplayPlan()).select("stream_name", "position", F.col("stream_revision").alias("revision"), F.get_json_object("body", "$.nation").alias("nation"))
-    return log.join(spark.createDataFrame(receipts, "stream_name string, first_position long, last_position long"), "stream_name")
+        log = db.frame(ReplayPlan()).select(
+            "stream_name", "position", F.col("stream_revision").alias("revision"),
+            F.get_json_object("body", "$.nation").alias("nation"),
+        )
+    return log.join(
+        spark.createDataFrame(receipts, "stream_name string, first_position long, last_position long"), "stream_name",
+    )
 
 
 @query("SELECT position, stream_name, event_type FROM log")
 def store_import(spark, d):
     """An import of an older log in one entry, verified, and run again without effect."""
-    source = rows_of(spark, d).select(F.col("ord").alias("offset"), F.col("stream_name").alias("namespace"), "event_type", "body")
+    source = rows_of(spark, d).select(
+        F.col("ord").alias("offset"), F.col("stream_name").alias("namespace"), "event_type", "body",
+    )
     path = work_path(spark, "import")
     store = LogStore(spark, path)
     report = importer.run(store, source)
@@ -261,11 +322,15 @@ def store_import(spark, d):
     return out
 
 
-@query(", x AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) - 1 AS p FROM nation) SELECT p AS position, 'nation' AS stream_name, p AS revision, n_name AS name FROM x")
+@query(
+    ", x AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) - 1 AS p FROM nation) SELECT p AS position, 'nation' AS stream_name, p AS revision, n_name AS name FROM x"
+)
 def store_replica(spark, d):
     """A follower that takes another log's batches from its feed, some of them twice."""
     names = [r["n_name"] for r in table(spark, d, "nation").orderBy("n_nationkey").collect()]
-    with open_log(work_path(spark, "leader"), spark=spark) as db, open_log(work_path(spark, "follower"), spark=spark) as other:
+    with open_log(work_path(spark, "leader"), spark=spark) as db, open_log(
+        work_path(spark, "follower"), spark=spark,
+    ) as other:
         for at in range(0, len(names), 4):
             db.append_batch("nation", [{"body": n} for n in names[at : at + 4]])
         db.commit()
@@ -274,4 +339,7 @@ def store_replica(spark, d):
             for _ in range(2):
                 other.ingest_batch(page)
         watch.close()
-        return other.frame(ReplayPlan()).select("position", "stream_name", F.col("stream_revision").alias("revision"), F.regexp_replace("body", '"', "").alias("name"))
+        return other.frame(ReplayPlan()).select(
+            "position", "stream_name", F.col("stream_revision").alias("revision"),
+            F.regexp_replace("body", '"', "").alias("name"),
+        )

@@ -38,4 +38,6 @@ def maintain(stream: DataFrame, definition: ViewDefinition, target: str, checkpo
         for old in [n for n in files.names("") if n.startswith("v")][:-KEPT]:
             files.delete(old)
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(merge).option(
+        "checkpointLocation", checkpoint,
+    ).trigger(availableNow=True).start()

@@ -43,27 +43,56 @@ def test_round_trip_and_reopen(spark, tmp_path):
         d.append("s", 1)
     with engine.open(path, spark=spark) as d:
         rows = d.history("s")
-        assert bodies(rows) == values and [r["stream_revision"] for r in rows] == list(range(7)) and [r["offset"] for r in rows] == list(range(7))
+        assert bodies(rows) == values and [
+            r["stream_revision"] for r in rows
+        ] == list(range(7)) and [r["offset"] for r in rows] == list(range(7))
         assert d.append_receipt("s", 1)["previous_revision"] == 6
-        assert set(rows[0]) == {"offset", "timestamp_ms", "event_id", "batch_id", "batch_index", "branch_id", "namespace", "stream_revision", "event_type", "schema_version", "codec", "metadata", "body"}
+        assert set(rows[0]) == {
+            "offset", "timestamp_ms", "event_id", "batch_id", "batch_index", "branch_id", "namespace",
+            "stream_revision", "event_type", "schema_version", "codec", "metadata", "body",
+        }
 
 
 def test_batches_and_conflicts(db):
-    first = db.append_batch("s", [{"body": 1, "event_id": HEX, "metadata": {"m": b"\x00\xff"}, "event_type": "t", "schema_version": 2}, {"body": 2}], expected_revision="no_stream", durability="sync")
-    assert (first["first_position"], first["last_position"], first["previous_revision"], first["current_revision"], first["durability"]) == (0, 1, None, 1, "synced")
+    first = db.append_batch(
+        "s",
+        [
+            {"body": 1, "event_id": HEX, "metadata": {"m": b"\x00\xff"}, "event_type": "t", "schema_version": 2},
+            {"body": 2},
+        ],
+        expected_revision="no_stream", durability="sync",
+    )
+    assert (
+        first["first_position"], first["last_position"], first["previous_revision"], first["current_revision"],
+        first["durability"],
+    ) == (0, 1, None, 1, "synced")
     row = db.history("s")[0]
-    assert row["metadata"] == {"m": b"\x00\xff"} and row["event_type"] == "t" and row["schema_version"] == 2 and row["event_id"] == HEX
+    assert row["metadata"] == {
+        "m": b"\x00\xff"
+    } and row["event_type"] == "t" and row["schema_version"] == 2 and row["event_id"] == HEX
     with pytest.raises(E.RevisionConflictError):
         db.append_batch("s", [{"body": 3}], expected_revision="no_stream")
     with pytest.raises(E.RevisionConflictError):
         db.append_batch("s", [{"body": 3}], expected_revision=0)
     db.append_batch("s", [{"body": 3}], expected_revision=1)
-    retry = db.append_batch("s", [{"body": 1, "event_id": HEX, "metadata": {"m": b"\x00\xff"}, "event_type": "t", "schema_version": 2}])
+    retry = db.append_batch(
+        "s", [{"body": 1, "event_id": HEX, "metadata": {"m": b"\x00\xff"}, "event_type": "t", "schema_version": 2}],
+    )
     assert retry["batch_id"] == first["batch_id"] and retry["durability"] == "buffered"
-    for bad in ([{"body": 9, "event_id": HEX}], [{"body": 1, "event_id": HEX}, {"body": 2, "event_id": HEX}], [{"body": 1, "event_id": HEX, "metadata": {"m": b"\x00\xff"}, "event_type": "t", "schema_version": 2}, {"body": 5}]):
+    for bad in (
+        [{"body": 9, "event_id": HEX}], [{"body": 1, "event_id": HEX}, {"body": 2, "event_id": HEX}],
+        [
+            {"body": 1, "event_id": HEX, "metadata": {"m": b"\x00\xff"}, "event_type": "t", "schema_version": 2},
+            {"body": 5},
+        ],
+    ):
         with pytest.raises(E.EventIdConflictError):
             db.append_batch("s", bad)
-    for bad in ({"events": []}, {"events": [{"body": 1}], "expected_revision": True}, {"events": [{"nobody": 1}]}, {"events": [{"body": 1, "event_id": "xy"}]}, {"events": [{"body": 1}], "durability": "never"}, {"events": [{"body": 1, "metadata": {"stratalog.x": b""}}]}):
+    for bad in (
+        {"events": []}, {"events": [{"body": 1}], "expected_revision": True}, {"events": [{"nobody": 1}]},
+        {"events": [{"body": 1, "event_id": "xy"}]}, {"events": [{"body": 1}], "durability": "never"},
+        {"events": [{"body": 1, "metadata": {"stratalog.x": b""}}]},
+    ):
         with pytest.raises(E.InvalidArgumentError):
             db.append_batch("s", **bad)
     with pytest.raises(E.CodecError):
@@ -80,7 +109,9 @@ def test_idempotency(db, commit):
     one = db.append_batch("s", [{"body": 1}], idempotency_key="k", expected_revision="no_stream")
     if commit:
         db.commit()
-    assert db.append_batch("s", [{"body": 1}], idempotency_key="k", expected_revision="no_stream")["first_position"] == one["first_position"]
+    assert db.append_batch(
+        "s", [{"body": 1}], idempotency_key="k", expected_revision="no_stream",
+    )["first_position"] == one["first_position"]
     with pytest.raises(E.IdempotencyConflictError):
         db.append_batch("s", [{"body": 2}], idempotency_key="k", expected_revision="no_stream")
     branch = db.fork("s", 1)
@@ -103,12 +134,16 @@ def test_streams_follow_a_model(spark, tmp_path):
         key, content = r.choice([None, None, "k1", "k2"]), r.randint(0, 1)
         want = (stream, expected, count, content)
         try:
-            got = d.append_batch(stream, [{"body": [content, i]} for i in range(count)], expected_revision=expected, idempotency_key=key)
+            got = d.append_batch(
+                stream, [{"body": [content, i]} for i in range(count)], expected_revision=expected, idempotency_key=key,
+            )
         except E.IdempotencyConflictError:
             assert keys[key][0] != want
             continue
         except E.RevisionConflictError:
-            assert key not in keys and not (expected is None or (expected == "no_stream" and stream not in model) or expected == model.get(stream))
+            assert key not in keys and not (
+                expected is None or (expected == "no_stream" and stream not in model) or expected == model.get(stream)
+            )
             continue
         if key in keys:
             assert keys[key] == (want, got["first_position"])
@@ -183,10 +218,14 @@ def test_branches(db):
     db.append("s", 4)
     b = db.fork_branch(a, 0, "b")["name"]
     db.append_branch(b, "s", "b")
-    assert bodies(db.branch_history(a, "s")) == [1, 2, "a"] and bodies(db.branch_history(b, "s")) == ["b"] and bodies(db.history("s")) == [1, 2, 3, 4]
+    assert bodies(
+        db.branch_history(a, "s")
+    ) == [1, 2, "a"] and bodies(db.branch_history(b, "s")) == ["b"] and bodies(db.history("s")) == [1, 2, 3, 4]
     assert [x["name"] for x in db.branch_ancestry(b)] == ["main", a, "b"]
     d = db.diff("main", a, "s")
-    assert d["divergence_offset"] == 2 and [bodies(d[k].next_page()["records"]) for k in ("shared", "left", "right")] == [[1, 2], [3, 4], ["a"]] and d["common_ancestor"]["name"] == "main"
+    assert d["divergence_offset"] == 2 and [
+        bodies(d[k].next_page()["records"]) for k in ("shared", "left", "right")
+    ] == [[1, 2], [3, 4], ["a"]] and d["common_ancestor"]["name"] == "main"
     assert db.archive_branch(a)["status"] == "archived" == db.archive_branch(a)["status"]
     with pytest.raises(E.BranchArchivedError):
         db.append_branch(a, "s", 1)
@@ -198,13 +237,22 @@ def test_branches(db):
 
 
 def test_views(db):
-    for v in ({"id": "k1", "kind": "a", "n": 1}, {"id": "k2", "kind": "b", "n": "1"}, {"id": "k3", "kind": "a"}, {"id": "user1", "kind": None}, {"id": 5, "kind": "a"}, {"kind": "a"}, "text", {"id": "k1", "kind": "c", "n": 2}):
+    for v in (
+        {"id": "k1", "kind": "a", "n": 1}, {"id": "k2", "kind": "b", "n": "1"}, {"id": "k3", "kind": "a"},
+        {"id": "user1", "kind": None}, {"id": 5, "kind": "a"}, {"kind": "a"}, "text", {"id": "k1", "kind": "c", "n": 2},
+    ):
         db.append("s", v)
     db.register_view("v", "id", {"kind": "kind", "n": "n"})
     v = db.view("v")
     assert v.get("k1") == {"id": "k1", "kind": "c", "n": 2} and v.get("zz") is None and v.len() == 4
-    assert [x["id"] for x in v.range("k1", "k3")] == ["k1", "k2"] and [x["id"] for x in v.prefix("k")] == ["k1", "k2", "k3"]
-    assert [x["id"] for x in v.by("kind", "a")] == ["k3"] and [x["id"] for x in v.by("n", 1)] == ["k2"] == [x["id"] for x in v.by("n", "1")] and [x["id"] for x in v.by("kind", None)] == ["user1"]
+    assert [
+        x["id"] for x in v.range("k1", "k3")
+    ] == ["k1", "k2"] and [x["id"] for x in v.prefix("k")] == ["k1", "k2", "k3"]
+    assert [
+        x["id"] for x in v.by("kind", "a")
+    ] == ["k3"] and [x["id"] for x in v.by("n", 1)] == ["k2"] == [x["id"] for x in v.by("n", "1")] and [
+        x["id"] for x in v.by("kind", None)
+    ] == ["user1"]
     with pytest.raises(E.NotFoundError):
         v.by("nope", 1)
     db.register_view("w", "id", where_field="kind", where_value="a")
@@ -234,7 +282,9 @@ def test_snapshots(spark, tmp_path):
         d.append("s", {"id": "i0", "k": 99})
         before = [d.view("v").get(f"i{i}") for i in range(3)] + d.view("v").by("k", 99)
         d.delete_all_derived_state()
-        assert d.list_snapshots("v") == [] and [d.view("v").get(f"i{i}") for i in range(3)] + d.view("v").by("k", 99) == before
+        assert d.list_snapshots("v") == [] and [
+            d.view("v").get(f"i{i}") for i in range(3)
+        ] + d.view("v").by("k", 99) == before
         made = d.create_snapshot("v")
         d.register_view("v", "id", {})
         assert d.list_snapshots("v") == [] and d.view("v").len() == 3
@@ -284,7 +334,9 @@ def test_views_in_time_and_by_class(db):
     assert db.records_from(12).count() == 2 and {r["type"] for r in db.system_records()} == {"view.registered"}
     assert db.projection(lambda log: log.groupBy("stream_name").count(), until=12).count() == 4
     a = db.fork("s0", 4)
-    assert [c["name"] for c in db.branch_children("main")] == [a] and db.branch_common_ancestor(a, "main")["name"] == "main" == db.branch_named("main")["name"]
+    assert [
+        c["name"] for c in db.branch_children("main")
+    ] == [a] and db.branch_common_ancestor(a, "main")["name"] == "main" == db.branch_named("main")["name"]
 
 
 def test_watch(db):
@@ -323,7 +375,9 @@ def test_replication(spark, tmp_path, db):
         f.append("x", 0)
         first = f.ingest_batch(rows)
         assert first["first_position"] == 1 and f.ingest_batch(rows)["first_position"] == 1 and f.head() == 3
-        assert [r["event_id"] for r in f.history("s")] == [r["event_id"] for r in rows] and f.history("s")[0]["batch_id"] == rows[0]["batch_id"]
+        assert [
+            r["event_id"] for r in f.history("s")
+        ] == [r["event_id"] for r in rows] and f.history("s")[0]["batch_id"] == rows[0]["batch_id"]
         with pytest.raises(E.InvalidArgumentError):
             f.ingest_batch(rows[1:])
 
@@ -341,7 +395,9 @@ def test_retention(spark, tmp_path):
         for w in list(d.feeds):
             w.close()
         plan = d.plan_retention(5)
-        assert plan["effective_floor"] == 4 and {b["kind"] for b in plan["blockers"]} >= {"anchor_missing", "branch", "projection"}
+        assert plan["effective_floor"] == 4 and {b["kind"] for b in plan["blockers"]} >= {
+            "anchor_missing", "branch", "projection",
+        }
         with pytest.raises(E.ConflictError):
             d.apply_retention(plan["plan_id"])
         assert d.register_branch_bootstrap(branch, 5, b"state") == 4 and d.branch_bootstrap(branch) == b"state"
@@ -364,13 +420,17 @@ def test_retention(spark, tmp_path):
             d.fetch_feed_bootstrap(boot, 1)
         with pytest.raises(E.InvalidArgumentError):
             d.fetch_feed_bootstrap({**boot, "floor": 0}, 100)
-        for policy, value in (("keep_latest_events", 1), ("keep_newer_than", 0), ("target_log_bytes", 1), ("keep_from", 4)):
+        for policy, value in (
+            ("keep_latest_events", 1), ("keep_newer_than", 0), ("target_log_bytes", 1), ("keep_from", 4),
+        ):
             assert d.plan_retention_policy(policy, value)["plan"]["effective_floor"] == 4
         with pytest.raises(ValueError):
             d.plan_retention_policy("forever", 1)
         assert d.retention_status()["anchor_ready"]
     with engine.open(path, spark=spark) as d:
-        assert d.retention_floor() == 4 and d.view("v").len() == 6 and d.append_receipt("s", 1)["previous_revision"] == 5
+        assert d.retention_floor() == 4 and d.view("v").len() == 6 and d.append_receipt("s", 1)[
+            "previous_revision"
+        ] == 5
 
 
 def test_compaction_and_bulk_load(spark, tmp_path):
@@ -379,9 +439,13 @@ def test_compaction_and_bulk_load(spark, tmp_path):
             d.append("s", i)
             d.commit()
         assert d.store.compact() == 3 and bodies(d.history("s")) == [0, 1, 2, 3]
-        rows = spark.range(1000).selectExpr("id ord", "concat('b', id % 3) stream_name", "'t' event_type", "cast(id as string) body")
+        rows = spark.range(1000).selectExpr(
+            "id ord", "concat('b', id % 3) stream_name", "'t' event_type", "cast(id as string) body",
+        )
         assert d.store.append_frame(rows) == 1004
-        assert [r["stream_revision"] for r in d.replay("b1", 4, 20)] == list(range(5)) and bodies(d.replay("b1", 4, 20)) == [1, 4, 7, 10, 13]
+        assert [
+            r["stream_revision"] for r in d.replay("b1", 4, 20)
+        ] == list(range(5)) and bodies(d.replay("b1", 4, 20)) == [1, 4, 7, 10, 13]
         assert d.append_receipt("b1", 0)["previous_revision"] == 332
 
 
@@ -411,7 +475,10 @@ for i in range(10000):
 
 def test_killed_writer_leaves_whole_batches(spark, tmp_path):
     root, path = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), str(tmp_path / "log")
-    child = subprocess.Popen([sys.executable, "-c", CRASH.format(root=root, path=path)], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True, start_new_session=True)
+    child = subprocess.Popen(
+        [sys.executable, "-c", CRASH.format(root=root, path=path)], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL,
+        text=True, start_new_session=True,
+    )
     acked = -1
     for line in child.stdout:
         acked = int(line.split()[1])
@@ -438,7 +505,9 @@ def test_bulk_load_keeps_every_row(spark, tmp_path):
         body = F.concat(F.lit('{"id":"'), "ord", F.lit('"}'))
         # a third of all rows is one stream's
         stream = F.when(F.col("ord") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("ord") % 1000))
-        shuffled.select("ord", stream.alias("stream_name"), F.lit("t").alias("event_type"), body.alias("body")).repartition(16).write.parquet(str(tmp_path / "source"))
+        shuffled.select(
+            "ord", stream.alias("stream_name"), F.lit("t").alias("event_type"), body.alias("body"),
+        ).repartition(16).write.parquet(str(tmp_path / "source"))
         rows = spark.read.parquet(str(tmp_path / "source"))
         store = LogStore(spark, str(tmp_path / "log"))
         assert store.append_frame(rows.where(f"ord < {n // 4}")) == n // 4
@@ -463,7 +532,10 @@ def test_bulk_load_publishes_nothing_that_is_not_whole(spark, tmp_path):
     from stratalog.errors import IoError
 
     store = LogStore(spark, str(tmp_path / "log"))
-    rows = spark.range(100).select(F.col("id").alias("ord"), F.lit("s").alias("stream_name"), F.lit("t").alias("event_type"), F.lit("{}").alias("body"))
+    rows = spark.range(100).select(
+        F.col("id").alias("ord"), F.lit("s").alias("stream_name"), F.lit("t").alias("event_type"),
+        F.lit("{}").alias("body"),
+    )
     with pytest.raises(IoError):
         store.append_frame(rows, expected=101)
     assert store.head == 0 and not store.state.files
@@ -490,8 +562,13 @@ def test_running_counts_of_a_hot_key(spark):
 
 def bulk(spark, n, streams=7, name="s"):
     key = F.concat(F.lit("k"), F.lpad((F.col("id") * 31 % (n // 3)).cast("string"), 7, "0"))
-    body = F.concat(F.lit('{"id":"'), key, F.lit('","kind":"'), F.col("id") % 5, F.lit('","n":'), F.col("id"), F.lit("}"))
-    return spark.range(n).select(F.col("id").alias("ord"), F.concat(F.lit(name), F.col("id") % streams).alias("stream_name"), F.lit("t").alias("event_type"), body.alias("body"))
+    body = F.concat(
+        F.lit('{"id":"'), key, F.lit('","kind":"'), F.col("id") % 5, F.lit('","n":'), F.col("id"), F.lit("}"),
+    )
+    return spark.range(n).select(
+        F.col("id").alias("ord"), F.concat(F.lit(name), F.col("id") % streams).alias("stream_name"),
+        F.lit("t").alias("event_type"), body.alias("body"),
+    )
 
 
 @pytest.fixture(scope="module")
@@ -500,7 +577,10 @@ def loaded(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("loaded") / "log")
     d = engine.open(path, spark=spark)
     d.store.append_frame(bulk(spark, 60_000))
-    d.append_batch("s1", [{"body": {"id": "k0000001", "kind": "9", "n": -1}}, {"body": {"id": "new", "kind": "1", "n": -2}}], durability="sync")
+    d.append_batch(
+        "s1", [{"body": {"id": "k0000001", "kind": "9", "n": -1}}, {"body": {"id": "new", "kind": "1", "n": -2}}],
+        durability="sync",
+    )
     yield d
     d.close()
 
@@ -562,12 +642,16 @@ def test_views_are_stored_and_pruned(spark, loaded):
     loaded.register_view("big", "id", {"kind": "kind"})
     v = loaded.view("big")
     whole = engine.IndexedView(loaded._definition("big"), loaded.records_from(0))
-    assert v.get("k0000001") == {"id": "k0000001", "kind": "9", "n": -1} and v.get("new")["n"] == -2 and v.get("nope") is None
+    assert v.get("k0000001") == {
+        "id": "k0000001", "kind": "9", "n": -1,
+    } and v.get("new")["n"] == -2 and v.get("nope") is None
     assert len(loaded.store.files.names("derived")) == 1 and not loaded.list_snapshots("big")
     loaded.append("s1", {"id": "k0000002", "kind": "9", "n": -3})
     assert v.get("k0000002")["n"] == -3 and v.len() == 20_001
     assert sorted(x["id"] for x in v.by("kind", "9")) == ["k0000001", "k0000002"]
-    assert [x["id"] for x in v.range("k0000001", "k0000004")] == ["k0000001", "k0000002", "k0000003"] and len(v.prefix("k000001")) == 10
+    assert [
+        x["id"] for x in v.range("k0000001", "k0000004")
+    ] == ["k0000001", "k0000002", "k0000003"] and len(v.prefix("k000001")) == 10
     for kind in "01":
         want = [r["key"] for r in whole.by("kind", kind).select("key").collect() if r["key"] not in ("k0000002",)]
         assert [x["id"] for x in v.by("kind", kind)] == want
@@ -575,7 +659,10 @@ def test_views_are_stored_and_pruned(spark, loaded):
     plan = layered.get("k0000005")._jdf.queryExecution().toString()
     assert "EqualTo(key,k0000005)" in plan.replace(" ", "")
     assert "EqualTo(index_key,9)" in layered.by("kind", "9")._jdf.queryExecution().toString().replace(" ", "")
-    assert sorted(map(tuple, layered.index("kind").collect())) == sorted((r["index_key"], r["key"]) for r in engine.IndexedView(loaded._definition("big"), loaded.records_from(0)).index("kind").collect())
+    assert sorted(map(tuple, layered.index("kind").collect())) == sorted(
+        (r["index_key"], r["key"])
+        for r in engine.IndexedView(loaded._definition("big"), loaded.records_from(0)).index("kind").collect()
+    )
     assert loaded.projection_status("big")["status"] == "ready"
     loaded.append("s1", {"id": "k0000002", "kind": "1"})
     assert loaded.projection_status("big")["status"] == "stale"
@@ -593,9 +680,13 @@ def test_damaged_snapshots_are_passed_over(spark, tmp_path):
         d.append("s", {"id": "i9", "k": 9})
         d.commit()
     state = os.path.join(path, "snapshots", made[2]["id"], "state")
-    spark.createDataFrame([("i0", "{}", 0, ["x"])], "key string, value string, position long, ix_k array<string>").write.mode("overwrite").parquet(state)
+    spark.createDataFrame(
+        [("i0", "{}", 0, ["x"])], "key string, value string, position long, ix_k array<string>",
+    ).write.mode("overwrite").parquet(state)
     with engine.open(path, spark=spark) as d:
-        assert d.view("v").len() == 4 and d.view("v").get("i2")["k"] == 2 and [x["id"] for x in d.view("v").by("k", 2)] == ["i2"]
+        assert d.view("v").len() == 4 and d.view("v").get("i2")["k"] == 2 and [
+            x["id"] for x in d.view("v").by("k", 2)
+        ] == ["i2"]
         with pytest.raises(E.ConflictError):
             d.verify_snapshot(made[2]["id"])
         assert d.verify_snapshot(made[1]["id"])["cursor"] == 2
@@ -642,7 +733,12 @@ def test_a_broken_anchor_leaves_the_one_before(spark, tmp_path):
 
 def test_failing_views_fail_alone(db):
     db.register_view("good", "id")
-    db.register_runtime("bad", lambda log: log.select(F.col("stream_name").alias("key"), F.raise_error(F.lit("no")).cast("string").alias("value"), "position"))
+    db.register_runtime(
+        "bad",
+        lambda log: log.select(
+            F.col("stream_name").alias("key"), F.raise_error(F.lit("no")).cast("string").alias("value"), "position",
+        ),
+    )
     assert db.projection_status("good")["status"] == "building"
     db.append("s", {"id": "a"})
     with pytest.raises(Exception, match="no"):
@@ -650,7 +746,9 @@ def test_failing_views_fail_alone(db):
     assert db.projection_status("bad")["status"] == "failed" and "no" in db.projection_status("bad")["error"]
     db.append("s", {"id": "b"})
     assert db.view("good").len() == 2 and db.projection_status("good")["status"] == "ready"
-    db.register_runtime("bad", lambda log: log.select(F.col("stream_name").alias("key"), F.lit("1").alias("value"), "position"))
+    db.register_runtime(
+        "bad", lambda log: log.select(F.col("stream_name").alias("key"), F.lit("1").alias("value"), "position"),
+    )
     db.append("s", {"id": "c"})
     assert db.view("bad").get("s") == 1 and db.projection_status("bad")["status"] != "failed"
 
@@ -658,11 +756,19 @@ def test_failing_views_fail_alone(db):
 def test_replays_verify_content(spark, tmp_path):
     path = str(tmp_path / "log")
     with engine.open(path, spark=spark) as d:
-        d.append_batch("s", [{"body": {"é": 1}, "metadata": {"b": b"\x00", "a!": b"\xff", "a": b""}, "schema_version": 3}, {"body": b"\x01\x02", "codec": "bytes"}])
+        d.append_batch(
+            "s",
+            [
+                {"body": {"é": 1}, "metadata": {"b": b"\x00", "a!": b"\xff", "a": b""}, "schema_version": 3},
+                {"body": b"\x01\x02", "codec": "bytes"},
+            ],
+        )
         d.store.append_frame(bulk(spark, 30))
         assert d.frame(engine.ReplayPlan(verify=True)).count() == 32
         where = os.path.join(path, d.store.state.files[0]["path"])
-        rows = spark.read.parquet(where).withColumn("body", F.lit("{}")).withColumn("payload", F.lit("{}").cast("binary")).collect()
+        rows = spark.read.parquet(where).withColumn("body", F.lit("{}")).withColumn(
+            "payload", F.lit("{}").cast("binary"),
+        ).collect()
         schema = spark.read.parquet(where).schema
         spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(where)
         assert d.frame(engine.ReplayPlan()).count() == 32
@@ -679,4 +785,6 @@ def test_small_files_are_joined_by_a_commit(spark, tmp_path, monkeypatch):
         for i in range(12):
             d.append("s", i)
         assert len(d.store.state.files) < 5 and bodies(d.history("s")) == list(range(12)) and held.count() == 0
-        assert d.store.verify()["positions"] == 0 and len(d.store.vacuum()) >= 8 and bodies(d.history("s")) == list(range(12))
+        assert d.store.verify()["positions"] == 0 and len(
+            d.store.vacuum()
+        ) >= 8 and bodies(d.history("s")) == list(range(12))

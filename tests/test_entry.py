@@ -21,6 +21,12 @@ def test_the_rest_stands_alone(tmp_path):
         source = os.path.join(ROOT, name)
         (shutil.copytree if os.path.isdir(source) else shutil.copy)(source, tmp_path / name)
     shutil.rmtree(tmp_path / "stratalog" / "llm", ignore_errors=True)
-    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), sum(k.startswith('op') for k in e.queries()))"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True)
+    said = subprocess.run(
+        [
+            sys.executable, "-c",
+            "import __spark_entry__ as e; print(len(e.queries()), sum(k.startswith('op') for k in e.queries()))",
+        ],
+        cwd=tmp_path, env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True,
+    )
     assert said.returncode == 0, said.stderr
     assert int(said.stdout.split()[0]) > 60 and said.stdout.split()[1] == "0"

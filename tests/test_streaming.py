@@ -22,10 +22,17 @@ def test_stream_and_follow(spark, tmp_path):
 
 
 def test_batch_filters(spark):
-    rows = [(0, "x", "main", "a", "wanted"), (1, "x", "main", "a", "other"), (2, "y", "main", "b", "ignored"), (3, "z", "f", "a", "wanted")]
-    log = spark.createDataFrame(rows, "position long, batch_id string, branch_id string, stream_name string, event_type string")
+    rows = [
+        (0, "x", "main", "a", "wanted"), (1, "x", "main", "a", "other"), (2, "y", "main", "b", "ignored"),
+        (3, "z", "f", "a", "wanted"),
+    ]
+    log = spark.createDataFrame(
+        rows, "position long, batch_id string, branch_id string, stream_name string, event_type string",
+    )
     got = lambda **k: sorted(r["batch_id"] for r in batches(log, 0, 4, FeedFilter(**k)).collect())
-    assert got() == ["x", "y", "z"] and got(types=["wanted"]) == ["x", "z"] and got(branches=["main"]) == ["x", "y"] and got(streams=["a"], branches=["f"]) == ["z"]
+    assert got() == ["x", "y", "z"] and got(types=["wanted"]) == ["x", "z"] and got(
+        branches=["main"]
+    ) == ["x", "y"] and got(streams=["a"], branches=["f"]) == ["z"]
     assert delivered(log, 0, 4, FeedFilter(types=["wanted"], branches=["main"])).count() == 2
     assert [r["batch_id"] for r in batches(log, 0, 3).collect() if r["last"] >= 3] == []
 
