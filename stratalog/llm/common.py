@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from .textvec import byte_view
 
 #: Bytes of text that a vectorised step looks at together (one longer text is a step of its own).
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 #: A side of a join is broadcast up to so many rows of a few bytes (counted first); beyond it both sides are shuffled.
 BROADCAST_IDS = 1_000_000
 #: The same for stored tables of texts: up to so many compressed bytes.

@@ -242,6 +242,22 @@ def test_jaccard_odd_rows(spark):
     assert kept.columns == odd_docs(spark).columns and kept.count() == len(ODD) + 1
 
 
+def test_jaccard_of_very_long_texts(spark):
+    """Texts of 150,000 words, alike but for a few, beside one of a million characters without a space."""
+    long = prose(7, 150_000).split()
+    other = [*long[:-40], *prose(8, 40).split()]
+    third = [w if i % 9 else f"n{i}" for i, w in enumerate(long)]
+    rows = [
+        (1, " ".join(long)), (2, "z" * 1_000_000), (3, " ".join(other)), (4, " ".join(third)),
+        (5, " ".join(other) + " "),
+    ]
+    got = {
+        r["doc_id"]: (r["n_shingles"], r["component_id"])
+        for r in ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    }
+    assert got == brute_components(rows) and got[3][1] == 1 and got[4][1] == 4 and got[2] == (1, 2)
+
+
 def test_jaccard_repeated_ids_join_their_sets(spark):
     """Document 5 has the sets of both 2 and 3, neither of which it is the first of."""
     a, b = "one text of seven words in all", "quite another one that has eight words here"
@@ -561,6 +577,26 @@ def test_leaks_against_brute_force(spark):
     assert decontaminate.leaks(odd_docs(spark), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_leaks_ties_long_texts_and_clashing_columns(spark):
+    """Of equally near passages the first one counts; whole texts are searched; other columns are left out."""
+    item = "which river flows past the old mill at noon every day"
+    near = item.replace("mill", "hill")
+    long = "filler words of no interest " * 60_000
+    texts = [f"a {near} b {near} c", long + item, item + " " + long + item, "x" * 1_000_000, None]
+    docs = odd_docs(spark, texts).withColumn("item_id", F.lit(9)).withColumn("distance", F.lit("d"))
+    docs = docs.withColumn("start", F.lit("s")).withColumn("end", F.lit("e"))
+    items = spark.createDataFrame(
+        [(1, item, "t", 5), (1, item, "t", 5), (2, item, None, None)],
+        "item_id long, text string, doc_id string, start int",
+    )
+    got = sorted(map(tuple, decontaminate.leaks(docs, items).collect()))
+    at = len(decontaminate.plain(long)) + 1
+    want = [(0, 1, 2, 2 + len(item)), (1, 0, at, at + len(item)), (2, 0, 0, len(item))]
+    assert got == sorted((d, i, n, a, b) for d, n, a, b in want for i in (1, 1, 2))
+    kept = decontaminate.keep_clean(docs, items)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {3, 4, None}
+
+
 def test_leaks_go_row_by_row(spark, monkeypatch):
     items = [(1, "which river flows past the old mill at noon"), (2, "how many stones lie under the northern bridge")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
@@ -615,6 +651,19 @@ def test_urls(spark):
     assert not names
 
 
+def test_very_long_urls(spark):
+    rules = spark.createDataFrame(
+        [("block", "com", "/en/"), ("allow", "b.com", "/en/" + "x" * 3000)], "verdict string, host string, path string",
+    )
+    cases = {
+        "http://b.com/en/" + "x" * 500_000: "allow", "http://b.com/en/" + "x" * 2999: "block",
+        "http://" + "a." * 200_000 + "com/en/?q": "block", "http://" + "com" * 100_000: "allow",
+        "x" * 100_000 + "://com/en/": "block",
+    }
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(cases)], "page_id long, url string")
+    assert {r["url"]: r["verdict"] for r in url_filter.judge(pages, rules).collect()} == cases
+
+
 # --- 6
 
 
@@ -662,6 +711,20 @@ def test_edited_texts(spark, n):
         )
 
 
+def test_edited_texts_that_are_very_long(spark):
+    rows = [(1, "é" * 900_000), (2, "b " * 700_000), (3, ""), (4, "x")]
+    got = {
+        r["doc_id"]: r
+        for r in fingerprint.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    }
+    for (i, t), (_, after) in zip(rows[::-1], [*rows[::-1][1:], rows[-1]]):
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + after[:cut]
+        assert (got[i]["n_chars"], got[i]["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+    groups = fingerprint.exact_groups(spark.createDataFrame([*rows, (9, "B \n" * 700_000)], "doc_id long, text string"))
+    assert {r["doc_id"]: r["group_id"] for r in groups.collect()}[9] == 2
+
+
 def test_edited_texts_of_repeated_and_null_ids(spark):
     rows = [(1, "aaa"), (1, "bbb"), (1, "bbb"), (None, "zzz"), (5, "ccc")]
     got = fingerprint.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
@@ -1134,3 +1197,24 @@ def test_chat_machine_decides(spark):
         assert [s["loss"] for s in got[i]["segments"]][3::5] == [role in t.loss for role in chat]
     plan = queries.op10(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert chat_format.OTHER in plan and "system" in plan and "allowed" in plan
+
+
+def test_chat_of_very_long_texts(spark):
+    """A turn of megabytes and a conversation of thousands of turns come back as they were."""
+    big = "<s>\\\\[INST] " * 100_000
+    rows = [
+        (1, 0, "user", big), (1, 1, "assistant", big),
+        *((2, k, ["user", "assistant"][k % 2], f"</s>{k}") for k in range(4000))
+    ]
+    out = chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {
+        r["conv_id"]: r
+        for r in out.select(
+            "conv_id", "valid", chat_format.parse(F.col("text")).alias("turns"),
+            chat_format.loss_text(F.col("segments")).alias("lost"),
+        ).collect()
+    }
+    for conv in (1, 2):
+        want = [(role, t) for c, _, role, t in rows if c == conv]
+        assert [tuple(x) for x in got[conv]["turns"]] == want and got[conv]["valid"]
+        assert got[conv]["lost"] == "".join(t for role, t in want if role == "assistant")
