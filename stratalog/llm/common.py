@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -16,6 +17,8 @@ from .textvec import byte_view
 
 #: Bytes of text that a vectorised step looks at together (one longer text is a step of its own).
 STEP_BYTES = 1 << 20
+#: Spark's setting for the rows of an Arrow batch, its default, and the rows for jobs that an operator runs itself.
+ARROW_KEY, ARROW_DEFAULT, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", 512
 #: A side of a join is broadcast up to so many rows of a few bytes (counted first); beyond it both sides are shuffled.
 BROADCAST_IDS = 1_000_000
 #: The same for stored tables of texts: up to so many compressed bytes.
@@ -23,14 +26,25 @@ BROADCAST_BYTES = 8 << 20
 
 
 def prepare() -> None:
-    """Lets functions of this package travel to the workers by value, so that they need no copy of it.
-
-    No session setting is touched: Spark bounds an Arrow batch by spark.sql.execution.arrow.maxBytesPerBatch (64 MB), and
-    steps look at STEP_BYTES of it at a time.
-    """
+    """Lets functions of this package travel to the workers by value, so that they need no copy of it."""
     cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of ARROW_ROWS rows for the jobs that run inside, then the session's own again: what lies beside a step in
+    a worker's memory is 1 MB of usual texts instead of 20."""
+    before = spark.conf.get(ARROW_KEY)
+    spark.conf.set(ARROW_KEY, str(ARROW_ROWS))
+    try:
+        yield
+    finally:
+        if before == ARROW_DEFAULT:
+            spark.conf.unset(ARROW_KEY)
+        else:
+            spark.conf.set(ARROW_KEY, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.  Only a local master, whose executors are the
     driver, may do without: there it is a folder in the warehouse."""
@@ -64,7 +78,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = own_path(spark, name)
-    df.write.mode("append").parquet(path)
+    with small_batches(spark):
+        df.write.mode("append").parquet(path)
     spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
@@ -122,6 +137,13 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Itera
         at = end
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of so many rows, none of them empty."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_text(
     df: DataFrame, column: str, schema: str | StructType,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]],

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import map_text, prepare
+from .common import map_text, parts, prepare, small_batches
 from .textvec import MARKS, WHITE, byte_view, gather, hash_spans, lead_spans, lists, ragged, wide_white, worker_memo
 
 #: ASCII letters and digits.
@@ -122,6 +122,13 @@ class Encoder:
 def encode(docs: DataFrame, tokenizer_json: str, end_id: int | None = None, plain_specials: bool = False) -> DataFrame:
     """doc_id, ids as bytes (little-endian, 16 bits if the vocabulary allows it, else 32), the end id added.  Strings of
     special tokens in a text become these tokens, as in the library, or stay ordinary text with `plain_specials`."""
+    return _encoded(docs, tokenizer_json, end_id, plain_specials, []).drop("place")
+
+
+def _encoded(
+    docs: DataFrame, tokenizer_json: str, end_id: int | None, plain_specials: bool, cuts: list[int],
+) -> DataFrame:
+    """encode(), and the place of each document's id among the cuts."""
     prepare()
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     width = _width(tokenizer_json, end_id)
@@ -133,11 +140,14 @@ def encode(docs: DataFrame, tokenizer_json: str, end_id: int | None = None, plai
             flat, counts = encoder.encode(part.column("text"))
             tail = b"" if end_id is None else np.array([end_id], width).tobytes()
             ids = [x.tobytes() + tail for x in np.split(flat.astype(width), np.cumsum(counts)[:-1])]
-            return pa.record_batch([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            place = [0 if x is None else bisect_left(cuts, x) for x in part.column("doc_id").to_pylist()]
+            columns = [part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(place, pa.int32())]
+            return pa.record_batch(columns, ["doc_id", "ids", "place"])
 
         return step
 
-    return map_text(docs.select(F.col("doc_id").cast("long"), "text"), "text", "doc_id long, ids binary", make)
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    return map_text(docs, "text", "doc_id long, ids binary, place int", make)
 
 
 def _width(tokenizer_json: str, end_id: int | None) -> str:
@@ -162,33 +172,23 @@ def write_tokens(
     cuts = sorted(set(cuts))[: n - 1]
     width = _width(tokenizer_json, end_id)
 
-    def place_of(batches):
-        for batch in batches:
-            ids = [0 if x is None else bisect_left(cuts, x) for x in batch.column("doc_id").to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array(ids, pa.int32())], ["doc_id", "ids", "place"])
-
     def unpack(batches):
         offset = 0
-        for batch in batches:
-            ids = [np.frombuffer(x.as_py(), width).astype(np.int32) for x in batch.column("ids")]
-            counts = np.array([len(x) for x in ids], np.int64)
-            if len(ids):
-                yield pa.record_batch(
-                    [
-                        batch.column("doc_id"), pa.array(offset + np.cumsum(counts) - counts),
-                        lists(np.concatenate(ids), counts, pa.int32()),
-                    ],
-                    ["doc_id", "offset", "ids"],
-                )
+        for part in parts(batches):
+            ids = part.column("ids").to_pylist()
+            counts = np.array([len(x) // np.dtype(width).itemsize for x in ids], np.int64)
+            flat = np.frombuffer(b"".join(ids), width).astype(np.int32)
+            columns = [
+                part.column("doc_id"), pa.array(offset + np.cumsum(counts) - counts), lists(flat, counts, pa.int32()),
+            ]
+            yield pa.record_batch(columns, ["doc_id", "offset", "ids"])
             offset += int(counts.sum())
 
-    rows = encode(docs, tokenizer_json, end_id, plain_specials).mapInArrow(
-        place_of, "doc_id long, ids binary, place int",
-    )
-    rows = rows.repartitionById(n, F.col("place")).select("doc_id", "ids").sortWithinPartitions("doc_id", "ids")
-    rows.mapInArrow(unpack, SCHEMA).write.mode("overwrite").option("compression", "zstd").option(
-        "orc.create.index", "true",
-    ).option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path)
+    rows = _encoded(docs, tokenizer_json, end_id, plain_specials, cuts).repartitionById(n, F.col("place"))
+    rows = rows.select("doc_id", "ids").sortWithinPartitions("doc_id", "ids").mapInArrow(unpack, SCHEMA)
+    options = {"compression": "zstd", "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id"}
+    with small_batches(spark):
+        rows.write.mode("overwrite").options(**options, **{"orc.bloom.filter.fpp": "0.01"}).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
@@ -218,7 +218,7 @@ def summary(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of what read_tokens returns."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             ids = batch.column("ids")
             flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
             counts = np.array([len(x) for x in ids], np.int64)
