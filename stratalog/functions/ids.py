@@ -13,7 +13,10 @@ from ..errors import InvalidArgumentError
 
 
 def stream_id(database: Column | str, branch: Column | str, name: Column | str) -> Column:
-    return F.substring(F.sha2(F.concat_ws("\0", *(x if isinstance(x, Column) else F.lit(x) for x in (database, branch, name))), 256), 1, 32)
+    return F.substring(
+        F.sha2(F.concat_ws("\0", *(x if isinstance(x, Column) else F.lit(x) for x in (database, branch, name))), 256),
+        1, 32,
+    )
 
 
 def stream_id_of(database: str, branch: str, name: str) -> str:
@@ -57,7 +60,10 @@ def fingerprint(*parts: object) -> str:
 
 def event_fingerprint(event_type: str, version: str, metadata: str, payload: str) -> Column:
     """Equality key of events, as a column."""
-    return F.sha2(F.concat_ws("\0", F.col(event_type), F.col(version).cast("string"), F.to_json(F.col(metadata)), F.col(payload)), 256)
+    return F.sha2(
+        F.concat_ws("\0", F.col(event_type), F.col(version).cast("string"), F.to_json(F.col(metadata)), F.col(payload)),
+        256,
+    )
 
 
 def content_of(event_type: str, version: int, codec: str, metadata: dict[str, bytes], payload: bytes) -> str:
@@ -68,9 +74,16 @@ def content_of(event_type: str, version: int, codec: str, metadata: dict[str, by
 
 def content_column() -> Column:
     """Equality key of an event's content, from the log's columns."""
-    entries = F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), F.lower(F.hex(e["value"])))))
+    entries = F.array_sort(
+        F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), F.lower(F.hex(e["value"]))))
+    )
     held = F.coalesce(F.array_join(entries, ","), F.lit(""))
-    return F.sha2(F.concat_ws("\0", "event_type", F.col("schema_version").cast("string"), "codec", held, F.lower(F.hex("payload"))), 256)
+    return F.sha2(
+        F.concat_ws(
+            "\0", "event_type", F.col("schema_version").cast("string"), "codec", held, F.lower(F.hex("payload")),
+        ),
+        256,
+    )
 
 
 def millis(nanos: Column) -> Column:

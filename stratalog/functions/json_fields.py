@@ -35,15 +35,23 @@ def equals(variant: Column, field: str, expected: object) -> Column:
     if expected is None:
         return F.coalesce(F.is_variant_null(got), F.lit(False))
     other = F.parse_json(F.lit(json.dumps(expected)))
-    same_kind = F.when(got.isNull() | F.is_variant_null(got), False).otherwise(F.regexp_replace(F.schema_of_variant(got), r"\(.*", "") == F.regexp_replace(F.schema_of_variant(other), r"\(.*", ""))
+    same_kind = F.when(got.isNull() | F.is_variant_null(got), False).otherwise(
+        F.regexp_replace(F.schema_of_variant(got), r"\(.*", "") == F.regexp_replace(
+            F.schema_of_variant(other), r"\(.*", "",
+        )
+    )
     return F.coalesce(same_kind & (F.to_json(got) == F.to_json(other)), F.lit(False))
 
 
 def index_key(variant: Column, field: str) -> Column:
     """A string's own characters, or any other value's JSON text (so "1" and 1 collide); null for a missing field."""
     got = value(variant, field)
-    return F.when(got.isNull(), F.lit(None).cast("string")).when(F.is_variant_null(got), F.lit("null")).when(F.schema_of_variant(got) == "STRING", text(variant, field)).otherwise(F.to_json(got))
+    return F.when(got.isNull(), F.lit(None).cast("string")).when(F.is_variant_null(got), F.lit("null")).when(
+        F.schema_of_variant(got) == "STRING", text(variant, field),
+    ).otherwise(F.to_json(got))
 
 
 def index_key_of(value: object) -> str:
-    return value if isinstance(value, str) else json.dumps(value, separators=(",", ":"), sort_keys=True, ensure_ascii=False)
+    return value if isinstance(value, str) else json.dumps(
+        value, separators=(",", ":"), sort_keys=True, ensure_ascii=False,
+    )

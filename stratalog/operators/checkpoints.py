@@ -1,6 +1,7 @@
 """A checkpoint saver's queries: the latest, one by id, the newest before one, and the writes that belong to one.
 
-Rows: thread, checkpoint_id, position, kind ('checkpoint' or 'writes'), body.
+Rows: thread, checkpoint_id, position, kind ('checkpoint' or 'writes'), body.  Bodies are JSON, so a saver's bytes go into
+them as base64 (functions/encoding.py).
 """
 
 from __future__ import annotations

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import encoding
 from .functions.ids import partition_of
 from .operators import folds, retention, session
 from .operators.views import IndexedView, TypedView, ViewDefinition
@@ -221,6 +222,19 @@ def event_fingerprints(spark, d):
     ).agg(F.count("*").alias("events"), F.min("position").alias("first"))
 
 
+@query(
+    "WITH x AS (SELECT encode(p_name) AS b FROM part) SELECT base64(b) AS coded, lower(hex(b)) AS digits, count(*) AS n FROM x GROUP BY 1, 2"
+)
+def encoded_bytes(spark, d):
+    """Bytes as base64 and as hexadecimal digits, there and back."""
+    data = F.col("p_name").cast("binary")
+    rows = table(spark, d, "part").select(
+        encoding.base64_column(data).alias("coded"), encoding.hex_column(data).alias("digits"),
+    )
+    same = encoding.from_base64_column(F.col("coded")) == encoding.from_hex_column(F.col("digits"))
+    return rows.where(same).groupBy("coded", "digits").agg(F.count("*").alias("n"))
+
+
 # --- branches and diff -----------------------------------------------------------------------------------------------
 
 

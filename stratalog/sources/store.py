@@ -166,6 +166,7 @@ class LogStore:
             catalog.archive(record["id"])
 
     def _publish(self, entry: dict) -> None:
+        self.files.renew()
         entry = {"format": FORMAT, **entry}
         if self.entry and self.entry % CHECKPOINT_EVERY == 0:
             self.state.take(entry)

@@ -788,3 +788,37 @@ def test_small_files_are_joined_by_a_commit(spark, tmp_path, monkeypatch):
         assert d.store.verify()["positions"] == 0 and len(
             d.store.vacuum()
         ) >= 8 and bodies(d.history("s")) == list(range(12))
+
+
+def test_locks_off_local_disks(spark, tmp_path, monkeypatch):
+    """A lock that is a file: one writer at a time; one left behind is taken over when its lease has run out, and the writer
+    that lost it publishes nothing more."""
+    from stratalog.sources import files as S
+
+    monkeypatch.setattr(S.Files, "local", lambda self: None)
+    path = str(tmp_path / "log")
+    first = LogStore(spark, path)
+    with pytest.raises(E.LockedError):
+        LogStore(spark, path)
+    monkeypatch.setattr(S, "LEASE", -1)
+    first.files.renew()
+    second = LogStore(spark, path)
+    second.append("main", "s", [{"body": 1}])
+    assert second.commit() == 1
+    first.append("main", "s", [{"body": 2}])
+    with pytest.raises(E.LockedError):
+        first.commit()
+    first.files.unlock()
+    assert second.files.exists("LOCK")
+    second.close()
+    assert not second.files.exists("LOCK")
+
+
+def test_encodings():
+    from stratalog.functions import encoding as C
+
+    data = bytes(range(256))
+    assert C.from_base64(C.to_base64(data)) == data == C.from_hex(C.to_hex(data)) and C.to_base64(b"ab") == "YWI="
+    for wrong in (lambda: C.from_base64("a"), lambda: C.from_base64("YW I="), lambda: C.from_hex("xy")):
+        with pytest.raises(E.CodecError):
+            wrong()
