@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, prepare
+from .common import discard, map_text, prepare, stored
 
 #: Edits allowed for each character of an item.
 RATE = 0.07
@@ -114,16 +116,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
     """doc_id, item_id, distance, start, end: each document and item of which the document holds a passage with at most
     rate * length edits; start and end count characters of the document's plain() text, for the nearest passage.
 
-    Items are sent to the executors in blocks of BLOCK characters, one pass over the documents each.  Null or empty
-    texts hold nothing, empty items are held by nothing; repeated items and documents give a row each; an item that is
-    shorter than 1 / rate must be met exactly; empty tables give no rows; further columns are left out.
+    Items are sent to the executors in blocks of BLOCK characters, one pass over the documents each; of more than one
+    block the rows found are stored, and the block is dropped before the next one is sent.  Null or empty texts
+    hold nothing, empty items are held by nothing; repeated items and documents give a row each; an item that is shorter
+    than 1 / rate must be met exactly; empty tables give no rows; further columns are left out.
     """
     prepare()
     spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("long"), "text")
     schema = "doc_id long, item_id long, distance int, start long, end long"
-    out = spark.createDataFrame([], schema)
+    found: list[DataFrame] = []
 
-    def search(items: dict[str, list[int]]) -> DataFrame:
+    def search(items: dict[str, list[int]]) -> tuple[DataFrame, Broadcast]:
         shared = spark.sparkContext.broadcast(sorted(items.items()))
 
         def make():
@@ -145,11 +148,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
 
             return step
 
-        return map_text(docs, "text", schema, make)
+        return map_text(docs, "text", schema, make), shared
 
-    for block in blocks(benchmark):
-        out = out.union(search(block))
-    return out
+    for block, last in _with_last(blocks(benchmark)):
+        rows, sent = search(block)
+        if last and not found:
+            return rows
+        found.append(stored(rows, "leaks"))
+        sent.destroy()
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], schema)
+
+
+def _with_last(items: Iterator) -> Iterator[tuple]:
+    """Each item, and whether it is the last one."""
+    now = next(items, None)
+    while now is not None:
+        after = next(items, None)
+        yield now, after is None
+        now = after
 
 
 def blocks(benchmark: DataFrame) -> Iterator[dict[str, list[int]]]:
@@ -175,7 +191,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Dat
     id may be null or repeated.  Each block of items is one pass over the rows that the ones before left."""
     prepare()
 
-    def without(docs: DataFrame, items: dict[str, list[int]]) -> DataFrame:
+    def without(docs: DataFrame, items: dict[str, list[int]]) -> tuple[DataFrame, Broadcast]:
         shared = docs.sparkSession.sparkContext.broadcast(sorted(items.items()))
 
         def make():
@@ -184,8 +200,14 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Dat
                 pa.array([not searcher.search(plain(text)) for text in part.column("text").to_pylist()], pa.bool_())
             )
 
-        return map_text(docs, "text", docs.schema, make)
+        return map_text(docs, "text", docs.schema, make), shared
 
-    for block in blocks(benchmark):
-        docs = without(docs, block)
+    held: list[DataFrame] = []
+    for block, last in _with_last(blocks(benchmark)):
+        docs, sent = without(docs, block)
+        if not last:
+            docs = stored(docs, "clean")
+            sent.destroy()
+            discard(*held)
+            held = [docs]
     return docs

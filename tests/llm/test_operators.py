@@ -597,6 +597,16 @@ def test_leaks_ties_long_texts_and_clashing_columns(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {3, 4, None}
 
 
+def test_leaks_in_blocks_of_items(spark, monkeypatch):
+    """However the benchmark is cut into blocks, the same rows are found."""
+    items = spark.createDataFrame([(i, prose(500 + i, 12)) for i in range(6)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, prose(i, 30) + " " + prose(500 + i % 8, 12)) for i in range(24)], "doc_id long, text string")
+    found = [sorted(map(tuple, decontaminate.leaks(docs, items).collect()))]
+    monkeypatch.setattr(decontaminate, "BLOCK", 150)
+    found.append(sorted(map(tuple, decontaminate.leaks(docs, items).collect())))
+    assert found[0] == found[1] and {(r[0], r[1]) for r in found[0]} == {(i, i % 8) for i in range(24) if i % 8 < 6}
+
+
 def test_leaks_go_row_by_row(spark, monkeypatch):
     items = [(1, "which river flows past the old mill at noon"), (2, "how many stones lie under the northern bridge")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
