@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import uuid
 from collections.abc import Callable, Iterator
@@ -144,17 +145,30 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator
             yield batch.slice(at, rows)
 
 
+def trim() -> None:
+    """Gives memory that a task has freed back to the system, which else stays with a worker that waits for its next task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass
+
+
 def map_text(
     df: DataFrame, column: str, schema: str | StructType,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]],
 ) -> DataFrame:
     """mapInArrow over parts of bounded text; make() runs once a task and returns the function for a part."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
             for part in slices(batch, column):
                 if (out := step(part)) is not None and out.num_rows:
                     yield out
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from steps(batches)
+        trim()
+
     return df.mapInArrow(run, schema)

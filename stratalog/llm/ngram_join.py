@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_small, map_text, prepare, slices, stored
+from .common import discard, join_small, map_text, prepare, slices, stored, trim
 from .components import components
 from .textvec import LOWER, U64, byte_view, distinct_by_text, gather, hash_spans, lists, shingle_hashes, word_spans
 
@@ -151,6 +151,8 @@ def census_rows(docs: DataFrame, total: int, width: int = WIDTH, whole: bool = F
                     ids, flats, counts, load, place = [], [], [], 0, place + 1
         if ids:
             yield from emit(ids, flats, counts, task << 20 | place)
+        del ids, flats, counts
+        trim()
 
     table = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     return table.mapInArrow(
