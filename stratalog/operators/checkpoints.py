@@ -6,7 +6,7 @@ them as base64 (functions/encoding.py).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,7 +20,7 @@ def by_id(rows: DataFrame, checkpoint_id: str) -> DataFrame:
     return rows.where((F.col("kind") == "checkpoint") & (F.col("checkpoint_id") == checkpoint_id))
 
 
-def newest_before(rows: DataFrame, before: int | None = None, limit: int | None = None) -> DataFrame:
+def newest_before(rows: DataFrame, before: int | Column | None = None, limit: int | None = None) -> DataFrame:
     """Checkpoints of each thread, newest first (`rank` from 1), of those below a position, at most `limit`."""
     rows = rows.where("kind = 'checkpoint'")
     if before is not None:

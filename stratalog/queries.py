@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import encoding
 from .functions.ids import partition_of
-from .operators import folds, retention, session
+from .operators import checkpoints, folds, retention, session
 from .operators.views import IndexedView, TypedView, ViewDefinition
 from .plans.catalog import ancestry_frame
 from .plans.replay import PartitionClass, ReplayPlan, StreamSet, compile_plan, diff, visible
@@ -422,9 +422,19 @@ def step_exactly_once(spark, d):
     "WITH x AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) SELECT o_custkey, o_orderkey, o_orderstatus FROM x WHERE rn = 1"
 )
 def checkpoint_latest(spark, d):
-    last = F.max_by(F.struct("o_orderkey", "o_orderstatus"), F.struct("o_orderdate", "o_orderkey")).alias("o")
-    return table(spark, d, "orders").groupBy("o_custkey").agg(last).select(
-        "o_custkey", "o.o_orderkey", "o.o_orderstatus",
+    rows = checkpoints.latest(order_checkpoints(spark, d))
+    return rows.select(
+        F.col("thread").alias("o_custkey"), F.col("checkpoint_id").alias("o_orderkey"),
+        F.col("body").alias("o_orderstatus"),
+    )
+
+
+def order_checkpoints(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as a saver's checkpoints: the customer is the thread, dates and keys are positions."""
+    return table(spark, d, "orders").select(
+        F.col("o_custkey").alias("thread"), F.col("o_orderkey").alias("checkpoint_id"),
+        F.lit("checkpoint").alias("kind"), F.struct("o_orderdate", "o_orderkey").alias("position"),
+        F.col("o_orderstatus").alias("body"),
     )
 
 
@@ -432,9 +442,11 @@ def checkpoint_latest(spark, d):
     "WITH x AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01') SELECT o_custkey, o_orderkey, CAST(rn AS BIGINT) AS rank FROM x WHERE rn <= 3"
 )
 def checkpoint_list_before(spark, d):
-    rn = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
-    rows = table(spark, d, "orders").where(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz"))
-    return rows.withColumn("rank", rn.cast("long")).where("rank <= 3").select("o_custkey", "o_orderkey", "rank")
+    before = F.struct(
+        F.lit("1996-01-01").cast("timestamp_ntz").alias("o_orderdate"), F.lit(0).cast("long").alias("o_orderkey"),
+    )
+    rows = checkpoints.newest_before(order_checkpoints(spark, d), before, 3)
+    return rows.select(F.col("thread").alias("o_custkey"), F.col("checkpoint_id").alias("o_orderkey"), "rank")
 
 
 @query(

@@ -343,3 +343,48 @@ def store_replica(spark, d):
             "position", "stream_name", F.col("stream_revision").alias("revision"),
             F.regexp_replace("body", '"', "").alias("name"),
         )
+
+
+@query("SELECT count(DISTINCT user_id) AS keys, 4 AS classes FROM log")
+def store_partitioned_view(spark, d):
+    """A view in hash classes of streams, one of them from a snapshot of its own: together they hold every key once."""
+    with opened(spark, d, "classes") as db:
+        db.register_view("users", "id", partitions=4)
+        db.create_snapshot("users", 2)
+        sizes = [db.query_partitions("users", [k]).len().first()["len"] for k in range(4)]
+        assert db.query_partitions("users", [0, 1, 2, 3]).len().first()["len"] == sum(sizes)
+    return spark.createDataFrame([(sum(sizes), len(sizes))], "keys long, classes int")
+
+
+@query("SELECT 1 AS files, count(*) AS events, 0 AS faults FROM nation")
+def store_compaction(spark, d):
+    """Many small commits joined to one file; what no manifest entry names is deleted."""
+    names = [r["n_name"] for r in table(spark, d, "nation").orderBy("n_nationkey").collect()]
+    with open_log(work_path(spark, "compact"), commit_every_count=1, spark=spark) as db:
+        for n in names:
+            db.append("nation", n)
+        db.store.compact()
+        db.store.vacuum()
+        found = db.store.verify()
+        out = [(len(db.store.state.files), found["events"], sum(found.values()) - found["events"])]
+    return spark.createDataFrame(out, "files int, events long, faults int")
+
+
+@query(
+    "SELECT n // 3 AS position, n - n // 3 AS lag, count(*) AS rest FROM log, n WHERE position >= n // 3 GROUP BY 1, 2"
+)
+def store_consumer(spark, d):
+    """A consumer acknowledges the first commit, and goes on from there after the log was opened again."""
+    with opened(spark, d, "consumer") as db:
+        path, third = db.store.path, db.head() // 3
+        watch = db.watch(start=0, consumer_id="c", timeout=0, page_batches=1, page_bytes=16 << 20)
+        while watch.position < third:
+            watch.next_page()
+        at = watch.ack()
+        watch.close()
+    with open_log(path, spark=spark) as db:
+        watch, rest = db.watch(consumer_id="c", timeout=0), 0
+        while page := watch.next_page():
+            rest += len(page)
+        watch.close()
+        return spark.createDataFrame([(at, db.head() - at, rest)], "position long, lag long, rest long")
